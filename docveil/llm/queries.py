@@ -17,6 +17,29 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docveil.llm.quality import judge_quality
+
+    judged = judge_quality(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_soft")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docveil.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+#: The rules of the URL query.
+URL_RULES = ["block com/en/", "allow example.com/en/7", "allow net/de/", "block example.net/de/8", "block org/es/"]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docveil.llm.urls import judge_urls
+
+    return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docveil.llm.sharding import shard
 
@@ -27,5 +50,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+#: The same parse of urls, then every rule against every url; the longest that fits.
+_URL_SQL = """
+WITH rules(host, path, verdict) AS (VALUES {rules}),
+rest AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+cut AS (SELECT page_id, r, regexp_extract(coalesce(r, ''), '^[^/?#]*') AS h FROM rest),
+parts AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(substr(coalesce(r, ''), length(h) + 1), '^[^?#]*', 0, 's') AS path FROM cut),
+judged AS (SELECT page_id, host, path,
+  (SELECT max_by(struct_pack(rule := r.host || r.path, verdict := r.verdict), length(r.host || r.path)) FROM rules r
+   WHERE (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)) AS best FROM parts p)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM judged
+"""
+
+
+def _url_sql() -> str:
+    from docveil.llm.urls import parse_rule
+
+    return _URL_SQL.format(rules=", ".join(str(parse_rule(r)) for r in URL_RULES))
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_url_filter": _url_sql()}
