@@ -46,6 +46,18 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docveil.llm.tokens import PIECES, count_tokens, load_pieces
+
+    return count_tokens(_table(spark, sf_dir, "documents"), load_pieces(PIECES))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docveil.llm.decontaminate import find_leaks
+
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
