@@ -173,6 +173,21 @@ def indexes(benchmark: DataFrame, grams: int) -> list[Index]:
 SCHEMA = "n_candidates long, item_ids array<long>, item_scores array<double>"
 
 
+def _judge(sent, threshold: float, overlap: float, part_overlap: float):
+    def judge(texts: pa.Array) -> pa.Array:
+        index, n, ids, scores = sent.value, [], [], []
+        for text in texts:
+            found = lower_words(text.as_py())
+            near = index.candidates(found, threshold)
+            sure = index.verified(found, near, overlap, part_overlap)
+            n.append(len(near))
+            ids.append([i for i, _ in sure])
+            scores.append([s for _, s in sure])
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float64()))], ["n_candidates", "item_ids", "item_scores"])
+
+    return judge
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.55, overlap: float = 0.6, part_overlap: float = 0.25, grams: int = 5, keep: list[str] | None = None) -> DataFrame:
     """docs (or their columns in keep) with contaminated, n_candidates, item_ids and item_scores.
 
@@ -188,19 +203,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.55, o
     names = []
     for turn, index in enumerate(indexes(benchmark, grams)):
         sent = docs.sparkSession.sparkContext.broadcast(index)
-
-        def judge(texts: pa.Array, sent=sent) -> pa.Array:
-            index, n, ids, scores = sent.value, [], [], []
-            for text in texts:
-                found = lower_words(text.as_py())
-                near = index.candidates(found, threshold)
-                sure = index.verified(found, near, overlap, part_overlap)
-                n.append(len(near))
-                ids.append([i for i, _ in sure])
-                scores.append([s for _, s in sure])
-            return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float64()))], ["n_candidates", "item_ids", "item_scores"])
-
-        out = out.withColumn(f"__hit{turn}", F.arrow_udf(judge, SCHEMA)("__text"))
+        out = out.withColumn(f"__hit{turn}", F.arrow_udf(_judge(sent, threshold, overlap, part_overlap), SCHEMA)("__text"))
         names.append(f"__hit{turn}")
     if not names:
         return docs.select(*kept, F.lit(False).alias("contaminated"), F.lit(0).cast("long").alias("n_candidates"), F.array().cast("array<long>").alias("item_ids"), F.array().cast("array<double>").alias("item_scores"))
