@@ -24,6 +24,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_soft")
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docveil.llm.personal import find_personal
+
+    return find_personal(_table(spark, sf_dir, "documents")).drop("span_list")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docveil.llm.mixing import mix
 
