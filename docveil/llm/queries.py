@@ -52,6 +52,14 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from docveil.llm.lm import score
+
+    return score(_table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 != 2)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docveil.llm.tokens import PIECES, count_tokens, load_pieces
 
