@@ -52,6 +52,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docveil.llm.html import extract_text
+
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 

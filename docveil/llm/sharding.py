@@ -48,7 +48,7 @@ def shard(docs: DataFrame, shards: int = 24, seed: int = 7, text: str = "text",
 
     Counts of the shards differ by one at most and slots are gapless from 0. A
     row's source partition and both permutations come from hashes of its
-    doc_id and text, so reruns agree. Repeated rows are dealt like others. A
+    doc_id, its text and its number among equal rows, so reruns agree and repeated rows part. A
     null text counts as an empty one. Columns that clash with a new one are
     replaced.
     """
@@ -56,8 +56,9 @@ def shard(docs: DataFrame, shards: int = 24, seed: int = 7, text: str = "text",
     made = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    mix = F.xxhash64(F.lit(seed), F.col("doc_id"), F.crc32(whole))
-    base = materialize(docs.select(*kept, (F.octet_length(whole) + 8).cast("long").alias("size"), F.crc32(whole).alias("text_crc32"), mix.alias("__mix"), F.col("doc_id").alias("__id")), "sized")
+    base = materialize(docs.select(*kept, (F.octet_length(whole) + 8).cast("long").alias("size"), F.crc32(whole).alias("text_crc32"), F.col("doc_id").alias("__id"), F.monotonically_increasing_id().alias("__at")), "sized")
+    again = F.row_number().over(Window.partitionBy("__id", "text_crc32").orderBy("__at"))  # copies of a row go different ways
+    base = materialize(base.withColumn("__mix", F.xxhash64(F.lit(seed), "__id", "text_crc32", again)).drop("__at"), "mixed")
     rows = base.count()
     parts = max(1, -(-rows // PART_ROWS))
     blocks = max(1, -(-rows // shards // PART_ROWS))

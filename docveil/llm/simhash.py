@@ -55,11 +55,12 @@ def _remix(hashes: np.ndarray, lane: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def simhash(docs: DataFrame, shingle_words: int = 3, lanes: int = 1) -> DataFrame:
-    """(doc_id, f0, f1, ...): fingerprints of whole texts, 64 bits a lane.
+def simhash(docs: DataFrame, shingle_words: int = 3, lanes: int = 1, carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, carried columns, f0, f1, ...): fingerprints of whole texts, 64 bits a lane.
 
     A text of fewer words is one shingle; one without words, or a null, has fingerprint zero.
     """
+    held = ["doc_id", *(carry or [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,10 +68,10 @@ def simhash(docs: DataFrame, shingle_words: int = 3, lanes: int = 1) -> DataFram
                 each = [shingle_hashes(lower_words(t), shingle_words) for t in part.column("text").to_pylist()]
                 bounds = np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int64)
                 prints = fingerprints(np.concatenate(each) if each else np.empty(0, np.uint64), bounds, lanes).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(np.ascontiguousarray(prints[:, k])) for k in range(lanes))], ["doc_id", *(f"f{k}" for k in range(lanes))])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in held), *(pa.array(np.ascontiguousarray(prints[:, k])) for k in range(lanes))], [*held, *(f"f{k}" for k in range(lanes))])
 
-    schema = ", ".join(["doc_id long", *(f"f{k} long" for k in range(lanes))])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    schema = ", ".join(["doc_id long", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in held[1:]), *(f"f{k} long" for k in range(lanes))])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *held[1:], F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def hex_print(lanes: int) -> Column:
@@ -175,17 +176,18 @@ def links(prints: DataFrame, lanes: int = 1, segments: int = 2, max_bits: int =
     return pairs.unionByName(many)
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 3, lanes: int = 1, segments: int = 2, max_bits: int = 3) -> DataFrame:
-    """(doc_id, fingerprint, component_id, f*): each row's group of near copies.
+def near_duplicates(docs: DataFrame, shingle_words: int = 3, lanes: int = 1, segments: int = 2, max_bits: int = 3, carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, carried columns, fingerprint, component_id, f*): each row's group of near copies.
 
     component_id is the smallest doc_id that links reach; rows with equal
     fingerprints are linked. Every input row comes back once, repeated ones
     too. A null doc_id never becomes a component_id unless a group has no
-    other. Columns of docs other than doc_id and text are not read.
+    other. Columns of docs other than doc_id, text and the carried
+    ones are not read.
     """
     f = [f"f{k}" for k in range(lanes)]
     g = [f"g{k}" for k in range(lanes)]
-    base = materialize(simhash(docs, shingle_words, lanes), "prints")
+    base = materialize(simhash(docs, shingle_words, lanes, carry), "prints")
     prints = materialize(base.groupBy(*f).agg(F.min("doc_id").alias("least")), "distinct")
 
     def node(names: list[str]) -> Column:
@@ -198,4 +200,4 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, lanes: int = 1, seg
     of = materialize(linked.join(least, "root").select("node", "component_id"), "of")
     release(prints, roots, linked, least)
     out = base.withColumn("node", node(f)).join(of, "node")
-    return out.select("doc_id", hex_print(lanes).alias("fingerprint"), "component_id", *f)
+    return out.select("doc_id", *(carry or []), hex_print(lanes).alias("fingerprint"), "component_id", *f)
