@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Paths that materialize() has written and release() has not deleted.
+WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``.
 
@@ -36,7 +40,8 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docveil/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    WRITTEN.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._docveil_path = path
     return out
@@ -45,11 +50,16 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
 def release(*frames: DataFrame) -> None:
     """Delete what materialize() wrote for frames that nothing reads any more."""
     for df in frames:
-        path = getattr(df, "_docveil_path", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            there = jvm.org.apache.hadoop.fs.Path(path)
-            there.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(there, True)
+        if path := getattr(df, "_docveil_path", None):
+            release_paths(df.sparkSession, [path])
+
+
+def release_paths(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(there, True)
+        if path in WRITTEN:
+            WRITTEN.remove(path)
 
 
 def values_table(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
