@@ -275,6 +275,10 @@ def _said(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat(F.element_at(names, s["kind"] + 1), F.lit(":"), s["start"], F.lit(":"), s["stop"])), ",")
 
 
+def _count(kind: int) -> Column:
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+
 def find_personal(docs: DataFrame, accept: float = 0.5, key: str = "doc_id") -> DataFrame:
     """(key, n_email, n_ip, n_card, n_phone, base_sha256, spans, span_list) for every row.
 
@@ -290,7 +294,7 @@ def find_personal(docs: DataFrame, accept: float = 0.5, key: str = "doc_id") ->
     chosen = F.filter("more", lambda m: F.array_contains(F.array(*(F.lit(c) for c in good)), m["pattern"])) if good else F.array().cast("array<struct<start:long,kind:int,stop:long,pattern:int>>")
     plain = F.transform(chosen, lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["stop"].alias("stop")))
     every = F.array_sort(F.concat("base", plain))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
+    counts = [_count(k).alias(f"n_{KINDS[k]}") for k in range(4)]
     return scanned.select(key, *counts, F.sha2(_said(F.col("base")).cast("binary"), 256).alias("base_sha256"), _said(every).alias("spans"), every.alias("span_list"))
 
 
