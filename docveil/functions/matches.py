@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 SPAN = "struct<start:int,end:int,value:string>"
 
 
-def spans(text: Column, pattern: str) -> Column:
+def spans(text: Column, pattern: str | Column) -> Column:
     """array<struct<start, end, value>> in the order of the text; empty for a null text."""
     whole = F.coalesce(text, F.lit(""))
     found = F.regexp_extract_all(whole, F.lit(pattern), F.lit(0))
-    gaps = F.split(whole, pattern, -1)
+    gaps = F.split(whole, F.lit(pattern), F.lit(-1))
     pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("value"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
@@ -39,3 +39,14 @@ def group_spans(text: Column, pattern: str, group: int) -> Column:
             F.regexp_extract(s["value"], pattern, group).alias("value"),
         ),
     )
+
+
+def quoted(text: Column) -> Column:
+    """A pattern that matches just the text."""
+    return F.concat(F.lit(r"\Q"), F.replace(text, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+
+def starts(text: Column, needle: Column) -> Column:
+    """array<int>: every place of a needle, overlapping ones too. Only its first character is matched, the rest is looked ahead at."""
+    pattern = F.concat(quoted(F.substring(needle, 1, 1)), F.lit("(?="), quoted(F.substring(needle, 2, 1 << 20)), F.lit(")"))
+    return F.transform(spans(text, pattern), lambda s: s["start"])

@@ -27,8 +27,8 @@ MONTH_WORDS = (
 MONTHS = {w: k for k, words in enumerate(MONTH_WORDS, 1) for w in words.split()}
 _NAMES = "|".join(sorted(MONTHS, key=len, reverse=True))
 _PIECES = {
-    "D": r"(?<d>\d{2})", "d": r"(?<d>\d{1,2})", "M": r"(?<m>\d{2})", "m": r"(?<m>\d{1,2})", "Y": r"(?<y>\d{4})", "y": r"(?<y>\d{2})", "z": r"(?<y>\d{4}|\d{2})",
-    "N": rf"(?<![^\W\d_])(?<m>{_NAMES})\.?(?![^\W\d_])", "-": r"(?<s>[-._ ])", "=": r"\k<s>", "~": r"[-._ ]", "_": r"[-._ ,]*", "(": r"(?<!\d)", ")": r"(?!\d)", ".": r"\.?", "t": r"(?:st|nd|rd|th)?",
+    "D": r"(?<d>[0-9]{2})", "d": r"(?<d>[0-9]{1,2})", "M": r"(?<m>[0-9]{2})", "m": r"(?<m>[0-9]{1,2})", "Y": r"(?<y>[0-9]{4})", "y": r"(?<y>[0-9]{2})", "z": r"(?<y>[0-9]{4}|[0-9]{2})",
+    "N": rf"(?<!\p{{L}})(?<m>{_NAMES})\.?(?!\p{{L}})", "-": r"(?<s>[-._ ])", "=": r"\k<s>", "~": r"[-._ ]", "_": r"[-._ ,]*", "(": r"(?<![0-9])", ")": r"(?![0-9])", ".": r"\.?", "t": r"(?:st|nd|rd|th)?",
 }
 
 
@@ -43,7 +43,7 @@ class DateRule:
 
     @property
     def regex(self) -> str:
-        return "(?iU)" + (self.pattern or "".join(_PIECES[c] for c in self.form))
+        return "(?iu)" + (self.pattern or "".join(_PIECES[c] for c in self.form))
 
     @property
     def has_day(self) -> bool:
@@ -163,21 +163,21 @@ def rule_from_marks(example: str, marks: dict[str, tuple[int, int]]) -> DateRule
         said = example[a:b]
         if end is not None and a > end:
             gap = example[end:a]
-            body += re.escape(gap) if any(c.isalnum() for c in gap) else r"[\W_]+"
+            body += re.escape(gap) if any(c.isalnum() for c in gap) else r"[^\p{L}\p{N}]+"
         if k == "y":
             if not (said.isdigit() and len(said) in (2, 4)):
                 raise MarkError("year")
-            body += rf"(?<y>\d{{{len(said)}}})"
+            body += rf"(?<y>[0-9]{{{len(said)}}})"
         elif said.isdigit() and len(said) <= 2:
-            body += rf"(?<{k}>\d{{1,2}})" if not digit(a - 1) and not digit(b) else rf"(?<{k}>\d{{{len(said)}}})"
+            body += rf"(?<{k}>[0-9]{{1,2}})" if not digit(a - 1) and not digit(b) else rf"(?<{k}>[0-9]{{{len(said)}}})"
         elif k == "m" and said.strip(".").casefold() in MONTHS:
-            body += r"(?<m>[^\W\d_]+)\.?"
+            body += r"(?<m>\p{L}+)\.?"
         else:
             raise MarkError("month" if k == "m" else "day")
         end = b
     first, last = placed[0][0], placed[-1][1] - 1
-    head = (r"(?<!\d)" if not digit(first - 1) else "") if digit(first) else r"(?<![^\W\d_])"
-    tail = (r"(?!\d)" if not digit(last + 1) else "") if digit(last) else r"(?![^\W\d_])"
+    head = (r"(?<![0-9])" if not digit(first - 1) else "") if digit(first) else r"(?<!\p{L})"
+    tail = (r"(?![0-9])" if not digit(last + 1) else "") if digit(last) else r"(?!\p{L})"
     return replace(DateRule("manual", ""), pattern=head + body + tail)
 
 

@@ -9,6 +9,7 @@ words lift a score, are this library's own.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from docveil.functions import entities as E
 from docveil.functions import ids
-from docveil.functions.matches import group_spans, spans
+from docveil.functions.matches import group_spans, spans, starts
 from docveil.functions.text import edits_within, fold_city, ocr_slack
 
 #: Fixed value: spans below it are not shown.
@@ -152,7 +153,7 @@ def merge_duplicates(found: Column) -> Column:
     In the order (entity, start, length) each span is compared with the last
     one kept. Spans: array<struct<entity, start, end, score, ...>>.
     """
-    ordered = F.array_sort(found, lambda a, b: _compare([(a["entity"], b["entity"]), (a["start"], b["start"]), (a["end"] - a["start"], b["end"] - b["start"])]))
+    ordered = _sorted(found, lambda s: [s["entity"], s["start"], s["end"] - s["start"]])
 
     def step(kept: Column, s: Column) -> Column:
         last = F.try_element_at(kept, F.lit(-1))
@@ -166,20 +167,19 @@ def merge_duplicates(found: Column) -> Column:
 
 def prune_overlaps(found: Column) -> Column:
     """One span for each place: the longest, then by the entities' priority, then by score."""
-    ordered = F.array_sort(found, lambda a, b: _compare([(b["end"] - b["start"], a["end"] - a["start"]), (E.priority(a["entity"]), E.priority(b["entity"])), (b["score"], a["score"]), (a["start"], b["start"])]))
+    ordered = _sorted(found, lambda s: [s["start"] - s["end"], E.priority(s["entity"]), -s["score"], s["start"]])
 
     def step(kept: Column, s: Column) -> Column:
         return F.when(F.exists(kept, lambda k: (s["start"] < k["end"]) & (s["end"] > k["start"])), kept).otherwise(F.concat(kept, F.array(s)))
 
     kept = F.aggregate(ordered, F.slice(ordered, 1, 0), step)
-    return F.array_sort(kept, lambda a, b: _compare([(a["start"], b["start"]), (a["end"], b["end"])]))
+    return _sorted(kept, lambda s: [s["start"], s["end"]])
 
 
-def _compare(pairs: list[tuple[Column, Column]]) -> Column:
-    out = F.lit(0)
-    for a, b in reversed(pairs):
-        out = F.when(a < b, F.lit(-1)).when(a > b, F.lit(1)).otherwise(out)
-    return out
+def _sorted(found: Column, keys: Callable[[Column], list[Column]]) -> Column:
+    """Spans in the order of some keys, then of their fields."""
+    keyed = F.transform(found, lambda s: F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys(s))), s.alias("s")))
+    return F.transform(F.array_sort(keyed), lambda x: x["s"])
 
 
 def detect(pages: DataFrame, codes: DataFrame | None = None, extra: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, ocr: str | None = None) -> DataFrame:
@@ -218,9 +218,7 @@ def search_occurrences(pages: DataFrame, query: str) -> DataFrame:
     if not n:
         return pages.select("page_uid", F.lit(0).alias("start"), F.lit(0).alias("end")).where("false")
     low = F.lower("text")
-    pieces = F.sequence(F.lit(1), F.greatest(F.length("text") - n + 1, F.lit(1)))
-    at = F.filter(pieces, lambda k: F.substring(F.col("__low"), k, n) == needle)
-    return pages.withColumn("__low", low).where(F.col("__low").contains(needle)).select("page_uid", F.explode(at).alias("k")).select("page_uid", (F.col("k") - 1).alias("start"), (F.col("k") - 1 + n).alias("end"))
+    return pages.where(low.contains(needle)).select("page_uid", F.explode(starts(low, F.lit(needle))).alias("start")).withColumn("end", F.col("start") + n)
 
 
 def overlapping(a: DataFrame, b: DataFrame) -> DataFrame:

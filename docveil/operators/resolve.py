@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from docveil.functions import entities as E
 from docveil.functions.geometry import covered
+from docveil.functions.matches import starts
 from docveil.functions.text import collapse, normalize_value, role_alternatives, role_pattern
 
 # Words of roles, and the mark of contradicting ones.
@@ -174,12 +175,11 @@ def propagate_names(pages: DataFrame, found: DataFrame, word_bounds: bool = Fals
     variants. Of overlapping places the longest pattern's leftmost stays; those over a known finding are dropped.
     """
     variants = name_variants(found).withColumn("low", F.lower("pattern")).withColumn("head", F.substring("low", 1, 3))
-    heads = F.sequence(F.lit(1), F.greatest(F.length("text") - 2, F.lit(1)))
-    grams = pages.select("page_uid", F.explode(F.array_distinct(F.transform(heads, lambda k: F.substring(F.lower(F.col("text")), k, 3)))).alias("head"))
+    triples = F.flatten(F.array(*(F.regexp_extract_all(F.substring(F.lower("text"), k, 1 << 30), F.lit("(?s)..."), F.lit(0)) for k in (1, 2, 3))))
+    grams = pages.select("page_uid", F.explode(F.array_distinct(triples)).alias("head"))
     candidates = grams.join(variants, "head").join(pages.select("page_uid", "text"), "page_uid").where(F.lower("text").contains(F.col("low")))
     n = F.length("low")
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length("text") - n + 1, F.lit(1))), lambda k: F.substring(F.lower(F.col("text")), k, n) == F.col("low"))
-    hits = candidates.select("page_uid", "text", "key", n.alias("n"), F.explode(at).alias("k"))
+    hits = candidates.select("page_uid", "text", "key", n.alias("n"), F.explode(starts(F.lower("text"), F.col("low"))).alias("at")).withColumn("k", F.col("at") + 1)
     if word_bounds:
         hits = hits.where(~F.substring("text", F.col("k") - 1, F.when(F.col("k") > 1, 1).otherwise(0)).rlike(r"[\wæøåÆØÅ]") & ~F.substring("text", F.col("k") + F.col("n"), F.lit(1)).rlike(r"[\wæøåÆØÅ]"))
     placed = hits.select("page_uid", "key", (F.col("k") - 1).cast("int").alias("start"), (F.col("k") - 1 + F.col("n")).cast("int").alias("end"), F.substring("text", F.col("k"), F.col("n")).alias("value"))
