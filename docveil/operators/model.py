@@ -167,11 +167,18 @@ def blocks(files: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
     parents = want.select("model", F.col("iid").alias("origin_iid"), F.col("__want").alias("__parent_want"))
     tagged = files.join(live, ["model", "origin_iid"], "left").join(want, list(KEYS), "left").join(parents, ["model", "origin_iid"], "left")
     child = F.coalesce(F.col("__live"), F.lit(False)) & ~(F.coalesce(F.col("__want"), F.lit(False)) & ~F.coalesce(F.col("__parent_want"), F.lit(False)))
-    w = Window.partitionBy("model").orderBy("pos")
-    # A child goes on with a block whose last head is its parent; heads are all other files.
-    head = F.last(F.when(~child, F.col("iid")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    out = _islands(tagged.withColumn("__glued", child & (head == F.col("origin_iid"))), ~F.col("__glued"), ("model",), "block")
-    return out.withColumn("chosen", F.coalesce("__want", F.lit(False))).drop("__live", "__want", "__parent_want", "__glued")
+    start = F.struct(F.lit(None).cast("string").alias("head"), F.lit(-1).alias("n"), F.array().cast("array<struct<iid:string,block:int>>").alias("out"))
+
+    def step(acc: Column, f: Column) -> Column:
+        glued = F.coalesce(f["child"] & (acc["head"] == f["origin_iid"]), F.lit(False))
+        n = F.when(glued, acc["n"]).otherwise(acc["n"] + 1)
+        return F.struct(F.when(glued, acc["head"]).otherwise(f["iid"]).alias("head"), n.alias("n"), F.concat(acc["out"], F.array(F.struct(f["iid"].alias("iid"), n.alias("block")))).alias("out"))
+
+    # Whether a file is glued depends on the block before it, so the files of each model are folded in order.
+    listed = tagged.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("pos", "iid", "origin_iid", child.alias("child")))).alias("f"))
+    placed = listed.select("model", F.explode(F.aggregate("f", start, step, lambda x: x["out"])).alias("o")).select("model", "o.*")
+    out = tagged.join(placed, list(KEYS)).withColumn("chosen", F.coalesce("__want", F.lit(False)))
+    return out.drop("__live", "__want", "__parent_want")
 
 
 # --- ordering ----------------------------------------------------------
@@ -341,11 +348,21 @@ def pages_moved(files: DataFrame, pages: DataFrame, retired: DataFrame | None =
     return files.select("model").distinct().join(hit, "model", "left").withColumn("moved", F.coalesce("moved", F.lit(False)))
 
 
-def reset_layout(files: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+def retired_files(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Files that a change emptied; they remain the homes of their pages. Torn-out ones do not."""
+    return before.where("origin_iid IS NULL").join(after.select(*KEYS), list(KEYS), "left_anti")
+
+
+def reset_layout(files: DataFrame, pages: DataFrame, retired: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Every page back in its home file: own pages by source index, inserted ones behind the page they followed.
 
-    A torn-out file whose home is gone becomes the home. Files that lose and gain nothing keep their order.
+    Homes are the files and those retired, which come back behind the others. A torn-out file whose
+    home is unknown becomes the home. Files that lose and gain nothing keep their order.
     """
+    if retired is not None:
+        back = retired.join(files.where("origin_iid IS NULL").select("model", "path"), ["model", "path"], "left_anti")
+        both = files.withColumn("__old", F.lit(0)).unionByName(back.select(*files.columns).withColumn("__old", F.lit(1)))
+        files = _rank(both, ["__old", "pos"]).select(*files.columns)
     w = Window.partitionBy("model", "path").orderBy(F.col("origin_iid").isNotNull(), "pos")
     home = files.withColumn("__n", F.row_number().over(w)).where("__n = 1").select("model", F.col("path").alias("home_path"), F.col("iid").alias("home_iid"))
     hosted = pages.join(files.select("model", "iid", F.col("path").alias("host_path"), F.col("pos").alias("file_pos"), F.col("origin_iid").isNotNull().alias("torn")), list(KEYS))

@@ -48,14 +48,16 @@ def role_hint(text: Column, start: Column, end: Column) -> Column:
 
 
 def findings(spans: DataFrame, pages: DataFrame) -> DataFrame:
-    """Spans with key, role_hint, context, label and uid; keys are worked out once for each distinct value."""
+    """Spans with key, role_hint, context, label and uid. Keys that are missing are worked out once for each distinct value."""
     from docveil.functions.text import context_for
 
-    keys = spans.select("entity", "value").distinct().withColumn("key", normalize_value(F.col("entity"), F.col("value")))
+    keyed = spans
+    if "key" not in spans.columns:
+        keys = spans.select("entity", "value").distinct().withColumn("key", normalize_value(F.col("entity"), F.col("value")))
+        keyed = spans.join(keys, ["entity", "value"])
     texts = pages.select("page_uid", "text", F.col("pos").alias("page_pos"), F.col("label").alias("page_label"))
     return (
-        spans.join(keys, ["entity", "value"])
-        .join(texts, "page_uid")
+        keyed.join(texts, "page_uid")
         .withColumn("role_hint", F.when(F.col("entity") == E.PERSON, role_hint(F.col("text"), F.col("start"), F.col("end"))).otherwise(F.lit("")))
         .withColumn("context", context_for(F.col("text"), F.col("start"), F.col("end")))
         .withColumn("uid", F.concat_ws(":", "page_uid", "start", "end"))

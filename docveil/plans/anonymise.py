@@ -15,8 +15,7 @@ def pseudonymise(pages: DataFrame, codes: DataFrame | None = None, names: DataFr
     """(texts, pseudonyms) of pages (page_uid, pos, label, text): spans, keys, groups, numbers, and the texts with labels put in."""
     found = findings(detect(pages, codes, names, rules), pages)
     if names is not None:
-        more = propagate_names(pages, found).drop("key")
-        found = found.unionByName(findings(more, pages))
+        found = found.unionByName(findings(propagate_names(pages, found), pages))
     labels = assign_pseudonyms(group_findings(found))
     return render(pages, found, labels), labels
 
