@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,7 +49,7 @@ def fingerprints(hashes: np.ndarray, bounds: np.ndarray, lanes: int) -> np.ndarr
 
 def _remix(hashes: np.ndarray, lane: int) -> np.ndarray:
     """Further independent bits of the same shingles (the finaliser of SplitMix64)."""
-    x = hashes + np.uint64(lane) * np.uint64(0x9E3779B97F4A7C15)
+    x = hashes + np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -85,22 +85,24 @@ def _distance(lanes: int) -> Column:
     return total
 
 
-def variants(prints: DataFrame, lanes: int, segments: int) -> DataFrame:
+def variants(prints: DataFrame, lanes: int, segments: int, width: int | None = None) -> DataFrame:
     """One row for each segment as it is and one for each of its one-wildcard variants.
 
     key names segment, wildcard and the other bits; side is the bit under the
     wildcard. Two segments that differ in one bit meet in just one key, from
-    two sides; equal ones meet in the key without a wildcard.
+    two sides; equal ones meet in the key without a wildcard. Each lane holds
+    equally many segments from its lowest bit on, by default up to its highest.
     """
-    width = 64 * lanes // segments
-    if 64 * lanes % segments or width > 32 or 64 % width:
-        raise ValueError("segments of at most 32 bits must divide a lane evenly")
+    per = segments // lanes
+    width = width or 64 // per
+    if segments % lanes or width > 32 or per * width > 64:
+        raise ValueError("each lane must hold equally many segments of at most 32 bits")
     held = ",".join(f"f{k}" for k in range(lanes))
     return (
         prints.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(segments * (width + 1) - 1))))
         .withColumn("seg", F.expr(f"k div {width + 1}").cast("int"))
         .withColumn("wild", F.expr(f"k % {width + 1}"))
-        .withColumn("value", F.expr(f"shiftrightunsigned(element_at(array({held}), cast(seg * {width} div 64 as int) + 1), cast(seg * {width} % 64 as int)) & {(1 << width) - 1}L"))
+        .withColumn("value", F.expr(f"shiftrightunsigned(element_at(array({held}), cast(seg div {per} as int) + 1), cast(seg % {per} * {width} as int)) & {(1 << width) - 1}L"))
         .withColumn("side", F.expr(f"if(wild = {width}, 0, cast(shiftright(value, wild) & 1 as int))"))
         .withColumn("key", F.expr(f"shiftleft(cast(k as long), {width}) | if(wild = {width}, value, value & ~shiftleft(1L, wild))"))
         .withColumn("exact", F.expr(f"wild = {width}"))
@@ -127,45 +129,66 @@ def _forest(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple
     return out
 
 
-def links(prints: DataFrame, lanes: int = 1, segments: int = 2, max_bits: int = 3) -> DataFrame:
-    """Links (f*, g*) between different fingerprints that connect all pairs within max_bits.
+def _jaccard(a: Column, b: Column) -> Column:
+    shared = F.size(F.array_intersect(a, b))
+    return shared / F.greatest(F.size(a) + F.size(b) - shared, F.lit(1))
 
-    max_bits below 2 * segments: then some segment differs by one bit at most,
-    so each such pair shares a key. Keys with few members give the pairs
-    that pass the test of all bits. A key with more than BLOCK members is cut
-    into blocks; each pair of blocks is one small group that is compared as
+
+def links(prints: DataFrame, lanes: int = 1, segments: int = 2, max_bits: int = 3, width: int | None = None, sets: DataFrame | None = None, similarity: float = 0.8) -> DataFrame:
+    """Links (f*, g*) between different fingerprints.
+
+    With max_bits below 2 * segments some segment differs by one bit at most, so each pair
+    within max_bits shares a key and the links connect all such pairs. With sets (f*,
+    shingles: distinct hashes), pairs within max_bits that share a key are
+    candidates, and those of at least the similarity (of Jaccard) are links.
+    Keys with few members give pairs that pass the test of all bits. A key with
+    more than BLOCK members is cut into blocks; each pair of blocks is one small group that is compared as
     arrays and returns a spanning forest, so rows stay in proportion to members.
     """
-    if max_bits >= 2 * segments:
-        raise ValueError("that many bits need more segments")
+    if max_bits >= 2 * segments and sets is None:
+        raise ValueError("that many bits need more segments, or sets to verify")
     f = [f"f{k}" for k in range(lanes)]
     g = [f"g{k}" for k in range(lanes)]
-    every = variants(prints.select(*f), lanes, segments)
+    every = variants(prints.select(*f), lanes, segments, width)
     useful = every.groupBy("key", "exact").agg(F.count("*").alias("n"), F.sum("side").alias("ones")).where("n > 1 AND (exact OR (ones > 0 AND ones < n))").select("key", "n")
     members = materialize(every.join(useful, "key"), "members")
     few = members.where(F.col("n") <= BLOCK)
     other = few.select("key", F.col("side").alias("other"), *(F.col(a).alias(b) for a, b in zip(f, g, strict=True)))
     order = F.struct(*f) < F.struct(*(F.col(b).alias(a) for a, b in zip(f, g, strict=True)))
     pairs = few.join(other, "key").where(((F.col("exact") & order) | (~F.col("exact") & (F.col("side") < F.col("other")))) & (_distance(lanes) <= max_bits)).select(*f, *g)
+    if sets is not None:
+        turned = F.struct(*g) < F.struct(*(F.col(a).alias(b) for a, b in zip(f, g, strict=True)))
+        ends = [F.when(turned, F.col(y)).otherwise(F.col(x)).alias(n) for x, y, n in [*zip(f, g, f, strict=True), *zip(g, f, g, strict=True)]]
+        pairs = materialize(pairs.select(*ends).distinct(), "candidates")
+        left = pairs.join(sets.withColumnRenamed("shingles", "s1"), f)
+        both = left.join(sets.withColumnsRenamed({"shingles": "s2", **dict(zip(f, g, strict=True))}), g)
+        pairs = both.where(_jaccard(F.col("s1"), F.col("s2")) >= similarity).select(*f, *g)
+    at_once = WIDE_BLOCK if sets is None else WIDE_BLOCK // 8
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf[f].to_numpy(np.int64).view(np.uint64)
         at = pdf["part"].to_numpy()
         low, high = pdf["low"].iloc[0], pdf["high"].iloc[0]
-        left, right = rows[at == low], rows[at == high]
-        both = np.concatenate((left, right))
-        near = np.zeros((len(left), len(right)), np.int32)
+        first, second = np.nonzero(at == low)[0], np.nonzero(at == high)[0]
+        near = np.zeros((len(first), len(second)), np.int32)
         for k in range(lanes):
-            near += np.bitwise_count(left[:, None, k] ^ right[None, :, k])
-        found = _forest(near <= max_bits, np.arange(len(left)), len(left) + np.arange(len(right)))
-        if low == high:  # left and right are the same rows
-            found = _forest(near <= max_bits, np.arange(len(left)), np.arange(len(left)))
+            near += np.bitwise_count(rows[first][:, None, k] ^ rows[second][None, :, k])
+        hit = near <= max_bits
+        if "shingles" in pdf:
+            held = [np.asarray(x) for x in pdf["shingles"]]
+            for i, j in zip(*(x.tolist() for x in np.nonzero(hit)), strict=True):
+                a, b = held[first[i]], held[second[j]]
+                shared = len(np.intersect1d(a, b, assume_unique=True)) if first[i] < second[j] or low != high else 0
+                hit[i, j] = shared >= similarity * max(1, len(a) + len(b) - shared)
+        found = _forest(hit, first, second)
         a, b = (np.array([x[k] for x in found], np.int64) for k in (0, 1))
-        return pd.DataFrame(np.hstack([both[a], both[b]]).view(np.int64), columns=[*f, *g])
+        return pd.DataFrame(np.hstack([rows[a], rows[b]]).view(np.int64), columns=[*f, *g])
 
+    many = members.where(F.col("n") > BLOCK)
+    if sets is not None:
+        many = many.join(sets, f)
     many = (
-        members.where(F.col("n") > BLOCK)
-        .withColumn("blocks", F.ceil(F.col("n") / WIDE_BLOCK).cast("int"))
+        many.withColumn("blocks", F.ceil(F.col("n") / at_once).cast("int"))
         .withColumn("part", F.pmod(F.xxhash64(*f), F.col("blocks")).cast("int"))
         .withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("low", F.least("part", "x"))
@@ -176,6 +199,19 @@ def links(prints: DataFrame, lanes: int = 1, segments: int = 2, max_bits: int =
     return pairs.unionByName(many)
 
 
+def shingle_sets(docs: DataFrame, shingle_words: int, keep: list[str]) -> DataFrame:
+    """(keep, shingles): distinct hashes of each text's word shingles; a text without words has the empty shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                sets = [np.unique(shingle_hashes(lower_words(t) or [b""], shingle_words)).view(np.int64) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(sets, pa.list_(pa.int64()))], [*keep, "shingles"])
+
+    schema = ", ".join([*(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep), "shingles array<long>"])
+    return docs.select(*keep, "text").mapInArrow(run, schema)
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 3, lanes: int = 1, segments: int = 2, max_bits: int = 3, carry: list[str] | None = None) -> DataFrame:
     """(doc_id, carried columns, fingerprint, component_id, f*): each row's group of near copies.
 
@@ -185,17 +221,47 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, lanes: int = 1, seg
     other. Columns of docs other than doc_id, text and the carried
     ones are not read.
     """
+    base = materialize(simhash(docs, shingle_words, lanes, carry), "prints")
+    return _grouped(base, lanes, carry, lambda prints: links(prints, lanes, segments, max_bits))
+
+
+def similar_documents(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, lanes: int = 4, segments: int = 8, width: int = 24, max_bits: int = 40, feature_words: int = 2, carry: list[str] | None = None) -> DataFrame:
+    """Like near_duplicates(), with links between texts whose sets of word shingles have the similarity.
+
+    Candidates come from wide fingerprints of shorter shingles, which near
+    copies share more of; those that share a variant of a segment and lie within
+    max_bits are verified by the exact Jaccard similarity of their sets. Texts
+    of one fingerprint are linked as they are. Sets are made only of texts that
+    share a key with another.
+    """
+    named = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    base = materialize(simhash(named, feature_words, lanes, [*(carry or []), "__h"]), "prints")
+    f = [f"f{k}" for k in range(lanes)]
+
+    def verified(prints: DataFrame) -> DataFrame:
+        every = variants(prints.select(*f), lanes, segments, width)
+        useful = every.groupBy("key").agg(F.count("*").alias("n"), F.sum("side").alias("ones"), F.first("exact").alias("exact")).where("n > 1 AND (exact OR (ones > 0 AND ones < n))").select("key")
+        near = every.join(useful, "key", "left_semi").select(*f).distinct()
+        one = materialize(near.join(base.groupBy(*f).agg(F.min_by(F.struct("doc_id", "__h"), F.struct("doc_id", "__h")).alias("d")), f).select(*f, "d.doc_id", "d.__h"), "near")
+        texts = named.select(F.col("doc_id").alias("__id"), F.col("__h").alias("__own"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+        wanted = one.join(texts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__own"))).dropDuplicates(f)
+        sets = materialize(shingle_sets(wanted, shingle_words, f), "sets")
+        return links(prints, lanes, segments, max_bits, width, sets, similarity)
+
+    return _grouped(base, lanes, carry, verified)
+
+
+def _grouped(base: DataFrame, lanes: int, carry: list[str] | None, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
     f = [f"f{k}" for k in range(lanes)]
     g = [f"g{k}" for k in range(lanes)]
-    base = materialize(simhash(docs, shingle_words, lanes, carry), "prints")
     prints = materialize(base.groupBy(*f).agg(F.min("doc_id").alias("least")), "distinct")
 
     def node(names: list[str]) -> Column:
         return F.col(names[0]) if lanes == 1 else F.concat_ws(",", *names)
 
-    roots = materialize(connected_components(links(prints, lanes, segments, max_bits).select(node(f).alias("u"), node(g).alias("v"))), "roots")
-    named = prints.withColumn("node", node(f)).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    linked = materialize(named.where("root <> node OR root IS NOT NULL").select("node", "root", "least"), "linked")
+    roots = materialize(connected_components(link(prints).select(node(f).alias("u"), node(g).alias("v"))), "roots")
+    linked = prints.withColumn("node", node(f)).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    linked = materialize(linked.select("node", "root", "least"), "linked")
     least = materialize(linked.groupBy("root").agg(F.min("least").alias("component_id")), "groups")
     of = materialize(linked.join(least, "root").select("node", "component_id"), "of")
     release(prints, roots, linked, least)

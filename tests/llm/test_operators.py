@@ -106,6 +106,52 @@ def test_links_of_large_buckets(spark):
     assert [roots.get(v, v) for v in values] == want
 
 
+def test_similar_documents(spark):
+    """Groups by exact similarity of five-word shingles, nearly all of which the signatures find, also in large buckets."""
+    from docveil.llm import simhash
+
+    rnd = random.Random(9)
+    vocab = [f"w{k}" for k in range(3000)]
+    texts = [[rnd.choice(vocab) for _ in range(rnd.randint(80, 250))] for _ in range(60)]
+    for k in range(60):
+        near = list(texts[k])
+        for _ in range(rnd.randint(1, 6)):
+            near[rnd.randrange(len(near))] = "new"
+        texts.append(near)
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)] + [(500, None), (501, ""), (502, rows_text := " ".join(texts[0])), (502, rows_text), (503, "a b"), (504, "A  b")]
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    n = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+                n += 1
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[find(k)] = min(i, least.get(find(k), i))
+    want = [(i, least[find(k)]) for k, (i, _) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for at_most in (64, 1):
+        simhash.BLOCK, held = at_most, simhash.BLOCK
+        try:
+            got = [(r["doc_id"], r["component_id"]) for r in simhash.similar_documents(df).collect()]
+        finally:
+            simhash.BLOCK = held
+        assert len(got) == len(rows) and all(c <= i for i, c in got)
+        wrong = Counter(want) - Counter(got)
+        assert n > 40 and sum(wrong.values()) <= 3, wrong
+
+
 def test_wide_fingerprints(docs):
     from docveil.llm.simhash import near_duplicates
 
