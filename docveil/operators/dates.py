@@ -49,6 +49,11 @@ class DateRule:
     def has_day(self) -> bool:
         return "(?<d>" in self.regex
 
+    @property
+    def named(self) -> bool:
+        """May the month be a name?"""
+        return "N" in self.form or bool(self.pattern)
+
     def group(self, name: str) -> int:
         """The number of a named group, 0 if there is none."""
         opened = re.findall(r"\((?:\?<([a-z])>|(?!\?))", self.regex)
@@ -66,13 +71,13 @@ RULES = tuple(
 )
 
 
-def month_number(word: Column) -> Column:
-    """1 to 12 for a month's name or abbreviation, or for digits; null otherwise."""
+def month_number(word: Column, named: bool = True) -> Column:
+    """1 to 12 for digits, or, if named, for a month's name or abbreviation; null otherwise."""
+    if not named:
+        return word.try_cast("int")
     plain = F.lower(F.regexp_replace(F.trim(word), r"\.+$", ""))
-    named = F.lit(None).cast("int")
-    for k, words in enumerate(MONTH_WORDS, 1):
-        named = F.when(plain.isin(*words.split()), k).otherwise(named)
-    return F.coalesce(plain.try_cast("int"), named)
+    table = F.create_map(*(F.lit(x) for pair in MONTHS.items() for x in pair))
+    return F.coalesce(plain.try_cast("int"), F.try_element_at(table, plain))
 
 
 def full_year(text: Column, today: datetime.date) -> Column:
@@ -82,9 +87,9 @@ def full_year(text: Column, today: datetime.date) -> Column:
     return F.when(y.between(1900, today.year + 10), y)
 
 
-def make_date(year: Column, month: Column, day: Column, today: datetime.date) -> Column:
+def make_date(year: Column, month: Column, day: Column, today: datetime.date, named: bool = True) -> Column:
     d = F.coalesce(F.nullif(day, F.lit("")), F.lit("1"))
-    text = F.concat_ws("-", full_year(year, today).cast("string"), F.lpad(month_number(month).cast("string"), 2, "0"), F.lpad(d, 2, "0"))
+    text = F.concat_ws("-", full_year(year, today).cast("string"), F.lpad(month_number(month, named).cast("string"), 2, "0"), F.lpad(d, 2, "0"))
     return F.try_to_date(text, "yyyy-MM-dd")
 
 
@@ -97,8 +102,8 @@ def parse_rule(name: Column, rule: DateRule, today: datetime.date) -> Column:
         return F.regexp_extract_all(name, F.lit(rule.regex), F.lit(g)) if g else F.transform(whole, lambda _: F.lit(""))
 
     fields = F.arrays_zip(part("y").alias("y"), part("m").alias("m"), part("d").alias("d"))
-    dates = F.transform(fields, lambda f: make_date(f["y"], f["m"], f["d"], today))
-    return F.try_element_at(F.filter(dates, lambda d: d.isNotNull()), F.lit(1))
+    dates = F.transform(fields, lambda f: make_date(f["y"], f["m"], f["d"], today, rule.named))
+    return F.when(name.rlike(rule.regex), F.try_element_at(F.filter(dates, lambda d: d.isNotNull()), F.lit(1)))
 
 
 def rule_hits(names: DataFrame, today: datetime.date, rules: tuple[DateRule, ...] = RULES) -> DataFrame:

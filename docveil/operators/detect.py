@@ -38,12 +38,13 @@ POSTAL_PATTERN = _B + r"(?:1[0-9]{3}|[2-9][0-9]{3})[ \t]+[A-ZÆØÅ][a-zæøå]{
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern of an entity with its score; group names the part that counts."""
+    """A pattern of an entity with its score; group names the part that counts, mark is what every match holds."""
 
     entity: str
     pattern: str
     score: float
     group: int = 0
+    mark: str = ""
 
 
 # Formats and their scores.
@@ -62,7 +63,7 @@ RULES = (
     Rule(E.CASE_NO, _B + r"(?:BS|SKS|FS|A\.?S\.?|B\.?S\.?|V\.?L\.?|Ø\.?L\.?)[ \-]?\d{1,6}[/\-]\d{4}(?:-[A-ZÆØÅ]{2,5})?" + _E, 0.6),
     Rule(E.CASE_NO, r"(?i)(?:j\.?\s?nr\.?|journalnr\.?|journalnummer|sagsnr\.?|sagsnummer|akt\.?\s?nr\.?)\s*[:.]?\s*([\wÆØÅæøå/\-][\wÆØÅæøå./\-]{2,28}[\wÆØÅæøå/\-])", 0.55, 1),
     # Own patterns.
-    Rule(E.EMAIL, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", 0.9),
+    Rule(E.EMAIL, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", 0.9, mark="@"),
     Rule(E.IBAN, r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", 0.5),
     Rule(E.CARD, r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])", 0.3),
 )
@@ -102,7 +103,8 @@ def pattern_spans(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
     """Raw matches of all rules: one pass over the texts, no shuffle."""
     each = []
     for r in rules:
-        found = spans(F.col("text"), r.pattern) if r.group == 0 else group_spans(F.col("text"), r.pattern, r.group)
+        text = F.when(F.col("text").contains(r.mark), F.col("text")) if r.mark else F.col("text")
+        found = spans(text, r.pattern) if r.group == 0 else group_spans(text, r.pattern, r.group)
         each.append(_named(found, r))
     return pages.select("page_uid", "text", F.explode(F.concat(*each)).alias("s")).select("page_uid", "text", "s.*")
 

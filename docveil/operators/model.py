@@ -415,6 +415,30 @@ def plan_nudge(files: DataFrame, pages: DataFrame, uids: DataFrame, down: bool)
     return t.withColumn("p", made).where("p IS NOT NULL").select("model", "p.*")
 
 
+def split_selection(pages: DataFrame, uids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((model, iid) of files that are selected whole, (model, uid) of pages of files selected in part)."""
+    tagged = pages.join(uids.select("model", "uid").distinct().withColumn("__s", F.lit(True)), ["model", "uid"], "left")
+    whole = tagged.groupBy(*KEYS).agg(F.count_if("__s").alias("s"), F.count("*").alias("n")).where("s > 0")
+    part = tagged.where("__s").join(whole.where("s < n").select(*KEYS), list(KEYS), "left_semi").select("model", "uid")
+    return whole.where("s = n").select(*KEYS), part
+
+
+def move_across(files: DataFrame, pages: DataFrame, uids: DataFrame, down: bool, edge: bool = False) -> tuple[DataFrame, DataFrame]:
+    """A selection over several files: files selected whole move as files; the selected pages of each other file
+    become a file of their own right behind it (before it when moving up), which is their step; with edge they go all the way too."""
+    whole, part = split_selection(pages, uids)
+    owner = pages.join(part, ["model", "uid"], "left_semi").select("model", "uid", F.col("iid").alias("__from"))
+    new_iid = F.concat("__from", F.lit("/part"))
+    moved = pages.join(owner, ["model", "uid"], "left").withColumn("iid", F.when(F.col("__from").isNotNull(), new_iid).otherwise(F.col("iid")))
+    out = _rank(moved, ["pos"], KEYS).select(*pages.columns)
+    parts = owner.select("model", F.col("__from").alias("iid")).distinct()
+    rows = files.join(parts, list(KEYS), "left_semi").withColumn("origin_iid", F.coalesce("origin_iid", "iid")).withColumn("iid", F.concat("iid", F.lit("/part")))
+    both = files.withColumn("__new", F.lit(0)).unionByName(rows.withColumn("__new", F.lit(1 if down else -1)))
+    placed = _drop_empty(_rank(both, ["pos", "__new"]).select(*files.columns), out, F.lit(False))
+    units = whole.unionByName(rows.select(*KEYS)) if edge else whole
+    return (to_edge(placed, units, down) if edge else step_files(placed, units, down)), out
+
+
 def drop_position(pages: DataFrame, moved: DataFrame, iid: str, visual_index: int) -> DataFrame:
     """(model, position): a place between pages as seen, less the moved pages before it."""
     before = pages.where((F.col("iid") == iid) & (F.col("pos") < visual_index)).join(moved.select("model", "uid"), ["model", "uid"], "left_semi")

@@ -149,6 +149,17 @@ def overview(pseudonyms: DataFrame) -> DataFrame:
     return pseudonyms.select("label", cell.alias("original"), E.review_label(F.col("entity")).alias("type"), "n")
 
 
+OVERVIEW_WARNING = "Oversigt over pseudonymier. Du må ikke uploade disse til AI."
+
+
+def overview_text(rows: DataFrame, markdown: bool = True) -> DataFrame:
+    """One text of an overview's rows with the warning first; plain text has padded columns. An overview is read by people, so it is one text."""
+    line = F.format_string("| %s | %s | %s | %d |", "label", "original", "type", "n") if markdown else F.concat(F.rpad("label", 24, " "), F.rpad("original", 40, " "), F.rpad("type", 24, " "), F.col("n").cast("string"))
+    head = "| Pseudonym | Original | Type | Antal |\n|---|---|---|---|\n" if markdown else ""
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("label", line.alias("line")))), lambda x: x["line"]), "\n")
+    return rows.groupBy().agg(F.concat(F.lit(OVERVIEW_WARNING + "\n\n" + head), body, F.lit("\n")).alias("text"))
+
+
 # --- propagation of names ----------------------------------------------
 
 

@@ -81,6 +81,13 @@ def rects_for_spans(offsets: DataFrame, spans: DataFrame, pad: float = G.PAD) ->
     return listed.select("page_uid", "span_id", grown.alias("rects"))
 
 
+def words_in_selection(words: DataFrame, selections: DataFrame) -> DataFrame:
+    """(page_uid, selection_id, rects): boxes of the words that a selected rectangle r meets, in reading order."""
+    hit = words.join(selections, "page_uid").where(G.overlaps(F.struct("x0", "y0", "x1", "y1"), F.col("r")))
+    boxes = F.array_sort(F.collect_list(F.struct("seq", G.rect(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("r"))))
+    return hit.groupBy("page_uid", "selection_id").agg(F.transform(boxes, lambda b: b["r"]).alias("rects"))
+
+
 def clip_to_words(rects: DataFrame, words: DataFrame, eps: float = 0.05, band: float = 0.25) -> DataFrame:
     """(page_uid, rect_id, r): each rectangle freed of the foreign words it touches.
 

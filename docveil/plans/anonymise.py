@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docveil.operators.detect import RULES, Rule, detect
+from docveil.operators.detect import RULES, Rule, detect, search_occurrences
 from docveil.operators.lang import is_prose, looks_english, word_score
 from docveil.operators.resolve import assign_pseudonyms, findings, group_findings, propagate_names, redaction_items, render
 from docveil.operators.words import rects_for_spans, word_offsets, words_to_text
@@ -33,6 +33,13 @@ def redact(words: DataFrame, labels: DataFrame, existing: DataFrame, decisions:
     return redaction_items(placed, existing)
 
 
+def find_text(words: DataFrame, query: str) -> DataFrame:
+    """(page_uid, start, end, rects): where a query stands on the pages; pages without it give no row."""
+    hits = search_occurrences(words_to_text(words), query)
+    spans = hits.withColumn("span_id", F.concat_ws(":", "start", "end"))
+    return spans.join(rects_for_spans(word_offsets(words), spans), ["page_uid", "span_id"]).drop("span_id")
+
+
 def scan_counters(pages: DataFrame) -> DataFrame:
     """(n_pages, n_with_text, n_ocr, n_failed, n_english, n_prose) of pages (text, ocr, failed)."""
     s = word_score(F.col("text"))

@@ -183,3 +183,22 @@ def test_small_operators(spark, tables):
     assert sorted(r[0] for r in M.unique_outputs(name).select("name").collect()) == ["a.txt", "a_1.txt", "a_2.txt"]
     labels = spark.sql("SELECT * FROM VALUES ('A.pdf', 'a.pdf', 4, 0), ('A.pdf', 'b.pdf', 4, 1) AS t(path, src, i, pos)")
     assert [r[0] for r in labels.select(M.page_label(F.col("path"), F.col("src"), F.col("i"), F.col("pos"))).collect()] == ["5", "+2"]
+
+
+def test_move_across(tables):
+    models, files, pages, _, marked = tables
+    roots = files.withColumn("origin_iid", F.lit(None).cast("string"))
+    out_files, out_pages = M.move_across(roots, pages, marked, True, edge=True)
+    order, held = orders(out_files), contents(out_pages)
+    for m, (fs, _, u) in models.items():
+        want, rest = {}, {}
+        for f in fs:
+            own = [p for p in f["pages"] if p in u]
+            if len(own) == len(f["pages"]):
+                want[f["iid"]] = own
+            else:
+                rest[f["iid"]] = [p for p in f["pages"] if p not in u]
+                if own:
+                    want[f["iid"] + "/part"] = own
+        assert held[m] == {**want, **rest}
+        assert sorted(order[m]) == sorted({**want, **rest})

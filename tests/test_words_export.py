@@ -143,3 +143,13 @@ def test_stream_scans_each_page_once(spark, tmp_path):
     query = session.scan_stream(stream, lambda df: df.select("page_uid", F.length("text").alias("n")), str(tmp_path / "out"), str(tmp_path / "log"), str(tmp_path / "cp"))
     query.awaitTermination(120)
     assert sorted(r["page_uid"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3, 4]
+
+
+def test_find_text_and_selection(spark):
+    from docveil.plans.anonymise import find_text
+
+    df = spark.createDataFrame([("p", 0, 0.0, 0.0, 30.0, 10.0, "Anna", 0, 0), ("p", 1, 36.0, 0.0, 66.0, 10.0, "Ananas", 0, 0), ("q", 0, 0.0, 0.0, 9.0, 9.0, "x", 0, 0)], WORDS)
+    got = sorted((r["start"], [tuple(x) for x in r["rects"]]) for r in find_text(df, "ana").collect())
+    assert got == [(5, [(35.0, -1.0, 67.0, 11.0)]), (7, [(35.0, -1.0, 67.0, 11.0)])]
+    box = spark.createDataFrame([("p", "s", (20.0, 5.0, 40.0, 6.0))], "page_uid string, selection_id string, r struct<x0:double,y0:double,x1:double,y1:double>")
+    assert [len(r["rects"]) for r in words.words_in_selection(df, box).collect()] == [2]
