@@ -102,5 +102,31 @@ def _url_sql() -> str:
     return _URL_SQL.format(rules=", ".join(str(parse_rule(r)) for r in URL_RULES))
 
 
+#: Base values from words and lines, soft rules, the beta prior by moments, and verdicts.
+_QUALITY_SQL = r"""
+WITH w AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+t AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS k FROM w),
+win AS (SELECT doc_id, k, x, lead(x) OVER p AS y, lead(x, 2) OVER p AS z FROM t WINDOW p AS (PARTITION BY doc_id ORDER BY k)),
+twice AS (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, x, y, z) AS n FROM win WHERE z IS NOT NULL),
+again AS (SELECT DISTINCT doc_id, k + o AS k FROM (SELECT doc_id, k, unnest([0, 1, 2]) AS o FROM twice WHERE n > 1)),
+reps AS (SELECT doc_id, count(*) AS n_repeat_words FROM again GROUP BY doc_id),
+shouts AS (SELECT doc_id, count(*) FILTER (octet_length(encode(x)) > 1 AND regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]')) AS n_shout FROM t GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM w),
+dups AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines FROM lines WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+base AS (SELECT w.doc_id, source, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines,
+  coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_shout, 0) AS n_shout
+  FROM w LEFT JOIN reps USING (doc_id) LEFT JOIN dups USING (doc_id) LEFT JOIN shouts USING (doc_id)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  (5 * n_symbols > n_words)::INT + (2 * n_dup_lines > n_lines)::INT + (word_chars < 2 * n_words OR word_chars > 14 * n_words)::INT + (2 * n_shout > n_words)::INT + (5 * n_repeat_words > 2 * n_words)::INT AS n_soft FROM base),
+hosts AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR n_soft > 0) AS bad FROM judged GROUP BY source),
+moments AS (SELECT least(greatest(avg(bad / n), 0.001), 0.999) AS level, coalesce(var_samp(bad / n), 0) AS spread, avg(1 / n) AS noise FROM hosts),
+prior AS (SELECT level, least(greatest(level * (1 - level) / greatest(spread - level * (1 - level) * noise, level * (1 - level) / 1000) - 1, 2), 1000) AS size FROM moments),
+rates AS (SELECT source, (bad + level * size) / (n + size) AS rate FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_soft <= CASE WHEN rate < 0.05 THEN 1 ELSE 0 END AS kept, n_soft
+FROM judged JOIN rates ON judged.source IS NOT DISTINCT FROM rates.source
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": _url_sql()}
+    return {"op2_quality": _QUALITY_SQL, "op5_url_filter": _url_sql()}
