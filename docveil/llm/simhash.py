@@ -85,6 +85,11 @@ def _distance(lanes: int) -> Column:
     return total
 
 
+def print_id(lanes: int) -> Column:
+    """A fingerprint of one lane itself, or a hash of several, which keeps rows of variants short."""
+    return F.col("f0") if lanes == 1 else F.xxhash64(*(f"f{k}" for k in range(lanes)))
+
+
 def variants(prints: DataFrame, lanes: int, segments: int, width: int | None = None) -> DataFrame:
     """One row for each segment as it is and one for each of its one-wildcard variants.
 
@@ -99,14 +104,14 @@ def variants(prints: DataFrame, lanes: int, segments: int, width: int | None = N
         raise ValueError("each lane must hold equally many segments of at most 32 bits")
     held = ",".join(f"f{k}" for k in range(lanes))
     return (
-        prints.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(segments * (width + 1) - 1))))
+        prints.withColumn("fid", print_id(lanes)).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(segments * (width + 1) - 1))))
         .withColumn("seg", F.expr(f"k div {width + 1}").cast("int"))
         .withColumn("wild", F.expr(f"k % {width + 1}"))
         .withColumn("value", F.expr(f"shiftrightunsigned(element_at(array({held}), cast(seg div {per} as int) + 1), cast(seg % {per} * {width} as int)) & {(1 << width) - 1}L"))
         .withColumn("side", F.expr(f"if(wild = {width}, 0, cast(shiftright(value, wild) & 1 as int))"))
         .withColumn("key", F.expr(f"shiftleft(cast(k as long), {width}) | if(wild = {width}, value, value & ~shiftleft(1L, wild))"))
         .withColumn("exact", F.expr(f"wild = {width}"))
-        .select("key", "exact", "side", *(f"f{k}" for k in range(lanes)))
+        .select("key", "exact", "side", "fid")
     )
 
 
@@ -129,18 +134,26 @@ def _forest(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple
     return out
 
 
+def members_of(prints: DataFrame, lanes: int, segments: int, width: int | None = None) -> DataFrame:
+    """(key, exact, side, fid, n): variants that another fingerprint has too, from the other side of a wildcard."""
+    every = variants(prints, lanes, segments, width)
+    useful = every.groupBy("key", "exact").agg(F.count("*").alias("n"), F.sum("side").alias("ones")).where("n > 1 AND (exact OR (ones > 0 AND ones < n))").select("key", "n")
+    return materialize(every.join(useful, "key"), "members")
+
+
 def _jaccard(a: Column, b: Column) -> Column:
     shared = F.size(F.array_intersect(a, b))
     return shared / F.greatest(F.size(a) + F.size(b) - shared, F.lit(1))
 
 
-def links(prints: DataFrame, lanes: int = 1, segments: int = 2, max_bits: int = 3, width: int | None = None, sets: DataFrame | None = None, similarity: float = 0.8) -> DataFrame:
+def links(prints: DataFrame, lanes: int = 1, segments: int = 2, max_bits: int = 3, width: int | None = None, sets: Callable[[DataFrame], DataFrame] | None = None, similarity: float = 0.8) -> DataFrame:
     """Links (f*, g*) between different fingerprints.
 
     With max_bits below 2 * segments some segment differs by one bit at most, so each pair
-    within max_bits shares a key and the links connect all such pairs. With sets (f*,
-    shingles: distinct hashes), pairs within max_bits that share a key are
-    candidates, and those of at least the similarity (of Jaccard) are links.
+    within max_bits shares a key and the links connect all such pairs. With sets, a
+    function from fingerprints to (f*, shingles: distinct hashes), pairs within
+    max_bits that share a key are candidates, and those of at least the similarity
+    (of Jaccard) are links; sets are asked for only where there are candidates.
     Keys with few members give pairs that pass the test of all bits. A key with
     more than BLOCK members is cut into blocks; each pair of blocks is one small group that is compared as
     arrays and returns a spanning forest, so rows stay in proportion to members.
@@ -149,9 +162,11 @@ def links(prints: DataFrame, lanes: int = 1, segments: int = 2, max_bits: int =
         raise ValueError("that many bits need more segments, or sets to verify")
     f = [f"f{k}" for k in range(lanes)]
     g = [f"g{k}" for k in range(lanes)]
-    every = variants(prints.select(*f), lanes, segments, width)
-    useful = every.groupBy("key", "exact").agg(F.count("*").alias("n"), F.sum("side").alias("ones")).where("n > 1 AND (exact OR (ones > 0 AND ones < n))").select("key", "n")
-    members = materialize(every.join(useful, "key"), "members")
+    members = members_of(prints, lanes, segments, width)
+    if lanes == 1:
+        members = members.withColumnRenamed("fid", "f0")
+    else:
+        members = materialize(members.join(prints.select(*f, print_id(lanes).alias("fid")), "fid").drop("fid"), "lanes")
     few = members.where(F.col("n") <= BLOCK)
     other = few.select("key", F.col("side").alias("other"), *(F.col(a).alias(b) for a, b in zip(f, g, strict=True)))
     order = F.struct(*f) < F.struct(*(F.col(b).alias(a) for a, b in zip(f, g, strict=True)))
@@ -160,8 +175,10 @@ def links(prints: DataFrame, lanes: int = 1, segments: int = 2, max_bits: int =
         turned = F.struct(*g) < F.struct(*(F.col(a).alias(b) for a, b in zip(f, g, strict=True)))
         ends = [F.when(turned, F.col(y)).otherwise(F.col(x)).alias(n) for x, y, n in [*zip(f, g, f, strict=True), *zip(g, f, g, strict=True)]]
         pairs = materialize(pairs.select(*ends).distinct(), "candidates")
-        left = pairs.join(sets.withColumnRenamed("shingles", "s1"), f)
-        both = left.join(sets.withColumnsRenamed({"shingles": "s2", **dict(zip(f, g, strict=True))}), g)
+        needed = pairs.select(*f).union(pairs.select(*g)).union(members.where(F.col("n") > BLOCK).select(*f)).distinct()
+        held = materialize(sets(needed), "sets")
+        left = pairs.join(held.withColumnRenamed("shingles", "s1"), f)
+        both = left.join(held.withColumnsRenamed({"shingles": "s2", **dict(zip(f, g, strict=True))}), g)
         pairs = both.where(_jaccard(F.col("s1"), F.col("s2")) >= similarity).select(*f, *g)
     at_once = WIDE_BLOCK if sets is None else WIDE_BLOCK // 8
 
@@ -186,7 +203,7 @@ def links(prints: DataFrame, lanes: int = 1, segments: int = 2, max_bits: int =
 
     many = members.where(F.col("n") > BLOCK)
     if sets is not None:
-        many = many.join(sets, f)
+        many = many.join(held, f)
     many = (
         many.withColumn("blocks", F.ceil(F.col("n") / at_once).cast("int"))
         .withColumn("part", F.pmod(F.xxhash64(*f), F.col("blocks")).cast("int"))
@@ -225,30 +242,27 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, lanes: int = 1, seg
     return _grouped(base, lanes, carry, lambda prints: links(prints, lanes, segments, max_bits))
 
 
-def similar_documents(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, lanes: int = 4, segments: int = 8, width: int = 24, max_bits: int = 40, feature_words: int = 2, carry: list[str] | None = None) -> DataFrame:
+def similar_documents(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, lanes: int = 3, segments: int = 6, width: int = 24, max_bits: int = 30, feature_words: int = 2, carry: list[str] | None = None) -> DataFrame:
     """Like near_duplicates(), with links between texts whose sets of word shingles have the similarity.
 
     Candidates come from wide fingerprints of shorter shingles, which near
     copies share more of; those that share a variant of a segment and lie within
     max_bits are verified by the exact Jaccard similarity of their sets. Texts
-    of one fingerprint are linked as they are. Sets are made only of texts that
-    share a key with another.
+    of one fingerprint are linked as they are. Sets are made only of texts
+    that have a candidate.
     """
     named = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     base = materialize(simhash(named, feature_words, lanes, [*(carry or []), "__h"]), "prints")
     f = [f"f{k}" for k in range(lanes)]
 
-    def verified(prints: DataFrame) -> DataFrame:
-        every = variants(prints.select(*f), lanes, segments, width)
-        useful = every.groupBy("key").agg(F.count("*").alias("n"), F.sum("side").alias("ones"), F.first("exact").alias("exact")).where("n > 1 AND (exact OR (ones > 0 AND ones < n))").select("key")
-        near = every.join(useful, "key", "left_semi").select(*f).distinct()
-        one = materialize(near.join(base.groupBy(*f).agg(F.min_by(F.struct("doc_id", "__h"), F.struct("doc_id", "__h")).alias("d")), f).select(*f, "d.doc_id", "d.__h"), "near")
+    def sets(needed: DataFrame) -> DataFrame:
+        first = base.groupBy(*f).agg(F.min(F.struct("doc_id", "__h")).alias("d"))
+        one = materialize(needed.join(first, f).select(*f, "d.doc_id", "d.__h"), "near")
         texts = named.select(F.col("doc_id").alias("__id"), F.col("__h").alias("__own"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
         wanted = one.join(texts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__own"))).dropDuplicates(f)
-        sets = materialize(shingle_sets(wanted, shingle_words, f), "sets")
-        return links(prints, lanes, segments, max_bits, width, sets, similarity)
+        return shingle_sets(wanted, shingle_words, f)
 
-    return _grouped(base, lanes, carry, verified)
+    return _grouped(base, lanes, carry, lambda prints: links(prints, lanes, segments, max_bits, width, sets, similarity))
 
 
 def _grouped(base: DataFrame, lanes: int, carry: list[str] | None, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
