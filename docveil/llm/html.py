@@ -222,7 +222,9 @@ def extract_text(pages: DataFrame, sample: int = 300, seed: int = 3) -> DataFram
     html is empty; a page without content has an empty text.
     """
     rows = pages.select("page_id", F.col("html").cast("string").alias("html"))
-    first = rows.select("html", F.xxhash64(F.lit(seed), "page_id").alias("o")).orderBy("o").limit(sample).collect()
+    order = F.xxhash64(F.lit(seed), "page_id")
+    last = rows.select(order.alias("o")).orderBy("o").limit(sample).agg(F.max("o")).first()[0]
+    first = rows.where(order <= F.lit(last)).select("html").limit(sample).collect() if last is not None else []
     weights = train_weights([r[0] for r in first])
     return pages.select("page_id", "url", F.arrow_udf(_extractor(weights), "string")(F.col("html").cast("string")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 

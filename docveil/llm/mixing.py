@@ -95,7 +95,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     """
     made = ["size", "source_size", "target", "rate", "copies", "taken"]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in made and c != "source"]
-    sized = materialize(docs.select(*kept, F.col("source"), word_count(F.col("text")).alias("size"), (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.length("text")), F.lit(1 << 30)) / float(1 << 30)).alias("__u")), "sized")
+    sized = materialize(docs.select(*kept, F.col("source"), word_count(F.col("text")).alias("size"), (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.length("text")), F.lit(1 << 53)) / float(1 << 53)).alias("__u")), "sized")
     hist = materialize(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "sizes")
     sources = hist.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     state = balance(hist, source_targets(sources, weights, share, cap), cap)
