@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -62,6 +63,15 @@ def release_paths(spark: SparkSession, paths: list[str]) -> None:
             WRITTEN.remove(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of plans that nothing holds any more; it does so when the driver collects its garbage.
+
+    For operators of several large shuffles, of which each ends in a materialized table.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def values_table(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
     """A small driver-side list of numbers as a table; no Python worker is involved."""
     names = [c.split()[0] for c in columns.split(",")]
