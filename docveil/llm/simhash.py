@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from docveil.llm.components import connected_components
 from docveil.llm.words import lower_words, shingle_hashes, slices
-from docveil.shared import materialize, release
+from docveil.shared import free_shuffles, materialize, release
 
 #: Buckets of more members are compared in blocks of about so many.
 BLOCK = 64
@@ -163,6 +163,7 @@ def links(prints: DataFrame, lanes: int = 1, segments: int = 2, max_bits: int =
     f = [f"f{k}" for k in range(lanes)]
     g = [f"g{k}" for k in range(lanes)]
     members = members_of(prints, lanes, segments, width)
+    free_shuffles(prints.sparkSession)
     if lanes == 1:
         members = members.withColumnRenamed("fid", "f0")
     else:
@@ -177,6 +178,7 @@ def links(prints: DataFrame, lanes: int = 1, segments: int = 2, max_bits: int =
         pairs = materialize(pairs.select(*ends).distinct(), "candidates")
         needed = pairs.select(*f).union(pairs.select(*g)).union(members.where(F.col("n") > BLOCK).select(*f)).distinct()
         held = materialize(sets(needed), "sets")
+        free_shuffles(prints.sparkSession)
         left = pairs.join(held.withColumnRenamed("shingles", "s1"), f)
         both = left.join(held.withColumnsRenamed({"shingles": "s2", **dict(zip(f, g, strict=True))}), g)
         pairs = both.where(_jaccard(F.col("s1"), F.col("s2")) >= similarity).select(*f, *g)
