@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docveil.llm.components import connected_components
@@ -18,6 +19,13 @@ from docveil.shared import free_shuffles, materialize, release
 BLOCK = 64
 WIDE_BLOCK = 2048
 
+#: Shingles that a candidate pair shares among the rarest ones of both texts, at least.
+SHARED = 4
+#: Texts that are read to tell frequent shingles, and how many of those are kept; they set the order only.
+SAMPLED, FREQUENT = 1 << 14, 1 << 18
+#: Bytes that a turn moves for each shingle of the corpus, and in any case.
+TURN_BYTES, LEAST_TURN = 2, 1 << 26
+
 #: For each byte, eight one-byte counters in one number, one for each bit.
 _SPREAD = np.array([sum(1 << (8 * k) for k in range(8) if b >> k & 1) for b in range(256)], np.uint64)
 
@@ -90,17 +98,17 @@ def print_id(lanes: int) -> Column:
     return F.col("f0") if lanes == 1 else F.xxhash64(*(f"f{k}" for k in range(lanes)))
 
 
-def variants(prints: DataFrame, lanes: int, segments: int, width: int | None = None) -> DataFrame:
+def variants(prints: DataFrame, lanes: int, segments: int) -> DataFrame:
     """One row for each segment as it is and one for each of its one-wildcard variants.
 
     key names segment, wildcard and the other bits; side is the bit under the
     wildcard. Two segments that differ in one bit meet in just one key, from
     two sides; equal ones meet in the key without a wildcard. Each lane holds
-    equally many segments from its lowest bit on, by default up to its highest.
+    equally many segments.
     """
     per = segments // lanes
-    width = width or 64 // per
-    if segments % lanes or width > 32 or per * width > 64:
+    width = 64 // per
+    if segments % lanes or width > 32 or per * width != 64:
         raise ValueError("each lane must hold equally many segments of at most 32 bits")
     held = ",".join(f"f{k}" for k in range(lanes))
     return (
@@ -134,9 +142,9 @@ def _forest(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple
     return out
 
 
-def members_of(prints: DataFrame, lanes: int, segments: int, width: int | None = None) -> DataFrame:
+def members_of(prints: DataFrame, lanes: int, segments: int) -> DataFrame:
     """(key, exact, side, fid, n): variants that another fingerprint has too, from the other side of a wildcard."""
-    every = variants(prints, lanes, segments, width)
+    every = variants(prints, lanes, segments)
     useful = every.groupBy("key", "exact").agg(F.count("*").alias("n"), F.sum("side").alias("ones")).where("n > 1 AND (exact OR (ones > 0 AND ones < n))").select("key", "n")
     return materialize(every.join(useful, "key"), "members")
 
@@ -146,23 +154,19 @@ def _jaccard(a: Column, b: Column) -> Column:
     return shared / F.greatest(F.size(a) + F.size(b) - shared, F.lit(1))
 
 
-def links(prints: DataFrame, lanes: int = 1, segments: int = 2, max_bits: int = 3, width: int | None = None, sets: Callable[[DataFrame], DataFrame] | None = None, similarity: float = 0.8) -> DataFrame:
+def links(prints: DataFrame, lanes: int = 1, segments: int = 2, max_bits: int = 3) -> DataFrame:
     """Links (f*, g*) between different fingerprints.
 
-    With max_bits below 2 * segments some segment differs by one bit at most, so each pair
-    within max_bits shares a key and the links connect all such pairs. With sets, a
-    function from fingerprints to (f*, shingles: distinct hashes), pairs within
-    max_bits that share a key are candidates, and those of at least the similarity
-    (of Jaccard) are links; sets are asked for only where there are candidates.
-    Keys with few members give pairs that pass the test of all bits. A key with
+    As max_bits is below 2 * segments some segment differs by one bit at most, so each pair
+    within max_bits shares a key and the links connect all such pairs. Keys with few members give pairs that pass the test of all bits. A key with
     more than BLOCK members is cut into blocks; each pair of blocks is one small group that is compared as
     arrays and returns a spanning forest, so rows stay in proportion to members.
     """
-    if max_bits >= 2 * segments and sets is None:
-        raise ValueError("that many bits need more segments, or sets to verify")
+    if max_bits >= 2 * segments:
+        raise ValueError("that many bits need more segments")
     f = [f"f{k}" for k in range(lanes)]
     g = [f"g{k}" for k in range(lanes)]
-    members = members_of(prints, lanes, segments, width)
+    members = members_of(prints, lanes, segments)
     free_shuffles(prints.sparkSession)
     if lanes == 1:
         members = members.withColumnRenamed("fid", "f0")
@@ -172,17 +176,6 @@ def links(prints: DataFrame, lanes: int = 1, segments: int = 2, max_bits: int =
     other = few.select("key", F.col("side").alias("other"), *(F.col(a).alias(b) for a, b in zip(f, g, strict=True)))
     order = F.struct(*f) < F.struct(*(F.col(b).alias(a) for a, b in zip(f, g, strict=True)))
     pairs = few.join(other, "key").where(((F.col("exact") & order) | (~F.col("exact") & (F.col("side") < F.col("other")))) & (_distance(lanes) <= max_bits)).select(*f, *g)
-    if sets is not None:
-        turned = F.struct(*g) < F.struct(*(F.col(a).alias(b) for a, b in zip(f, g, strict=True)))
-        ends = [F.when(turned, F.col(y)).otherwise(F.col(x)).alias(n) for x, y, n in [*zip(f, g, f, strict=True), *zip(g, f, g, strict=True)]]
-        pairs = materialize(pairs.select(*ends).distinct(), "candidates")
-        needed = pairs.select(*f).union(pairs.select(*g)).union(members.where(F.col("n") > BLOCK).select(*f)).distinct()
-        held = materialize(sets(needed), "sets")
-        free_shuffles(prints.sparkSession)
-        left = pairs.join(held.withColumnRenamed("shingles", "s1"), f)
-        both = left.join(held.withColumnsRenamed({"shingles": "s2", **dict(zip(f, g, strict=True))}), g)
-        pairs = both.where(_jaccard(F.col("s1"), F.col("s2")) >= similarity).select(*f, *g)
-    at_once = WIDE_BLOCK if sets is None else WIDE_BLOCK // 8
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf[f].to_numpy(np.int64).view(np.uint64)
@@ -192,22 +185,13 @@ def links(prints: DataFrame, lanes: int = 1, segments: int = 2, max_bits: int =
         near = np.zeros((len(first), len(second)), np.int32)
         for k in range(lanes):
             near += np.bitwise_count(rows[first][:, None, k] ^ rows[second][None, :, k])
-        hit = near <= max_bits
-        if "shingles" in pdf:
-            held = [np.asarray(x) for x in pdf["shingles"]]
-            for i, j in zip(*(x.tolist() for x in np.nonzero(hit)), strict=True):
-                a, b = held[first[i]], held[second[j]]
-                shared = len(np.intersect1d(a, b, assume_unique=True)) if first[i] < second[j] or low != high else 0
-                hit[i, j] = shared >= similarity * max(1, len(a) + len(b) - shared)
-        found = _forest(hit, first, second)
+        found = _forest(near <= max_bits, first, second)
         a, b = (np.array([x[k] for x in found], np.int64) for k in (0, 1))
         return pd.DataFrame(np.hstack([rows[a], rows[b]]).view(np.int64), columns=[*f, *g])
 
-    many = members.where(F.col("n") > BLOCK)
-    if sets is not None:
-        many = many.join(held, f)
     many = (
-        many.withColumn("blocks", F.ceil(F.col("n") / at_once).cast("int"))
+        members.where(F.col("n") > BLOCK)
+        .withColumn("blocks", F.ceil(F.col("n") / WIDE_BLOCK).cast("int"))
         .withColumn("part", F.pmod(F.xxhash64(*f), F.col("blocks")).cast("int"))
         .withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("low", F.least("part", "x"))
@@ -244,27 +228,132 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, lanes: int = 1, seg
     return _grouped(base, lanes, carry, lambda prints: links(prints, lanes, segments, max_bits))
 
 
-def similar_documents(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, lanes: int = 3, segments: int = 6, width: int = 24, max_bits: int = 30, feature_words: int = 2, carry: list[str] | None = None) -> DataFrame:
-    """Like near_duplicates(), with links between texts whose sets of word shingles have the similarity.
+def frequent_shingles(docs: DataFrame, shingle_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and counts of shingles that several of about SAMPLED different texts hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                each = [np.unique(shingle_hashes(lower_words(t), shingle_words)) for t in part.column("text").to_pylist()]
+                keys, n = np.unique(np.concatenate(each) if each else np.empty(0, np.uint64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
 
-    Candidates come from wide fingerprints of shorter shingles, which near
-    copies share more of; those that share a variant of a segment and lie within
-    max_bits are verified by the exact Jaccard similarity of their sets. Texts
-    of one fingerprint are linked as they are. Sets are made only of texts
-    that have a candidate.
+    every = max(1, docs.count() // SAMPLED)
+    picked = docs.where(F.pmod(F.xxhash64("__h"), F.lit(every)) == 0).select("__h", F.col("text").cast("string").alias("text")).dropDuplicates(["__h"])
+    counts = picked.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
+    held = counts.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
+    keys, n = np.asarray(held.column("key")).astype(np.int64).view(np.uint64), np.asarray(held.column("n")).astype(np.int64)
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def prefix_length(size: int, similarity: float) -> int:
+    """So many of the first shingles, in an order all texts share, hold SHARED common ones of any pair of the similarity.
+
+    Such a pair has at least ceil(similarity * size) in common; all but SHARED - 1 of these and the
+    SHARED-th itself stand at or behind the SHARED-th. A pair with fewer in common has them all here.
+    """
+    return min(size, size - int(np.ceil(similarity * size - 1e-9)) + SHARED)
+
+
+def rare_prefixes(docs: DataFrame, shingle_words: int, similarity: float, carry: list[str]) -> DataFrame:
+    """(doc_id, carried columns, f0, size, prefix): hash and size of each text's set of shingles, and its rarest ones."""
+    sent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, shingle_words))
+    held = ["doc_id", *carry]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, times = sent.value
+        for batch in batches:
+            for part in slices(batch):
+                sets = [np.unique(shingle_hashes(lower_words(t) or [b""], shingle_words)) for t in part.column("text").to_pylist()]
+                sizes, prefixes = [len(x) for x in sets], []
+                for x in sets:
+                    at = np.minimum(np.searchsorted(known, x), max(0, len(known) - 1))
+                    often = np.where(known[at] == x, times[at], 0) if len(known) else np.zeros(len(x), np.int64)
+                    prefixes.append(x[np.lexsort((x, often))[: prefix_length(len(x), similarity)]].view(np.int64))
+                names = np.array([xxhash.xxh64_intdigest(x.tobytes(), 0) for x in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in held), pa.array(names), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], [*held, "f0", "size", "prefix"])
+
+    schema = ", ".join(["doc_id long", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry), "f0 long", "size int", "prefix array<long>"])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def similar_links(base: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """Links (f0, g0) that connect all pairs of sets of at least the similarity; none is lost.
+
+    base comes from rare_prefixes(); sets is a function from (f0) to (f0, shingles). Pairs that share
+    SHARED prefix shingles (all they must share, if that is less) are verified exactly. First
+    come neighbours by size at each shingle; later only pairs that those links do not connect already,
+    so that large groups of near copies stay cheap. What moves much runs in turns that bound the disk.
+    """
+    spark = base.sparkSession
+    room = max(LEAST_TURN, TURN_BYTES * int(base.agg(F.sum("size")).first()[0] or 0))
+    spread = base.select("f0", "size", F.explode("prefix").alias("key")).repartition("key").dropDuplicates(["key", "f0"])
+    members = materialize(spread.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n"), "members")
+    free_shuffles(spark)
+    small, large = F.least("size", "size2"), F.greatest("size", "size2")
+    alike = small >= large * similarity - 1e-9
+
+    def candidates(pairs: DataFrame) -> DataFrame:
+        counted = pairs.where(alike).groupBy("f0", "g0", "size", "size2").agg(F.count("*").alias("n"))
+        return counted.where(F.col("n") >= F.least(F.lit(SHARED), F.ceil(large * similarity - 1e-9))).drop("n")
+
+    def turns(rows: float) -> int:
+        return max(1, -(-int(rows) // room))
+
+    def turn(k: int, of: int) -> Column:
+        return F.pmod(F.xxhash64("f0", "g0"), F.lit(of)) == k
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        held = materialize(sets(pairs.select("f0").union(pairs.select("g0")).distinct()), "sets")
+        free_shuffles(spark)
+        of, out = turns(8 * (pairs.agg(F.sum(F.col("size").cast("long") + F.col("size2"))).first()[0] or 0)), None
+        for k in range(of):
+            left = pairs.where(turn(k, of)).select("f0", "g0").join(held.withColumnRenamed("shingles", "s1"), "f0")
+            both = left.join(held.withColumnsRenamed({"f0": "g0", "shingles": "s2"}), "g0")
+            good = materialize(both.where(_jaccard(F.col("s1"), F.col("s2")) >= similarity).select("f0", "g0"), "similar")
+            out = good if out is None else out.unionByName(good)
+            free_shuffles(spark)
+        release(held)
+        return out
+
+    by_size = Window.partitionBy("key").orderBy("size", "f0")
+    chain = members.withColumns({"g0": F.lag("f0").over(by_size), "size2": F.lag("size").over(by_size)}).where("g0 IS NOT NULL")
+    near = verified(materialize(candidates(chain), "neighbours"))
+    roots = materialize(connected_components(near.toDF("u", "v")), "near_roots")
+    joined = members.join(roots.withColumnRenamed("node", "f0"), "f0", "left").withColumn("root", F.coalesce("root", "f0"))
+    at_key = Window.partitionBy("key")
+    rest = materialize(joined.withColumns({"least": F.min("root").over(at_key), "most": F.max("root").over(at_key)}).where("least < most").drop("least", "most"), "unlinked")
+    release(members, roots)
+    free_shuffles(spark)
+    of, found = turns(12 * (rest.groupBy("key").count().agg(F.sum(F.expr("double(count) * (count - 1)"))).first()[0] or 0)), None
+    other = rest.select("key", F.col("f0").alias("g0"), F.col("size").alias("size2"), F.col("root").alias("root2"))
+    for k in range(of):
+        part = materialize(candidates(rest.join(other, "key").where((F.col("f0") < F.col("g0")) & (F.col("root") != F.col("root2")) & turn(k, of))), "candidates")
+        found = part if found is None else found.unionByName(part)
+        free_shuffles(spark)
+    return near.unionByName(verified(found))
+
+
+def similar_documents(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, carry: list[str] | None = None) -> DataFrame:
+    """Like near_duplicates(), with links between all texts whose sets of word shingles have the similarity (of Jaccard).
+
+    Candidates come from prefixes of rare shingles, by which no pair is lost, and are verified
+    exactly; texts of one set are linked as they are, and the fingerprint is the set's hash. Sets are
+    made only of texts that have a candidate.
     """
     named = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    base = materialize(simhash(named, feature_words, lanes, [*(carry or []), "__h"]), "prints")
-    f = [f"f{k}" for k in range(lanes)]
+    base = materialize(rare_prefixes(named, shingle_words, similarity, [*(carry or []), "__h"]), "prefixes")
+    free_shuffles(docs.sparkSession)
 
     def sets(needed: DataFrame) -> DataFrame:
-        first = base.groupBy(*f).agg(F.min(F.struct("doc_id", "__h")).alias("d"))
-        one = materialize(needed.join(first, f).select(*f, "d.doc_id", "d.__h"), "near")
+        first = base.groupBy("f0").agg(F.min(F.struct("doc_id", "__h")).alias("d"))
+        one = materialize(needed.join(first, "f0").select("f0", "d.doc_id", "d.__h"), "near")
         texts = named.select(F.col("doc_id").alias("__id"), F.col("__h").alias("__own"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-        wanted = one.join(texts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__own"))).dropDuplicates(f)
-        return shingle_sets(wanted, shingle_words, f)
+        wanted = one.join(texts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__own"))).dropDuplicates(["f0"])
+        return shingle_sets(wanted, shingle_words, ["f0"])
 
-    return _grouped(base, lanes, carry, lambda prints: links(prints, lanes, segments, max_bits, width, sets, similarity))
+    return _grouped(base, 1, carry, lambda _: similar_links(base, sets, similarity))
 
 
 def _grouped(base: DataFrame, lanes: int, carry: list[str] | None, link: Callable[[DataFrame], DataFrame]) -> DataFrame:

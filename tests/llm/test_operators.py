@@ -152,6 +152,27 @@ def test_similar_documents(spark):
         assert n > 40 and sum(wrong.values()) <= 3, wrong
 
 
+def test_similar_documents_whole(spark):
+    """Every pair of 0.8 or more is linked, whether text was appended or a block replaced, near the bound too."""
+    from docveil.llm import simhash
+
+    rnd = random.Random(17)
+    prose = lambda n: [f"w{rnd.randrange(4000)}" for _ in range(n)]
+    block, rows, want = prose(12), [], {}
+    for k in range(60):
+        text = prose(rnd.randint(60, 200)) + block
+        part = rnd.randint(1, len(text) // 6)
+        at = rnd.randrange(len(text) - part)
+        near = text + prose(part) if k % 2 else text[:at] + prose(part) + text[at + part :]
+        rows += [(k, " ".join(text)), (1000 + k, " ".join(near))]
+        a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (text, near))
+        want[1000 + k] = k if len(a & b) >= 0.8 * len(a | b) else 1000 + k
+    rows += [(2000, "a b c d e f g h"), (2001, "a b c d e f g h i"), (2002, "a b c d e f g x")]
+    want.update({2001: 2000, 2002: 2002})
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: got[k] for k in want} == want and sum(v < 1000 for v in want.values()) > 20
+
+
 def test_wide_fingerprints(docs):
     from docveil.llm.simhash import near_duplicates
 
