@@ -13,12 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docveil.llm.words import lower_words, slices
-from docveil.shared import materialize, release
+from docveil.shared import free_shuffles, materialize, release
 
-#: The filter's size is fixed, whatever the corpus, in segments that one task fills each.
+#: The filter grows with the corpus in segments that one task fills each, a power of two and at least so many.
 SEGMENTS, SEGMENT_BITS = 256, 1 << 20
-#: At least so many bits for each entry; else the rarest n-grams stay outside and are backed off.
+#: At least so many bits for each entry.
 BITS_PER_ENTRY = 8
+#: Segments that are sent to the workers at once, which takes a turn over the texts.
+GROUP = 1024
 #: Tokens whose exact counts each worker holds; others' are joined.
 HELD_COUNTS = 1 << 18
 #: Bigrams that a task gathers before it sums them up.
@@ -110,20 +112,27 @@ def positions(h: np.ndarray, level: int | np.ndarray, hashes: int) -> np.ndarray
 
 @dataclass
 class CountFilter:
-    """A Bloom filter of pairs (n-gram, j) for j from 1 to the level of the n-gram's count."""
+    """A Bloom filter of pairs (n-gram, j) for j from 1 to the level of the n-gram's count.
+
+    It holds some segments of several, by default all, from the first on; n-grams of others have level 0.
+    """
 
     bits: bytes
     hashes: int
+    segments: int
+    first: int = 0
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """Probe j = 1, 2, ... until a pair is missing."""
-        table, out, active, j = np.frombuffer(self.bits, np.uint8), np.zeros(len(h), np.int64), np.arange(len(h)), 1
+        table, out, j = np.frombuffer(self.bits, np.uint8), np.zeros(len(h), np.int64), 1
+        segment = (h >> np.uint64(65 - self.segments.bit_length())).astype(np.int64) - self.first
+        active = np.nonzero((segment >= 0) & (segment < len(self.bits) * 8 // SEGMENT_BITS))[0]
         while len(active):
             x = h[active]
-            segment = (x >> np.uint64(56)) * np.uint64(SEGMENT_BITS)
+            start = segment[active].astype(np.uint64) * np.uint64(SEGMENT_BITS)
             there = np.ones(len(x), bool)
             for p in positions(x, j, self.hashes):
-                at = segment + p
+                at = start + p
                 there &= (table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
             active = active[there]
             out[active] = j
@@ -138,26 +147,16 @@ def counts_of(levels: np.ndarray) -> np.ndarray:
     return np.where(levels < 2, levels, np.exp2(levels - 0.5)).astype(float)
 
 
-def build_filter(grams: DataFrame, bits_per_entry: int = BITS_PER_ENTRY) -> tuple[CountFilter, int]:
-    """The filter and the least count of a bigram in it.
+def filter_segments(grams: DataFrame, bits_per_entry: int = BITS_PER_ENTRY) -> tuple[DataFrame, int, int]:
+    """(segment, bits) of the filter of all grams, how many segments there are, and hashes of an entry.
 
-    Its size is SEGMENTS * SEGMENT_BITS bits. The least count, the same for
-    all bigrams, is the smallest that leaves each entry bits_per_entry bits; unigrams follow
-    only where they alone are too many. Each segment is filled by one task
+    There are enough to leave each entry bits_per_entry bits, so each is filled by one task
     from at most about SEGMENT_BITS / bits_per_entry entries.
     """
     level = level_of(F.col("n"))
-    rows = grams.groupBy("o", F.least("n", F.lit(1 << 20)).alias("c")).agg(F.sum(level.cast("long"))).collect()
-    rows = sorted((c, o, e) for o, c, e in rows)
-    room = SEGMENTS * SEGMENT_BITS // bits_per_entry
-    least = {1: 1, 2: 2}
-    left = sum(e for _, _, e in rows)
-    for order in (2, 1):
-        for c, o, e in rows:
-            if left > room and o == order:
-                left -= e
-                least[order] = c + 1
-    hashes = int(np.clip(round(np.log(2) * SEGMENTS * SEGMENT_BITS / max(1, left)), 1, 6))
+    entries = int(grams.agg(F.sum(level.cast("long"))).first()[0] or 0)
+    segments = max(SEGMENTS, 1 << (max(0, -(-entries * bits_per_entry // SEGMENT_BITS) - 1)).bit_length())
+    hashes = int(np.clip(round(np.log(2) * segments * SEGMENT_BITS / max(1, entries)), 1, 6))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         table, h, top = np.zeros(SEGMENT_BITS, np.uint8), pdf["h"].to_numpy().view(np.uint64), pdf["level"].to_numpy()
@@ -166,11 +165,22 @@ def build_filter(grams: DataFrame, bits_per_entry: int = BITS_PER_ENTRY) -> tupl
                 table[p] = 1
         return pd.DataFrame({"segment": [int(pdf["segment"].iloc[0])], "bits": [np.packbits(table, bitorder="little").tobytes()]})
 
-    chosen = grams.where(((F.col("o") == 1) & (F.col("n") >= least[1])) | ((F.col("o") == 2) & (F.col("n") >= least[2])))
-    made = chosen.select(F.shiftrightunsigned("h", 56).cast("int").alias("segment"), "h", level.alias("level")).groupBy("segment").applyInPandas(fill, "segment int, bits binary")
-    parts = {r[0]: bytes(r[1]) for r in made.collect()}
+    made = grams.select(F.shiftrightunsigned("h", 65 - segments.bit_length()).cast("int").alias("segment"), "h", level.alias("level")).groupBy("segment").applyInPandas(fill, "segment int, bits binary")
+    return made, segments, hashes
+
+
+def part_of(made: DataFrame, segments: int, hashes: int, first: int, size: int) -> CountFilter:
+    """The filter's segments from first on, at most so many."""
+    size = min(size, segments - first)
+    parts = {r[0]: bytes(r[1]) for r in made.where((F.col("segment") >= first) & (F.col("segment") < first + size)).collect()}
     empty = bytes(SEGMENT_BITS // 8)
-    return CountFilter(b"".join(parts.get(k, empty) for k in range(SEGMENTS)), hashes), least[2]
+    return CountFilter(b"".join(parts.get(k, empty) for k in range(first, first + size)), hashes, segments, first)
+
+
+def build_filter(grams: DataFrame, bits_per_entry: int = BITS_PER_ENTRY, least: int = 2) -> tuple[CountFilter, int]:
+    """The whole filter of unigrams and of bigrams from the least count on, and that count."""
+    made = filter_segments(grams.where((F.col("o") == 1) | (F.col("n") >= least)), bits_per_entry)
+    return part_of(*made, 0, made[1]), least
 
 
 def score(docs: DataFrame, train: Column, strength: float = 60.0, key: str = "doc_id") -> DataFrame:
@@ -180,12 +190,14 @@ def score(docs: DataFrame, train: Column, strength: float = 60.0, key: str = "do
     one added: those of the HELD_COUNTS most frequent tokens (a fixed number) are sent to
     the workers, the others are joined, so no token is frequent in the join.
     score is a bigram model smoothed towards the unigram one (Dirichlet, of
-    the given strength) from the filter's counts. A null text is an empty
+    the given strength) from the filter's counts. Where the filter has more than GROUP segments, as many
+    at a time are sent, and levels found so far are kept by row between these turns. A null text is an empty
     one, that is just its end; without any training row all counts are zero.
     """
     spark = docs.sparkSession
     flagged = docs.select(F.col(key), F.col("text").cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("__train"))
     grams = materialize(gather(flagged.where("__train")), "grams")
+    free_shuffles(spark)
     ones = grams.where("o = 1")
     n_train, n_types = (int(x or 0) for x in ones.agg(F.sum("n"), F.count("*")).first())
     n_texts = int(ones.where(F.col("h") == F.lit(int(np.uint64(xxhash.xxh64_intdigest(b"", 0)).view(np.int64)))).agg(F.sum("n")).first()[0] or 0)
@@ -193,12 +205,32 @@ def score(docs: DataFrame, train: Column, strength: float = 60.0, key: str = "do
     top = materialize(top, "top")
     held = top.toArrow()
     order = np.argsort(np.asarray(held.column("h")).view(np.uint64))
-    filter_, _ = build_filter(grams)
-    sent = spark.sparkContext.broadcast((np.asarray(held.column("h")).view(np.uint64)[order], np.asarray(held.column("n"))[order], filter_))
+    made, segments, hashes = filter_segments(grams)
+    made = materialize(made, "filter")
+    free_shuffles(spark)
+    exact_counts = spark.sparkContext.broadcast((np.asarray(held.column("h")).view(np.uint64)[order], np.asarray(held.column("n"))[order]))
     total, rest = float(n_train + n_types + 1), n_types > HELD_COUNTS
 
+    def levels(part: pa.RecordBatch, t: Tokens, counts: CountFilter) -> tuple[np.ndarray, np.ndarray]:
+        """Levels of each token and of its bigram, those of earlier turns included."""
+        pairs, where = np.unique(t.bigrams(), return_inverse=True)
+        own = counts.levels(t.unique)[t.ids], counts.levels(pairs)[where]
+        if "__one" not in part.schema.names:
+            return own
+        return tuple(np.maximum(x, np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8)) for x, c in zip(own, ("__one", "__two"), strict=True))
+
+    def turn(sent) -> object:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch):
+                    t = Tokens.of(part.column("text").to_pylist())
+                    cut = [[x[a:b].astype(np.uint8).tobytes() for a, b in zip(t.bounds[:-1], t.bounds[1:], strict=True)] for x in levels(part, t, sent.value)]
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (key, "text", "__train", "__row")), *(pa.array(x, pa.binary()) for x in cut)], [key, "text", "__train", "__row", "__one", "__two"])
+
+        return run
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, times, counts = sent.value
+        (known, times), counts = exact_counts.value, sent.value
         for batch in batches:
             for part in slices(batch):
                 t = Tokens.of(part.column("text").to_pylist())
@@ -209,14 +241,11 @@ def score(docs: DataFrame, train: Column, strength: float = 60.0, key: str = "do
                 sums = lambda x: np.add.reduceat(x, t.bounds[:-1]) if len(x) else np.empty(0)
                 base = sums(np.log10(exact + 1.0)[t.ids]) - np.diff(t.bounds) * np.log10(total)
                 n_known = sums((exact > 0).astype(np.int64)[t.ids])
-                near = counts_of(counts.levels(t.unique))
+                near, seen = (counts_of(x) for x in levels(part, t, counts))
                 p1 = (near + 1) / total
-                pairs, where = np.unique(t.bigrams(), return_inverse=True)
-                seen = counts_of(counts.levels(pairs))[where]
-                before = np.concatenate((t.ids[:1], t.ids[:-1]))
-                context = near[before]
+                context = np.concatenate((near[:1], near[:-1]))
                 context[t.bounds[:-1]] = n_texts
-                p = (np.minimum(seen, context) + strength * p1[t.ids]) / (context + strength)
+                p = (np.minimum(seen, context) + strength * p1) / (context + strength)
                 rare_h, rare_n = [], []
                 for a, b in zip(t.bounds[:-1], t.bounds[1:], strict=True):
                     ids, tf = np.unique(t.ids[a:b], return_counts=True) if rest else (np.empty(0, np.int64), np.empty(0, np.int64))
@@ -229,7 +258,18 @@ def score(docs: DataFrame, train: Column, strength: float = 60.0, key: str = "do
                 )
 
     kind = docs.schema[key].dataType.simpleString()
-    scored = flagged.withColumn("__row", F.monotonically_increasing_id()).mapInArrow(run, f"{key} {kind}, __train boolean, __row long, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<long>")
+    state, done = flagged.withColumn("__row", F.monotonically_increasing_id()), None
+    starts = range(0, segments, GROUP)
+    for first in starts[:-1]:
+        sent = spark.sparkContext.broadcast(part_of(made, segments, hashes, first, GROUP))
+        state = materialize(state.mapInArrow(turn(sent), f"{key} {kind}, text string, __train boolean, __row long, __one binary, __two binary"), "levels")
+        sent.destroy()
+        if done is not None:
+            release(done)
+        done = state
+    sent = spark.sparkContext.broadcast(part_of(made, segments, hashes, starts[-1], GROUP))
+    release(made)
+    scored = state.mapInArrow(run, f"{key} {kind}, __train boolean, __row long, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<long>")
     columns = [F.col(key), (~F.col("__train")).alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score"]
     if not rest:
         release(grams, top)

@@ -387,6 +387,15 @@ def test_count_filter(spark):
     assert (table.levels(rnd.integers(-(2**63), 2**63 - 1, 5000).view(np.uint64)) > 0).mean() < 0.001
 
 
+def test_count_filter_grows(spark):
+    """Nothing is left out where the entries need more than the least number of segments."""
+    from docveil.llm.lm import build_filter
+
+    h = np.random.default_rng(2).integers(-(2**63), 2**63 - 1, 400)
+    table, _ = build_filter(spark.createDataFrame([(int(x), 2, 1) for x in h], "h long, o byte, n long"), 1 << 20, 1)
+    assert len(table.bits) * 8 == 512 << 20 and (table.levels(h.view(np.uint64)) == 1).all()
+
+
 def test_lm_empty(docs):
     from docveil.llm.lm import score
 
