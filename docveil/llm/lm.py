@@ -72,7 +72,7 @@ def _summed(order: int, hashes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
 
 
 def gather(docs: DataFrame) -> DataFrame:
-    """(o, h, n): counts of all unigrams (o 1), and of all bigrams (o 2) that occur twice or more.
+    """(o, h, n): counts of all unigrams (o 1) and all bigrams (o 2).
 
     Tasks sum up what they gather before anything is sent. A 64-bit hash stands for an n-gram.
     """
@@ -91,7 +91,7 @@ def gather(docs: DataFrame) -> DataFrame:
         if held:
             yield _summed(2, *np.unique(np.concatenate(held), return_counts=True))
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "o byte, h long, n long").groupBy("h", "o").agg(F.sum("n").alias("n")).where("o = 1 OR n > 1")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "o byte, h long, n long").groupBy("h", "o").agg(F.sum("n").alias("n"))
 
 
 def level_of(n: Column) -> Column:

@@ -387,6 +387,28 @@ def test_count_filter(spark):
     assert (table.levels(rnd.integers(-(2**63), 2**63 - 1, 5000).view(np.uint64)) > 0).mean() < 0.001
 
 
+@pytest.mark.parametrize("group", [1024, 96])
+def test_lm_whole(spark, monkeypatch, group):
+    """Scores from the levels of all n-grams, those that occur once too, in one turn and in several."""
+    from docveil.llm import lm
+
+    monkeypatch.setattr(lm, "GROUP", group)
+    rnd = random.Random(5)
+    texts = [" ".join(f"w{rnd.randrange(60)}" for _ in range(rnd.randint(0, 30))) for _ in range(40)]
+    got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.col("doc_id") < 30).collect()}
+    tokens = [t.split() + [""] for t in texts]
+    one, two = Counter(w for t in tokens[:30] for w in t), Counter(p for t in tokens[:30] for p in zip([None, *t], t))
+    level = lambda n: float(n) if n < 2 else 2 ** (math.floor(math.log2(n)) + 0.5)
+    total = sum(one.values()) + len(one) + 1
+    assert sum(n == 1 for n in two.values()) > 100
+    for k, t in enumerate(tokens):
+        want = 0
+        for a, b in zip([None, *t], t):
+            context = 30 if a is None else level(one[a])
+            want += math.log10((min(level(two[a, b]), context) + 60 * (level(one[b]) + 1) / total) / (context + 60))
+        assert abs(got[k] - want) < 1e-6 * max(1, abs(want))
+
+
 def test_count_filter_grows(spark):
     """Nothing is left out where the entries need more than the least number of segments."""
     from docveil.llm.lm import build_filter
