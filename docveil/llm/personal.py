@@ -64,7 +64,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 #: Candidates of the method: kind and pattern; each is tried only where its mark occurs.
-_SECRET = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,200}(?![A-Za-z0-9_-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+(?![A-Za-z0-9_-])")
 _NUMBER = re.compile(r"(?<![\w.+-])\(?[0-9]{2,5}(?:\)?[\x20.-]?\(?[0-9]{2,5}){1,4}(?![\w-])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _HIDDEN = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\(dot\)|\[dot\]|\.)\x20?[A-Za-z0-9-]{2,63})+")

@@ -485,3 +485,11 @@ def test_decontamination(spark, docs, rows):
         D.ITEMS_AT_ONCE = held
     assert D.find_leaks(table, bench.limit(0)).where("contaminated").count() == 0
     assert D.find_leaks(table.limit(0), bench).count() == 0
+
+
+def test_long_secrets_are_candidates():
+    from docveil.llm.personal import candidates
+
+    for n in (20, 200, 201, 342, 5000):
+        text = "token = " + ("aB3_" * n)[:n] + " end"
+        assert [x[:3] for x in candidates(text, [])] == [(8, 7, 8 + n)]
