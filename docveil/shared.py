@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-#: Paths that materialize() has written and release() has not deleted.
-WRITTEN: list[str] = []
+#: Paths that materialize() has written and nothing has deleted, with their sessions.
+_THERE: dict[str, SparkSession] = {}
+#: The lists of tables() blocks that are open, the innermost last.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("docveil_tables", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +38,36 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{folder}"
 
 
+@contextlib.contextmanager
+def tables() -> Iterator[list[str]]:
+    """The paths of the tables that materialize() writes inside, for delete_tables() when nothing reads them any more.
+
+    Operators return frames that are still to be computed from such tables, so only
+    the caller knows when they can go. What nobody deletes goes when Python ends.
+    """
+    held: list[str] = []
+    token = _OPEN.set((*_OPEN.get(), held))
+    try:
+        yield held
+    finally:
+        _OPEN.reset(token)
+
+
+@contextlib.contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Deletes the shuffle files of what runs inside as soon as it has ended: a written table needs none of them.
+
+    Where other jobs of the application run at the same time they are left to Spark's own cleaner.
+    """
+    status, context = spark.sparkContext.statusTracker(), spark._jsc.sc()
+    alone, first = not status.getActiveJobsIds(), context.newShuffleId()
+    yield
+    last, cleaner = context.newShuffleId(), context.cleaner()
+    if alone and cleaner.isDefined() and not status.getActiveJobsIds():
+        for k in range(first + 1, last):
+            cleaner.get().doCleanupShuffle(k, False)
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df as Parquet into the shared folder and read it again.
 
@@ -41,8 +76,11 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docveil/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    WRITTEN.append(path)
+    with _shuffles_deleted(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    _THERE[path] = spark
+    for held in _OPEN.get():
+        held.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._docveil_path = path
     return out
@@ -52,24 +90,23 @@ def release(*frames: DataFrame) -> None:
     """Delete what materialize() wrote for frames that nothing reads any more."""
     for df in frames:
         if path := getattr(df, "_docveil_path", None):
-            release_paths(df.sparkSession, [path])
+            delete_tables(df.sparkSession, [path])
 
 
-def release_paths(spark: SparkSession, paths: list[str]) -> None:
+def delete_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete those of the paths that are still there."""
     for path in paths:
-        there = spark._jvm.org.apache.hadoop.fs.Path(path)
-        there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(there, True)
-        if path in WRITTEN:
-            WRITTEN.remove(path)
+        if _THERE.pop(path, None) is not None:
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(there, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of plans that nothing holds any more; it does so when the driver collects its garbage.
-
-    For operators of several large shuffles, of which each ends in a materialized table.
-    """
-    gc.collect()
-    spark._jvm.System.gc()
+@atexit.register
+def _delete_rest() -> None:
+    for path, spark in list(_THERE.items()):
+        if SparkContext._active_spark_context is spark.sparkContext:
+            with contextlib.suppress(Exception):  # the session may be ending
+                delete_tables(spark, [path])
 
 
 def values_table(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
