@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from docveil.shared import materialize, release
@@ -11,16 +11,16 @@ from docveil.shared import materialize, release
 def _large_star(edges: DataFrame) -> DataFrame:
     """Join each node's larger neighbours to the least of it and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), least
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Join each node and its smaller neighbours to the least of them; edges go from large to small."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "least")
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
     moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), least
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -29,20 +29,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternating large and small stars end in a forest of stars after about
     log(n) rounds. Minima are partial aggregates, joins are on a node with
     exchanges on both sides, so that a node with very many links is split
-    by adaptive execution; each round is cut off by a table in the shared folder.
+    by adaptive execution. Each half of a round is one job that writes a table
+    to the shared folder; a count and a hash, taken as it is written, tell whether anything changed.
     """
     now = materialize(edges.select("u", "v").where("u <> v").distinct(), "edges")
     mark = None
     while True:
-        large, t1 = _large_star(now)
-        half = materialize(large, "star")
-        small, t2 = _small_star(half)
-        after = materialize(small, "star")
-        release(now, half, t1, t2)
-        now = after
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(seen) == mark:
+        half = materialize(_large_star(now), "star")
+        release(now)
+        seen = Observation()
+        now = materialize(_small_star(half).observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "star")
+        release(half)
+        if seen.get == mark:
             break
-        mark = tuple(seen)
+        mark = seen.get
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

@@ -13,16 +13,17 @@ from pyspark.sql import functions as F
 
 from docveil.llm.components import connected_components
 from docveil.llm.words import lower_words, shingle_hashes, slices
-from docveil.shared import free_shuffles, materialize, release
+from docveil.shared import materialize, release
 
-#: Buckets of more members are compared in blocks of about so many.
-BLOCK = 64
-WIDE_BLOCK = 2048
+#: Keys of more members than the first are compared as arrays, of more than the second by finer keys.
+BLOCK, WIDE_BLOCK = 64, 2048
 
 #: Shingles that a candidate pair shares among the rarest ones of both texts, at least.
 SHARED = 4
-#: Texts that are read to tell frequent shingles, and how many of those are kept; they set the order only.
+#: Of so many texts (and of each 4096th of larger corpora) frequent shingles are told, of which so many are kept; they set the order only.
 SAMPLED, FREQUENT = 1 << 14, 1 << 18
+#: So many names of candidates are sent to the workers at most; more are joined by an exchange of texts.
+SENT_NAMES = 1 << 20
 #: Bytes that a turn moves for each shingle of the corpus, and in any case.
 TURN_BYTES, LEAST_TURN = 2, 1 << 26
 
@@ -44,27 +45,14 @@ def bit_counts(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(hashes: np.ndarray, bounds: np.ndarray, lanes: int) -> np.ndarray:
-    """One row of 64-bit lanes for each text; a bit is set if over half the hashes have it."""
-    sizes = np.diff(bounds)
-    out = np.zeros((len(sizes), lanes), np.uint64)
+def fingerprints(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """One for each text; a bit is set if over half the hashes have it."""
     weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    for lane in range(lanes):
-        over = 2 * bit_counts(hashes if lane == 0 else _remix(hashes, lane), bounds) > sizes[:, None]
-        out[:, lane] = (over * weights).sum(1, dtype=np.uint64)
-    return out
-
+    return ((2 * bit_counts(hashes, bounds) > np.diff(bounds)[:, None]) * weights).sum(1, dtype=np.uint64)
 
-def _remix(hashes: np.ndarray, lane: int) -> np.ndarray:
-    """Further independent bits of the same shingles (the finaliser of SplitMix64)."""
-    x = hashes + np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
-
-def simhash(docs: DataFrame, shingle_words: int = 3, lanes: int = 1, carry: list[str] | None = None) -> DataFrame:
-    """(doc_id, carried columns, f0, f1, ...): fingerprints of whole texts, 64 bits a lane.
+def simhash(docs: DataFrame, shingle_words: int = 3, carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, carried columns, f0): fingerprints of whole texts.
 
     A text of fewer words is one shingle; one without words, or a null, has fingerprint zero.
     """
@@ -75,133 +63,117 @@ def simhash(docs: DataFrame, shingle_words: int = 3, lanes: int = 1, carry: list
             for part in slices(batch):
                 each = [shingle_hashes(lower_words(t), shingle_words) for t in part.column("text").to_pylist()]
                 bounds = np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int64)
-                prints = fingerprints(np.concatenate(each) if each else np.empty(0, np.uint64), bounds, lanes).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in held), *(pa.array(np.ascontiguousarray(prints[:, k])) for k in range(lanes))], [*held, *(f"f{k}" for k in range(lanes))])
+                prints = fingerprints(np.concatenate(each) if each else np.empty(0, np.uint64), bounds).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in held), pa.array(prints)], [*held, "f0"])
 
-    schema = ", ".join(["doc_id long", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in held[1:]), *(f"f{k} long" for k in range(lanes))])
+    schema = ", ".join(["doc_id long", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in held[1:]), "f0 long"])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *held[1:], F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def hex_print(lanes: int) -> Column:
-    return F.concat(*(F.lower(F.lpad(F.hex(f"f{k}"), 16, "0")) for k in range(lanes)))
-
-
-def _distance(lanes: int) -> Column:
-    total = F.lit(0)
-    for k in range(lanes):
-        total = total + F.bit_count(F.col(f"f{k}").bitwiseXOR(F.col(f"g{k}")))
-    return total
-
-
-def print_id(lanes: int) -> Column:
-    """A fingerprint of one lane itself, or a hash of several, which keeps rows of variants short."""
-    return F.col("f0") if lanes == 1 else F.xxhash64(*(f"f{k}" for k in range(lanes)))
-
-
-def variants(prints: DataFrame, lanes: int, segments: int) -> DataFrame:
-    """One row for each segment as it is and one for each of its one-wildcard variants.
+def variants(rows: DataFrame, bits: Column, size: int, segments: int, held: list[str]) -> DataFrame:
+    """(held, key, exact, side): a row for each segment of the low size bits as it is and one for each of its one-wildcard variants.
 
     key names segment, wildcard and the other bits; side is the bit under the
     wildcard. Two segments that differ in one bit meet in just one key, from
-    two sides; equal ones meet in the key without a wildcard. Each lane holds
-    equally many segments.
+    two sides; equal ones meet in the key without a wildcard.
     """
-    per = segments // lanes
-    width = 64 // per
-    if segments % lanes or width > 32 or per * width != 64:
-        raise ValueError("each lane must hold equally many segments of at most 32 bits")
-    held = ",".join(f"f{k}" for k in range(lanes))
+    width = size // segments
+    if width * segments != size or width > 32:
+        raise ValueError("segments must be equal, of at most 32 bits")
     return (
-        prints.withColumn("fid", print_id(lanes)).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(segments * (width + 1) - 1))))
-        .withColumn("seg", F.expr(f"k div {width + 1}").cast("int"))
-        .withColumn("wild", F.expr(f"k % {width + 1}"))
-        .withColumn("value", F.expr(f"shiftrightunsigned(element_at(array({held}), cast(seg div {per} as int) + 1), cast(seg % {per} * {width} as int)) & {(1 << width) - 1}L"))
-        .withColumn("side", F.expr(f"if(wild = {width}, 0, cast(shiftright(value, wild) & 1 as int))"))
-        .withColumn("key", F.expr(f"shiftleft(cast(k as long), {width}) | if(wild = {width}, value, value & ~shiftleft(1L, wild))"))
-        .withColumn("exact", F.expr(f"wild = {width}"))
-        .select("key", "exact", "side", "fid")
+        rows.withColumn("__bits", bits)
+        .withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(segments * (width + 1) - 1))))
+        .withColumn("__wild", F.expr(f"cast(__k % {width + 1} as int)"))
+        .withColumn("__value", F.expr(f"shiftrightunsigned(__bits, cast(__k div {width + 1} as int) * {width}) & {(1 << width) - 1}L"))
+        .withColumn("exact", F.expr(f"__wild = {width}"))
+        .withColumn("side", F.expr("if(exact, 0, cast(shiftright(__value, __wild) & 1 as int))"))
+        .withColumn("key", F.expr(f"shiftleft(cast(__k as long), {width}) | if(exact, __value, __value & ~shiftleft(1L, __wild))"))
+        .select(*held, "key", "exact", "side")
     )
 
 
-def _forest(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Of the links in a block, those that join its parts: fewer than it has members."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
-        a, b = root(left[i]), root(right[j])
-        if a != b:
-            parent[b] = a
-            out.append((left[i], right[j]))
+def members_of(every: DataFrame, by: list[str]) -> DataFrame:
+    """Variants that another fingerprint has too, from the other side of a wildcard, with how many (n) share the key."""
+    useful = every.groupBy(*by, "exact").agg(F.count("*").alias("n"), F.sum("side").alias("ones")).where("n > 1 AND (exact OR (ones > 0 AND ones < n))")
+    return materialize(every.join(useful.select(*by, "n"), by), "members")
+
+
+def forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Of the links (row, column) of a block, those that join its parts: fewer than it has rows and columns."""
+    out, rows, columns = [], np.ones(near.shape[0], bool), np.ones(near.shape[1], bool)
+    for start in range(len(rows)):
+        if not rows[start]:
+            continue
+        rows[start], todo = False, [start]
+        while todo:
+            i = todo.pop()
+            for j in np.nonzero(near[i] & columns)[0].tolist():
+                columns[j] = False
+                out.append((i, j))
+                for k in np.nonzero(near[:, j] & rows)[0].tolist():
+                    rows[k] = False
+                    out.append((k, j))
+                    todo.append(k)
     return out
 
 
-def members_of(prints: DataFrame, lanes: int, segments: int) -> DataFrame:
-    """(key, exact, side, fid, n): variants that another fingerprint has too, from the other side of a wildcard."""
-    every = variants(prints, lanes, segments)
-    useful = every.groupBy("key", "exact").agg(F.count("*").alias("n"), F.sum("side").alias("ones")).where("n > 1 AND (exact OR (ones > 0 AND ones < n))").select("key", "n")
-    return materialize(every.join(useful, "key"), "members")
-
-
-def _jaccard(a: Column, b: Column) -> Column:
-    shared = F.size(F.array_intersect(a, b))
-    return shared / F.greatest(F.size(a) + F.size(b) - shared, F.lit(1))
-
-
-def links(prints: DataFrame, lanes: int = 1, segments: int = 2, max_bits: int = 3) -> DataFrame:
-    """Links (f*, g*) between different fingerprints.
+def compared(members: DataFrame, by: list[str], max_bits: int) -> DataFrame:
+    """(f0, g0): links that connect all members of a key that differ in at most max_bits.
 
-    As max_bits is below 2 * segments some segment differs by one bit at most, so each pair
-    within max_bits shares a key and the links connect all such pairs. Keys with few members give pairs that pass the test of all bits. A key with
-    more than BLOCK members is cut into blocks; each pair of blocks is one small group that is compared as
-    arrays and returns a spanning forest, so rows stay in proportion to members.
+    Keys with few members give pairs that pass the test of all bits. A key of more is cut into
+    blocks; each pair of blocks is one group that is compared as arrays and returns a spanning forest.
     """
-    if max_bits >= 2 * segments:
-        raise ValueError("that many bits need more segments")
-    f = [f"f{k}" for k in range(lanes)]
-    g = [f"g{k}" for k in range(lanes)]
-    members = members_of(prints, lanes, segments)
-    free_shuffles(prints.sparkSession)
-    if lanes == 1:
-        members = members.withColumnRenamed("fid", "f0")
-    else:
-        members = materialize(members.join(prints.select(*f, print_id(lanes).alias("fid")), "fid").drop("fid"), "lanes")
     few = members.where(F.col("n") <= BLOCK)
-    other = few.select("key", F.col("side").alias("other"), *(F.col(a).alias(b) for a, b in zip(f, g, strict=True)))
-    order = F.struct(*f) < F.struct(*(F.col(b).alias(a) for a, b in zip(f, g, strict=True)))
-    pairs = few.join(other, "key").where(((F.col("exact") & order) | (~F.col("exact") & (F.col("side") < F.col("other")))) & (_distance(lanes) <= max_bits)).select(*f, *g)
+    other = few.select(*by, F.col("side").alias("other"), F.col("f0").alias("g0"))
+    distance = F.bit_count(F.col("f0").bitwiseXOR(F.col("g0")))
+    pairs = few.join(other, by).where(((F.col("exact") & (F.col("f0") < F.col("g0"))) | (~F.col("exact") & (F.col("side") < F.col("other")))) & (distance <= max_bits)).select("f0", "g0")
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf[f].to_numpy(np.int64).view(np.uint64)
-        at = pdf["part"].to_numpy()
-        low, high = pdf["low"].iloc[0], pdf["high"].iloc[0]
-        first, second = np.nonzero(at == low)[0], np.nonzero(at == high)[0]
-        near = np.zeros((len(first), len(second)), np.int32)
-        for k in range(lanes):
-            near += np.bitwise_count(rows[first][:, None, k] ^ rows[second][None, :, k])
-        found = _forest(near <= max_bits, first, second)
+        prints, part = pdf["f0"].to_numpy(np.int64).view(np.uint64), pdf["part"].to_numpy()
+        low, high = (prints[part == pdf[c].iloc[0]] for c in ("low", "high"))
+        found = forest(np.bitwise_count(low[:, None] ^ high[None, :]) <= max_bits)
         a, b = (np.array([x[k] for x in found], np.int64) for k in (0, 1))
-        return pd.DataFrame(np.hstack([rows[a], rows[b]]).view(np.int64), columns=[*f, *g])
+        return pd.DataFrame({"f0": low[a].view(np.int64), "g0": high[b].view(np.int64)})
 
     many = (
         members.where(F.col("n") > BLOCK)
         .withColumn("blocks", F.ceil(F.col("n") / WIDE_BLOCK).cast("int"))
-        .withColumn("part", F.pmod(F.xxhash64(*f), F.col("blocks")).cast("int"))
+        .withColumn("part", F.pmod(F.xxhash64("f0"), F.col("blocks")).cast("int"))
         .withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("low", F.least("part", "x"))
         .withColumn("high", F.greatest("part", "x"))
-        .groupBy("key", "low", "high")
-        .applyInPandas(block, ", ".join(f"{c} long" for c in [*f, *g]))
+        .groupBy(*by, "low", "high")
+        .applyInPandas(block, "f0 long, g0 long")
     )
     return pairs.unionByName(many)
 
 
+def links(prints: DataFrame, max_bits: int = 3) -> DataFrame:
+    """Links (f0, g0) that connect all pairs of different fingerprints within max_bits.
+
+    Of two halves one differs in one bit at most, so each such pair shares a key of 32 bits or
+    31 and a wildcard. A key of more than WIDE_BLOCK members is not compared as it is: its members
+    get the same kind of keys from the halves of their other 32 bits, of which again one differs in one
+    bit at most. What shares such a key is alike in all but some 18 bits, so a group has at most
+    2 ** 18 members and 128 blocks whatever the corpus, and rows stay in proportion to members.
+    """
+    if max_bits >= 4:
+        raise ValueError("more bits need more segments")
+    members = members_of(variants(prints, F.col("f0"), 64, 2, ["f0"]), ["key"])
+    out = compared(members.where(F.col("n") <= WIDE_BLOCK), ["key"], max_bits)
+    large = members.where(F.col("n") > WIDE_BLOCK)
+    if large.limit(1).count():
+        rest = F.expr("if(shiftright(outer, 32) >= 33, f0 & 4294967295L, shiftrightunsigned(f0, 32))")
+        finer = members_of(variants(large.select(F.col("key").alias("outer"), "f0"), rest, 32, 2, ["outer", "f0"]), ["outer", "key"])
+        out = out.unionByName(compared(finer, ["outer", "key"], max_bits))
+    return out
+
+
+def _jaccard(a: Column, b: Column) -> Column:
+    shared = F.size(F.array_intersect(a, b))
+    return shared / F.greatest(F.size(a) + F.size(b) - shared, F.lit(1))
+
+
 def shingle_sets(docs: DataFrame, shingle_words: int, keep: list[str]) -> DataFrame:
     """(keep, shingles): distinct hashes of each text's word shingles; a text without words has the empty shingle."""
 
@@ -215,8 +187,8 @@ def shingle_sets(docs: DataFrame, shingle_words: int, keep: list[str]) -> DataFr
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 3, lanes: int = 1, segments: int = 2, max_bits: int = 3, carry: list[str] | None = None) -> DataFrame:
-    """(doc_id, carried columns, fingerprint, component_id, f*): each row's group of near copies.
+def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = 3, carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, carried columns, fingerprint, component_id, f0): each row's group of near copies.
 
     component_id is the smallest doc_id that links reach; rows with equal
     fingerprints are linked. Every input row comes back once, repeated ones
@@ -224,8 +196,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, lanes: int = 1, seg
     other. Columns of docs other than doc_id, text and the carried
     ones are not read.
     """
-    base = materialize(simhash(docs, shingle_words, lanes, carry), "prints")
-    return _grouped(base, lanes, carry, lambda prints: links(prints, lanes, segments, max_bits))
+    base = materialize(simhash(docs, shingle_words, carry), "prints")
+    return _grouped(base, carry, lambda prints: connected_components(links(prints, max_bits).toDF("u", "v")))
 
 
 def frequent_shingles(docs: DataFrame, shingle_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -238,7 +210,7 @@ def frequent_shingles(docs: DataFrame, shingle_words: int) -> tuple[np.ndarray,
                 keys, n = np.unique(np.concatenate(each) if each else np.empty(0, np.uint64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
 
-    every = max(1, docs.count() // SAMPLED)
+    every = min(max(1, docs.count() // SAMPLED), 4096)
     picked = docs.where(F.pmod(F.xxhash64("__h"), F.lit(every)) == 0).select("__h", F.col("text").cast("string").alias("text")).dropDuplicates(["__h"])
     counts = picked.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
     held = counts.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
@@ -278,21 +250,19 @@ def rare_prefixes(docs: DataFrame, shingle_words: int, similarity: float, carry:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def similar_links(base: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """Links (f0, g0) that connect all pairs of sets of at least the similarity; none is lost.
+def similar_roots(base: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """(node, root): components of the graph of all pairs of sets of at least the similarity; no pair is lost.
 
     base comes from rare_prefixes(); sets is a function from (f0) to (f0, shingles). Pairs that share
     SHARED prefix shingles (all they must share, if that is less) are verified exactly. First
     come neighbours by size at each shingle; later only pairs that those links do not connect already,
     so that large groups of near copies stay cheap. What moves much runs in turns that bound the disk.
     """
-    spark = base.sparkSession
     room = max(LEAST_TURN, TURN_BYTES * int(base.agg(F.sum("size")).first()[0] or 0))
     spread = base.select("f0", "size", F.explode("prefix").alias("key")).repartition("key").dropDuplicates(["key", "f0"])
     members = materialize(spread.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n"), "members")
-    free_shuffles(spark)
-    small, large = F.least("size", "size2"), F.greatest("size", "size2")
-    alike = small >= large * similarity - 1e-9
+    large = F.greatest("size", "size2")
+    alike = F.least("size", "size2") >= large * similarity - 1e-9
 
     def candidates(pairs: DataFrame) -> DataFrame:
         counted = pairs.where(alike).groupBy("f0", "g0", "size", "size2").agg(F.count("*").alias("n"))
@@ -306,69 +276,65 @@ def similar_links(base: DataFrame, sets: Callable[[DataFrame], DataFrame], simil
 
     def verified(pairs: DataFrame) -> DataFrame:
         held = materialize(sets(pairs.select("f0").union(pairs.select("g0")).distinct()), "sets")
-        free_shuffles(spark)
         of, out = turns(8 * (pairs.agg(F.sum(F.col("size").cast("long") + F.col("size2"))).first()[0] or 0)), None
         for k in range(of):
             left = pairs.where(turn(k, of)).select("f0", "g0").join(held.withColumnRenamed("shingles", "s1"), "f0")
             both = left.join(held.withColumnsRenamed({"f0": "g0", "shingles": "s2"}), "g0")
             good = materialize(both.where(_jaccard(F.col("s1"), F.col("s2")) >= similarity).select("f0", "g0"), "similar")
             out = good if out is None else out.unionByName(good)
-            free_shuffles(spark)
         release(held)
         return out
 
     by_size = Window.partitionBy("key").orderBy("size", "f0")
     chain = members.withColumns({"g0": F.lag("f0").over(by_size), "size2": F.lag("size").over(by_size)}).where("g0 IS NOT NULL")
     near = verified(materialize(candidates(chain), "neighbours"))
-    roots = materialize(connected_components(near.toDF("u", "v")), "near_roots")
-    joined = members.join(roots.withColumnRenamed("node", "f0"), "f0", "left").withColumn("root", F.coalesce("root", "f0"))
+    first = materialize(connected_components(near.toDF("u", "v")), "near_roots")
+    joined = members.join(first.withColumnRenamed("node", "f0"), "f0", "left").withColumn("root", F.coalesce("root", "f0"))
     at_key = Window.partitionBy("key")
     rest = materialize(joined.withColumns({"least": F.min("root").over(at_key), "most": F.max("root").over(at_key)}).where("least < most").drop("least", "most"), "unlinked")
-    release(members, roots)
-    free_shuffles(spark)
+    release(members)
     of, found = turns(12 * (rest.groupBy("key").count().agg(F.sum(F.expr("double(count) * (count - 1)"))).first()[0] or 0)), None
     other = rest.select("key", F.col("f0").alias("g0"), F.col("size").alias("size2"), F.col("root").alias("root2"))
     for k in range(of):
         part = materialize(candidates(rest.join(other, "key").where((F.col("f0") < F.col("g0")) & (F.col("root") != F.col("root2")) & turn(k, of))), "candidates")
         found = part if found is None else found.unionByName(part)
-        free_shuffles(spark)
-    return near.unionByName(verified(found))
+    # Links of the second kind join whole components of the first.
+    ends = verified(found)
+    for end in ("f0", "g0"):
+        ends = ends.join(first.toDF("__node", "__root"), F.col(end) == F.col("__node"), "left").withColumn(end, F.coalesce("__root", end)).drop("__node", "__root")
+    second = materialize(connected_components(ends.toDF("u", "v")), "far_roots").toDF("__node", "__root")
+    moved = first.join(second, F.col("root") == F.col("__node"), "left").select("node", F.coalesce("__root", "root").alias("root"))
+    alone = second.join(first, F.col("__node") == F.col("node"), "left_anti")
+    return moved.unionByName(alone.toDF("node", "root"))
 
 
 def similar_documents(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, carry: list[str] | None = None) -> DataFrame:
     """Like near_duplicates(), with links between all texts whose sets of word shingles have the similarity (of Jaccard).
 
     Candidates come from prefixes of rare shingles, by which no pair is lost, and are verified
-    exactly; texts of one set are linked as they are, and the fingerprint is the set's hash. Sets are
+    exactly; texts of one set are linked as they are, and the fingerprint is a hash of the set. Sets are
     made only of texts that have a candidate.
     """
     named = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     base = materialize(rare_prefixes(named, shingle_words, similarity, [*(carry or []), "__h"]), "prefixes")
-    free_shuffles(docs.sparkSession)
 
     def sets(needed: DataFrame) -> DataFrame:
         first = base.groupBy("f0").agg(F.min(F.struct("doc_id", "__h")).alias("d"))
         one = materialize(needed.join(first, "f0").select("f0", "d.doc_id", "d.__h"), "near")
         texts = named.select(F.col("doc_id").alias("__id"), F.col("__h").alias("__own"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-        wanted = one.join(texts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__own"))).dropDuplicates(["f0"])
+        sent = F.broadcast(one) if one.count() <= SENT_NAMES else one
+        wanted = texts.join(sent, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__own"))).dropDuplicates(["f0"])
         return shingle_sets(wanted, shingle_words, ["f0"])
 
-    return _grouped(base, 1, carry, lambda _: similar_links(base, sets, similarity))
-
-
-def _grouped(base: DataFrame, lanes: int, carry: list[str] | None, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    f = [f"f{k}" for k in range(lanes)]
-    g = [f"g{k}" for k in range(lanes)]
-    prints = materialize(base.groupBy(*f).agg(F.min("doc_id").alias("least")), "distinct")
+    return _grouped(base, carry, lambda _: similar_roots(base, sets, similarity))
 
-    def node(names: list[str]) -> Column:
-        return F.col(names[0]) if lanes == 1 else F.concat_ws(",", *names)
 
-    roots = materialize(connected_components(link(prints).select(node(f).alias("u"), node(g).alias("v"))), "roots")
-    linked = prints.withColumn("node", node(f)).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    linked = materialize(linked.select("node", "root", "least"), "linked")
-    least = materialize(linked.groupBy("root").agg(F.min("least").alias("component_id")), "groups")
+def _grouped(base: DataFrame, carry: list[str] | None, roots_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    prints = materialize(base.groupBy(F.col("f0").alias("node")).agg(F.min("doc_id").alias("least")), "distinct")
+    roots = materialize(roots_of(prints.select(F.col("node").alias("f0"))), "roots")
+    linked = materialize(prints.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"), "linked")
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     of = materialize(linked.join(least, "root").select("node", "component_id"), "of")
-    release(prints, roots, linked, least)
-    out = base.withColumn("node", node(f)).join(of, "node")
-    return out.select("doc_id", *(carry or []), hex_print(lanes).alias("fingerprint"), "component_id", *f)
+    release(prints, roots, linked)
+    named = F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint")
+    return base.join(of, F.col("f0") == F.col("node")).select("doc_id", *(carry or []), named, "component_id", "f0")
