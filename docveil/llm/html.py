@@ -15,78 +15,92 @@ from pyspark.sql import functions as F
 from docveil.llm.mincut import min_cut
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
-_MARKS = re.compile(r"(?:^|\s)(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_SPACE = re.compile(r"[\x20\x09-\x0D]+")
 #: HTML's elements (fixed values) by what they do here.
 BLOCKS = frozenset("address article aside blockquote body button canvas caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea svg math object title xmp noembed noframes".split())
+#: Those of them that a slash in the opening tag closes.
+FOREIGN = frozenset({"svg", "math"})
 #: Open elements that a new one closes, up to the given container.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "option": ({"option"}, {"select"})}
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-
-#: What an element says of the text below it (fixed values), by its name and by words of its class, id or role.
-TAG_GAIN = {"nav": -9.0, "footer": -8.0, "aside": -8.0, "form": -9.0, "menu": -9.0, "button": -9.0, "select": -9.0, "dialog": -8.0, "header": -6.0, "fieldset": -8.0, "search": -9.0, "head": -12.0}
-WORD_GAIN = {
-    **dict.fromkeys("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner".split(), -9.0),
-    **dict.fromkeys("nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar toolbar skip".split(), -9.0),
-    **dict.fromkeys("footer masthead header complementary contentinfo".split(), -7.0),
-    **dict.fromkeys("cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup login paywall alert disclaimer".split(), -8.0),
-    **dict.fromkeys("comment comments reply replies disqus respond discussion".split(), -9.0),
-    **dict.fromkeys("related recommended recommendations share sharing social widget tags copyright search trending".split(), -7.0),
-}
-KEEP_TAGS, KEEP_WORDS = frozenset({"article", "main"}), frozenset("article articlebody main content post entry story".split())
-KEEP_GAIN, PLAIN_GAIN = 5.0, 0.5
-
-
-@dataclass
+HEADINGS, PARAGRAPHS = frozenset("h1 h2 h3 h4 h5 h6".split()), frozenset("p pre blockquote dd".split())
+
+#: What an element's name, or a word of its class, id or role, says of the text in it (fixed values): parts of pages that are no article.
+PART_TAGS = frozenset("nav footer aside form menu button select dialog header fieldset search head".split())
+PART_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner "
+    "nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar toolbar skip "
+    "footer masthead header complementary contentinfo "
+    "cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup login paywall alert disclaimer "
+    "comment comments reply replies disqus respond discussion "
+    "related recommended recommendations share sharing social widget tags copyright search trending".split()
+)
+MAIN_TAGS, MAIN_WORDS = frozenset({"article", "main"}), frozenset("article articlebody main content post entry story".split())
+
+PLAIN, MAIN, PART, HEAD = "plain", "main", "part", "head"
+
+
+@dataclass(slots=True)
 class Element:
+    """region is the number of the innermost element that says what its text is, kind what it says; inner and outer are the innermost two blocks."""
+
     tag: str
     number: int
-    gain: float
-    keeps: bool
+    kind: str
+    region: int
+    inner: int
+    inner_tag: str
+    outer: int
+    depth: int
     link: bool
 
 
-@dataclass
+_TOP = Element("", 0, PLAIN, 0, 0, "", 0, 0, False)
+
+
+@dataclass(slots=True)
 class Block:
     text: str
     tag: str
-    parent: int
-    grandparent: int
-    depth: int
-    structure: float
+    kind: str
+    region: int
+    inner: int
+    outer: int
     linked: int
 
     def features(self) -> list[float]:
-        """Of the text alone: size, share in links, sentence marks, heading."""
+        """Of the text alone: size, share in links, sentence marks, heading, paragraph."""
         n = len(self.text)
         marks = sum(map(self.text.count, ".,;:!?"))
-        return [1.0, min(3.0, math.log1p(n) / 2), self.linked / n, min(1.0, 20 * marks / n), float(self.tag in HEADINGS)]
-
-
-def _element(tag: str, attrs: str, number: int) -> Element:
-    gain, keeps = TAG_GAIN.get(tag, 0.0), tag in KEEP_TAGS
-    if attrs and "=" in attrs:
-        for m in _MARKS.finditer(attrs):
-            for word in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", m[1] or m[2] or m[3] or "").lower()):
-                gain = min(gain, WORD_GAIN.get(word, 0.0))
-                keeps = keeps or word in KEEP_WORDS
-        if re.search(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", attrs, re.I):
-            gain = min(gain, -9.0)
-    return Element(tag, number, gain, keeps and gain == 0.0, tag == "a")
-
-
-def _structure(stack: list[Element]) -> float:
-    """The strongest objection of the elements inside the innermost one that holds main text, or else that one's word."""
-    gain = 0.0
-    for e in reversed(stack):
-        if e.keeps:
-            inside = any(x.tag in KEEP_TAGS for x in stack)
-            if gain < 0 and inside and all(x.tag == "header" for x in stack if x.gain < 0):
-                return 1.0  # an article's own head
-            return gain if gain < 0 else KEEP_GAIN
-        gain = min(gain, e.gain)
-    return gain if gain < 0 else PLAIN_GAIN
+        return [1.0, min(3.0, math.log1p(n) / 2), self.linked / n, min(1.0, 20 * marks / n), float(self.tag in HEADINGS), float(self.tag in PARAGRAPHS)]
+
+
+def _said(tag: str, attrs: str) -> str:
+    """What an element alone says of its text."""
+    part, main = tag in PART_TAGS, tag in MAIN_TAGS
+    for m in _ATTRIBUTE.finditer(attrs) if attrs else ():
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
+            return PART
+        if name in ("class", "id", "role", "itemprop") and tag not in ("html", "body"):
+            words = re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())
+            part = part or not PART_WORDS.isdisjoint(words)
+            main = main or not MAIN_WORDS.isdisjoint(words)
+    return PART if part else MAIN if main else PLAIN
+
+
+def _element(tag: str, attrs: str, number: int, above: Element) -> Element:
+    """An element in another one. In a part of the page everything is of that part, but for <main>; an article's own head is a part that may be none."""
+    said, kind = _said(tag, attrs), above.kind
+    if said == MAIN and (kind != PART or tag == "main"):
+        kind = MAIN
+    elif said == PART and kind != PART:
+        kind = HEAD if tag == "header" and kind in (MAIN, HEAD) else PART
+    region = number if (kind, said) != (above.kind, PLAIN) and said != PLAIN else above.region
+    block = tag in BLOCKS
+    return Element(tag, number, kind, region, number if block else above.inner, tag if block else above.inner_tag, above.inner if block else above.outer, above.depth + 1, above.link or tag == "a")
 
 
 def blocks(page: str) -> list[Block]:
@@ -94,23 +108,33 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[Element] = []
     parts: list[str] = []
-    linked = [0]
-    made, at = 0, 0
+    linked, made, at = 0, 0, 0
 
     def put(raw: str) -> None:
+        nonlocal linked
         if raw:
             text = entities.unescape(raw) if "&" in raw else raw
             parts.append(text)
-            if any(e.link for e in stack):
-                linked[0] += len(text.strip())
+            if stack and stack[-1].link:
+                linked += len(_SPACE.sub(" ", text).strip(" "))
 
     def close() -> None:
-        text = " ".join("".join(parts).split())
+        nonlocal linked
+        text = _SPACE.sub(" ", "".join(parts)).strip(" ")
         parts.clear()
         if text:
-            held = [e for e in stack if e.tag in BLOCKS]
-            out.append(Block(text, held[-1].tag if held else "", held[-1].number if held else -1, held[-2].number if len(held) > 1 else -1, len(held), _structure(stack), min(linked[0], len(text))))
-        linked[0] = 0
+            e = stack[-1] if stack else _TOP
+            out.append(Block(text, e.inner_tag, e.kind, e.region, e.inner, e.outer, min(linked, len(text))))
+        linked = 0
+
+    def drop(closed: set[str] | frozenset[str], within: set[str] | frozenset[str]) -> None:
+        """Close the innermost of some elements, unless one of others lies further in."""
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k].tag in closed:
+                del stack[k:]
+                return
+            if stack[k].tag in within:
+                return
 
     while at < len(page):
         m = _TOKEN.search(page, at)
@@ -121,68 +145,68 @@ def blocks(page: str) -> list[Block]:
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
+        if tag in BLOCKS:
+            close()
         if m[1] or m[4]:
-            if tag in BLOCKS:
-                close()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            drop({tag}, frozenset())
             continue
         if tag in BLOCKS:
-            close()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCKS:
-                    break
+            drop({"p"}, BLOCKS)
         if tag in CLOSES:
-            closed, within = CLOSES[tag]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag in within:
-                    break
-                if stack[k].tag in closed:
-                    del stack[k:]
-                    break
+            drop(*CLOSES[tag])
         if tag == "br":
             parts.append(" ")
         attrs = m[3] or m[6] or ""
         if tag in RAW:
-            if not attrs.endswith("/"):
+            if not (tag in FOREIGN and attrs.endswith("/")):
                 end = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
             continue
         if tag not in VOID:
             made += 1
-            stack.append(_element(tag, attrs, made))
+            stack.append(_element(tag, attrs, made, stack[-1] if stack else _TOP))
     put(page[at:])
     close()
     return out
 
 
-#: Weights of Block.features() before any training, and of the edges.
-WEIGHTS = (0.0, 0.5, -3.0, 0.5, 0.5)
-NEXT, SIBLING, COUSIN = 0.3, 1.0, 0.5
+#: Terminal capacities: what an element's word for its text counts, and how far the text's own evidence may go.
+SAID = {PLAIN: 0.0, MAIN: 2.0, HEAD: 1.0, PART: -4.0}
+MOST_TEXT = 2.5
+#: Weights of Block.features() before any training.
+WEIGHTS = (-0.5, 0.5, -3.0, 0.5, 0.5, 0.5)
+#: Edges: neighbours, more in one region, more still in one container; the next one of a container.
+NEXT, REGION, SIBLING, COUSIN = 0.3, 0.5, 1.0, 0.6
 
 
-def main_blocks(found: list[Block], weights: tuple[float, ...] = WEIGHTS) -> list[bool]:
-    """Content or boilerplate, for each block, by the minimum cut.
+def text_gain(b: Block, weights: tuple[float, ...]) -> float:
+    """What the text alone speaks for, the classifier's log-odds within bounds."""
+    return max(-MOST_TEXT, min(MOST_TEXT, sum(w * f for w, f in zip(weights, b.features(), strict=True))))
 
-    Terminal capacities are the classifier's costs: what structure and text
-    say. Edges join neighbours, more so under one parent, and the next blocks
-    under one grandparent.
-    """
-    gain = [b.structure + sum(w * f for w, f in zip(weights, b.features(), strict=True)) for b in found]
+
+def graph(found: list[Block], weights: tuple[float, ...] = WEIGHTS) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Gains (terminal capacities) and edges of a page's blocks."""
+    gain = [SAID[b.kind] + text_gain(b, weights) for b in found]
     edges, last = [], {}
     for k, b in enumerate(found):
         if k:
-            edges.append((k - 1, k, NEXT + SIBLING * (b.parent == found[k - 1].parent)))
-        j = last.get(b.grandparent)
+            a = found[k - 1]
+            same = a.region == b.region
+            edges.append((k - 1, k, NEXT + REGION * same + SIBLING * (same and (a.inner == b.inner or a.outer == b.outer))))
+        j = last.get((b.region, b.outer))
         if j is not None and j != k - 1:
             edges.append((j, k, COUSIN))
-        last[b.grandparent] = k
-    return min_cut(gain, edges)
+        last[b.region, b.outer] = k
+    return gain, edges
+
+
+def main_blocks(found: list[Block], weights: tuple[float, ...] = WEIGHTS) -> list[bool]:
+    """Content or boilerplate, for each block, by the minimum cut.
+
+    Terminal capacities are the classifier's costs: what the text and the
+    element around it say. Edges join neighbours and the blocks of one container, so a block that says little goes with those beside it.
+    """
+    return min_cut(*graph(found, weights))
 
 
 def main_text(page: str | None, weights: tuple[float, ...] = WEIGHTS) -> str:
@@ -191,16 +215,16 @@ def main_text(page: str | None, weights: tuple[float, ...] = WEIGHTS) -> str:
 
 
 def train_weights(pages: list[str | None], rounds: int = 25, ridge: float = 5.0) -> tuple[float, ...]:
-    """Weights of the text features, by logistic regression on blocks that structure alone decides.
+    """Weights of the text features, by logistic regression on blocks whose elements say what they are.
 
     The ridge pulls towards WEIGHTS, which also stand if only one label occurs.
     """
     rows, labels = [], []
     for page in pages:
         for b in blocks(page or ""):
-            if b.structure >= KEEP_GAIN or b.structure <= -6:
+            if b.kind in (MAIN, PART):
                 rows.append(b.features())
-                labels.append(b.structure > 0)
+                labels.append(b.kind == MAIN)
     start = np.array(WEIGHTS)
     if len(set(labels)) < 2:
         return WEIGHTS
@@ -211,7 +235,7 @@ def train_weights(pages: list[str | None], rounds: int = 25, ridge: float = 5.0)
         beta -= step
         if np.abs(step).max() < 1e-9:
             break
-    return tuple(float(v) for v in np.clip(beta, -4, 4))
+    return tuple(float(v) for v in beta)
 
 
 def extract_text(pages: DataFrame, sample: int = 300, seed: int = 3) -> DataFrame:
@@ -219,7 +243,8 @@ def extract_text(pages: DataFrame, sample: int = 300, seed: int = 3) -> DataFram
 
     The classifier is fitted on at most sample pages, those with the smallest hashes
     of page_id, so reruns agree; every page is then labelled whole. A null
-    html is empty; a page without content has an empty text.
+    html is empty; a page without content has an empty text. Repeated rows come back as often, an empty table gives an empty
+    one, and other columns, also one named text or n_chars, are not read.
     """
     rows = pages.select("page_id", F.col("html").cast("string").alias("html"))
     order = F.xxhash64(F.lit(seed), "page_id")
