@@ -2,14 +2,36 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docveil.shared import materialize, values_table
+from docveil.shared import materialize
+
+#: Rows of a source partition, and of a block of a shard, about, as long as there are no more of them than so many.
+PART_ROWS, MOST_PARTS, MOST_BLOCKS = 20_000, 4096, 256
 
-#: Rows of a source partition, and of a block of a shard, about.
-PART_ROWS = 20_000
+
+def hypergeometric(draw: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of n drawn without replacement are good, by inversion.
+
+    Probabilities follow from the ratios of neighbours, from the mode to either side as far as
+    twelve deviations and more; what lies beyond adds up to less than a double's last digit.
+    One way for all sizes.
+    """
+    low, high = max(0, n - bad), min(n, good)
+    if low == high:
+        return low
+    whole = good + bad
+    mode = min(high, max(low, (n + 1) * (good + 1) // (whole + 2)))
+    reach = 64 + int(12 * np.sqrt(n * (good / whole) * (bad / whole) * ((whole - n) / max(1, whole - 1))))
+    k = np.arange(max(low, mode - reach), min(high, mode + reach) + 1, dtype=np.float64)
+    steps = np.log((good - k[:-1]) * (n - k[:-1])) - np.log((k[:-1] + 1) * (bad - n + k[:-1] + 1))
+    p = np.concatenate(([0.0], np.cumsum(steps)))
+    heap = np.cumsum(np.exp(p - p.max()))
+    return int(k[min(len(k) - 1, np.searchsorted(heap, draw.random() * heap[-1], side="right"))])
 
 
 def communication_matrix(have: list[int], want: list[int], seed: int) -> np.ndarray:
@@ -24,23 +46,27 @@ def communication_matrix(have: list[int], want: list[int], seed: int) -> np.ndar
         left, rest = n, int(room.sum())
         for s in range(len(want)):
             rest -= int(room[s])
-            got = _hypergeometric(draw, int(room[s]), rest, left)
+            got = hypergeometric(draw, int(room[s]), rest, left)
             out[k, s] = got
             left -= got
         room -= out[k]
     return out
 
 
-def _hypergeometric(draw: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """Numpy's, which takes less than 10**9 of either kind; more are drawn in halves."""
-    if good == 0 or n == 0:
-        return 0
-    if bad == 0:
-        return n
-    if good < 10**9 and bad < 10**9:
-        return int(draw.hypergeometric(good, bad, n))
-    spread = np.sqrt(n * good / (good + bad) * (bad / (good + bad)) * ((good + bad - n) / max(1, good + bad - 1)))
-    return int(np.clip(round(draw.normal(n * good / (good + bad), spread)), max(0, n - bad), min(n, good)))
+def _numbered(base: DataFrame) -> DataFrame:
+    """Add __again, the number of a row among those of its __id and text_crc32, in the order of partitions and of rows in them.
+
+    Only the rows of one partition are numbered together, so a key that holds a third of all rows is no task of its own;
+    how many came before, from counts, is joined to the few keys that lie in several partitions.
+    """
+    key = ["__id", "text_crc32"]
+    counts = base.groupBy(*key, "__pid").agg(F.count("*").alias("__n"))
+    ahead = F.sum("__n").over(Window.partitionBy(*key).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.withColumn("__before", ahead).where("__before > 0").select(*(F.col(c).alias(f"{c}_2") for c in (*key, "__pid")), "__before")
+    inside = F.row_number().over(Window.partitionBy(*key, "__pid").orderBy("__at"))
+    same = F.col("__id").eqNullSafe(F.col("__id_2")) & (F.col("text_crc32") == F.col("text_crc32_2")) & (F.col("__pid") == F.col("__pid_2"))
+    numbered = base.withColumn("__inside", inside).join(before, same, "left")
+    return numbered.withColumn("__again", F.col("__inside") + F.coalesce("__before", F.lit(0))).drop("__inside", "__before", "__pid", "__at", *(f"{c}_2" for c in (*key, "__pid")))
 
 
 def shard(docs: DataFrame, shards: int = 24, seed: int = 7, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -49,27 +75,26 @@ def shard(docs: DataFrame, shards: int = 24, seed: int = 7, text: str = "text",
     Counts of the shards differ by one at most and slots are gapless from 0. A
     row's source partition and both permutations come from hashes of its
     doc_id, its text and its number among equal rows, so reruns agree and repeated rows part. A
-    null text counts as an empty one. Columns that clash with a new one are
-    replaced.
+    null text counts as an empty one, null doc_ids are one id. Columns that clash with a new one are
+    replaced. The driver gets one count for each source partition, of which there are at most MOST_PARTS
+    whatever the input, and draws the matrix from them.
     """
     spark = docs.sparkSession
     made = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    base = materialize(docs.select(*kept, (F.octet_length(whole) + 8).cast("long").alias("size"), F.crc32(whole).alias("text_crc32"), F.col("doc_id").alias("__id"), F.monotonically_increasing_id().alias("__at")), "sized")
-    again = F.row_number().over(Window.partitionBy("__id", "text_crc32").orderBy("__at"))  # copies of a row go different ways
-    base = materialize(base.withColumn("__mix", F.xxhash64(F.lit(seed), "__id", "text_crc32", again)).drop("__at"), "mixed")
+    sized = docs.select(*kept, (F.octet_length(whole) + 8).cast("long").alias("size"), F.crc32(whole).alias("text_crc32"), F.col("doc_id").alias("__id"), F.spark_partition_id().alias("__pid"), F.monotonically_increasing_id().alias("__at"))
+    base = _numbered(materialize(sized, "sized"))
+    base = materialize(base.withColumn("__mix", F.xxhash64(F.lit(seed), "__id", "text_crc32", "__again")).drop("__again"), "mixed")
     rows = base.count()
-    parts = max(1, -(-rows // PART_ROWS))
-    blocks = max(1, -(-rows // shards // PART_ROWS))
+    parts = min(MOST_PARTS, max(1, -(-rows // PART_ROWS)))
+    blocks = min(MOST_BLOCKS, max(1, -(-rows // shards // PART_ROWS)))
     base = base.withColumn("__part", F.pmod("__mix", F.lit(parts)).cast("int"))
     found = dict(base.groupBy("__part").count().collect())
-    have = [found.get(k, 0) for k in range(parts)]
-    want = [rows // shards + (s < rows % shards) for s in range(shards)]
-    sent = communication_matrix(have, want, seed)
-    ends = np.cumsum(sent, axis=1)
-    table = values_table(spark, [(k, s, int(ends[k, s] - sent[k, s]), int(ends[k, s])) for k in range(parts) for s in range(shards) if sent[k, s]], "__part int, shard int, __from long, __to long")
-    table = table.groupBy("__part").agg(F.sort_array(F.collect_list(F.struct("__to", "shard"))).alias("__sends"))
+    sent = communication_matrix([found.get(k, 0) for k in range(parts)], [rows // shards + (s < rows % shards) for s in range(shards)], seed)
+    # A row of the matrix: up to which place in the partition rows go to which shard.
+    ends = [{"p": k, "s": [{"e": int(e), "h": s} for s, e in enumerate(np.cumsum(sent[k]).tolist()) if sent[k, s]]} for k in range(parts)]
+    matrix = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(ends)), "array<struct<p:int,s:array<struct<e:bigint,h:int>>>>")).alias("m")).select(F.col("m.p").alias("__part"), F.col("m.s").alias("__sends"))
 
     def shuffled(salt: int) -> list[Column]:
         return [F.xxhash64(F.lit(seed + salt), F.col("__mix")), F.col("__id"), F.col("text_crc32")]
@@ -77,22 +102,18 @@ def shard(docs: DataFrame, shards: int = 24, seed: int = 7, text: str = "text",
     local = Window.partitionBy("__part").orderBy(*shuffled(1))
     dealt = (
         base.withColumn("__rank", F.row_number().over(local) - 1)
-        .join(F.broadcast(table), "__part")
-        .withColumn("shard", F.expr("filter(__sends, x -> x.__to > __rank)[0].shard"))
+        .join(F.broadcast(matrix), "__part")  # at most MOST_PARTS rows
+        .withColumn("shard", F.expr("filter(__sends, x -> x.e > __rank)[0].h"))
         .drop("__sends", "__rank", "__part")
         .withColumn("__block", F.pmod(F.xxhash64(F.lit(seed + 2), F.col("__mix")), F.lit(blocks)).cast("int"))
     )
     dealt = materialize(dealt, "dealt")
-    sizes = sorted(tuple(r) for r in dealt.groupBy("shard", "__block").count().collect())
-    starts, at, last = [], 0, None
-    for s, b, n in sizes:
-        at = at if s == last else 0
-        starts.append((s, b, at))
-        at, last = at + n, s
+    ahead = F.sum("__n").over(Window.partitionBy("shard").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = dealt.groupBy("shard", "__block").agg(F.count("*").alias("__n")).select("shard", "__block", F.coalesce(ahead, F.lit(0)).alias("__start"))
     inside = Window.partitionBy("shard", "__block").orderBy(*shuffled(3))
     return (
         dealt.withColumn("__rank", F.row_number().over(inside) - 1)
-        .join(F.broadcast(values_table(spark, starts, "shard int, __block int, __start long")), ["shard", "__block"])
+        .join(F.broadcast(starts), ["shard", "__block"])  # at most shards * MOST_BLOCKS rows
         .withColumn("slot", (F.col("__start") + F.col("__rank")).cast("long"))
         .withColumn("law", F.lit("rows"))
         .withColumn("grown_shard", F.lit(None).cast("int"))
