@@ -53,30 +53,36 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-#: Soft rules by name, as SQL over the statistics; each asks for much more than clean prose shows.
+#: Soft rules by name, as SQL over the statistics: a failure, which clean prose never shows, and the strict form, which some clean texts break.
 SOFT_RULES = {
-    "symbols": "5 * n_symbols > n_words",
-    "dup_lines": "2 * n_dup_lines > n_lines",
-    "word_length": "word_chars < 2 * n_words OR word_chars > 14 * n_words",
-    "shouting": "2 * n_shout_words > n_words",
-    "repeats": "5 * n_repeat_words > 2 * n_words",
+    "symbols": ("5 * n_symbols > n_words", "10 * n_symbols > n_words"),
+    "dup_lines": ("2 * n_dup_lines > n_lines", "4 * n_dup_lines > n_lines"),
+    "word_length": ("word_chars < 2 * n_words OR word_chars > 14 * n_words", "word_chars < 3 * n_words OR word_chars > 10 * n_words"),
+    "shouting": ("2 * n_shout_words > n_words", "4 * n_shout_words > n_words"),
+    "repeats": ("5 * n_repeat_words > 2 * n_words", "5 * n_repeat_words > n_words"),
 }
+#: Of the posterior of a host's rate, the deviations between its mean and the bounds that verdicts ask for (nineteen in twenty).
+SURE = 1.645
+TRUSTED, CONDEMNED, ORDINARY = "trusted", "condemned", "ordinary"
 
 
-def host_verdicts(judged: DataFrame, host: str, trusted_rate: float) -> DataFrame:
-    """(host, n_docs, n_failed, fail_rate, tolerance) of each host.
+def host_verdicts(judged: DataFrame, host: str, trusted_rate: float, condemned_rate: float) -> DataFrame:
+    """(host, n_docs, n_failed, fail_rate, verdict) of each host.
 
     The rates' prior is a beta distribution with the mean and variance of the
     observed host rates, by moments over all hosts; fail_rate is the posterior
     mean, so a host of few documents stays near the common rate. A null is
-    a host of its own. tolerance is the soft failures that a document may
-    have: none, or one where fail_rate is below trusted_rate.
+    a host of its own. A host is trusted if its rate lies surely below trusted_rate, condemned if
+    surely above condemned_rate, else ordinary.
     """
     hosts = materialize(judged.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n_docs"), F.sum((F.col("base_failed") | (F.col("n_soft") > 0)).cast("long")).alias("n_failed")), "hosts")
     rate = F.col("n_failed") / F.col("n_docs")
     mean, spread, noise = hosts.agg(F.avg(rate), F.coalesce(F.var_samp(rate), F.lit(0.0)), F.avg(F.lit(1.0) / F.col("n_docs"))).first()
     a, b = beta_prior(mean, spread, noise)
-    return hosts.withColumn("fail_rate", (F.col("n_failed") + F.lit(a)) / (F.col("n_docs") + F.lit(a + b))).withColumn("tolerance", F.when(F.col("fail_rate") < trusted_rate, F.lit(1)).otherwise(F.lit(0)))
+    fail = F.col("fail_rate")
+    bound = SURE * F.sqrt(fail * (1 - fail) / (F.col("n_docs") + F.lit(a + b + 1)))
+    verdict = F.when(fail + bound < trusted_rate, TRUSTED).when(fail - bound > condemned_rate, CONDEMNED).otherwise(ORDINARY)
+    return hosts.withColumn("fail_rate", (F.col("n_failed") + F.lit(a)) / (F.col("n_docs") + F.lit(a + b))).withColumn("verdict", verdict)
 
 
 def beta_prior(mean: float | None, spread: float, noise: float | None) -> tuple[float, float]:
@@ -89,21 +95,25 @@ def beta_prior(mean: float | None, spread: float, noise: float | None) -> tuple[
     return level * size, (1 - level) * size
 
 
-def judge_quality(docs: DataFrame, host: str = "source", trusted_rate: float = 0.05, keep: list[str] | None = None) -> DataFrame:
-    """docs (or their columns in keep) with statistics, base_failed, n_soft, fail_rate and kept.
+def judge_quality(docs: DataFrame, host: str = "source", trusted_rate: float = 0.05, condemned_rate: float = 0.5, keep: list[str] | None = None) -> DataFrame:
+    """docs (or their columns in keep) with statistics, base_failed, n_soft, n_strict, fail_rate, verdict and kept.
 
-    A document goes if a base rule fails, or if it fails more soft rules than its
-    host's verdict tolerates; one that fails none is kept, whatever its host.
-    A null or empty text has no words and fails. Repeated rows are judged and counted one by one.
+    A document goes if a base rule fails, or if it fails a soft rule, of which a trusted host's documents
+    may fail one; on a condemned host it goes if it breaks the strict form of a rule. So the verdict on its host
+    can save a document and can cost it, while one that is clean by the strict rules is kept on any host.
+    A null or empty text has no words and fails. Repeated rows are judged and counted one by one; columns that clash
+    with a new one are replaced; an empty table gives an empty one.
     """
     names = [c.split()[0] for c in _STATS.split(", ")]
-    made = [*names, "base_failed", "n_soft", "fail_rate", "tolerance", "kept"]
+    made = [*names, "base_failed", "n_soft", "n_strict", "fail_rate", "verdict", "kept"]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
-    soft = sum((F.expr(rule).cast("int") for rule in SOFT_RULES.values()), F.lit(0))
+    soft, strict = (sum((F.expr(rule[k]).cast("int") for rule in SOFT_RULES.values()), F.lit(0)) for k in (0, 1))
     judged = docs.select(*kept, F.col(host).alias("__host"), F.arrow_udf(lambda x: stats_array(x), _STATS)(F.col("text").cast("string")).alias("__q")).select(*kept, "__host", "__q.*")
-    judged = materialize(judged.withColumn("base_failed", base_failed()).withColumn("n_soft", soft), "judged")
-    hosts = materialize(host_verdicts(judged, "__host", trusted_rate).select("host", "fail_rate", "tolerance"), "verdicts").withColumnRenamed("host", "__verdict_of")
-    return judged.join(hosts, F.col("__host").eqNullSafe(F.col("__verdict_of"))).withColumn("kept", ~F.col("base_failed") & (F.col("n_soft") <= F.col("tolerance"))).select(*kept, *made)
+    judged = materialize(judged.withColumn("base_failed", base_failed()).withColumns({"n_soft": soft, "n_strict": strict}), "judged")
+    hosts = materialize(host_verdicts(judged, "__host", trusted_rate, condemned_rate).select("host", "fail_rate", "verdict"), "verdicts").withColumnRenamed("host", "__verdict_of")
+    allowed = F.when(F.col("verdict") == TRUSTED, 1).otherwise(0)
+    good = ~F.col("base_failed") & (F.col("n_soft") <= allowed) & ((F.col("verdict") != CONDEMNED) | (F.col("n_strict") == 0))
+    return judged.join(hosts, F.col("__host").eqNullSafe(F.col("__verdict_of"))).withColumn("kept", good).select(*kept, *made)
 
 
 __all__ = ["SOFT_RULES", "beta_prior", "host_verdicts", "judge_quality", "repeated_words", "stats_array", "text_stats"]

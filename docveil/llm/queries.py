@@ -21,7 +21,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docveil.llm.quality import judge_quality
 
     judged = judge_quality(_table(spark, sf_dir, "documents"), keep=["doc_id"])
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_soft")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_soft", "n_strict", "verdict")
 
 
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,13 +118,17 @@ base AS (SELECT w.doc_id, source, len(ws) AS n_words, coalesce(list_sum(list_tra
   coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_shout, 0) AS n_shout
   FROM w LEFT JOIN reps USING (doc_id) LEFT JOIN dups USING (doc_id) LEFT JOIN shouts USING (doc_id)),
 judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  (5 * n_symbols > n_words)::INT + (2 * n_dup_lines > n_lines)::INT + (word_chars < 2 * n_words OR word_chars > 14 * n_words)::INT + (2 * n_shout > n_words)::INT + (5 * n_repeat_words > 2 * n_words)::INT AS n_soft FROM base),
+  (5 * n_symbols > n_words)::INT + (2 * n_dup_lines > n_lines)::INT + (word_chars < 2 * n_words OR word_chars > 14 * n_words)::INT + (2 * n_shout > n_words)::INT + (5 * n_repeat_words > 2 * n_words)::INT AS n_soft,
+  (10 * n_symbols > n_words)::INT + (4 * n_dup_lines > n_lines)::INT + (word_chars < 3 * n_words OR word_chars > 10 * n_words)::INT + (4 * n_shout > n_words)::INT + (5 * n_repeat_words > n_words)::INT AS n_strict FROM base),
 hosts AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR n_soft > 0) AS bad FROM judged GROUP BY source),
 moments AS (SELECT least(greatest(avg(bad / n), 0.001), 0.999) AS level, coalesce(var_samp(bad / n), 0) AS spread, avg(1 / n) AS noise FROM hosts),
 prior AS (SELECT level, least(greatest(level * (1 - level) / greatest(spread - level * (1 - level) * noise, level * (1 - level) / 1000) - 1, 2), 1000) AS size FROM moments),
-rates AS (SELECT source, (bad + level * size) / (n + size) AS rate FROM hosts, prior)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_soft <= CASE WHEN rate < 0.05 THEN 1 ELSE 0 END AS kept, n_soft
-FROM judged JOIN rates ON judged.source IS NOT DISTINCT FROM rates.source
+rates AS (SELECT source, n, size, (bad + level * size) / (n + size) AS rate FROM hosts, prior),
+bounds AS (SELECT source, rate, 1.645 * sqrt(rate * (1 - rate) / (n + size + 1)) AS bound FROM rates),
+verdicts AS (SELECT source, CASE WHEN rate + bound < 0.05 THEN 'trusted' WHEN rate - bound > 0.5 THEN 'condemned' ELSE 'ordinary' END AS verdict FROM bounds)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND n_soft <= CASE WHEN verdict = 'trusted' THEN 1 ELSE 0 END AND (verdict <> 'condemned' OR n_strict = 0) AS kept, n_soft, n_strict, verdict
+FROM judged JOIN verdicts ON judged.source IS NOT DISTINCT FROM verdicts.source
 """
 
 
