@@ -6,11 +6,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rules held by a task at once; longer lists are swept in turns of so many.
-RULES_AT_ONCE = 100_000
+from docveil.shared import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -24,52 +23,47 @@ def parse_rule(text: str) -> tuple[str, str, str]:
     return host.lower(), slash + path, verdict
 
 
-def host_key(host: str) -> bytes:
+def host_key(host: Column) -> Column:
     """Labels from the right, each closed by a dot: a domain's key begins the keys of its subdomains."""
-    return ".".join([*reversed(host.split(".")), ""]).encode("utf-8", "surrogatepass")
+    return F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "."), F.lit("."))
 
 
 @dataclass
-class _Interval:
+class Interval:
     """All keys that begin with key, and the rules of that host."""
 
-    key: bytes
+    key: str
     host: str
     paths: dict[str, str] = field(default_factory=dict)
     lengths: list[int] = field(default_factory=list)
 
-
-def intervals(rules: list[tuple[str, str, str]]) -> list[_Interval]:
-    """One for each host, in the order of keys. Of two verdicts on one rule, block counts."""
-    by: dict[bytes, _Interval] = {}
-    for host, path, verdict in rules:
-        paths = by.setdefault(host_key(host), _Interval(host_key(host), host)).paths
-        paths[path] = "block" if "block" in (verdict, paths.get(path)) else verdict
-    for x in by.values():
-        x.lengths = sorted({len(p) for p in x.paths}, reverse=True)
-    return [by[k] for k in sorted(by)]
+    def add(self, path: str, verdict: str) -> None:
+        """Of two verdicts on one rule, block counts."""
+        self.paths[path] = "block" if "block" in (verdict, self.paths.get(path)) else verdict
+        if len(path) not in self.lengths:
+            self.lengths = sorted([*self.lengths, len(path)], reverse=True)
 
 
 class Sweep:
-    """Meets keys in ascending order; holds the nested intervals that the last one lies in."""
-
-    def __init__(self, ordered: list[_Interval]):
-        self.ordered, self.next, self.stack = ordered, 0, []
-
-    def at(self, key: bytes) -> list[_Interval]:
-        while self.next < len(self.ordered) and self.ordered[self.next].key <= key:
-            opened = self.ordered[self.next]
-            while self.stack and not opened.key.startswith(self.stack[-1].key):
-                self.stack.pop()
-            self.stack.append(opened)
-            self.next += 1
+    """Meets keys in ascending order, a host's rules before its pages; holds the nested intervals that the last key lies in."""
+
+    def __init__(self) -> None:
+        self.stack: list[Interval] = []
+
+    def at(self, key: str) -> list[Interval]:
         while self.stack and not key.startswith(self.stack[-1].key):
             self.stack.pop()
         return self.stack
 
+    def rule(self, key: str, host: str, path: str, verdict: str) -> None:
+        stack = self.at(key)
+        if not stack or stack[-1].key != key:
+            stack.append(Interval(key, host))
+        stack[-1].add(path, verdict)
 
-def longest(active: list[_Interval], path: str) -> tuple[int, str, str] | None:
-    """(length, rule, verdict) of the longest rule; of equally long ones the one with the longer host."""
+
+def longest(active: list[Interval], path: str) -> tuple[str, str] | None:
+    """(rule, verdict) of the longest rule; of equally long ones the one with the longer host."""
     best = None
     for x in reversed(active):
         for n in x.lengths:
@@ -77,7 +71,7 @@ def longest(active: list[_Interval], path: str) -> tuple[int, str, str] | None:
                 if best is None or len(x.host) + n > best[0]:
                     best = (len(x.host) + n, x.host + path[:n], x.paths[path[:n]])
                 break
-    return best
+    return best and best[1:]
 
 
 def split_url(pages: DataFrame) -> DataFrame:
@@ -92,39 +86,49 @@ def split_url(pages: DataFrame) -> DataFrame:
     )
 
 
-def judge_urls(pages: DataFrame, rules: list[str], default: str = "allow") -> DataFrame:
-    """(page_id, host, path, rule, verdict) for every row of pages.
+def judge_urls(pages: DataFrame, rules: list[str] | DataFrame, default: str = "allow") -> DataFrame:
+    """(page_id, host, path, rule, verdict) for every row of pages; rules are lines or a table (host, path, verdict).
 
-    URLs are dealt by ranges of (key, page_id's hash), so one host's rows may
-    lie in many partitions, and sorted by key; each partition is swept once.
-    Where no rule fits, rule is null and verdict is the default. Repeated rows
-    come back as often; an empty table gives an empty one.
+    Pages and rules together are dealt by ranges of (key, hash), so one host's pages may
+    lie in many ranges, and no list of rules is held by the driver or sent to all. A rule's interval may
+    go beyond the range it lies in; so the rules on a range's first key, which are those of the domains above it, are joined to the
+    range. Each range is then sorted and swept once. Intervals cover hosts: a rule fits subdomains too, so
+    host and path together are no prefix of what it fits; the paths of the hosts on the stack are looked up by length.
+    Where no rule fits, rule is null and verdict is the default. Null urls, and those without '://', have an empty host; repeated rows
+    come back as often; other columns are not read; an empty table gives an empty one.
     """
-    parsed = [parse_rule(r) for r in rules]
-    turns = [intervals(parsed[k : k + RULES_AT_ONCE]) for k in range(0, len(parsed), RULES_AT_ONCE)] or [[]]
     spark = pages.sparkSession
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame([parse_rule(r) for r in rules], "host string, path string, verdict string")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = (
-        split_url(pages.select(F.col("page_id"), F.col("url").cast("string").alias("url")))
-        .select("page_id", "host", "path", F.concat(F.array_join(F.reverse(F.split("host", r"\.", -1)), "."), F.lit(".")).alias("key"))
-        .repartitionByRange(width, "key", F.xxhash64("page_id", "path"))
-        .sortWithinPartitions("key")
-        .withColumns({"length": F.lit(-1), "rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    )
-
-    def sweep(ordered: list[_Interval]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            swept = Sweep(ordered)
-            for batch in batches:
-                found = []
-                for key, path, length, rule, verdict in zip(*(batch.column(c).to_pylist() for c in ("key", "path", "length", "rule", "verdict")), strict=True):
-                    new = longest(swept.at(key.encode("utf-8", "surrogatepass")), path)
-                    found.append(new if new and new[0] > length else (length, rule, verdict))
-                made = [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int32(), pa.string(), pa.string()))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "host", "path", "key")), *made], ["page_id", "host", "path", "key", "length", "rule", "verdict"])
-
-        return run
-
-    for ordered in turns:
-        keyed = keyed.mapInArrow(sweep(ordered), keyed.schema)
-    return keyed.select("page_id", "host", "path", "rule", "verdict")
+    kind = pages.schema["page_id"].dataType
+    asked = split_url(pages.select("page_id", F.col("url").cast("string").alias("url"))).select("page_id", "host", "path", F.lit(None).cast("string").alias("verdict"))
+    told = rules.select(F.lit(None).cast(kind).alias("page_id"), F.lower("host").alias("host"), "path", "verdict").distinct()
+    both = asked.unionByName(told).withColumn("key", host_key(F.col("host")))
+    order = ["key", F.col("verdict").isNull(), F.xxhash64("page_id", "path")]
+    both = materialize(both.repartitionByRange(width, *order).withColumn("range", F.spark_partition_id()), "ranges")
+
+    # Domains above a range's first key, each with its key, whose rules lie in an earlier range.
+    label = F.split(F.regexp_replace("low", r"\.$", ""), r"\.", -1)
+    first = both.groupBy("range").agg(F.min("key").alias("low")).select("range", label.alias("label"))
+    above = first.select("range", F.explode(F.transform(F.sequence(F.lit(1), F.size("label")), lambda n: F.concat(F.array_join(F.slice("label", F.lit(1), n), "."), F.lit(".")))).alias("above"))
+    early = both.where("verdict IS NOT NULL").withColumnRenamed("range", "was")
+    brought = early.join(above, early.key == above.above).where(F.col("was") < F.col("range")).select(*both.columns)
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, swept = None, Sweep()
+        for batch in batches:
+            ids, found = [], []
+            for k, (place, key, host, path, verdict) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("range", "key", "host", "path", "verdict")), strict=True)):
+                if place != at:
+                    at, swept = place, Sweep()
+                if verdict is not None:
+                    swept.rule(key, host, path, verdict)
+                else:
+                    ids.append(k)
+                    found.append(longest(swept.at(key), path) or (None, default))
+            rows = batch.take(pa.array(ids, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("page_id", "host", "path")), *(pa.array([x[k] for x in found], pa.string()) for k in (0, 1))], ["page_id", "host", "path", "rule", "verdict"])
+
+    ordered = both.unionByName(brought).repartition(width, "range").sortWithinPartitions("range", "key", F.col("verdict").isNull())
+    return ordered.mapInArrow(sweep, f"page_id {kind.simpleString()}, host string, path string, rule string, verdict string")
