@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from docveil.llm.urls import LOWER, UPPER
 from docveil.llm.words import lower_words
+from docveil.shared import materialize
 
 #: Items indexed and sent to the workers at a time; more are taken in turns over the documents.
 ITEMS_AT_ONCE = 2048
@@ -154,20 +157,18 @@ def item_words(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def indexes(benchmark: DataFrame, grams: int) -> list[Index]:
-    """Indexes of at most about ITEMS_AT_ONCE items each; counts of terms cover all items."""
+def indexes(benchmark: DataFrame, grams: int) -> Iterator[Index]:
+    """Indexes of at most about ITEMS_AT_ONCE items each, one after the other; counts of terms cover all items."""
     held = benchmark.select(F.col("item_id").cast("long").alias("item_id"), item_words(F.col("text").cast("string")).alias("w")).where(F.size("w") > 0)
     n, mean = held.agg(F.count("*"), F.avg(F.size("w"))).first()
     turns = -(-n // ITEMS_AT_ONCE)
     df = held.select(F.explode(F.array_distinct("w")).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    out = []
     for k in range(turns):
         part = held.where(F.pmod(F.xxhash64("item_id", "w"), F.lit(turns)) == k)
         items = [(r[0], [w.encode("utf-8", "surrogatepass") for w in r[1]]) for r in part.collect()]
         own = part.select(F.explode("w").alias("t")).distinct()
         counts = {t.encode("utf-8", "surrogatepass"): c for t, c in df.join(own, "t", "left_semi").collect()}
-        out.append(Index(sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1])), counts, n, mean, grams))
-    return out
+        yield Index(sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1])), counts, n, mean, grams)
 
 
 SCHEMA = "n_candidates long, item_ids array<long>, item_scores array<double>"
@@ -195,20 +196,34 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.55, o
     reaches threshold of what they score for themselves are candidates. A
     candidate counts if the text holds overlap of its word n-grams and
     part_overlap of those of its question and of its answer each. Null and empty
-    texts hold nothing; items without words match nothing; of equal items all are named.
+    texts hold nothing; items without words match nothing; of equal items all are named. Repeated rows come back as
+    often, columns that clash with a new one are replaced.
+    The driver holds, and sends, the index of ITEMS_AT_ONCE items at a time; of a longer benchmark each such part takes a turn over
+    the texts, keeps what it finds by row and is given up before the next.
     """
     made = ["contaminated", "n_candidates", "item_ids", "item_scores"]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
-    out = docs.select(*kept, F.col("text").cast("string").alias("__text"))
-    names = []
-    for turn, index in enumerate(indexes(benchmark, grams)):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
-        out = out.withColumn(f"__hit{turn}", F.arrow_udf(_judge(sent, threshold, overlap, part_overlap), SCHEMA)("__text"))
-        names.append(f"__hit{turn}")
-    if not names:
-        return docs.select(*kept, F.lit(False).alias("contaminated"), F.lit(0).cast("long").alias("n_candidates"), F.array().cast("array<long>").alias("item_ids"), F.array().cast("array<double>").alias("item_scores"))
-    joined = {c: F.concat(*(F.col(f"{h}.{c}") for h in names)) for c in ("item_ids", "item_scores")}
-    total = sum((F.col(f"{h}.n_candidates") for h in names[1:]), F.col(f"{names[0]}.n_candidates"))
-    return out.select(*kept, (F.size(joined["item_ids"]) > 0).alias("contaminated"), total.alias("n_candidates"), joined["item_ids"].alias("item_ids"), joined["item_scores"].alias("item_scores"))
-
-
+    none = F.struct(F.lit(0).cast("long").alias("n_candidates"), F.array().cast("array<long>").alias("item_ids"), F.array().cast("array<double>").alias("item_scores"))
+    parts, spark = indexes(benchmark, grams), docs.sparkSession
+    index, second = next(parts, None), next(parts, None)
+
+    def judged(sent) -> Column:
+        return F.arrow_udf(_judge(sent, threshold, overlap, part_overlap), SCHEMA)("__text")
+
+    rows = docs.select(*kept, F.col("text").cast("string").alias("__text"))
+    if second is None:
+        hit = none if index is None else judged(spark.sparkContext.broadcast(index))
+        return rows.withColumn("__hit", hit).select(*kept, *_result(F.col("__hit")))
+    rows, found = materialize(rows.withColumn("__row", F.monotonically_increasing_id()), "texts"), None
+    for part in itertools.chain([index, second], parts):
+        sent = spark.sparkContext.broadcast(part)
+        hits = materialize(rows.select("__row", judged(sent).alias("h")).where("h.n_candidates > 0").select("__row", "h.*"), "hits")
+        sent.destroy()
+        found = hits if found is None else found.unionByName(hits)
+    each = found.groupBy("__row").agg(F.sum("n_candidates").alias("n_candidates"), F.sort_array(F.collect_list(F.struct("item_ids", "item_scores"))).alias("f"))
+    each = each.withColumns({c: F.flatten(F.col(f"f.{c}")) for c in ("item_ids", "item_scores")}).select("__row", F.struct("n_candidates", "item_ids", "item_scores").alias("__hit"))
+    return rows.join(each, "__row", "left").withColumn("__hit", F.coalesce("__hit", none)).select(*kept, *_result(F.col("__hit")))
+
+
+def _result(hit: Column) -> list[Column]:
+    return [(F.size(hit["item_ids"]) > 0).alias("contaminated"), *(hit[c].alias(c) for c in ("n_candidates", "item_ids", "item_scores"))]
