@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docveil.llm.words import lower_words, slices
-from docveil.shared import free_shuffles, materialize, release
+from docveil.shared import materialize, release
 
 #: The filter grows with the corpus in segments that one task fills each, a power of two and at least so many.
 SEGMENTS, SEGMENT_BITS = 256, 1 << 20
@@ -197,19 +197,16 @@ def score(docs: DataFrame, train: Column, strength: float = 60.0, key: str = "do
     spark = docs.sparkSession
     flagged = docs.select(F.col(key), F.col("text").cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("__train"))
     grams = materialize(gather(flagged.where("__train")), "grams")
-    free_shuffles(spark)
     ones = grams.where("o = 1")
     n_train, n_types = (int(x or 0) for x in ones.agg(F.sum("n"), F.count("*")).first())
     n_texts = int(ones.where(F.col("h") == F.lit(int(np.uint64(xxhash.xxh64_intdigest(b"", 0)).view(np.int64)))).agg(F.sum("n")).first()[0] or 0)
-    top = ones.select("h", "n").orderBy(F.desc("n"), "h").limit(HELD_COUNTS) if n_types > HELD_COUNTS else ones.select("h", "n")
-    top = materialize(top, "top")
+    top = materialize(ones.select("h", "n").orderBy(F.desc("n"), "h").limit(HELD_COUNTS), "top")
     held = top.toArrow()
     order = np.argsort(np.asarray(held.column("h")).view(np.uint64))
     made, segments, hashes = filter_segments(grams)
     made = materialize(made, "filter")
-    free_shuffles(spark)
     exact_counts = spark.sparkContext.broadcast((np.asarray(held.column("h")).view(np.uint64)[order], np.asarray(held.column("n"))[order]))
-    total, rest = float(n_train + n_types + 1), n_types > HELD_COUNTS
+    total = float(n_train + n_types + 1)
 
     def levels(part: pa.RecordBatch, t: Tokens, counts: CountFilter) -> tuple[np.ndarray, np.ndarray]:
         """Levels of each token and of its bigram, those of earlier turns included."""
@@ -248,7 +245,7 @@ def score(docs: DataFrame, train: Column, strength: float = 60.0, key: str = "do
                 p = (np.minimum(seen, context) + strength * p1) / (context + strength)
                 rare_h, rare_n = [], []
                 for a, b in zip(t.bounds[:-1], t.bounds[1:], strict=True):
-                    ids, tf = np.unique(t.ids[a:b], return_counts=True) if rest else (np.empty(0, np.int64), np.empty(0, np.int64))
+                    ids, tf = np.unique(t.ids[a:b], return_counts=True)
                     miss = ~hit[ids]
                     rare_h.append(t.unique[ids[miss]].view(np.int64))
                     rare_n.append(tf[miss])
@@ -271,9 +268,6 @@ def score(docs: DataFrame, train: Column, strength: float = 60.0, key: str = "do
     release(made)
     scored = state.mapInArrow(run, f"{key} {kind}, __train boolean, __row long, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<long>")
     columns = [F.col(key), (~F.col("__train")).alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score"]
-    if not rest:
-        release(grams, top)
-        return scored.select(*columns)
     scored = materialize(scored, "scored")
     pairs = scored.select("__row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("__row", F.col("r.rare").alias("h"), F.col("r.times").alias("tf"))
     more = pairs.join(ones.select("h", "n"), "h").groupBy("__row").agg(F.sum("tf").alias("__known"), F.sum(F.col("tf") * F.log10(F.col("n") + F.lit(1.0))).alias("__base"))

@@ -40,7 +40,8 @@ def balance(hist: DataFrame, sources: DataFrame, cap: float, rounds: int = 40, t
     exp(dual * tilt)), where tilt is the document's size on a logarithmic
     scale. The dual problem is convex and falls apart by source: each round
     is one distributed aggregate over (source, size) counts and one Newton step
-    for every source, halving its bracket instead where the step leaves it.
+    for every source, halving its bracket instead where the step leaves it. Terms
+    are summed as decimals, so sums don't depend on the order in which they arrive.
     """
     state = materialize(sources.withColumns({"dual": F.when(F.col("target") < cap * F.col("source_size"), F.lit(0.0)), "low": F.lit(-64.0), "high": F.lit(64.0)}), "dual")
     rate = _rate(cap)
@@ -50,7 +51,7 @@ def balance(hist: DataFrame, sources: DataFrame, cap: float, rounds: int = 40, t
         sums = (
             hist.join(open_, F.col("source").eqNullSafe(F.col("of")))
             .groupBy("source")
-            .agg(F.sum(tokens * rate).alias("got"), F.sum(F.when(rate < cap, tokens * rate * _tilt()).otherwise(0.0)).alias("slope"))
+            .agg(_exact(tokens * rate).alias("got"), _exact(F.when(rate < cap, tokens * rate * _tilt()).otherwise(0.0)).alias("slope"))
             .withColumnRenamed("source", "of")
         )
         sums = materialize(sums, "sums")
@@ -75,6 +76,10 @@ def balance(hist: DataFrame, sources: DataFrame, cap: float, rounds: int = 40, t
     return state.select("source", "source_size", "target", "dual")
 
 
+def _exact(term: Column) -> Column:
+    return F.sum(term.cast("decimal(28,6)")).cast("double")
+
+
 def _tilt() -> Column:
     """From 0.5 for a word to about 1.5 for a million."""
     return F.lit(0.5) + F.log2(F.lit(1.0) + F.col("size")) / 20
