@@ -24,6 +24,8 @@ SHARED = 4
 SAMPLED, FREQUENT = 1 << 14, 1 << 18
 #: So many names of candidates are sent to the workers at most; more are joined by an exchange of texts.
 SENT_NAMES = 1 << 20
+#: Which other text of a shingle each is compared with before all pairs are, which they are once there are at most so many for each member.
+KINDS_OF_HUBS, MOST_PAIRS = ("popular", "size", "popular", "by chance"), 4
 #: Bytes that a turn moves for each shingle of the corpus, and in any case.
 TURN_BYTES, LEAST_TURN = 2, 1 << 26
 
@@ -250,23 +252,56 @@ def rare_prefixes(docs: DataFrame, shingle_words: int, similarity: float, carry:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def shared_least(size: Column, size2: Column, similarity: float) -> Column:
+    """So many prefix shingles two sets of the similarity share at least.
+
+    Up to the place where the first of the two prefixes ends both hold all common shingles; what comes after is at
+    most the rest of that set. Where the sizes are equal, that is about a ninth of them.
+    """
+    large = F.greatest(size, size2)
+    rest = F.greatest(F.ceil(large * similarity - 1e-9) - SHARED, F.lit(0))
+    overlap = F.ceil((size + size2) * (similarity / (1 + similarity)) - 1e-9)
+    return F.greatest(F.least(F.lit(SHARED), F.ceil(large * similarity - 1e-9)), overlap - rest)
+
+
+def composed(first: DataFrame | None, second: DataFrame) -> DataFrame:
+    """(node, root) of links of two kinds, where second has the components of the first ones' roots and of nodes without any."""
+    if first is None:
+        return second
+    second = second.toDF("__node", "__root")
+    moved = first.join(second, F.col("root") == F.col("__node"), "left").select("node", F.coalesce("__root", "root").alias("root"))
+    alone = second.join(first, F.col("__node") == F.col("node"), "left_anti")
+    return moved.unionByName(alone.toDF("node", "root"))
+
+
 def similar_roots(base: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """(node, root): components of the graph of all pairs of sets of at least the similarity; no pair is lost.
 
     base comes from rare_prefixes(); sets is a function from (f0) to (f0, shingles). Pairs that share
-    SHARED prefix shingles (all they must share, if that is less) are verified exactly. First
-    come neighbours by size at each shingle; later only pairs that those links do not connect already,
-    so that large groups of near copies stay cheap. What moves much runs in turns that bound the disk.
+    enough prefix shingles are verified exactly. While the pairs at the shingles are many more than their members, each member is first compared with one
+    other: with the hub of its shingle, the text that shares most shingles (an original has all that its copies keep), the neighbour by size, or one by chance.
+    What these links connect is not compared again, so that large groups of near copies stay cheap; all pairs that
+    are left come last, in turns that bound the disk.
     """
     room = max(LEAST_TURN, TURN_BYTES * int(base.agg(F.sum("size")).first()[0] or 0))
     spread = base.select("f0", "size", F.explode("prefix").alias("key")).repartition("key").dropDuplicates(["key", "f0"])
     members = materialize(spread.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n"), "members")
-    large = F.greatest("size", "size2")
-    alike = F.least("size", "size2") >= large * similarity - 1e-9
+    first = None
 
-    def candidates(pairs: DataFrame) -> DataFrame:
-        counted = pairs.where(alike).groupBy("f0", "g0", "size", "size2").agg(F.count("*").alias("n"))
-        return counted.where(F.col("n") >= F.least(F.lit(SHARED), F.ceil(large * similarity - 1e-9))).drop("n")
+    def pruned(rows: DataFrame) -> DataFrame:
+        """Members (key, f0, size, root) with popular, how many keys each shares, but for those that can't share enough with any other root of the key.
+
+        Such a one shares too few keys in all for the partner at this key that asks for fewest, the one whose size differs most.
+        """
+        popular = rows.groupBy("f0").agg(F.count("*").cast("int").alias("popular"))
+        ends = rows.groupBy("key").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.min("root").alias("least"), F.max("root").alias("most"))
+        low, high = F.greatest("low", F.ceil(F.col("size") * similarity - 1e-9)), F.least("high", F.floor(F.col("size") / similarity + 1e-9))
+        fewest = F.least(shared_least(F.col("size"), low, similarity), shared_least(F.col("size"), high, similarity))
+        both = rows.drop("popular").join(ends.where("least < most"), "key").join(popular, "f0")
+        return both.where(F.col("popular") >= fewest).select("key", "f0", "size", "root", "popular")
+
+    rest = materialize(pruned(members.withColumn("root", F.col("f0"))), "unlinked")
+    release(members)
 
     def turns(rows: float) -> int:
         return max(1, -(-int(rows) // room))
@@ -274,38 +309,59 @@ def similar_roots(base: DataFrame, sets: Callable[[DataFrame], DataFrame], simil
     def turn(k: int, of: int) -> Column:
         return F.pmod(F.xxhash64("f0", "g0"), F.lit(of)) == k
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def counted(pairs: DataFrame, least: Column) -> DataFrame:
+        alike = F.least("size", "size2") >= F.greatest("size", "size2") * similarity - 1e-9
+        named = ["f0", "g0", "size", "size2", "root", "root2"]
+        return pairs.where(alike).groupBy(*named).agg(F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """(node, root): components of the roots of those pairs that have the similarity."""
         held = materialize(sets(pairs.select("f0").union(pairs.select("g0")).distinct()), "sets")
         of, out = turns(8 * (pairs.agg(F.sum(F.col("size").cast("long") + F.col("size2"))).first()[0] or 0)), None
         for k in range(of):
-            left = pairs.where(turn(k, of)).select("f0", "g0").join(held.withColumnRenamed("shingles", "s1"), "f0")
+            left = pairs.where(turn(k, of)).join(held.withColumnRenamed("shingles", "s1"), "f0")
             both = left.join(held.withColumnsRenamed({"f0": "g0", "shingles": "s2"}), "g0")
-            good = materialize(both.where(_jaccard(F.col("s1"), F.col("s2")) >= similarity).select("f0", "g0"), "similar")
+            good = materialize(both.where(_jaccard(F.col("s1"), F.col("s2")) >= similarity).select("root", "root2").distinct(), "similar")
             out = good if out is None else out.unionByName(good)
         release(held)
-        return out
-
-    by_size = Window.partitionBy("key").orderBy("size", "f0")
-    chain = members.withColumns({"g0": F.lag("f0").over(by_size), "size2": F.lag("size").over(by_size)}).where("g0 IS NOT NULL")
-    near = verified(materialize(candidates(chain), "neighbours"))
-    first = materialize(connected_components(near.toDF("u", "v")), "near_roots")
-    joined = members.join(first.withColumnRenamed("node", "f0"), "f0", "left").withColumn("root", F.coalesce("root", "f0"))
-    at_key = Window.partitionBy("key")
-    rest = materialize(joined.withColumns({"least": F.min("root").over(at_key), "most": F.max("root").over(at_key)}).where("least < most").drop("least", "most"), "unlinked")
-    release(members)
-    of, found = turns(12 * (rest.groupBy("key").count().agg(F.sum(F.expr("double(count) * (count - 1)"))).first()[0] or 0)), None
-    other = rest.select("key", F.col("f0").alias("g0"), F.col("size").alias("size2"), F.col("root").alias("root2"))
+        return connected_components(out.toDF("u", "v"))
+
+    def beside(rows: DataFrame, kind: str) -> DataFrame:
+        """Each member with one member of its key that has another root."""
+        if kind == "size":
+            order = Window.partitionBy("key").orderBy("size", "f0")
+            chosen = rows.withColumn("other", F.lag(F.struct("f0", "size", "root")).over(order)).where("other.root <> root")
+        else:
+            by = F.col("popular") if kind == "popular" else F.xxhash64("f0", F.lit(kind))
+            one = F.struct(by.alias("by"), "f0", "size", "root")
+            hub = rows.join(rows.groupBy("key").agg(F.max(one).alias("hub")), "key")
+            second = hub.where("hub.root <> root").groupBy("key").agg(F.max(one).alias("second"))
+            chosen = hub.join(second, "key").withColumn("other", F.when(F.col("hub.root") == F.col("root"), F.col("second")).otherwise(F.col("hub")))
+        low = F.col("f0") < F.col("other.f0")
+        either = lambda a, b: F.when(low, a).otherwise(b)
+        ends = [(n, F.col(n), F.col(f"other.{n}")) for n in ("f0", "size", "root")]
+        return chosen.select(*(either(a, b).alias(n) for n, a, b in ends), *(either(b, a).alias({"f0": "g0"}.get(n, f"{n}2")) for n, a, b in ends))
+
+    last, pairs = None, 0
+    for kind in (*KINDS_OF_HUBS, None):
+        before, rest = rest, materialize(pruned(rest), "unlinked")
+        release(before)
+        each = rest.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+        rows, pairs = each.agg(F.sum("n"), F.sum(F.expr("(double(n) * n - own) / 2"))).first()
+        if kind is None or (pairs or 0) <= MOST_PAIRS * (rows or 0) or (last and pairs > 0.9 * last):
+            break
+        last = pairs
+        found = linked(materialize(counted(beside(rest, kind), F.lit(2)), "neighbours"))
+        first = materialize(composed(first, found), "near_roots")
+        rest = rest.drop("root").join(first.withColumnRenamed("node", "f0"), "f0", "left").withColumn("root", F.coalesce("root", "f0"))
+    other = rest.select("key", F.col("f0").alias("g0"), F.col("size").alias("size2"), F.col("root").alias("root2"), F.col("popular").alias("popular2"))
+    least = shared_least(F.col("size"), F.col("size2"), similarity)
+    of, left = turns(24 * (pairs or 0)), None
     for k in range(of):
-        part = materialize(candidates(rest.join(other, "key").where((F.col("f0") < F.col("g0")) & (F.col("root") != F.col("root2")) & turn(k, of))), "candidates")
-        found = part if found is None else found.unionByName(part)
-    # Links of the second kind join whole components of the first.
-    ends = verified(found)
-    for end in ("f0", "g0"):
-        ends = ends.join(first.toDF("__node", "__root"), F.col(end) == F.col("__node"), "left").withColumn(end, F.coalesce("__root", end)).drop("__node", "__root")
-    second = materialize(connected_components(ends.toDF("u", "v")), "far_roots").toDF("__node", "__root")
-    moved = first.join(second, F.col("root") == F.col("__node"), "left").select("node", F.coalesce("__root", "root").alias("root"))
-    alone = second.join(first, F.col("__node") == F.col("node"), "left_anti")
-    return moved.unionByName(alone.toDF("node", "root"))
+        met = rest.join(other, "key").where((F.col("f0") < F.col("g0")) & (F.col("root") != F.col("root2")) & (F.least("popular", "popular2") >= least) & turn(k, of))
+        part = materialize(counted(met, least), "candidates")
+        left = part if left is None else left.unionByName(part)
+    return composed(first, linked(left))
 
 
 def similar_documents(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, carry: list[str] | None = None) -> DataFrame:

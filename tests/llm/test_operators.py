@@ -170,10 +170,12 @@ def test_similar_documents(spark):
         assert n > 40 and sum(wrong.values()) <= 3, wrong
 
 
-def test_similar_documents_whole(spark):
+@pytest.mark.parametrize("most", [4, 0])
+def test_similar_documents_whole(spark, monkeypatch, most):
     """Every pair of 0.8 or more is linked, whether text was appended or a block replaced, near the bound too."""
     from docveil.llm import simhash
 
+    monkeypatch.setattr(simhash, "MOST_PAIRS", most)  # all pairs at once, or hubs before
     rnd = random.Random(17)
     prose = lambda n: [f"w{rnd.randrange(4000)}" for _ in range(n)]
     block, rows, want = prose(12), [], {}
