@@ -6,19 +6,24 @@ follow from running lengths; they are code points, half-open. A pattern must not
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "struct<start:int,end:int,value:string>"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def spans(text: Column, pattern: str | Column) -> Column:
     """array<struct<start, end, value>> in the order of the text; empty for a null text."""
     whole = F.coalesce(text, F.lit(""))
-    found = F.regexp_extract_all(whole, F.lit(pattern), F.lit(0))
-    gaps = F.split(whole, F.lit(pattern), F.lit(-1))
-    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    none = F.array().cast(f"array<{SPAN}>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         low = acc["at"] + F.length(x["gap"])
@@ -26,7 +31,12 @@ def spans(text: Column, pattern: str | Column) -> Column:
         made = F.struct(low.alias("start"), high.alias("end"), x["value"].alias("value"))
         return F.struct(high.alias("at"), F.concat(acc["out"], F.array(made)).alias("out"))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    def placed(found: Column) -> Column:
+        gaps = F.slice(F.split(whole, F.lit(pattern), F.lit(-1)), F.lit(1), F.size(found))
+        pairs = F.arrays_zip(gaps.alias("gap"), found.alias("value"))
+        return F.when(F.size(found) == 0, none).otherwise(F.aggregate(pairs, start, step, lambda acc: acc["out"]))
+
+    return let(F.regexp_extract_all(whole, F.lit(pattern), F.lit(0)), placed)
 
 
 def group_spans(text: Column, pattern: str, group: int) -> Column:
@@ -48,5 +58,5 @@ def quoted(text: Column) -> Column:
 
 def starts(text: Column, needle: Column) -> Column:
     """array<int>: every place of a needle, overlapping ones too. Only its first character is matched, the rest is looked ahead at."""
-    pattern = F.concat(quoted(F.substring(needle, 1, 1)), F.lit("(?="), quoted(F.substring(needle, 2, 1 << 20)), F.lit(")"))
+    pattern = F.concat(quoted(F.substring(needle, 1, 1)), F.lit("(?="), quoted(F.substring(needle, F.lit(2), F.length(needle))), F.lit(")"))
     return F.transform(spans(text, pattern), lambda s: s["start"])

@@ -188,15 +188,21 @@ def safe_filename(name: Column, fallback: str = "document", width: int = 60) ->
     return F.when(F.coalesce(s, F.lit("")) == "", F.lit(fallback)).otherwise(s)
 
 
+def xml_escape(text: Column) -> Column:
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(mark), F.lit(name))
+    return text
+
+
 def strip_subset(font: Column) -> Column:
     return F.regexp_replace(font, r"^[A-Z]{6}\+", "")
 
 
-def role_alternatives(words: list[str]) -> str:
+def role_alternatives(words) -> str:
     """Words of roles as one alternation; their Danish letters may be written out."""
     spelled = [re.sub("[æøå]", lambda m: {"æ": "(?:æ|ae)", "ø": "(?:ø|oe)", "å": "(?:å|aa)"}[m[0]], w) for w in words]
     return "|".join(w.replace(".", r"\.") for w in spelled)
 
 
-def role_pattern(words: list[str]) -> str:
+def role_pattern(words) -> str:
     return r"(?<![\wÆØÅæøå])(" + role_alternatives(words) + r")(?![\wÆØÅæøå])"

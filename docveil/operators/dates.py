@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import datetime
 import re
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docveil.functions.matches import let
+
 # Month names of eight languages.
 MONTH_WORDS = (
     "januar january januari jänner janvier janv enero ene jan jän",
@@ -26,24 +28,21 @@ MONTH_WORDS = (
 )
 MONTHS = {w: k for k, words in enumerate(MONTH_WORDS, 1) for w in words.split()}
 _NAMES = "|".join(sorted(MONTHS, key=len, reverse=True))
-_PIECES = {
-    "D": r"(?<d>[0-9]{2})", "d": r"(?<d>[0-9]{1,2})", "M": r"(?<m>[0-9]{2})", "m": r"(?<m>[0-9]{1,2})", "Y": r"(?<y>[0-9]{4})", "y": r"(?<y>[0-9]{2})", "z": r"(?<y>[0-9]{4}|[0-9]{2})",
-    "N": rf"(?<!\p{{L}})(?<m>{_NAMES})\.?(?!\p{{L}})", "-": r"(?<s>[-._ ])", "=": r"\k<s>", "~": r"[-._ ]", "_": r"[-._ ,]*", "(": r"(?<![0-9])", ")": r"(?![0-9])", ".": r"\.?", "t": r"(?:st|nd|rd|th)?",
-}
+_MONTH = rf"(?<!\p{{L}})(?<m>{_NAMES})\.?(?!\p{{L}})"
 
 
 @dataclass(frozen=True)
 class DateRule:
-    """form is spelled in the letters of _PIECES; order is that of day and month where it could be the other."""
+    """A pattern with groups y, m and maybe d; order is that of day and month where it could be the other."""
 
     key: str
-    form: str
+    pattern: str
     order: str = ""
-    pattern: str = ""
+    template: str = ""
 
     @property
     def regex(self) -> str:
-        return "(?iu)" + (self.pattern or "".join(_PIECES[c] for c in self.form))
+        return "(?iu)" + self.pattern
 
     @property
     def has_day(self) -> bool:
@@ -52,7 +51,7 @@ class DateRule:
     @property
     def named(self) -> bool:
         """May the month be a name?"""
-        return "N" in self.form or bool(self.pattern)
+        return "(?<m>[0-9]" not in self.pattern
 
     def group(self, name: str) -> int:
         """The number of a named group, 0 if there is none."""
@@ -61,14 +60,26 @@ class DateRule:
 
 
 # The known formats in their priority.
-RULES = tuple(
-    DateRule(*r)
-    for r in (
-        ("ddmmyyyy", "(DMY)", "dm"), ("yyyymmdd", "(YMD)"), ("d-m-y", "(d-m=z)", "dm"), ("y-m-d", "(Y-m=d)"), ("d-month-y", "(d._N_z)"), ("month-d-y", "N_dt_Y)"),
-        ("y-month-d", "(Y_N_d)"), ("ddmmyy", "(DMy)", "dm"), ("yymmdd", "(yMD)"), ("mmddyyyy", "(MDY)", "md"), ("m-d-y", "(m-d=z)", "md"), ("mmddyy", "(MDy)", "md"),
-        ("month-y", "N_Y)"), ("y-month", "(Y_N"), ("m-y", "(m~Y)"), ("y-m", "(Y~m)"), ("yyyymm", "(YM)"), ("mmyyyy", "(MY)"),
-    )
-)
+RULES = (
+    DateRule("ddmmyyyy", r"(?<![0-9])(?<d>[0-9]{2})(?<m>[0-9]{2})(?<y>[0-9]{4})(?![0-9])", "dm", "ddmmyyyy"),
+    DateRule("yyyymmdd", r"(?<![0-9])(?<y>[0-9]{4})(?<m>[0-9]{2})(?<d>[0-9]{2})(?![0-9])", "", "yyyymmdd"),
+    DateRule("d-m-y", r"(?<![0-9])(?<d>[0-9]{1,2})(?<s>[-._ ])(?<m>[0-9]{1,2})\k<s>(?<y>[0-9]{4}|[0-9]{2})(?![0-9])", "dm", "dd-mm-yyyy"),
+    DateRule("y-m-d", r"(?<![0-9])(?<y>[0-9]{4})(?<s>[-._ ])(?<m>[0-9]{1,2})\k<s>(?<d>[0-9]{1,2})(?![0-9])", "", "yyyy-mm-dd"),
+    DateRule("d-month-y", rf"(?<![0-9])(?<d>[0-9]{{1,2}})\.?[-._ ,]*{_MONTH}[-._ ,]*(?<y>[0-9]{{4}}|[0-9]{{2}})(?![0-9])", "", "dd month yyyy"),
+    DateRule("month-d-y", rf"{_MONTH}[-._ ,]*(?<d>[0-9]{{1,2}})(?:st|nd|rd|th)?[-._ ,]*(?<y>[0-9]{{4}})(?![0-9])", "", "month dd yyyy"),
+    DateRule("y-month-d", rf"(?<![0-9])(?<y>[0-9]{{4}})[-._ ,]*{_MONTH}[-._ ,]*(?<d>[0-9]{{1,2}})(?![0-9])", "", "yyyy month dd"),
+    DateRule("ddmmyy", r"(?<![0-9])(?<d>[0-9]{2})(?<m>[0-9]{2})(?<y>[0-9]{2})(?![0-9])", "dm", "ddmmyy"),
+    DateRule("yymmdd", r"(?<![0-9])(?<y>[0-9]{2})(?<m>[0-9]{2})(?<d>[0-9]{2})(?![0-9])", "", "yymmdd"),
+    DateRule("mmddyyyy", r"(?<![0-9])(?<m>[0-9]{2})(?<d>[0-9]{2})(?<y>[0-9]{4})(?![0-9])", "md", "mmddyyyy"),
+    DateRule("m-d-y", r"(?<![0-9])(?<m>[0-9]{1,2})(?<s>[-._ ])(?<d>[0-9]{1,2})\k<s>(?<y>[0-9]{4}|[0-9]{2})(?![0-9])", "md", "mm-dd-yyyy"),
+    DateRule("mmddyy", r"(?<![0-9])(?<m>[0-9]{2})(?<d>[0-9]{2})(?<y>[0-9]{2})(?![0-9])", "md", "mmddyy"),
+    DateRule("month-y", rf"{_MONTH}[-._ ,]*(?<y>[0-9]{{4}})(?![0-9])", "", "month yyyy"),
+    DateRule("y-month", rf"(?<![0-9])(?<y>[0-9]{{4}})[-._ ,]*{_MONTH}", "", "yyyy month"),
+    DateRule("m-y", r"(?<![0-9])(?<m>[0-9]{1,2})[-._ ](?<y>[0-9]{4})(?![0-9])", "", "mm-yyyy"),
+    DateRule("y-m", r"(?<![0-9])(?<y>[0-9]{4})[-._ ](?<m>[0-9]{1,2})(?![0-9])", "", "yyyy-mm"),
+    DateRule("yyyymm", r"(?<![0-9])(?<y>[0-9]{4})(?<m>[0-9]{2})(?![0-9])", "", "yyyymm"),
+    DateRule("mmyyyy", r"(?<![0-9])(?<m>[0-9]{2})(?<y>[0-9]{4})(?![0-9])", "", "mmyyyy"),
+)
 
 
 def month_number(word: Column, named: bool = True) -> Column:
@@ -93,23 +104,34 @@ def make_date(year: Column, month: Column, day: Column, today: datetime.date, na
     return F.try_to_date(text, "yyyy-MM-dd")
 
 
-def parse_rule(name: Column, rule: DateRule, today: datetime.date) -> Column:
-    """The first valid date in a name; an invalid match does not hide a later one."""
-    whole = F.regexp_extract_all(name, F.lit(rule.regex), F.lit(0))
+def parse_rule(name: Column, rule: DateRule, today: datetime.date, may: Column | None = None) -> Column:
+    """The first valid date in a name; an invalid match does not hide a later one. Nothing is looked for where may is false."""
 
-    def part(k: str) -> Column:
+    def part(k: str, whole: Column) -> Column:
         g = rule.group(k)
         return F.regexp_extract_all(name, F.lit(rule.regex), F.lit(g)) if g else F.transform(whole, lambda _: F.lit(""))
 
-    fields = F.arrays_zip(part("y").alias("y"), part("m").alias("m"), part("d").alias("d"))
-    dates = F.transform(fields, lambda f: make_date(f["y"], f["m"], f["d"], today, rule.named))
-    return F.when(name.rlike(rule.regex), F.try_element_at(F.filter(dates, lambda d: d.isNotNull()), F.lit(1)))
+    def first(whole: Column) -> Column:
+        fields = F.arrays_zip(part("y", whole).alias("y"), part("m", whole).alias("m"), part("d", whole).alias("d"))
+        dates = F.transform(fields, lambda f: make_date(f["y"], f["m"], f["d"], today, rule.named))
+        return F.try_element_at(F.filter(dates, lambda d: d.isNotNull()), F.lit(1))
+
+    there = name.rlike(rule.regex) if may is None else may & name.rlike(rule.regex)
+    return F.when(there, let(F.regexp_extract_all(name, F.lit(rule.regex), F.lit(0)), first))
+
+
+def parse_rules(names: DataFrame, rules: tuple[DateRule, ...] | list[DateRule], today: datetime.date) -> DataFrame:
+    """names with an array dates, one element for each rule; rules of month names are tried where a name holds one."""
+    guarded = names.withColumn("__month", F.col("name").rlike(f"(?iu)(?:{_NAMES})"))
+    each = [parse_rule(F.col("name"), r, today, F.col("__month") if r.named and r.key != "manual" else None) for r in rules]
+    return guarded.withColumn("dates", F.array(*each)).drop("__month")
 
 
 def rule_hits(names: DataFrame, today: datetime.date, rules: tuple[DateRule, ...] = RULES) -> DataFrame:
     """(rule, prio, has_day, hits, all_on_20): one aggregate over the names for all rules."""
-    parsed = names.select(*(parse_rule(F.col("name"), r, today).alias(r.key) for r in rules))
-    aggs = [a for r in rules for a in (F.count(F.col(f"`{r.key}`")).alias(f"h_{r.key}"), F.bool_and(F.dayofmonth(F.col(f"`{r.key}`")) == 20).alias(f"t_{r.key}"))]
+    parsed = parse_rules(names.select("name"), rules, today)
+    found = lambda k: F.col("dates")[k]
+    aggs = [a for k, r in enumerate(rules) for a in (F.count(found(k)).alias(f"h_{r.key}"), F.bool_and(F.dayofmonth(found(k)) == 20).alias(f"t_{r.key}"))]
     one = parsed.agg(*aggs)
     rows = F.array(*(F.struct(F.lit(r.key).alias("rule"), F.lit(k).alias("prio"), F.lit(r.has_day).alias("has_day"), F.col(f"`h_{r.key}`").alias("hits"), F.coalesce(F.col(f"`t_{r.key}`"), F.lit(False)).alias("all_on_20")) for k, r in enumerate(rules)))
     return one.select(F.explode(rows).alias("r")).select("r.*")
@@ -140,9 +162,10 @@ def date_names(names: DataFrame, today: datetime.date, rules: tuple[DateRule, ..
     chain = choose_chain([tuple(r) for r in rule_hits(names, today, rules).collect()], rules)
     if not chain:
         return names.withColumn("rule", F.lit(None).cast("string")).withColumn("date", F.lit(None).cast("date"))
-    tried = F.array(*(F.struct(F.lit(r.key).alias("rule"), parse_rule(F.col("name"), r, today).alias("date")) for r in chain))
-    best = F.try_element_at(F.filter(tried, lambda t: t["date"].isNotNull()), F.lit(1))
-    return names.withColumn("rule", best["rule"]).withColumn("date", best["date"])
+    keys = F.array(*(F.lit(r.key) for r in chain))
+    tried = F.filter(F.arrays_zip(keys.alias("rule"), F.col("dates").alias("date")), lambda t: t["date"].isNotNull())
+    parsed = parse_rules(names, chain, today).withColumn("__best", F.try_element_at(tried, F.lit(1)))
+    return parsed.withColumn("rule", F.col("__best.rule")).withColumn("date", F.col("__best.date")).drop("__best", "dates")
 
 
 class MarkError(ValueError):
@@ -183,7 +206,7 @@ def rule_from_marks(example: str, marks: dict[str, tuple[int, int]]) -> DateRule
     first, last = placed[0][0], placed[-1][1] - 1
     head = (r"(?<![0-9])" if not digit(first - 1) else "") if digit(first) else r"(?<!\p{L})"
     tail = (r"(?![0-9])" if not digit(last + 1) else "") if digit(last) else r"(?!\p{L})"
-    return replace(DateRule("manual", ""), pattern=head + body + tail)
+    return DateRule("manual", head + body + tail)
 
 
 def file_date(date: Column) -> Column:
@@ -193,5 +216,4 @@ def file_date(date: Column) -> Column:
 
 def rule_template(rule: DateRule) -> str:
     """A readable template, such as dd-mm-yyyy."""
-    shown = {"D": "dd", "d": "dd", "M": "mm", "m": "mm", "Y": "yyyy", "y": "yy", "z": "yyyy", "N": "month", "-": "-", "=": "-", "~": "-", "_": " "}
-    return "".join(shown.get(c, "") for c in rule.form).strip()
+    return rule.template

@@ -9,9 +9,11 @@ words lift a score, are this library's own.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,6 +111,12 @@ def pattern_spans(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
     return pages.select("page_uid", "text", F.explode(F.concat(*each)).alias("s")).select("page_uid", "text", "s.*")
 
 
+def _around(text: Column, start: Column, end: Column) -> Column:
+    from docveil.functions.text import context_for
+
+    return context_for(text, start, end)
+
+
 def postal_candidates(value: Column) -> Column:
     """The match and its shorter beginnings, cut at blanks and hyphens, longest first."""
     cuts = F.filter(F.sequence(F.lit(5), F.greatest(F.length(value), F.lit(5))), lambda n: F.substring(value, n + 1, 1).rlike(r"^[ \t-]?$"))
@@ -131,12 +139,13 @@ def postal_match(values: DataFrame, codes: DataFrame, value: str = "value") -> D
     return joined.withColumn("accepted", (F.col("__f") != "") & (near | F.col("__town").isNotNull())).drop("__c", "__f", "__code", "__want", "__town")
 
 
-def validated_postal(found: DataFrame, codes: DataFrame) -> DataFrame:
+def validated_postal(found: DataFrame, codes: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """Each postal match cut to its longest valid beginning; those without one are dropped."""
     tried = found.withColumn("__id", F.monotonically_increasing_id()).select("*", F.posexplode(postal_candidates(F.col("value"))).alias("__k", "__v"))
     good = postal_match(tried.drop("value").withColumnRenamed("__v", "value"), codes).where("accepted")
-    first = good.groupBy("page_uid", "entity", "start", "__id").agg(F.min_by("value", "__k").alias("value"))
-    return first.select("page_uid", "entity", "start", (F.col("start") + F.length("value")).cast("int").alias("end"), "value", F.lit(1.0).alias("score"))
+    held = ["page_uid", "entity", "start", *(carry or [])]
+    first = good.groupBy(*held, "__id").agg(F.min_by("value", "__k").alias("value"))
+    return first.select(*held, (F.col("start") + F.length("value")).cast("int").alias("end"), "value", F.lit(1.0).alias("score"))
 
 
 def with_context(text: Column, entity: Column, start: Column, score: Column) -> Column:
@@ -184,13 +193,14 @@ def _sorted(found: Column, keys: Callable[[Column], list[Column]]) -> Column:
     return F.transform(F.array_sort(keyed), lambda x: x["s"])
 
 
-def detect(pages: DataFrame, codes: DataFrame | None = None, extra: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, ocr: str | None = None) -> DataFrame:
+def detect(pages: DataFrame, codes: DataFrame | None = None, extra: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, ocr: str | None = None, context: bool = False) -> DataFrame:
     """All spans of pages(page_uid, text), validated, merged and pruned.
 
     codes validates postal towns; without it they are left out. extra has
     further spans (page_uid, entity, start, end, value, score), such as
     names. Possible identity numbers (CPR_LOOSE) stay only on pages where the column named
-    by ocr is true. Texts are read once; only spans are shuffled, by page.
+    by ocr is true. Texts are read once; only spans are shuffled, by page. With context each span keeps the text around it
+    as it is found (null for extra ones), so that nothing has to fetch its text again.
     """
     plain = tuple(r for r in rules if r.entity != E.POSTAL and (ocr or r.entity != E.CPR_LOOSE))
     source = pages.select("page_uid", "text", (F.coalesce(F.col(ocr), F.lit(False)) if ocr else F.lit(False)).alias("__ocr"))
@@ -199,28 +209,74 @@ def detect(pages: DataFrame, codes: DataFrame | None = None, extra: DataFrame |
     say = verdict(F.col("entity"), F.col("value"))
     scored = found.withColumn("__say", say).where("coalesce(__say, true)").withColumn("score", F.when(F.col("__say"), F.lit(1.0)).otherwise(with_context(F.col("text"), F.col("entity"), F.col("start"), F.col("score"))))
     columns = ["page_uid", "entity", "start", "end", "value", "score"]
+    if context:
+        columns.append("context")
+        scored = scored.withColumn("context", _around(F.col("text"), F.col("start"), F.col("end")))
     every = scored.select(*columns)
     if codes is not None and any(r.entity == E.POSTAL for r in rules):
-        postal = pattern_spans(pages.select("page_uid", "text"), tuple(r for r in rules if r.entity == E.POSTAL)).drop("text")
-        every = every.unionByName(validated_postal(postal, codes).select(*columns))
+        postal = pattern_spans(pages.select("page_uid", "text"), tuple(r for r in rules if r.entity == E.POSTAL))
+        postal = postal.withColumn("context", _around(F.col("text"), F.col("start"), F.col("end"))) if context else postal
+        every = every.unionByName(validated_postal(postal.drop("text"), codes, columns[6:]).select(*columns))
     if extra is not None:
-        every = every.unionByName(extra.select(*columns))
+        every = every.unionByName((extra.withColumn("context", F.lit(None).cast("string")) if context else extra).select(*columns))
     every = every.where(F.col("score") >= SCORE_THRESHOLD)
-    grouped = every.groupBy("page_uid").agg(F.collect_list(F.struct("entity", "start", "end", "value", "score")).alias("s"))
+    grouped = every.groupBy("page_uid").agg(F.collect_list(F.struct(*columns[1:])).alias("s"))
     return grouped.select("page_uid", F.explode(prune_overlaps(merge_duplicates(F.col("s")))).alias("s")).select("page_uid", "s.*")
 
 
+#: Characters that can't be seen, which a search passes over.
+INVISIBLE = frozenset("\u00ad\u200b\u200c\u200d\ufeff")
+
+
+def folded(text: str) -> tuple[str, list[int], list[int]]:
+    """text in the form that a search compares, with the start and end in text of what each of its characters stands for.
+
+    Compatibility form (NFKC), without invisible characters, white space single, case-folded. Marks are taken together with the character before them.
+    """
+    out, low, high, at = [], [], [], 0
+    while at < len(text):
+        end = at + 1
+        while end < len(text) and unicodedata.combining(text[end]):
+            end += 1
+        for c in unicodedata.normalize("NFKC", text[at:end]):
+            if c in INVISIBLE or (c.isspace() and out and out[-1] == " "):
+                continue
+            for f in " " if c.isspace() else c.casefold():
+                out.append(f)
+                low.append(at)
+                high.append(end)
+        at = end
+    return "".join(out), low, high
+
+
 def search_occurrences(pages: DataFrame, query: str) -> DataFrame:
-    """Every place of query in the texts, overlapping ones too, case-folded: (page_uid, start, end).
+    """Every place of query in the texts, overlapping ones too, in folded form on both sides: (page_uid, start, end).
 
-    Compared after lower-casing, which keeps lengths; white space counts as one blank where the texts have single blanks.
+    Where folding is just lower-casing, as in plain texts without runs of blanks, built-in functions do it; only other texts go through an Arrow UDF.
     """
-    needle = " ".join(query.lower().split())
+    needle = folded(query)[0].strip()
     n = len(needle)
     if not n:
         return pages.select("page_uid", F.lit(0).alias("start"), F.lit(0).alias("end")).where("false")
-    low = F.lower("text")
-    return pages.where(low.contains(needle)).select("page_uid", F.explode(starts(low, F.lit(needle))).alias("start")).withColumn("end", F.col("start") + n)
+
+    @F.arrow_udf("array<struct<start:int,end:int>>")
+    def places(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts:
+            hay, low, high = folded(t.as_py() or "")
+            found, k = [], hay.find(needle)
+            while k >= 0:
+                found.append({"start": low[k], "end": high[k + n - 1]})
+                k = hay.find(needle, k + 1)
+            out.append(found)
+        return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+
+    plain = ~F.col("text").rlike(r"[^\x00-\x7F]|[\x1c-\x1f]|\s\s")
+    low = F.lower(F.translate("text", "\t\n\r\x0b\x0c", "     "))
+    own = F.transform(F.when(low.contains(needle), starts(low, F.lit(needle))), lambda s: F.struct(s.alias("start"), (s + n).alias("end")))
+    tagged = pages.select("page_uid", "text", plain.alias("plain"))
+    found = tagged.select("page_uid", F.when(F.col("plain"), own).otherwise(places(F.when(~F.col("plain"), F.col("text")))).alias("found"))
+    return found.select("page_uid", F.explode("found").alias("f")).select("page_uid", "f.start", "f.end")
 
 
 def overlapping(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -242,13 +298,37 @@ hr fru frk hr. fru. frk. mr mrs ms miss dr sir madam mr. mrs. ms. dr.""".split()
 INSTITUTIONS = r"^(?:Retten|Byretten|Landsretten|Østre|Vestre|Højesteret|Sø-\s*og\s*Handelsretten|Statsforvaltningen|Familieretshuset|Politiet|Anklagemyndigheden)(?![\wæøå])"
 
 
-def plausible_names(names: DataFrame) -> DataFrame:
-    """Of spans of names those that are no institution, number, stop word, abbreviation or scanning noise."""
+COURT_SEAT = r"(?:Retten|Byretten|Landsretten|Sø-\s*og\s*Handelsretten|Familieretshuset|Politiet)\s+i\s*$"
+NAMES = (E.PERSON, E.ORGANIZATION, E.LOCATION)
+
+
+def plausible_names(names: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Of spans of names those that are no institution, number, stop word, abbreviation or scanning noise.
+
+    With pages (page_uid, text) the seat of a court is none either. names may bring a tagger's evidence: has_name (some word is a proper noun),
+    keeps_capital (its lemma is), is_name_lower (some word is one when written small; null where that was not asked) and words.
+    A span that fails by is_name_lower alone is saved if all its words stand in spans of the page that pass.
+    """
     from docveil.functions.text import looks_like_words
 
     v = F.btrim("value")
-    bad = v.rlike(INSTITUTIONS) | v.rlike(r"\d") | F.lower(v).isin(*sorted(NAME_STOPWORDS)) | (F.length(v) < 2) | ~looks_like_words(v) | ((F.length(v) <= 4) & (F.upper(v) == v) & (F.lower(v) != v))
-    return names.where(~F.col("entity").isin(E.PERSON, E.ORGANIZATION, E.LOCATION) | ~bad)
+    none = v.rlike(INSTITUTIONS) | v.rlike(r"\d")
+    noise = F.lower(v).isin(*sorted(NAME_STOPWORDS)) | (F.length(v) < 2) | ~looks_like_words(v) | ((F.length(v) <= 4) & (F.upper(v) == v) & (F.lower(v) != v))
+    rows = names
+    if pages is not None:
+        rows = rows.join(pages.select("page_uid", F.col("text").alias("__text")), "page_uid", "left")
+        before = F.substring("__text", F.greatest(F.col("start") - 40, F.lit(0)) + 1, F.least(F.col("start"), F.lit(40)))
+        noise = noise | ((F.col("entity") == E.LOCATION) & F.coalesce(before.rlike(COURT_SEAT), F.lit(False)))
+    other = ~F.col("entity").isin(*NAMES)
+    if "has_name" not in names.columns:
+        return rows.where(other | ~(none | noise)).select(*names.columns)
+    named = ~none & F.col("has_name") & F.col("keeps_capital")
+    asked = F.coalesce(F.col("is_name_lower"), F.lit(True))
+    tagged = rows.withColumns({"__sure": ~other & named & asked, "__low": F.transform("words", lambda w: F.lower(w)), "__keep": other | (named & asked & ~noise), "__try": ~other & named & ~asked})
+    sure = tagged.where("__sure").groupBy("page_uid").agg(F.array_distinct(F.flatten(F.collect_list("__low"))).alias("__known"))
+    known = F.coalesce("__known", F.array().cast("array<string>"))
+    saved = F.col("__try") & (F.size("__low") > 0) & (F.size(F.array_except("__low", known)) == 0)
+    return tagged.join(sure, "page_uid", "left").where(F.col("__keep") | saved).select(*names.columns)
 
 
 def first_seen(table: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

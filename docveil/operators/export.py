@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docveil.functions.text import demote_headings, strip_markdown, table_cells
+from docveil.functions.matches import quoted
+from docveil.functions.text import clean_markdown, demote_headings, strip_markdown, table_cells, xml_escape
 
 FRAME_LINES = 4
 #: File endings and names of output formats.
@@ -113,6 +114,56 @@ def table_headers(words: DataFrame, tables: DataFrame, band: float = 2.0) -> Dat
     return grouped.select("page_uid", "table_id", names.alias("header")).where(F.exists("header", lambda h: h != ""))
 
 
+def without_frames(tables: DataFrame) -> DataFrame:
+    """tables (..., rows) but for those that are frames around text."""
+    return tables.where(~is_frame(F.col("rows")))
+
+
+def table_row(cells: Column) -> Column:
+    return F.concat(F.lit("|"), F.array_join(cells, "|"), F.lit("|"))
+
+
+def restore_headers(texts: DataFrame, headers: DataFrame) -> DataFrame:
+    """texts (page_uid, text) with the true headers of tables; the row that stood in their place comes below as data.
+
+    headers: (page_uid, table_id, names, header): a table's header cells as they were extracted, null or empty where it has none, and the words found
+    above it by column. The extracted row shows empty cells as Col1, Col2, ...
+    """
+    said = F.transform("names", lambda n: F.replace(F.coalesce(n, F.lit("")), F.lit("\n"), F.lit("<br>")))
+    shown = F.transform(said, lambda n, k: F.when(n == "", F.concat(F.lit("Col"), k + 1)).otherwise(n))
+    rule = table_row(F.transform("names", lambda n: F.lit("---")))
+    rows = headers.select("page_uid", F.struct("table_id", table_row(shown).alias("old"), table_row(said).alias("data"), table_row(F.col("header")).alias("new"), rule.alias("rule")).alias("h"))
+    listed = rows.groupBy("page_uid").agg(F.array_sort(F.collect_list("h")).alias("hs"))
+    line = F.lit("\n")
+
+    def put(text: Column, h: Column) -> Column:
+        parts = F.split(text, quoted(F.concat(line, h["old"], line, h["rule"], line)), F.lit(2))
+        done = F.concat(parts[0], line, h["new"], line, h["rule"], line, h["data"], line, F.try_element_at(parts, F.lit(2)))
+        return F.when((h["new"] != h["old"]) & (F.size(parts) == 2), done).otherwise(text)
+
+    whole = F.aggregate("hs", F.concat(line, F.col("text"), line), put)
+    fixed = F.substring(whole, F.lit(2), F.length(whole) - 2)
+    return texts.join(listed, "page_uid", "left").withColumn("text", F.when(F.col("hs").isNull(), F.col("text")).otherwise(fixed)).drop("hs")
+
+
+def page_markdown(texts: DataFrame, grids: DataFrame, contexts: DataFrame, headers: DataFrame) -> DataFrame:
+    """(page_uid, text): a page's grid (page_uid, text) if it is set in one; else its Markdown with signs and headers restored, cleaned, without empty tables."""
+    mended = restore_headers(restore_minus(texts, contexts), headers).select("page_uid", clean_markdown(F.col("text")).alias("text"))
+    lines = mended.select("page_uid", F.posexplode(F.split("text", "\n", -1)).alias("seq", "text"))
+    kept = drop_empty_tables(lines).groupBy("page_uid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n").alias("kept"))
+    own = grids.select("page_uid", F.col("text").alias("grid"))
+    return texts.select("page_uid").join(kept, "page_uid", "left").join(own, "page_uid", "left").select("page_uid", F.coalesce("grid", "kept", F.lit("")).alias("text"))
+
+
+def xhtml_chapter(title: Column, body: Column, error: Column, many: Column, note: Column) -> Column:
+    """A chapter as XHTML from its body's XHTML; an error stands in for the body, note is for the first chapter, else null."""
+    marked = lambda t: F.concat(F.lit('<p class="missing"><strong>'), t, F.lit("</strong></p>"))
+    head = F.when(many, F.concat(F.lit("<h2>"), xml_escape(title), F.lit("</h2>"))).otherwise(F.lit(""))
+    shown = F.when(error.isNotNull(), marked(xml_escape(error))).otherwise(F.replace(F.replace(F.replace(body, F.lit("<blockquote>"), F.lit('<blockquote class="missing">')), F.lit("<pre><code>"), F.lit("<pre>")), F.lit("</code></pre>"), F.lit("</pre>")))
+    start = F.concat(F.lit('<html xmlns="http://www.w3.org/1999/xhtml"><head><title>'), xml_escape(title), F.lit("</title></head><body>"))
+    return F.concat(start, F.coalesce(marked(note), F.lit("")), head, shown, F.lit("</body></html>"))
+
+
 def trailing_minus_contexts(words: DataFrame, most: int = 3) -> DataFrame:
     """(page_uid, context): amounts written with a minus behind, with as many words before as tell them from an unsigned twin.
 

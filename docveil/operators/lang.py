@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docveil.functions.matches import let
+
 # Function words of both languages, and thresholds.
 ENGLISH = (
     "the and of in is that with this be are was were shall which from have has been not any all such said will would may must other than "
@@ -23,10 +25,19 @@ TOKEN = r"[a-zA-ZæøåÆØÅ][a-zA-ZæøåÆØÅ']*"
 def word_score(text: Column) -> Column:
     """struct<tokens, en, da, en_ratio, prose>."""
     tokens = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), lambda t: F.lower(t))
-    n = F.size(tokens)
-    en, da = F.size(F.filter(tokens, lambda t: t.isin(*ENGLISH))), F.size(F.filter(tokens, lambda t: t.isin(*DANISH)))
-    ratio = lambda x: F.when(n > 0, x / n).otherwise(0.0)
-    return F.struct(n.alias("tokens"), en.alias("en"), da.alias("da"), ratio(en).alias("en_ratio"), ratio(F.greatest(en, da)).alias("prose"))
+
+    def counts(found: Column) -> Column:
+        return F.struct(F.size(found).alias("tokens"), _among(found, ENGLISH).alias("en"), _among(found, DANISH).alias("da"))
+
+    def shares(c: Column) -> Column:
+        ratio = lambda x: F.when(c["tokens"] > 0, x / c["tokens"]).otherwise(0.0)
+        return F.struct(c["tokens"].alias("tokens"), c["en"].alias("en"), c["da"].alias("da"), ratio(c["en"]).alias("en_ratio"), ratio(F.greatest(c["en"], c["da"])).alias("prose"))
+
+    return let(let(tokens, counts), shares)
+
+
+def _among(found: Column, words: list[str]) -> Column:
+    return F.size(F.filter(found, lambda t: t.isin(*words)))
 
 
 def is_prose(score: Column) -> Column:

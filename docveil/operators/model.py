@@ -252,6 +252,19 @@ def move_file(files: DataFrame, model: str, iid: str, index: int) -> DataFrame:
     return _rank(rest.withColumn("__at", F.when(F.col("__m"), at).otherwise(F.col("__r"))), ["__at", F.desc("__m")]).select(*files.columns)
 
 
+def drop_file(files: DataFrame, model: str, iid: str, row: int) -> DataFrame:
+    """A file and its children before the file now in that row; behind all where there is none; nothing where it is of the block itself."""
+    here = F.col("model") == model
+    own = here & ((F.col("iid") == iid) | F.coalesce(F.col("origin_iid") == iid, F.lit(False)))
+    w = Window.partitionBy("model")
+    tagged = files.withColumn("__own", own).withColumn("__first", F.when(F.col("iid") == iid, 0).otherwise(1))
+    anchor = tagged.withColumn("__at", F.max(F.when(F.col("pos") == row, F.col("pos"))).over(w)).withColumn("__self", F.max(F.when(F.col("pos") == row, F.col("__own").cast("int"))).over(w))
+    known = F.max((F.col("iid") == iid).cast("int")).over(w) == 1
+    moves = here & known & F.coalesce(F.col("__self") == 0, F.lit(True))
+    before = F.when(F.col("__own"), F.coalesce(F.col("__at"), F.lit(1 << 30)) * 2 - 1).otherwise(F.col("pos") * 2)
+    return _rank(anchor.withColumn("__k", F.when(moves, before).otherwise(F.col("pos") * 2)).withColumn("__f", F.when(moves & F.col("__own"), F.col("__first")).otherwise(0)), ["__k", "__f", "pos"]).select(*files.columns)
+
+
 def to_edge(files: DataFrame, chosen: DataFrame, to_end: bool) -> DataFrame:
     """The chosen blocks to one end; both parts keep their order."""
     first = F.col("chosen_block") if to_end else ~F.col("chosen_block")

@@ -18,9 +18,9 @@ from docveil.functions.text import collapse, normalize_value, role_alternatives,
 
 # Words of roles, and the mark of contradicting ones.
 PROFESSIONAL = (
-    "advokatfuldmægtig advokaten advokat adv. beskikket_forsvarer forsvareren forsvarer anklageren anklager retsformanden retsformand dommeren "
-    "dommer domsmændene domsmand nævning bisidder kurator protokolfører retsassessor byretsdommer landsdommer sagsbehandler"
-).split()
+    "advokatfuldmægtig", "advokaten", "advokat", "adv.", "beskikket forsvarer", "forsvareren", "forsvarer", "anklageren", "anklager", "retsformanden", "retsformand", "dommeren",
+    "dommer", "domsmændene", "domsmand", "nævning", "bisidder", "kurator", "protokolfører", "retsassessor", "byretsdommer", "landsdommer", "sagsbehandler",
+)
 PARTIES = (
     "sagsøgeren sagsøger sagsøgte tiltalte sigtede vidnet vidne forurettede klageren klager indklagede rekvirenten rekvirent rekvisitus "
     "skyldneren skyldner kreditor ansøgeren ansøger"
@@ -30,12 +30,11 @@ LOOK_BACK, LOOK_AHEAD = 80, 30
 LEAST_NAME_WORD = 4
 
 
-_PROFESSIONAL = [w.replace("_", " ") for w in PROFESSIONAL]
-_ANY_ROLE = role_pattern(_PROFESSIONAL + PARTIES)
+_ANY_ROLE = role_pattern([*PROFESSIONAL, *PARTIES])
 
 
 def professional(hint: Column) -> Column:
-    return hint.rlike(f"(?i)^(?:{role_alternatives(_PROFESSIONAL)})$")
+    return hint.rlike(f"(?i)^(?:{role_alternatives(PROFESSIONAL)})$")
 
 
 def role_hint(text: Column, start: Column, end: Column) -> Column:
@@ -47,8 +46,11 @@ def role_hint(text: Column, start: Column, end: Column) -> Column:
     return F.lower(F.coalesce(last, follow, F.lit("")))
 
 
-def findings(spans: DataFrame, pages: DataFrame) -> DataFrame:
-    """Spans with key, role_hint, context, label and uid. Keys that are missing are worked out once for each distinct value."""
+def findings(spans: DataFrame, pages: DataFrame, names: bool = True) -> DataFrame:
+    """Spans with key, role_hint, context, label and uid. Keys that are missing are worked out once for each distinct value.
+
+    Spans that bring their context need no text; only persons do, for their roles, and without names there are none.
+    """
     from docveil.functions.text import context_for
 
     keyed = spans
@@ -56,14 +58,18 @@ def findings(spans: DataFrame, pages: DataFrame) -> DataFrame:
         keys = spans.select("entity", "value").distinct().withColumn("key", normalize_value(F.col("entity"), F.col("value")))
         keyed = spans.join(keys, ["entity", "value"])
     texts = pages.select("page_uid", "text", F.col("pos").alias("page_pos"), F.col("label").alias("page_label"))
-    return (
-        keyed.join(texts, "page_uid")
-        .withColumn("role_hint", F.when(F.col("entity") == E.PERSON, role_hint(F.col("text"), F.col("start"), F.col("end"))).otherwise(F.lit("")))
-        .withColumn("context", context_for(F.col("text"), F.col("start"), F.col("end")))
-        .withColumn("uid", F.concat_ws(":", "page_uid", "start", "end"))
-        .withColumn("pos", F.struct("page_pos", "start", "end"))
-        .drop("text", "page_pos")
-    )
+
+    def with_text(rows: DataFrame) -> DataFrame:
+        hint = F.when(F.col("entity") == E.PERSON, role_hint(F.col("text"), F.col("start"), F.col("end"))).otherwise(F.lit(""))
+        return rows.drop("context").join(texts, "page_uid").withColumn("role_hint", hint).withColumn("context", context_for(F.col("text"), F.col("start"), F.col("end"))).drop("text")
+
+    if "context" not in spans.columns:
+        placed = with_text(keyed)
+    else:
+        ready = F.col("context").isNotNull() & (F.col("entity") != E.PERSON)
+        placed = keyed.where(ready).join(texts.drop("text"), "page_uid").withColumn("role_hint", F.lit(""))
+        placed = placed.unionByName(with_text(keyed.where(~ready))) if names else placed
+    return placed.withColumn("uid", F.concat_ws(":", "page_uid", "start", "end")).withColumn("pos", F.struct("page_pos", "start", "end")).drop("page_pos")
 
 
 def group_findings(found: DataFrame) -> DataFrame:
@@ -91,7 +97,7 @@ def review_order(groups: DataFrame) -> DataFrame:
 def stem(entity: Column, hint: Column) -> Column:
     """A pseudonym's stem: a person's only professional role, else the entity's label."""
     role = (entity == E.PERSON) & (hint != "") & (hint != MIXED) & professional(hint)
-    return F.when(role, F.concat(F.upper(F.substring(hint, 1, 1)), F.substring(hint, 2, 200))).otherwise(E.entity_label(entity))
+    return F.when(role, F.concat(F.upper(F.substring(hint, 1, 1)), F.substring(hint, F.lit(2), F.length(hint)))).otherwise(E.entity_label(entity))
 
 
 def assign_pseudonyms(groups: DataFrame, by_key_alone: bool = False) -> DataFrame:

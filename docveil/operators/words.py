@@ -16,22 +16,26 @@ LEAST_NATIVE = 20
 GOOD_ENOUGH = 400
 
 
-def _column_gap(prev: str = "p_", own: str = "") -> Column:
+def column_gap(a: Column, b: Column) -> Column:
     """Is the gap between two words wider than some of their characters? It is measured along the longer gap's axis."""
-    c = lambda n, p: F.col(f"{p}{n}")
-    dx = F.greatest(c("x0", own) - c("x1", prev), c("x0", prev) - c("x1", own))
-    dy = F.greatest(c("y0", own) - c("y1", prev), c("y0", prev) - c("y1", own))
+    dx = F.greatest(b["x0"] - a["x1"], a["x0"] - b["x1"])
+    dy = F.greatest(b["y0"] - a["y1"], a["y0"] - b["y1"])
     across = dx >= dy
     gap = F.when(across, dx).otherwise(dy)
 
-    def width(p: str) -> Column:
-        size = F.when(across, c("x1", p) - c("x0", p)).otherwise(c("y1", p) - c("y0", p))
-        return size / F.greatest(F.lit(1), F.length(c("text", p)))
+    def width(w: Column) -> Column:
+        size = F.when(across, w["x1"] - w["x0"]).otherwise(w["y1"] - w["y0"])
+        return size / F.greatest(F.lit(1), F.length(w["text"]))
 
-    char = (width(prev) + width(own)) / 2
+    char = (width(a) + width(b)) / 2
     return (gap > 0) & (char > 0) & (gap > G.COLUMN_GAP_CHARS * char)
 
 
+def _column_gap() -> Column:
+    fields = ("x0", "y0", "x1", "y1", "text")
+    return column_gap(F.struct(*(F.col(f"p_{c}").alias(c) for c in fields)), F.struct(*fields))
+
+
 def _with_previous(words: DataFrame, order: str = "seq") -> DataFrame:
     w = Window.partitionBy("page_uid").orderBy(order)
     names = [c for c in ("x0", "y0", "x1", "y1", "text", "block", "line") if c in words.columns]
@@ -56,9 +60,16 @@ def word_offsets(words: DataFrame) -> DataFrame:
 
 
 def words_to_text(words: DataFrame) -> DataFrame:
-    """(page_uid, text)."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.concat("sep", "text").alias("part")))), lambda p: p["part"])
-    return word_offsets(words).groupBy("page_uid").agg(F.array_join(parts, "").alias("text"))
+    """(page_uid, text): the texts that word_offsets() places, from one array of a page's words, without a window."""
+    names = ["seq", "x0", "y0", "x1", "y1", "text", "block", "line"]
+    listed = words.where(F.coalesce(F.col("text"), F.lit("")) != "").groupBy("page_uid").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("w"))
+
+    def part(before: Column, own: Column) -> Column:
+        sep = F.when(before.isNull(), "").when(own["block"] != before["block"], "\n\n").when((own["line"] != before["line"]) | column_gap(before, own), "\n").otherwise(" ")
+        return F.concat(sep, own["text"])
+
+    shifted = F.concat(F.array(F.lit(None).cast(words.select(F.struct(*names).alias("s")).schema["s"].dataType)), F.slice("w", F.lit(1), F.size("w") - 1))
+    return listed.select("page_uid", F.array_join(F.zip_with(shifted, F.col("w"), part), "").alias("text"))
 
 
 def words_for_spans(offsets: DataFrame, spans: DataFrame) -> DataFrame:
@@ -249,8 +260,17 @@ def dominant_style(lines: DataFrame) -> DataFrame:
     return used.groupBy("line_id").agg(F.min_by("style", F.struct(-F.col("n"), F.col("first"))).alias("style"))
 
 
+def _to_middle() -> Column:
+    return F.abs((F.col("y0") + F.col("y1")) / 2 - F.col("y"))
+
+
 def nearest_line(points: DataFrame, lines: DataFrame) -> DataFrame:
-    """(page_uid, point_id, line_id): the line whose box is the nearest to a point in height, then in width; the first of equals."""
-    dy = F.greatest(F.col("y0") - F.col("y"), F.col("y") - F.col("y1"), F.lit(0.0))
-    dx = F.greatest(F.col("x0") - F.col("x"), F.col("x") - F.col("x1"), F.lit(0.0))
-    return points.join(lines, "page_uid").groupBy("page_uid", "point_id").agg(F.min_by("line_id", F.struct(dy, dx, F.col("line_id"))).alias("line_id"))
+    """(page_uid, point_id, line_id): the line whose middle is the nearest in height, with a quarter of the distance beside it; the first of equals."""
+    aside = F.greatest(F.col("x0") - F.col("x"), F.col("x") - F.col("x1"), F.lit(0.0))
+    return points.join(lines, "page_uid").groupBy("page_uid", "point_id").agg(F.min_by("line_id", F.struct(_to_middle() + 0.25 * aside, F.col("line_id"))).alias("line_id"))
+
+
+def line_at(points: DataFrame, lines: DataFrame, pad: float = 1.5) -> DataFrame:
+    """(page_uid, point_id, line_id): the line whose padded box holds the point, of several the one with the nearest middle; no row if none does."""
+    hit = points.join(lines, "page_uid").where(F.col("x").between(F.col("x0") - pad, F.col("x1") + pad) & F.col("y").between(F.col("y0") - pad, F.col("y1") + pad))
+    return hit.groupBy("page_uid", "point_id").agg(F.min_by("line_id", F.struct(_to_middle(), F.col("line_id"))).alias("line_id"))

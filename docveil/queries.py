@@ -6,7 +6,7 @@ Documents stand for pages, sources for files; what the tables do not hold is giv
 from __future__ import annotations
 
 import datetime
-from collections.abc import Callable
+import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,36 +17,19 @@ from docveil.functions import ids, text
 from docveil.functions.matches import spans
 from docveil.operators import catalog, dates, detect, export, history, lang, model, resolve, words
 from docveil.plans.anonymise import scan_counters
+from docveil.registry import ORACLES, QUERIES, query, table
 
 TODAY = datetime.date(2026, 1, 1)
 OWN_RULES = tuple(r for r in detect.RULES if r.entity in (E.EMAIL, E.CARD))
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def _query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return put
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     return docs.select(F.col("doc_id").alias("page_uid"), F.col("doc_id").alias("pos"), F.concat(F.lit("page "), "doc_id").alias("label"), "text")
 
 
 def _model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Files and pages of one model for each language."""
-    docs = _table(spark, sf_dir, "documents").select(F.col("lang").alias("model"), F.col("source").alias("iid"), F.col("doc_id").alias("uid"), F.concat("source", F.lit(".pdf")).alias("src_path"))
+    docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("model"), F.col("source").alias("iid"), F.col("doc_id").alias("uid"), F.concat("source", F.lit(".pdf")).alias("src_path"))
     pages = model._rank(docs, ["uid"], ("model", "iid")).select("model", "uid", "iid", "pos", "src_path", F.col("pos").alias("src_index"), F.lit(0).alias("rotation"))
     n = pages.groupBy("model", "iid").agg(F.count("*").cast("int").alias("source_page_count"), F.min("uid").alias("u"))
     files = model._rank(n, ["iid"]).select(
@@ -59,8 +42,8 @@ def _model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that a user marked: the labelled documents of quality 0."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return _table(spark, sf_dir, "labels").where("quality = 0").join(docs, "doc_id").select(F.col("lang").alias("model"), F.col("doc_id").alias("uid"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return table(spark, sf_dir, "labels").where("quality = 0").join(docs, "doc_id").select(F.col("lang").alias("model"), F.col("doc_id").alias("uid"))
 
 
 # The same tables in SQL.
@@ -85,16 +68,16 @@ found AS (SELECT 'EMAIL_ADDRESS' AS entity, lower(trim(value, ' .,:;!?"''()[]{{}
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _pages(spark, sf_dir)
-    return resolve.findings(detect.detect(pages, rules=OWN_RULES), pages)
+    return resolve.findings(detect.detect(pages, rules=OWN_RULES, context=True), pages, names=False)
 
 
-@_query(f"""WITH {_FOUND}, spelled AS (SELECT entity, key, value, count(*) AS c, min(doc_id) AS f FROM found GROUP BY ALL)
+@query(f"""WITH {_FOUND}, spelled AS (SELECT entity, key, value, count(*) AS c, min(doc_id) AS f FROM found GROUP BY ALL)
 SELECT entity, key, sum(c)::BIGINT AS n, (list(value ORDER BY c DESC, length(value), f))[1] AS display FROM spelled GROUP BY entity, key""")
 def pii_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.group_findings(_found(spark, sf_dir)).select("entity", "key", "n", "display")
 
 
-@_query(rf"""WITH parts AS (SELECT doc_id, regexp_extract_all(text, '{_EMAIL}') AS m, string_split_regex(text, '{_EMAIL}') AS g FROM documents),
+@query(rf"""WITH parts AS (SELECT doc_id, regexp_extract_all(text, '{_EMAIL}') AS m, string_split_regex(text, '{_EMAIL}') AS g FROM documents),
 each AS (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS k FROM parts)
 SELECT doc_id AS page_uid, (list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k-1], lambda x: length(x))), 0))::BIGINT AS start_at, m[k] AS value FROM each""")
 def span_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,28 +88,28 @@ def span_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LABELS = f"""{_FOUND}, groups AS (SELECT entity, key, min(doc_id) AS f FROM found GROUP BY ALL)"""
 
 
-@_query(f"""WITH {_LABELS}
+@query(f"""WITH {_LABELS}
 SELECT entity, key, row_number() OVER (PARTITION BY entity ORDER BY f, key) AS number FROM groups""")
 def first_seen_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = resolve.group_findings(_found(spark, sf_dir)).withColumn("first_pos", F.col("first_pos.page_pos"))
     return resolve.assign_pseudonyms(groups).select("entity", "key", F.regexp_extract("label", r"(\d+)$", 1).cast("long").alias("number"))
 
 
-@_query()
+@query()
 def pseudonymised_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _pages(spark, sf_dir)
     found = _found(spark, sf_dir)
     return resolve.render(pages, found, resolve.assign_pseudonyms(resolve.group_findings(found))).select("page_uid", F.length("rendered").alias("n_chars"), F.md5("rendered").alias("digest"))
 
 
-@_query(f"""WITH {_FOUND}, g AS (SELECT entity, key, count(*) AS n FROM found GROUP BY ALL)
+@query(f"""WITH {_FOUND}, g AS (SELECT entity, key, count(*) AS n FROM found GROUP BY ALL)
 SELECT entity, key, n, row_number() OVER (ORDER BY CASE entity WHEN 'EMAIL_ADDRESS' THEN 3 ELSE 5 END, n DESC, key) AS rank FROM g""")
 def review_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = resolve.group_findings(_found(spark, sf_dir)).withColumn("display", F.col("key"))
     return resolve.review_order(groups).select("entity", "key", "n", F.col("rank").cast("long").alias("rank"))
 
 
-@_query(f"""WITH {_FOUND}, decided AS (SELECT entity, key, CASE WHEN entity = 'CREDIT_CARD' THEN false ELSE true END AS s FROM found)
+@query(f"""WITH {_FOUND}, decided AS (SELECT entity, key, CASE WHEN entity = 'CREDIT_CARD' THEN false ELSE true END AS s FROM found)
 SELECT entity, key, count(*) AS n, sum(s::INT)::BIGINT AS n_selected, CASE WHEN sum(s::INT) = 0 THEN 'none' WHEN sum(s::INT) = count(*) THEN 'all' ELSE 'partial' END AS state FROM decided GROUP BY ALL""")
 def session_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _found(spark, sf_dir)
@@ -138,22 +121,22 @@ _EN = ", ".join(f"'{w}'" for w in lang.ENGLISH)
 _DA = ", ".join(f"'{w}'" for w in lang.DANISH)
 
 
-@_query(f"""WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[a-zA-ZæøåÆØÅ][a-zA-ZæøåÆØÅ'']*'), lambda x: lower(x)) AS w FROM documents),
+@query(f"""WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[a-zA-ZæøåÆØÅ][a-zA-ZæøåÆØÅ'']*'), lambda x: lower(x)) AS w FROM documents),
 c AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x IN ({_EN}))) AS en, len(list_filter(w, lambda x: x IN ({_DA}))) AS da FROM t)
 SELECT doc_id, n AS tokens, en, da, n >= 12 AND n > 0 AND greatest(en, da) / n >= 0.10 AS prose, n >= 12 AND en / n >= 0.06 AND en >= 2 * da AS english FROM c""")
 def word_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _table(spark, sf_dir, "documents").select("doc_id", lang.word_score(F.col("text")).alias("s"))
+    s = table(spark, sf_dir, "documents").select("doc_id", lang.word_score(F.col("text")).alias("s"))
     return s.select("doc_id", F.col("s.tokens").cast("long").alias("tokens"), F.col("s.en").cast("long").alias("en"), F.col("s.da").cast("long").alias("da"), lang.is_prose(F.col("s")).alias("prose"), lang.looks_english(F.col("s")).alias("english"))
 
 
-@_query(f"""WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[a-zA-ZæøåÆØÅ][a-zA-ZæøåÆØÅ'']*'), lambda x: lower(x)) AS w FROM documents),
+@query(f"""WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[a-zA-ZæøåÆØÅ][a-zA-ZæøåÆØÅ'']*'), lambda x: lower(x)) AS w FROM documents),
 c AS (SELECT len(w) AS n, len(list_filter(w, lambda x: x IN ({_EN}))) AS en, len(list_filter(w, lambda x: x IN ({_DA}))) AS da FROM t)
 SELECT count(*) AS n_pages, count(*) AS n_with_text, 0::BIGINT AS n_ocr, 0::BIGINT AS n_failed, count(*) FILTER (n >= 12 AND en / n >= 0.06 AND en >= 2 * da) AS n_english, count(*) FILTER (n >= 12 AND greatest(en, da) / n >= 0.10) AS n_prose FROM c""")
 def scan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_counters(_pages(spark, sf_dir).withColumn("ocr", F.lit(False)).withColumn("failed", F.lit(False)))
 
 
-@_query("""SELECT doc_id AS page_uid, ((length(lower(text)) - length(replace(lower(text), 'anan', ''))) / 4)::BIGINT AS least_n FROM documents WHERE contains(lower(text), 'anan')""")
+@query("""SELECT doc_id AS page_uid, ((length(lower(text)) - length(replace(lower(text), 'anan', ''))) / 4)::BIGINT AS least_n FROM documents WHERE contains(lower(text), 'anan')""")
 def search_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = detect.search_occurrences(_pages(spark, sf_dir), "ANAN").groupBy("page_uid").agg(F.array_sort(F.collect_list("start")).alias("s"))
     # Places that do not overlap, counted from the left as replacing would.
@@ -161,7 +144,7 @@ def search_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("page_uid", kept.cast("long").alias("least_n"))
 
 
-@_query()
+@query()
 def search_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.search_occurrences(_pages(spark, sf_dir), "anan")
 
@@ -169,37 +152,37 @@ def search_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- model -------------------------------------------------------------
 
 
-@_query(f"WITH {_FILES} SELECT model, count(*) AS n_files, sum(n)::BIGINT AS n_pages FROM files GROUP BY model")
+@query(f"WITH {_FILES} SELECT model, count(*) AS n_files, sum(n)::BIGINT AS n_pages FROM files GROUP BY model")
 def file_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.status_totals(*_model(spark, sf_dir))
 
 
-@_query(f"WITH {_FILES} SELECT model, uid, out_pos, iid || '.pdf' AS file_title FROM flat")
+@query(f"WITH {_FILES} SELECT model, uid, out_pos, iid || '.pdf' AS file_title FROM flat")
 def page_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.output_plan(*_model(spark, sf_dir)).select("model", "uid", F.col("out_pos").cast("long").alias("out_pos"), "file_title")
 
 
-@_query(f"""WITH {_FILES} SELECT c.model, c.uid, c.iid || '.pdf · side ' || (c.pos + 1) AS label, row_number() OVER (PARTITION BY c.model ORDER BY c.iid || '.pdf', c.pos) - 1 AS job FROM chosen c""")
+@query(f"""WITH {_FILES} SELECT c.model, c.uid, c.iid || '.pdf · side ' || (c.pos + 1) AS label, row_number() OVER (PARTITION BY c.model ORDER BY c.iid || '.pdf', c.pos) - 1 AS job FROM chosen c""")
 def scan_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, pages = _model(spark, sf_dir)
     return model.scan_jobs(files, pages, _selected(spark, sf_dir)).select("model", "uid", "label", F.col("job").cast("long").alias("job"))
 
 
-@_query("SELECT d.lang AS model, d.doc_id AS uid FROM documents d ANTI JOIN labels l ON l.doc_id = d.doc_id")
+@query("SELECT d.lang AS model, d.doc_id AS uid FROM documents d ANTI JOIN labels l ON l.doc_id = d.doc_id")
 def unscanned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, pages = _model(spark, sf_dir)
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("model"))
-    seen = _table(spark, sf_dir, "labels").join(docs, "doc_id").select("model", F.col("doc_id").alias("uid"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("model"))
+    seen = table(spark, sf_dir, "labels").join(docs, "doc_id").select("model", F.col("doc_id").alias("uid"))
     return model.unscanned(pages, seen).select("model", "uid")
 
 
-@_query(f"WITH {_FILES} SELECT DISTINCT model, iid FROM chosen")
+@query(f"WITH {_FILES} SELECT DISTINCT model, iid FROM chosen")
 def files_touched(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, pages = _model(spark, sf_dir)
     return model.files_touched(files, pages, _selected(spark, sf_dir)).select("model", "iid")
 
 
-@_query(f"""WITH {_FILES}, r AS (SELECT model, iid, pos, pos - row_number() OVER (PARTITION BY model, iid ORDER BY pos) AS g FROM chosen)
+@query(f"""WITH {_FILES}, r AS (SELECT model, iid, pos, pos - row_number() OVER (PARTITION BY model, iid ORDER BY pos) AS g FROM chosen)
 SELECT model, iid, min(pos) AS first_index, max(pos) AS last_index, count(*) AS n FROM r GROUP BY model, iid, g""")
 def index_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, pages = _model(spark, sf_dir)
@@ -208,13 +191,13 @@ def index_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("model", "iid", F.col("first_index").cast("long").alias("first_index"), F.col("last_index").cast("long").alias("last_index"), "n")
 
 
-@_query(f"""WITH {_FILES} SELECT model, iid, row_number() OVER (PARTITION BY model ORDER BY creation_date DESC NULLS LAST, file_pos DESC) - 1 AS pos FROM files""")
+@query(f"""WITH {_FILES} SELECT model, iid, row_number() OVER (PARTITION BY model ORDER BY creation_date DESC NULLS LAST, file_pos DESC) - 1 AS pos FROM files""")
 def sort_files_nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, _ = _model(spark, sf_dir)
     return model.sort_files(files, "date", reverse=True).select("model", "iid", F.col("pos").cast("long").alias("pos"))
 
 
-@_query(f"""WITH {_FILES}, c AS (SELECT DISTINCT model, iid FROM chosen), p AS (SELECT f.*, row_number() OVER (PARTITION BY f.model ORDER BY f.u DESC, f.file_pos) AS k, row_number() OVER (PARTITION BY f.model ORDER BY f.file_pos) AS s FROM files f JOIN c USING (model, iid)),
+@query(f"""WITH {_FILES}, c AS (SELECT DISTINCT model, iid FROM chosen), p AS (SELECT f.*, row_number() OVER (PARTITION BY f.model ORDER BY f.u DESC, f.file_pos) AS k, row_number() OVER (PARTITION BY f.model ORDER BY f.file_pos) AS s FROM files f JOIN c USING (model, iid)),
 placed AS (SELECT a.model, a.iid, b.file_pos FROM p a JOIN p b ON a.model = b.model AND a.k = b.s)
 SELECT model, iid, file_pos AS pos FROM placed UNION ALL SELECT model, iid, file_pos FROM files ANTI JOIN c USING (model, iid)""")
 def sort_within_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,14 +206,14 @@ def sort_within_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.sort_within(files, "size", True, chosen).select("model", "iid", F.col("pos").cast("long").alias("pos"))
 
 
-@_query(f"""WITH {_FILES}, c AS (SELECT DISTINCT model, iid FROM chosen)
+@query(f"""WITH {_FILES}, c AS (SELECT DISTINCT model, iid FROM chosen)
 SELECT f.model, f.iid, row_number() OVER (PARTITION BY f.model ORDER BY c.iid IS NOT NULL, f.file_pos) - 1 AS pos FROM files f LEFT JOIN c ON c.model = f.model AND c.iid = f.iid""")
 def files_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, pages = _model(spark, sf_dir)
     return model.to_edge(files, model.files_touched(files, pages, _selected(spark, sf_dir)), True).select("model", "iid", F.col("pos").cast("long").alias("pos"))
 
 
-@_query(f"""WITH {_FILES}, m AS (SELECT f.model, f.uid, CASE WHEN c.uid IS NULL THEN f.iid ELSE 'src1' END AS iid, f.pos, c.out_pos FROM flat f LEFT JOIN chosen c ON c.uid = f.uid),
+@query(f"""WITH {_FILES}, m AS (SELECT f.model, f.uid, CASE WHEN c.uid IS NULL THEN f.iid ELSE 'src1' END AS iid, f.pos, c.out_pos FROM flat f LEFT JOIN chosen c ON c.uid = f.uid),
 r AS (SELECT *, row_number() OVER (PARTITION BY model, iid, out_pos IS NULL ORDER BY pos) - 1 AS rest FROM m)
 SELECT model, uid, iid, row_number() OVER (PARTITION BY model, iid ORDER BY CASE WHEN out_pos IS NULL THEN rest ELSE 2 END, out_pos IS NULL, out_pos) - 1 AS pos FROM r""")
 def move_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,27 +221,27 @@ def move_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.move_pages(files, pages, _selected(spark, sf_dir), "src1", 2)[1].select("model", "uid", "iid", F.col("pos").cast("long").alias("pos"))
 
 
-@_query(f"WITH {_FILES} SELECT model, uid, iid, pos FROM flat")
+@query(f"WITH {_FILES} SELECT model, uid, iid, pos FROM flat")
 def reset_after_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, pages = _model(spark, sf_dir)
     torn = model.extract_pages(files, pages, _selected(spark, sf_dir), "torn")
     return model.reset_layout(*torn)[1].select("model", "uid", "iid", F.col("pos").cast("long").alias("pos"))
 
 
-@_query(f"""WITH {_FILES} SELECT model, uid, row_number() OVER (PARTITION BY model ORDER BY out_pos) - 1 AS pos FROM chosen""")
+@query(f"""WITH {_FILES} SELECT model, uid, row_number() OVER (PARTITION BY model ORDER BY out_pos) - 1 AS pos FROM chosen""")
 def extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, pages = _model(spark, sf_dir)
     out = model.extract_pages(files, pages, _selected(spark, sf_dir), "torn")[1]
     return out.where("iid = 'torn'").select("model", "uid", F.col("pos").cast("long").alias("pos"))
 
 
-@_query(f"""WITH {_FILES}, left_ AS (SELECT f.* FROM flat f ANTI JOIN chosen c ON c.uid = f.uid) SELECT model, iid, count(*) AS n FROM left_ GROUP BY ALL""")
+@query(f"""WITH {_FILES}, left_ AS (SELECT f.* FROM flat f ANTI JOIN chosen c ON c.uid = f.uid) SELECT model, iid, count(*) AS n FROM left_ GROUP BY ALL""")
 def remove_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, pages = _model(spark, sf_dir)
     return model.remove_pages(files, pages, _selected(spark, sf_dir))[1].groupBy("model", "iid").agg(F.count("*").alias("n"))
 
 
-@_query(f"""WITH {_FILES} SELECT model, iid || '.pdf' AS job_path, n AS n_pages, file_pos AS out_job FROM files""")
+@query(f"""WITH {_FILES} SELECT model, iid || '.pdf' AS job_path, n AS n_pages, file_pos AS out_job FROM files""")
 def file_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.file_jobs(*_model(spark, sf_dir)).select("model", "job_path", "n_pages", F.col("out_job").cast("long").alias("out_job"))
 
@@ -266,67 +249,67 @@ def file_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- dates, words, export ----------------------------------------------
 
 
-@_query("""SELECT o_orderkey, 'ddmmyyyy' AS rule, o_orderdate::DATE AS date FROM orders""")
+@query("""SELECT o_orderkey, 'ddmmyyyy' AS rule, o_orderdate::DATE AS date FROM orders""")
 def filename_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = _table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("Faktura_"), F.date_format("o_orderdate", "ddMMyyyy"), F.lit("_nr"), F.col("o_orderkey"), F.lit(".pdf")).alias("name"))
+    names = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("Faktura_"), F.date_format("o_orderdate", "ddMMyyyy"), F.lit("_nr"), F.col("o_orderkey"), F.lit(".pdf")).alias("name"))
     return dates.date_names(names, TODAY).select("o_orderkey", "rule", "date")
 
 
-@_query("""SELECT 'yyyymmdd' AS rule, count(*) AS n FROM orders UNION ALL SELECT 'y-m-d', 0 WHERE false""")
+@query("""SELECT 'yyyymmdd' AS rule, count(*) AS n FROM orders UNION ALL SELECT 'y-m-d', 0 WHERE false""")
 def filename_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = _table(spark, sf_dir, "orders").select(F.concat(F.lit("scan "), F.date_format("o_orderdate", "yyyyMMdd"), F.lit(".pdf")).alias("name"))
+    names = table(spark, sf_dir, "orders").select(F.concat(F.lit("scan "), F.date_format("o_orderdate", "yyyyMMdd"), F.lit(".pdf")).alias("name"))
     return dates.date_names(names, TODAY).groupBy("rule").agg(F.count("date").alias("n"))
 
 
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A box for each word of each document, six points a character, a line for each line."""
-    lines = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_uid"), F.posexplode(F.split("text", "\n", -1)).alias("line", "l"))
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_uid"), F.posexplode(F.split("text", "\n", -1)).alias("line", "l"))
     placed = lines.select("page_uid", "line", F.explode(spans(F.col("l"), "[^ ]+")).alias("p"))
     y0 = F.col("line") * 12.0
     return placed.select("page_uid", (F.col("line") * 1000000 + F.col("p.start")).cast("long").alias("seq"), (6.0 * F.col("p.start")).alias("x0"), y0.alias("y0"), (6.0 * F.col("p.end")).alias("x1"), (y0 + 10).alias("y1"), F.col("p.value").alias("text"), F.lit(0).alias("block"), "line")
 
 
-@_query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
 c AS (SELECT doc_id, k, array_to_string(list_filter(string_split(x, ' '), lambda w: w <> ''), ' ') AS x FROM l)
 SELECT doc_id AS page_uid, md5(string_agg(x, chr(10) ORDER BY k)) AS digest FROM c WHERE x <> '' GROUP BY doc_id""")
 def words_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.words_to_text(_boxes(spark, sf_dir)).select("page_uid", F.md5("text").alias("digest"))
 
 
-@_query(r"""SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(html, '(?i)<br\s*/?>', ' ', 'g'), '(?i)<(?:img|/?(?:span|div|p|b|i|em|strong|font|sub|sup))\b[^>]*>', '', 'g'), '[ \t]{2,}', ' ', 'g')) AS digest FROM pages""")
+@query(r"""SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(html, '(?i)<br\s*/?>', ' ', 'g'), '(?i)<(?:img|/?(?:span|div|p|b|i|em|strong|font|sub|sup))\b[^>]*>', '', 'g'), '[ \t]{2,}', ' ', 'g')) AS digest FROM pages""")
 def strip_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").select("page_id", F.md5(text.clean_markdown(F.col("html"))).alias("digest"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(text.clean_markdown(F.col("html"))).alias("digest"))
 
 
-@_query(r"""SELECT source AS doc, lang AS chapter, md5(string_agg(trim(text, ' '), chr(10) || chr(10) ORDER BY doc_id)) AS digest, 0::BIGINT AS missing FROM documents GROUP BY ALL""")
+@query(r"""SELECT source AS doc, lang AS chapter, md5(string_agg(trim(text, ' '), chr(10) || chr(10) ORDER BY doc_id)) AS digest, 0::BIGINT AS missing FROM documents GROUP BY ALL""")
 def chapter_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("lang").alias("chapter"), F.lit(0).alias("first_page"), F.col("doc_id").alias("page"), F.lit("text").alias("state"), F.col("text").alias("md"), F.lit(None).cast("string").alias("ocr"))
+    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("lang").alias("chapter"), F.lit(0).alias("first_page"), F.col("doc_id").alias("page"), F.lit("text").alias("state"), F.col("text").alias("md"), F.lit(None).cast("string").alias("ocr"))
     return export.chapter_bodies(pages).select("doc", "chapter", F.md5("body").alias("digest"), "missing")
 
 
-@_query("""WITH j AS (SELECT source AS doc, lang AS job, count(*) AS n FROM documents GROUP BY ALL), p AS (SELECT doc, job, job <> 'de' AS ok, unnest(range(0, CASE WHEN job = 'de' THEN 1 ELSE n END)) AS page FROM j)
+@query("""WITH j AS (SELECT source AS doc, lang AS job, count(*) AS n FROM documents GROUP BY ALL), p AS (SELECT doc, job, job <> 'de' AS ok, unnest(range(0, CASE WHEN job = 'de' THEN 1 ELSE n END)) AS page FROM j)
 SELECT doc, job, ok, page, row_number() OVER (PARTITION BY doc ORDER BY job, page) - 1 AS target_index FROM p""")
 def merge_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs = _table(spark, sf_dir, "documents").groupBy(F.col("source").alias("doc"), F.col("lang").alias("job")).agg(F.count("*").alias("n_pages"))
+    jobs = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("doc"), F.col("lang").alias("job")).agg(F.count("*").alias("n_pages"))
     plan = export.merge_plan(jobs, jobs.where("job = 'de'"))
     return plan.select("doc", "job", "ok", F.col("page").cast("long").alias("page"), F.col("target_index").cast("long").alias("target_index"))
 
 
-@_query("""WITH j AS (SELECT DISTINCT source AS doc, lang AS job FROM documents) SELECT doc, count(*) FILTER (job <> 'de') AS n_ok, count(*) FILTER (job = 'de') AS n_failed FROM j GROUP BY doc""")
+@query("""WITH j AS (SELECT DISTINCT source AS doc, lang AS job FROM documents) SELECT doc, count(*) FILTER (job <> 'de') AS n_ok, count(*) FILTER (job = 'de') AS n_failed FROM j GROUP BY doc""")
 def save_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.save_totals(merge_plan(spark, sf_dir))
 
 
-@_query("""WITH m AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) SELECT source AS doc, lang AS chapter, n AS missing FROM m UNION ALL SELECT source, NULL, sum(n)::BIGINT FROM m GROUP BY source""")
+@query("""WITH m AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) SELECT source AS doc, lang AS chapter, n AS missing FROM m UNION ALL SELECT source, NULL, sum(n)::BIGINT FROM m GROUP BY source""")
 def missing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("lang").alias("chapter"), F.lit(0).alias("first_page"), F.col("doc_id").alias("page"), F.lit("needs_ocr").alias("state"), F.col("text").alias("md"), F.lit(None).cast("string").alias("ocr"))
+    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("lang").alias("chapter"), F.lit(0).alias("first_page"), F.col("doc_id").alias("page"), F.lit("needs_ocr").alias("state"), F.col("text").alias("md"), F.lit(None).cast("string").alias("ocr"))
     return export.missing_pages(export.chapter_bodies(pages))
 
 
-@_query("""WITH s AS (SELECT user_id, event_id, epoch(ts) AS t, event_type, lag(epoch(ts)) OVER w AS pt, lag(event_type) OVER w AS pk FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+@query("""WITH s AS (SELECT user_id, event_id, epoch(ts) AS t, event_type, lag(epoch(ts)) OVER w AS pt, lag(event_type) OVER w AS pk FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT user_id, count(*) FILTER (NOT coalesce(event_type = pk AND t - pt <= 1.2, false)) AS n_steps FROM s GROUP BY user_id""")
 def undo_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = _table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.struct("ts", "event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("event_type").alias("key"))
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.struct("ts", "event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("event_type").alias("key"))
     return history.coalesce_steps(log).groupBy(F.col("session").alias("user_id")).agg(F.max("step").alias("n_steps"))
 
 
@@ -336,7 +319,7 @@ CPR_CASES = ["0101901234", "0101900002", "3002901234", "2902005678", "2902001234
 _CPR_SQL = "VALUES " + ", ".join(f"('{x}')" for x in CPR_CASES)
 
 
-@_query(f"""WITH t(d) AS ({_CPR_SQL}), p AS (SELECT d, substr(d, 1, 2)::INT AS dd, substr(d, 3, 2) AS mm, substr(d, 5, 2)::INT AS yy, substr(d, 7, 1)::INT AS s FROM t)
+@query(f"""WITH t(d) AS ({_CPR_SQL}), p AS (SELECT d, substr(d, 1, 2)::INT AS dd, substr(d, 3, 2) AS mm, substr(d, 5, 2)::INT AS yy, substr(d, 7, 1)::INT AS s FROM t)
 SELECT d AS digits, try_strptime(((CASE WHEN s <= 3 THEN 1900 WHEN s IN (4, 9) THEN CASE WHEN yy <= 36 THEN 2000 ELSE 1900 END WHEN yy <= 57 THEN 2000 ELSE 1800 END) + yy) || '-' || mm || '-' || lpad((CASE WHEN dd > 31 THEN dd - 60 ELSE dd END)::VARCHAR, 2, '0'), '%Y-%m-%d')::DATE AS born,
 list_sum(list_transform(range(1, 11), lambda k: [4, 3, 2, 7, 6, 5, 4, 3, 2, 1][k] * substr(d, k, 1)::INT)) % 11 = 0 AS mod11 FROM p""")
 def cpr_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,7 +330,7 @@ def cpr_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CVR_SQL = "VALUES ('12345674'), ('12345682'), ('12345675'), ('1234567')"
 
 
-@_query(f"""WITH t(d) AS ({_CVR_SQL}) SELECT d AS digits, length(d) = 8 AND list_sum(list_transform(range(1, length(d) + 1), lambda k: [2, 7, 6, 5, 4, 3, 2, 1][k] * substr(d, k, 1)::INT)) % 11 = 0 AS mod11 FROM t""")
+@query(f"""WITH t(d) AS ({_CVR_SQL}) SELECT d AS digits, length(d) = 8 AND list_sum(list_transform(range(1, length(d) + 1), lambda k: [2, 7, 6, 5, 4, 3, 2, 1][k] * substr(d, k, 1)::INT)) % 11 = 0 AS mod11 FROM t""")
 def cvr_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM {_CVR_SQL} AS t(digits)").select("digits", ids.cvr_mod11(F.col("digits")).alias("mod11"))
 
@@ -357,7 +340,7 @@ _POSTAL_SQL = "VALUES ('8500 Grenaa'), ('8340 Mallin'), ('8000 Arhus C'), ('1504
 _FOLD = "regexp_replace(replace(replace(replace(lower({0}), 'æ', 'ae'), 'ø', 'oe'), 'å', 'aa'), '[^a-z0-9]', '', 'g')"
 
 
-@_query(f"""WITH c(code, city) AS ({_CODES_SQL}), v(value) AS ({_POSTAL_SQL}), k AS (SELECT code, {_FOLD.format("city")} AS want FROM c),
+@query(f"""WITH c(code, city) AS ({_CODES_SQL}), v(value) AS ({_POSTAL_SQL}), k AS (SELECT code, {_FOLD.format("city")} AS want FROM c),
 f AS (SELECT value, substr(value, 1, 4)::INT AS code, {_FOLD.format("substr(value, 6)")} AS town FROM v)
 SELECT value, coalesce(levenshtein(f.town, k.want) <= CASE WHEN length(k.want) <= 4 THEN 0 WHEN length(k.want) <= 6 THEN 1 ELSE 2 END, false) OR f.town IN (SELECT want FROM k) AS accepted FROM f LEFT JOIN k ON k.code = f.code""")
 def postal_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -368,7 +351,7 @@ def postal_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VERSIONS_SQL = "VALUES ('8.0.10', '8.0.9'), ('8.0', '8.0.0'), ('0rc1', '0'), ('', '1.0'), ('9.4.4', '9.5'), ('10', '9.9.9')"
 
 
-@_query("""SELECT * FROM (VALUES ('8.0.10', '8.0.9', true), ('8.0', '8.0.0', false), ('0rc1', '0', false), ('', '1.0', false), ('9.4.4', '9.5', false), ('10', '9.9.9', true)) AS t(remote, own, newer)""")
+@query("""SELECT * FROM (VALUES ('8.0.10', '8.0.9', true), ('8.0', '8.0.0', false), ('0rc1', '0', false), ('', '1.0', false), ('9.4.4', '9.5', false), ('10', '9.9.9', true)) AS t(remote, own, newer)""")
 def version_newer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM {_VERSIONS_SQL} AS t(remote, own)").withColumn("newer", text.is_newer(F.col("remote"), F.col("own")))
 
@@ -376,7 +359,7 @@ def version_newer(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MESSAGES = "VALUES ('da', 'Gem %s', 'Gem %s', false), ('en', 'Gem %s', 'Save', false), ('da', 'Åbn…', 'Åbn…', false), ('en', 'Åbn…', 'Open', false), ('en', ' x', 'x', false), ('da', ' x', ' x', false), ('da', 'ny', '', false), ('en', 'ny', 'new', true)"
 
 
-@_query("""SELECT * FROM (VALUES ('en', 'Gem %s', 'placeholders'), ('en', 'Åbn…', 'ellipsis'), ('en', ' x', 'leading_space'), ('da', 'ny', 'untranslated'), ('en', 'ny', 'fuzzy'), ('code', 'ukendt', 'not in catalogue')) AS t(lang, msgid, problem)""")
+@query("""SELECT * FROM (VALUES ('en', 'Gem %s', 'placeholders'), ('en', 'Åbn…', 'ellipsis'), ('en', ' x', 'leading_space'), ('da', 'ny', 'untranslated'), ('en', 'ny', 'fuzzy'), ('code', 'ukendt', 'not in catalogue')) AS t(lang, msgid, problem)""")
 def catalogue_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = spark.sql(f"SELECT * FROM {_MESSAGES} AS t(lang, msgid, value, fuzzy)")
     return catalog.check_all(entries, spark.sql("SELECT * FROM VALUES ('ny'), ('ukendt') AS t(msgid)"))
@@ -385,7 +368,7 @@ def catalogue_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RECTS = "VALUES (1, 0, 0, 10, 10), (2, 0.5, 0.5, 10.5, 10.5), (3, 5, 5, 15, 15), (4, 10, 10, 20, 20), (5, 30, 30, 40, 40)"
 
 
-@_query(f"""WITH r(id, x0, y0, x1, y1) AS ({_RECTS}) SELECT a.id AS a, b.id AS b, a.x0 < b.x1 AND a.x1 > b.x0 AND a.y0 < b.y1 AND a.y1 > b.y0 AS meets,
+@query(f"""WITH r(id, x0, y0, x1, y1) AS ({_RECTS}) SELECT a.id AS a, b.id AS b, a.x0 < b.x1 AND a.x1 > b.x0 AND a.y0 < b.y1 AND a.y1 > b.y0 AS meets,
 abs(a.x0 - b.x0) <= 1 AND abs(a.y0 - b.y0) <= 1 AND abs(a.x1 - b.x1) <= 1 AND abs(a.y1 - b.y1) <= 1 AS same FROM r a, r b WHERE a.id < b.id""")
 def covered_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = spark.sql(f"SELECT id, struct(double(x0) x0, double(y0) y0, double(x1) x1, double(y1) y1) r FROM {_RECTS} AS t(id, x0, y0, x1, y1)")
@@ -393,21 +376,27 @@ def covered_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("a", "b", G.any_overlap(F.col("ra"), F.col("rb")).alias("meets"), G.covered(F.col("ra"), F.col("rb")).alias("same"))
 
 
-@_query("""SELECT d AS degrees, CASE d % 360 WHEN 0 THEN 10 WHEN 90 THEN 780 WHEN 180 THEN 590 ELSE 20 END::DOUBLE AS x, CASE d % 360 WHEN 0 THEN 20 WHEN 90 THEN 10 WHEN 180 THEN 780 ELSE 590 END::DOUBLE AS y FROM (VALUES (0), (90), (180), (270), (450)) AS t(d)""")
+@query("""SELECT d AS degrees, CASE d % 360 WHEN 0 THEN 10 WHEN 90 THEN 780 WHEN 180 THEN 590 ELSE 20 END::DOUBLE AS x, CASE d % 360 WHEN 0 THEN 20 WHEN 90 THEN 10 WHEN 180 THEN 780 ELSE 590 END::DOUBLE AS y FROM (VALUES (0), (90), (180), (270), (450)) AS t(d)""")
 def rotate_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = spark.sql("SELECT * FROM VALUES (0), (90), (180), (270), (450) AS t(degrees)")
     x, y = G.rotate_point(F.lit(10.0), F.lit(20.0), F.lit(600.0), F.lit(800.0), F.col("degrees"))
     return t.select("degrees", x.alias("x"), y.alias("y"))
 
 
-@_query("""WITH t(w, h) AS (VALUES (400, 300), (300, 900), (1000, 1000)), s AS (SELECT w, h, least(575.0 / w, 822.0 / h) AS k FROM t)
+@query("""WITH t(w, h) AS (VALUES (400, 300), (300, 900), (1000, 1000)), s AS (SELECT w, h, least(575.0 / w, 822.0 / h) AS k FROM t)
 SELECT w, h, round((595 - w * k) / 2, 6)::DOUBLE AS x, round((842 - h * k) / 2, 6)::DOUBLE AS y FROM s""")
 def a4_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = spark.sql("SELECT * FROM VALUES (400, 300), (300, 900), (1000, 1000) AS t(w, h)").withColumn("p", G.a4_placement(F.col("w"), F.col("h")))
     return t.select("w", "h", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
 
 
-@_query("""SELECT * FROM (VALUES ('p', 0, 'intro'), ('p', 4, '|a|b|'), ('p', 5, '|---|---|'), ('p', 6, 'end')) AS t(page_uid, seq, text)""")
+@query("""SELECT * FROM (VALUES ('p', 0, 'intro'), ('p', 4, '|a|b|'), ('p', 5, '|---|---|'), ('p', 6, 'end')) AS t(page_uid, seq, text)""")
 def drop_empty_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.sql("SELECT * FROM VALUES ('p', 0, 'intro'), ('p', 1, '|Col1|Col2|'), ('p', 2, '|---|---|'), ('p', 3, ''), ('p', 4, '|a|b|'), ('p', 5, '|---|---|'), ('p', 6, 'end') AS t(page_uid, seq, text) WHERE text <> ''")
     return export.drop_empty_tables(lines.where("seq < 3").unionByName(spark.sql("SELECT 'p' page_uid, 3 seq, '' text")).unionByName(lines.where("seq > 3"))).where("text <> ''")
+
+
+for _module in ("queries_spans", "queries_model", "queries_layout", "queries_text"):
+    importlib.import_module(f"docveil.{_module}")
+
+__all__ = ["ORACLES", "QUERIES"]

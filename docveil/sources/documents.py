@@ -32,6 +32,17 @@ def creation_date(created: Column, changed: Column, modified: Column | None = No
     return own if modified is None else F.coalesce(own, F.date_format(modified, "yyyy-MM-dd"))
 
 
+def file_dates(path: Column, created: Column, doc_created: Column, doc_changed: Column) -> Column:
+    """struct<created, pdf_date>: the file's own date, and the document's, which does not fall back to the file's; '' where there is none."""
+    own = F.when(kind_for_path(path) == "pdf", F.coalesce(pdf_stamp(doc_created), pdf_stamp(doc_changed)))
+    return F.struct(F.coalesce(F.date_format(created, "yyyy-MM-dd HH:mm"), F.lit("")).alias("created"), F.coalesce(own, F.lit("")).alias("pdf_date"))
+
+
+def read_postal_codes(spark: SparkSession, path: str) -> DataFrame:
+    """(code, city) from a table of 'code;city' lines: the reference table that towns are held against."""
+    return spark.read.csv(path, sep=";", schema="code int, city string").where("code IS NOT NULL")
+
+
 def enc_status(path: Column, readable: Column, needs_password: Column, fits: Column) -> Column:
     """image, error, not_encrypted, decrypted (a known password fits) or encrypted."""
     return (
