@@ -257,7 +257,7 @@ def monospace_grid(chars: DataFrame) -> DataFrame:
 def dominant_style(lines: DataFrame) -> DataFrame:
     """(line_id, style): the most used, of equals the first."""
     used = lines.groupBy("line_id", "style").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
-    return used.groupBy("line_id").agg(F.min_by("style", F.struct(-F.col("n"), F.col("first"))).alias("style"))
+    return used.groupBy("line_id").agg(F.min_by("style", F.struct(-F.col("n"), F.col("first"), F.col("style"))).alias("style"))
 
 
 def _to_middle() -> Column:

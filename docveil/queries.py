@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from docveil.functions import entities as E
 from docveil.functions import geometry as G
-from docveil.functions import ids, text
+from docveil.functions import text
 from docveil.functions.matches import spans
-from docveil.operators import catalog, dates, detect, export, history, lang, model, resolve, words
+from docveil.operators import dates, detect, export, history, lang, model, resolve, words
 from docveil.plans.anonymise import scan_counters
 from docveil.registry import ORACLES, QUERIES, query, table
 
@@ -95,11 +95,20 @@ def first_seen_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.assign_pseudonyms(groups).select("entity", "key", F.regexp_extract("label", r"(\d+)$", 1).cast("long").alias("number"))
 
 
-@query()
+_EITHER = f"{_EMAIL}|[0-9]+"
+
+
+@query(rf"""WITH parts AS (SELECT doc_id, regexp_extract_all(text, '{_EITHER}') AS m, string_split_regex(text, '{_EITHER}') AS g FROM documents),
+e AS (SELECT doc_id, k, g[k] AS gap, m[k] AS value FROM (SELECT *, unnest(range(1, len(g) + 1)) AS k FROM parts)),
+kinds AS (SELECT *, CASE WHEN contains(value, '@') THEN 'E-mail' WHEN length(value) BETWEEN 13 AND 19 AND
+  list_sum(list_transform(range(1, length(value) + 1), lambda j: CASE WHEN (length(value) - j) % 2 = 0 THEN substr(value, j, 1)::INT ELSE 2 * substr(value, j, 1)::INT - CASE WHEN substr(value, j, 1)::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0 THEN 'Betalingskort' END AS stem FROM e),
+firsts AS (SELECT stem, lower(value) AS key, min(struct_pack(d := doc_id, k := k)) AS f FROM kinds WHERE stem IS NOT NULL GROUP BY ALL), named AS (SELECT stem, key, stem || ' ' || row_number() OVER (PARTITION BY stem ORDER BY f) AS label FROM firsts),
+done AS (SELECT doc_id, string_agg(gap || coalesce(label, value, ''), '' ORDER BY k) AS r FROM kinds LEFT JOIN named ON named.stem = kinds.stem AND named.key = lower(value) GROUP BY doc_id)
+SELECT doc_id AS page_uid, length(r) AS n_chars, md5(r) AS digest FROM done""")
 def pseudonymised_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _pages(spark, sf_dir)
     found = _found(spark, sf_dir)
-    return resolve.render(pages, found, resolve.assign_pseudonyms(resolve.group_findings(found))).select("page_uid", F.length("rendered").alias("n_chars"), F.md5("rendered").alias("digest"))
+    return resolve.render(pages, found, resolve.assign_pseudonyms(resolve.group_findings(found))).select("page_uid", F.length("rendered").cast("long").alias("n_chars"), F.md5("rendered").alias("digest"))
 
 
 @query(f"""WITH {_FOUND}, g AS (SELECT entity, key, count(*) AS n FROM found GROUP BY ALL)
@@ -144,9 +153,9 @@ def search_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("page_uid", kept.cast("long").alias("least_n"))
 
 
-@query()
+@query("""SELECT doc_id AS page_uid, unnest(list_filter(range(1, length(text) - 2), lambda k: lower(substr(text, k, 4)) = 'anan')) - 1 AS start, start + 4 AS "end" FROM documents WHERE contains(lower(text), 'anan')""")
 def search_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.search_occurrences(_pages(spark, sf_dir), "anan")
+    return detect.search_occurrences(_pages(spark, sf_dir), "anan").select("page_uid", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
 # --- model -------------------------------------------------------------
@@ -313,87 +322,23 @@ def undo_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.coalesce_steps(log).groupBy(F.col("session").alias("user_id")).agg(F.max("step").alias("n_steps"))
 
 
-# --- inline tables -----------------------------------------------------
-
-CPR_CASES = ["0101901234", "0101900002", "3002901234", "2902005678", "2902001234", "6101901234", "3201901234", "0101579123", "0101605123"]
-_CPR_SQL = "VALUES " + ", ".join(f"('{x}')" for x in CPR_CASES)
-
-
-@query(f"""WITH t(d) AS ({_CPR_SQL}), p AS (SELECT d, substr(d, 1, 2)::INT AS dd, substr(d, 3, 2) AS mm, substr(d, 5, 2)::INT AS yy, substr(d, 7, 1)::INT AS s FROM t)
-SELECT d AS digits, try_strptime(((CASE WHEN s <= 3 THEN 1900 WHEN s IN (4, 9) THEN CASE WHEN yy <= 36 THEN 2000 ELSE 1900 END WHEN yy <= 57 THEN 2000 ELSE 1800 END) + yy) || '-' || mm || '-' || lpad((CASE WHEN dd > 31 THEN dd - 60 ELSE dd END)::VARCHAR, 2, '0'), '%Y-%m-%d')::DATE AS born,
-list_sum(list_transform(range(1, 11), lambda k: [4, 3, 2, 7, 6, 5, 4, 3, 2, 1][k] * substr(d, k, 1)::INT)) % 11 = 0 AS mod11 FROM p""")
-def cpr_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.sql(f"SELECT * FROM {_CPR_SQL} AS t(digits)")
-    return t.select("digits", ids.cpr_birth_date(F.col("digits")).alias("born"), ids.cpr_mod11(F.col("digits")).alias("mod11"))
-
-
-_CVR_SQL = "VALUES ('12345674'), ('12345682'), ('12345675'), ('1234567')"
-
-
-@query(f"""WITH t(d) AS ({_CVR_SQL}) SELECT d AS digits, length(d) = 8 AND list_sum(list_transform(range(1, length(d) + 1), lambda k: [2, 7, 6, 5, 4, 3, 2, 1][k] * substr(d, k, 1)::INT)) % 11 = 0 AS mod11 FROM t""")
-def cvr_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(f"SELECT * FROM {_CVR_SQL} AS t(digits)").select("digits", ids.cvr_mod11(F.col("digits")).alias("mod11"))
-
-
-_CODES_SQL = "VALUES (8500, 'Grenaa'), (8340, 'Malling'), (8000, 'Aarhus C'), (1550, 'København V')"
-_POSTAL_SQL = "VALUES ('8500 Grenaa'), ('8340 Mallin'), ('8000 Arhus C'), ('1504 København V'), ('8500 Grenaa Hun sagde'), ('1503 Lørdag'), ('1511 Overarbejde'), ('2025 Tiludbetaling')"
-_FOLD = "regexp_replace(replace(replace(replace(lower({0}), 'æ', 'ae'), 'ø', 'oe'), 'å', 'aa'), '[^a-z0-9]', '', 'g')"
-
-
-@query(f"""WITH c(code, city) AS ({_CODES_SQL}), v(value) AS ({_POSTAL_SQL}), k AS (SELECT code, {_FOLD.format("city")} AS want FROM c),
-f AS (SELECT value, substr(value, 1, 4)::INT AS code, {_FOLD.format("substr(value, 6)")} AS town FROM v)
-SELECT value, coalesce(levenshtein(f.town, k.want) <= CASE WHEN length(k.want) <= 4 THEN 0 WHEN length(k.want) <= 6 THEN 1 ELSE 2 END, false) OR f.town IN (SELECT want FROM k) AS accepted FROM f LEFT JOIN k ON k.code = f.code""")
-def postal_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes, values = spark.sql(f"SELECT * FROM {_CODES_SQL} AS t(code, city)"), spark.sql(f"SELECT * FROM {_POSTAL_SQL} AS t(value)")
-    return detect.postal_match(values, codes).select("value", "accepted")
-
-
-_VERSIONS_SQL = "VALUES ('8.0.10', '8.0.9'), ('8.0', '8.0.0'), ('0rc1', '0'), ('', '1.0'), ('9.4.4', '9.5'), ('10', '9.9.9')"
-
-
-@query("""SELECT * FROM (VALUES ('8.0.10', '8.0.9', true), ('8.0', '8.0.0', false), ('0rc1', '0', false), ('', '1.0', false), ('9.4.4', '9.5', false), ('10', '9.9.9', true)) AS t(remote, own, newer)""")
-def version_newer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(f"SELECT * FROM {_VERSIONS_SQL} AS t(remote, own)").withColumn("newer", text.is_newer(F.col("remote"), F.col("own")))
-
-
-_MESSAGES = "VALUES ('da', 'Gem %s', 'Gem %s', false), ('en', 'Gem %s', 'Save', false), ('da', 'Åbn…', 'Åbn…', false), ('en', 'Åbn…', 'Open', false), ('en', ' x', 'x', false), ('da', ' x', ' x', false), ('da', 'ny', '', false), ('en', 'ny', 'new', true)"
-
-
-@query("""SELECT * FROM (VALUES ('en', 'Gem %s', 'placeholders'), ('en', 'Åbn…', 'ellipsis'), ('en', ' x', 'leading_space'), ('da', 'ny', 'untranslated'), ('en', 'ny', 'fuzzy'), ('code', 'ukendt', 'not in catalogue')) AS t(lang, msgid, problem)""")
-def catalogue_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = spark.sql(f"SELECT * FROM {_MESSAGES} AS t(lang, msgid, value, fuzzy)")
-    return catalog.check_all(entries, spark.sql("SELECT * FROM VALUES ('ny'), ('ukendt') AS t(msgid)"))
-
-
-_RECTS = "VALUES (1, 0, 0, 10, 10), (2, 0.5, 0.5, 10.5, 10.5), (3, 5, 5, 15, 15), (4, 10, 10, 20, 20), (5, 30, 30, 40, 40)"
-
-
-@query(f"""WITH r(id, x0, y0, x1, y1) AS ({_RECTS}) SELECT a.id AS a, b.id AS b, a.x0 < b.x1 AND a.x1 > b.x0 AND a.y0 < b.y1 AND a.y1 > b.y0 AS meets,
-abs(a.x0 - b.x0) <= 1 AND abs(a.y0 - b.y0) <= 1 AND abs(a.x1 - b.x1) <= 1 AND abs(a.y1 - b.y1) <= 1 AS same FROM r a, r b WHERE a.id < b.id""")
-def covered_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = spark.sql(f"SELECT id, struct(double(x0) x0, double(y0) y0, double(x1) x1, double(y1) y1) r FROM {_RECTS} AS t(id, x0, y0, x1, y1)")
-    pairs = r.select(F.col("id").alias("a"), F.array("r").alias("ra")).join(r.select(F.col("id").alias("b"), F.array("r").alias("rb")), F.col("a") < F.col("b"))
-    return pairs.select("a", "b", G.any_overlap(F.col("ra"), F.col("rb")).alias("meets"), G.covered(F.col("ra"), F.col("rb")).alias("same"))
-
-
-@query("""SELECT d AS degrees, CASE d % 360 WHEN 0 THEN 10 WHEN 90 THEN 780 WHEN 180 THEN 590 ELSE 20 END::DOUBLE AS x, CASE d % 360 WHEN 0 THEN 20 WHEN 90 THEN 10 WHEN 180 THEN 780 ELSE 590 END::DOUBLE AS y FROM (VALUES (0), (90), (180), (270), (450)) AS t(d)""")
-def rotate_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.sql("SELECT * FROM VALUES (0), (90), (180), (270), (450) AS t(degrees)")
-    x, y = G.rotate_point(F.lit(10.0), F.lit(20.0), F.lit(600.0), F.lit(800.0), F.col("degrees"))
-    return t.select("degrees", x.alias("x"), y.alias("y"))
+# --- sizes and rectangles ----------------------------------------------
 
 
-@query("""WITH t(w, h) AS (VALUES (400, 300), (300, 900), (1000, 1000)), s AS (SELECT w, h, least(575.0 / w, 822.0 / h) AS k FROM t)
-SELECT w, h, round((595 - w * k) / 2, 6)::DOUBLE AS x, round((842 - h * k) / 2, 6)::DOUBLE AS y FROM s""")
+@query("""WITH t AS (SELECT p_partkey, 100 + p_partkey * 31 % 900 AS w, 100 + p_partkey * 7 % 900 AS h FROM part), s AS (SELECT *, least(575.0 / w, 822.0 / h) AS k FROM t)
+SELECT p_partkey, round((595 - w * k) / 2, 6)::DOUBLE AS x, round((842 - h * k) / 2, 6)::DOUBLE AS y, round(w * k, 6)::DOUBLE AS w FROM s""")
 def a4_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.sql("SELECT * FROM VALUES (400, 300), (300, 900), (1000, 1000) AS t(w, h)").withColumn("p", G.a4_placement(F.col("w"), F.col("h")))
-    return t.select("w", "h", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
+    t = table(spark, sf_dir, "part").withColumn("p", G.a4_placement(100 + F.col("p_partkey") * 31 % 900, 100 + F.col("p_partkey") * 7 % 900))
+    return t.select("p_partkey", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"), F.round("p.w", 6).alias("w"))
 
 
-@query("""SELECT * FROM (VALUES ('p', 0, 'intro'), ('p', 4, '|a|b|'), ('p', 5, '|---|---|'), ('p', 6, 'end')) AS t(page_uid, seq, text)""")
-def drop_empty_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.sql("SELECT * FROM VALUES ('p', 0, 'intro'), ('p', 1, '|Col1|Col2|'), ('p', 2, '|---|---|'), ('p', 3, ''), ('p', 4, '|a|b|'), ('p', 5, '|---|---|'), ('p', 6, 'end') AS t(page_uid, seq, text) WHERE text <> ''")
-    return export.drop_empty_tables(lines.where("seq < 3").unionByName(spark.sql("SELECT 'p' page_uid, 3 seq, '' text")).unionByName(lines.where("seq > 3"))).where("text <> ''")
+@query("""WITH r AS (SELECT l_orderkey AS k, l_linenumber % 2 AS side, (l_partkey % 60)::DOUBLE AS x, (l_suppkey % 60)::DOUBLE AS y FROM lineitem)
+SELECT o.k, EXISTS (SELECT 1 FROM r a JOIN r b ON a.k = b.k AND a.side = 0 AND b.side = 1 AND abs(a.x - b.x) < 10 AND abs(a.y - b.y) < 10 WHERE a.k = o.k) AS meets FROM (SELECT DISTINCT k FROM r) o""")
+def meeting_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = F.col("l_partkey") % 60, F.col("l_suppkey") % 60
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") % 2).alias("side"), G.rect(x, y, x + 10, y + 10).alias("r"))
+    sides = rows.groupBy("k").agg(*(F.collect_list(F.when(F.col("side") == n, F.col("r"))).alias(c) for n, c in ((0, "a"), (1, "b"))))
+    return sides.select("k", G.any_overlap(F.col("a"), F.col("b")).alias("meets"))
 
 
 for _module in ("queries_spans", "queries_model", "queries_layout", "queries_text"):

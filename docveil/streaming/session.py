@@ -18,17 +18,18 @@ def unscanned_only(pages: DataFrame, key: str = "page_uid") -> DataFrame:
     return pages.dropDuplicates([key])
 
 
-def scan_stream(pages: DataFrame, scan: Callable[[DataFrame], DataFrame], out: str, log: str, checkpoint: str, policy: str = "scan", key: str = "page_uid") -> StreamingQuery:
+def scan_stream(pages: DataFrame, scan: Callable[[DataFrame], DataFrame], out: str, log: str, checkpoint: str, policy: str = "scan", key: str = "page_uid", first: int = 0) -> StreamingQuery:
     """Scan new pages of each batch and add the findings to out; what was offered is written to log.
 
     policy scan scans them; skip and never mark them as seen without scanning.
-    The batch number is part of what is written, so a batch that is run again after a failure replaces itself.
+    The batch number is part of what is written, so a batch that is run again after a failure replaces itself. A further
+    stream over the same log has a checkpoint of its own and numbers its batches from first on.
     """
     if policy not in ("scan", "skip", "never"):
         raise ValueError(policy)
 
-    def batch(df: DataFrame, number: int) -> None:
-        spark = df.sparkSession
+    def batch(df: DataFrame, own: int) -> None:
+        spark, number = df.sparkSession, first + own
         path = spark._jvm.org.apache.hadoop.fs.Path(log)
         there = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
         fresh = df.dropDuplicates([key])
