@@ -351,7 +351,7 @@ def similar_roots(base: DataFrame, sets: Callable[[DataFrame], DataFrame], simil
         if kind is None or (pairs or 0) <= MOST_PAIRS * (rows or 0) or (last and pairs > 0.9 * last):
             break
         last = pairs
-        found = linked(materialize(counted(beside(rest, kind), F.lit(2)), "neighbours"))
+        found = linked(materialize(counted(beside(rest, kind), shared_least(F.col("size"), F.col("size2"), similarity) / 2), "neighbours"))
         first = materialize(composed(first, found), "near_roots")
         rest = rest.drop("root").join(first.withColumnRenamed("node", "f0"), "f0", "left").withColumn("root", F.coalesce("root", "f0"))
     other = rest.select("key", F.col("f0").alias("g0"), F.col("size").alias("size2"), F.col("root").alias("root2"), F.col("popular").alias("popular2"))
