@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from docveil.functions import entities as E
 from docveil.functions import ids
-from docveil.functions.matches import group_spans, spans, starts
+from docveil.functions.matches import group_spans, let, spans, starts
 from docveil.functions.text import edits_within, fold_city, ocr_slack
 
 #: Fixed value: spans below it are not shown.
@@ -84,17 +84,20 @@ CONTEXT = {
 
 def verdict(entity: Column, value: Column) -> Column:
     """True lifts a span to the highest score, false drops it, null keeps the pattern's score."""
-    digits = F.regexp_replace(value, "[^0-9]", "")
-    born = ids.cpr_birth_date(digits).isNotNull()
-    national = F.when(digits.startswith("0045") & (F.length(digits) == 12), F.substring(digits, 5, 8)).when(digits.startswith("45") & (F.length(digits) == 10), F.substring(digits, 3, 8)).otherwise(digits)
-    return (
-        F.when(entity == E.CPR, F.when((F.length(digits) != 10) | ~born, False).when(ids.cpr_mod11(digits), True))
-        .when(entity == E.CPR_LOOSE, F.when((F.length(digits) != 10) | born, False))
-        .when(entity == E.PHONE, F.when((F.length(national) != 8) | national.rlike("^[01]"), False))
-        .when(entity == E.CVR, ids.cvr_mod11(digits))
-        .when(entity == E.CARD, ids.luhn(digits))
-        .when(entity == E.IBAN, ids.iban_ok(value))
-    )
+
+    def of(digits: Column) -> Column:
+        born = ids.cpr_birth_date(digits).isNotNull()
+        national = F.when(digits.startswith("0045") & (F.length(digits) == 12), F.substring(digits, 5, 8)).when(digits.startswith("45") & (F.length(digits) == 10), F.substring(digits, 3, 8)).otherwise(digits)
+        return (
+            F.when(entity == E.CPR, F.when((F.length(digits) != 10) | ~born, False).when(ids.cpr_mod11(digits), True))
+            .when(entity == E.CPR_LOOSE, F.when((F.length(digits) != 10) | born, False))
+            .when(entity == E.PHONE, F.when((F.length(national) != 8) | national.rlike("^[01]"), False))
+            .when(entity == E.CVR, ids.cvr_mod11(digits))
+            .when(entity == E.CARD, ids.luhn(digits))
+            .when(entity == E.IBAN, ids.iban_ok(value))
+        )
+
+    return let(F.regexp_replace(value, "[^0-9]", ""), of)
 
 
 def _named(found: Column, rule: Rule) -> Column:
@@ -151,10 +154,9 @@ def validated_postal(found: DataFrame, codes: DataFrame, carry: list[str] | None
 def with_context(text: Column, entity: Column, start: Column, score: Column) -> Column:
     """A span's score, raised if a context word of its entity stands shortly before it."""
     before = F.lower(F.substring(text, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS))))
-    near = F.lit(False)
-    for key, found in CONTEXT.items():
-        alternatives = "|".join(w.replace(".", r"\.") for w in found.split())
-        near = F.when(entity == key, before.rlike(rf"(?<![\wæøå])(?:{alternatives})(?![\wæøå])")).otherwise(near)
+    told = F.create_map(*(F.lit(x) for key, found in CONTEXT.items() for x in (key, rf"(?<![\wæøå])(?:{'|'.join(w.replace('.', chr(92) + '.') for w in found.split())})(?![\wæøå])")))
+    pattern = F.try_element_at(told, entity)
+    near = F.coalesce(F.regexp_like(before, pattern), F.lit(False))
     return F.when(near, F.least(F.lit(1.0), F.greatest(score + CONTEXT_GAIN, F.lit(CONTEXT_LEAST)))).otherwise(score)
 
 

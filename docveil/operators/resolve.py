@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docveil.functions import entities as E
 from docveil.functions.geometry import covered
 from docveil.functions.matches import starts
 from docveil.functions.text import collapse, normalize_value, role_alternatives, role_pattern
+from docveil.shared import materialize, running_sum
 
 # Words of roles, and the mark of contradicting ones.
 PROFESSIONAL = (
@@ -88,10 +89,10 @@ def group_findings(found: DataFrame) -> DataFrame:
 
 
 def review_order(groups: DataFrame) -> DataFrame:
-    """Groups with their rank in a review: entity, professional or mixed roles first, frequent first, name."""
+    """Groups with their rank in a review: entity, professional or mixed roles first, frequent first, name. Ranks are dealt by ranges, no task gets all groups."""
     ahead = F.when((F.col("role_hint") == MIXED) | professional(F.col("role_hint")), 0).otherwise(1)
-    w = Window.orderBy(E.review_rank(F.col("entity")), ahead, F.desc("n"), F.lower("display"), "key")
-    return groups.withColumn("rank", F.row_number().over(w))
+    order = [E.review_rank(F.col("entity")), ahead, F.desc("n"), F.lower("display"), F.col("key")]
+    return running_sum(materialize(groups, "groups"), order, F.lit(1), "rank").withColumn("rank", F.col("rank") + 1)
 
 
 def stem(entity: Column, hint: Column) -> Column:
@@ -101,7 +102,7 @@ def stem(entity: Column, hint: Column) -> Column:
 
 
 def assign_pseudonyms(groups: DataFrame, by_key_alone: bool = False) -> DataFrame:
-    """(entity, key, label, display, n): numbered by stem in the order in which groups are first seen.
+    """(entity, key, label, display, n): numbered by stem in the order in which groups are first seen, by ranges of groups.
 
     by_key_alone gives one label to a key that occurs under several entities,
     that of the entity last in review order.
@@ -110,8 +111,8 @@ def assign_pseudonyms(groups: DataFrame, by_key_alone: bool = False) -> DataFram
         latest = groups.groupBy("key").agg(F.max_by(F.struct("entity", "n", "display", "role_hint"), F.struct(E.review_rank(F.col("entity")), F.col("entity"))).alias("g"), F.min("first_pos").alias("first_pos"))
         groups = latest.select("g.entity", "key", "g.n", "g.display", "g.role_hint", "first_pos")
     named = groups.withColumn("stem", stem(F.col("entity"), F.col("role_hint")))
-    w = Window.partitionBy("stem").orderBy("first_pos", "entity", "key")
-    return named.withColumn("label", F.concat_ws(" ", "stem", F.row_number().over(w))).select("entity", "key", "label", "display", "n")
+    numbered = running_sum(materialize(named, "groups"), [F.col("stem"), F.col("first_pos"), F.col("entity"), F.col("key")], F.lit(1), "number", reset="stem")
+    return numbered.withColumn("label", F.concat_ws(" ", "stem", F.col("number") + 1)).select("entity", "key", "label", "display", "n")
 
 
 def splice(text: Column, edits: Column) -> Column:

@@ -72,7 +72,13 @@ def metadata(files: DataFrame, info: DataFrame) -> DataFrame:
     return j.select(*files.columns, F.when(F.col("kind") == "image", 1).otherwise(F.col("page_count")).alias("page_count"), status.alias("enc_key"), creation_date(F.col("created"), F.col("changed"), F.col("modified")).alias("creation_date"))
 
 
-def write_texts(texts: DataFrame, path: str, fmt: str = "txt") -> None:
-    """One text a row (doc, text), dealt by document; plain text begins with a byte order mark."""
-    mark = F.concat(F.lit("﻿"), F.col("text")) if fmt == "txt" else F.col("text")
+def write_texts(texts: DataFrame, path: str, fmt: str = "txt", packed: bool = False) -> None:
+    """One text a row (doc, text), a folder for each document; plain text begins with a byte order mark.
+
+    packed is for collections of very many documents: lines of JSON with doc and text in few large files.
+    """
+    if packed:
+        texts.select("doc", "text").write.mode("overwrite").json(path)
+        return
+    mark = F.concat(F.lit("\ufeff"), F.col("text")) if fmt == "txt" else F.col("text")
     texts.select("doc", mark.alias("value")).write.mode("overwrite").partitionBy("doc").option("lineSep", "\n").text(path)
