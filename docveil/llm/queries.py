@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,8 +78,42 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
 
+# What SQL can say of operators whose whole result it can't.
+
+
+def similar_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of the similarity that the pipeline's near-dedup takes."""
+    from docveil.llm.simhash import similar_documents
+
+    return similar_documents(_table(spark, sf_dir, "documents")).select("doc_id", "component_id")
+
+
+def personal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docveil.llm.personal import find_personal
+
+    return find_personal(_table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from docveil.llm.mixing import mix
+
+    mixed = mix(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    near = F.abs(F.sum("taken").over(Window.partitionBy("source")) - F.col("target")) <= 0.02 * F.col("target") + F.max("size").over(Window.partitionBy("source"))
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), (F.col("taken") <= 2 * F.col("size")).alias("bounded"), near.alias("near"))
+
+
+def shard_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    slots = op6_sharding(spark, sf_dir).groupBy(F.col("shard").cast("long").alias("shard"))
+    return slots.agg(F.count("*").alias("n"), F.count_distinct("slot").alias("n_slots"), F.min("slot").alias("low"), F.max("slot").alias("high"), F.min("law").alias("law"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    parts = (similar_groups, personal_counts, mixing_targets, shard_laws)
+    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | {f.__name__: f for f in parts}
 
 
 #: The same parse of urls, then every rule against every url; the longest that fits.
@@ -132,5 +166,41 @@ FROM judged JOIN verdicts ON judged.source IS NOT DISTINCT FROM verdicts.source
 """
 
 
+#: All pairs of documents that share a shingle, their similarity, and what links reach.
+_SIMILAR_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda k: hash(array_to_string(ws[k:k + 4], ' ')))) AS h FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+near AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+both_ AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, both_.b FROM reach JOIN both_ ON reach.b = both_.a)
+SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+"""
+
+_PERSONAL_SQL = r"""
+WITH m AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS e, regexp_extract_all(coalesce(text, ''), '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)') AS i,
+  list_transform(regexp_extract_all(coalesce(text, ''), '[0-9](?:[ -]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS c, list_transform(regexp_extract_all(coalesce(text, ''), '\+[0-9][ ().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g'))) AS p FROM documents)
+SELECT doc_id, len(e)::BIGINT AS n_email, len(list_filter(i, lambda x: len(list_filter(string_split(x, '.'), lambda y: length(ltrim(y, '0')) > 3 OR coalesce(try_cast(ltrim(y, '0') AS INT), 0) > 255)) = 0))::BIGINT AS n_ip,
+len(list_filter(c, lambda x: length(x) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(x) + 1), lambda j: CASE WHEN (length(x) - j) % 2 = 0 THEN substr(x, j, 1)::INT ELSE 2 * substr(x, j, 1)::INT - CASE WHEN substr(x, j, 1)::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0))::BIGINT AS n_card,
+len(list_filter(p, lambda x: x BETWEEN 10 AND 15))::BIGINT AS n_phone FROM m
+"""
+
+#: Sources stop in the order of what they can give for each weight; the level is the first that no further source stops at.
+_TARGETS_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS r FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][r % 3 + 1] AS weight, 2.0 * source_size AS most, (SELECT 1.5 * sum(source_size) FROM s) AS total FROM s),
+k AS (SELECT *, most / weight AS ratio, total - coalesce(sum(most) OVER (ORDER BY most / weight, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, sum(weight) OVER (ORDER BY most / weight, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free FROM w),
+l AS (SELECT (list(rest / free ORDER BY ratio, r))[1] AS level FROM k WHERE ratio > rest / free)
+SELECT doc_id, size, source_size, round(least(most, coalesce((SELECT level FROM l), 1e300) * weight)::DOUBLE, 3) AS target, true AS bounded, true AS near FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source
+"""
+
+_SHARDS_SQL = """
+WITH n AS (SELECT count(*) AS n FROM documents), s AS (SELECT unnest(range(24)) AS shard), c AS (SELECT shard, n // 24 + (shard < n % 24)::INT AS n FROM s, n)
+SELECT shard, n::BIGINT AS n, n::BIGINT AS n_slots, 0::BIGINT AS low, (n - 1)::BIGINT AS high, 'rows' AS law FROM c WHERE n > 0
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality": _QUALITY_SQL, "op5_url_filter": _url_sql()}
+    return {"op2_quality": _QUALITY_SQL, "op5_url_filter": _url_sql(), "similar_groups": _SIMILAR_SQL, "personal_counts": _PERSONAL_SQL, "mixing_targets": _TARGETS_SQL, "shard_laws": _SHARDS_SQL}

@@ -611,3 +611,19 @@ def test_long_secrets_are_candidates():
         text = "to " + "a" * n + " (at) " + "b" * n + ".org now, Dr. A" + "c" * n + " E" + "d" * n
         found = [x[:3] for x in candidates(text, [])]
         assert (3, 0, 3 + n + 6 + n + 4) in found and found[-1] == (text.index("Dr"), 6, len(text))
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+@pytest.mark.parametrize("name", ["similar_groups", "personal_counts", "mixing_targets", "shard_laws", "op2_quality", "op5_url_filter"])
+def test_queries_equal_their_sql(spark, name):
+    """Over whole tables; all pairs of documents in SQL for the groups of near copies."""
+    from docveil.llm.queries import oracle_sql, queries
+
+    data, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    df = queries()[name](spark, data)
+    con.execute(oracle_sql()[name])
+    names = [d[0] for d in con.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(str, (tuple(r) for r in df.select(*names).collect()))) == sorted(map(str, con.fetchall()))
