@@ -28,10 +28,8 @@ REVIEW_LABELS = {**STEMS, CPR_LOOSE: "Muligt CPR-nummer"}
 
 
 def _lookup(entity: Column, table: dict, default) -> Column:
-    out = F.lit(default)
-    for key, value in table.items():
-        out = F.when(entity == key, F.lit(value)).otherwise(out)
-    return out
+    known = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, entity), F.lit(default))
 
 
 def priority(entity: Column) -> Column:
