@@ -86,6 +86,20 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return out
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for what another writer than materialize() writes; it goes with its tables."""
+    path = f"{shared_dir(spark)}/docveil/{name}-{uuid.uuid4().hex}"
+    _THERE[path] = spark
+    for held in _OPEN.get():
+        held.append(path)
+    return path
+
+
+def sent_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """df, marked for broadcast if it has at most so many rows, which are counted; a larger one is joined by an exchange."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def release(*frames: DataFrame) -> None:
     """Delete what materialize() wrote for frames that nothing reads any more."""
     for df in frames:
