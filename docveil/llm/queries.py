@@ -1,10 +1,13 @@
-"""The queries of the ten operators over whole tables, and their SQL."""
+"""The queries of the operators over whole tables, and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from docveil.llm import sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,8 +62,6 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     from docveil.llm.lm import score
 
     return score(_table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 != 2)
@@ -78,9 +79,37 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docveil.llm.search import build_index, search
+
+    return search(build_index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark")).select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docveil.llm.manifest import lower_text, manifest, proof
+
+    made = manifest(_table(spark, sf_dir, "documents"), tampered=F.crc32(F.col("doc_id").cast("string")) % 5 == 0, tamper=lower_text())
+    return made.select("doc_id", "leaf", "subroot", "root", proof(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docveil.llm.media import media_columns
+
+    payload, media = F.col("payload"), F.col("media")
+    return media_columns(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"), F.crc32(F.substring(payload, -64, 64)).alias("tail_crc32"),
+        F.octet_length(media).cast("long").alias("media_bytes"), F.sha2(media, 256).alias("media_sha256"), "feature",
+    )
+
+
 # What SQL can say of operators whose whole result it can't.
 
 
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op13 says of the payloads alone."""
+    return op13_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
+
+
 def similar_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of the similarity that the pipeline's near-dedup takes."""
     from docveil.llm.simhash import similar_documents
@@ -95,8 +124,6 @@ def personal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     from docveil.llm.mixing import mix
 
     mixed = mix(_table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -105,14 +132,12 @@ def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shard_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     slots = op6_sharding(spark, sf_dir).groupBy(F.col("shard").cast("long").alias("shard"))
     return slots.agg(F.count("*").alias("n"), F.count_distinct("slot").alias("n_slots"), F.min("slot").alias("low"), F.max("slot").alias("high"), F.min("law").alias("law"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    parts = (similar_groups, personal_counts, mixing_targets, shard_laws)
+    parts = (similar_groups, personal_counts, mixing_targets, shard_laws, media_payloads)
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | {f.__name__: f for f in parts}
 
 
@@ -203,4 +228,5 @@ SELECT shard, n::BIGINT AS n, n::BIGINT AS n_slots, 0::BIGINT AS low, (n - 1)::B
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality": _QUALITY_SQL, "op5_url_filter": _url_sql(), "similar_groups": _SIMILAR_SQL, "personal_counts": _PERSONAL_SQL, "mixing_targets": _TARGETS_SQL, "shard_laws": _SHARDS_SQL}
+    parts = {"similar_groups": _SIMILAR_SQL, "personal_counts": _PERSONAL_SQL, "mixing_targets": _TARGETS_SQL, "shard_laws": _SHARDS_SQL, "media_payloads": sql.payloads_sql()}
+    return {"op2_quality": _QUALITY_SQL, "op5_url_filter": _url_sql(), "op11_ranked_search": sql.search_sql(), "op12_merkle_manifest": sql.manifest_sql(), **parts}
