@@ -19,11 +19,14 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+#: Matches that are placed together. A fold copies what it has so far at each step, so it runs over parts of this length, and once over the parts.
+PART = 64
+
+
 def spans(text: Column, pattern: str | Column) -> Column:
     """array<struct<start, end, value>> in the order of the text; empty for a null text."""
     whole = F.coalesce(text, F.lit(""))
     none = F.array().cast(f"array<{SPAN}>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         low = acc["at"] + F.length(x["gap"])
@@ -31,10 +34,18 @@ def spans(text: Column, pattern: str | Column) -> Column:
         made = F.struct(low.alias("start"), high.alias("end"), x["value"].alias("value"))
         return F.struct(high.alias("at"), F.concat(acc["out"], F.array(made)).alias("out"))
 
+    def parts(pairs: Column) -> Column:
+        def part(acc: Column, k: Column) -> Column:
+            begun = F.struct(acc["at"].alias("at"), none.alias("out"))
+            own = F.aggregate(F.slice(pairs, k * PART + 1, F.lit(PART)), begun, step)
+            return let(own, lambda o: F.struct(o["at"].alias("at"), F.concat(acc["outs"], F.array(o["out"])).alias("outs")))
+
+        begun = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("outs"))
+        return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / PART).cast("int")), begun, part, lambda acc: F.flatten(acc["outs"]))
+
     def placed(found: Column) -> Column:
         gaps = F.slice(F.split(whole, F.lit(pattern), F.lit(-1)), F.lit(1), F.size(found))
-        pairs = F.arrays_zip(gaps.alias("gap"), found.alias("value"))
-        return F.when(F.size(found) == 0, none).otherwise(F.aggregate(pairs, start, step, lambda acc: acc["out"]))
+        return F.when(F.size(found) == 0, none).otherwise(let(F.arrays_zip(gaps.alias("gap"), found.alias("value")), parts))
 
     return let(F.regexp_extract_all(whole, F.lit(pattern), F.lit(0)), placed)
 

@@ -341,7 +341,7 @@ def meeting_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sides.select("k", G.any_overlap(F.col("a"), F.col("b")).alias("meets"))
 
 
-for _module in ("queries_spans", "queries_model", "queries_layout", "queries_text"):
+for _module in ("queries_spans", "queries_model", "queries_layout", "queries_text", "queries_names"):
     importlib.import_module(f"docveil.{_module}")
 
 __all__ = ["ORACLES", "QUERIES"]
