@@ -26,6 +26,8 @@ SAMPLED, FREQUENT = 1 << 14, 1 << 18
 SENT_NAMES = 1 << 20
 #: Which other text of a shingle each is compared with before all pairs are, which they are once there are at most so many for each member.
 KINDS_OF_HUBS, MOST_PAIRS = ("popular", "size", "popular", "by chance"), 4
+#: Members of a shingle that are sorted by size together, about.
+PART_MEMBERS = 4096
 #: Bytes that a turn moves for each shingle of the corpus, and in any case.
 TURN_BYTES, LEAST_TURN = 2, 1 << 26
 
@@ -264,6 +266,18 @@ def shared_least(size: Column, size2: Column, similarity: float) -> Column:
     return F.greatest(F.least(F.lit(SHARED), F.ceil(large * similarity - 1e-9)), overlap - rest)
 
 
+def fewest_shared(size: Column, low: Column, high: Column, similarity: float) -> Column:
+    """No more than what shared_least() says for any partner of low to high shingles, where low <= size <= high.
+
+    For partners that are no larger it rises with their size. For larger ones it falls but for the rounding of both its
+    parts: ceil(x) - ceil(y) is at least floor(x - y), which falls throughout.
+    """
+    own = F.ceil(size * similarity - 1e-9)
+    falling = F.floor((size + high) * (similarity / (1 + similarity)) - high * similarity - 1e-6) + SHARED
+    above = F.greatest(F.least(F.lit(SHARED), own), F.when(own > SHARED, falling).otherwise(F.lit(0)))
+    return F.least(shared_least(size, low, similarity), above)
+
+
 def composed(first: DataFrame | None, second: DataFrame) -> DataFrame:
     """(node, root) of links of two kinds, where second has the components of the first ones' roots and of nodes without any."""
     if first is None:
@@ -284,19 +298,21 @@ def similar_roots(base: DataFrame, sets: Callable[[DataFrame], DataFrame], simil
     are left come last, in turns that bound the disk.
     """
     room = max(LEAST_TURN, TURN_BYTES * int(base.agg(F.sum("size")).first()[0] or 0))
-    spread = base.select("f0", "size", F.explode("prefix").alias("key")).repartition("key").dropDuplicates(["key", "f0"])
-    members = materialize(spread.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n"), "members")
+    spread = materialize(base.select("f0", "size", F.explode("prefix").alias("key")).dropDuplicates(["key", "f0"]), "spread")
+    shared = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    members = materialize(spread.join(shared, "key"), "members")
+    release(spread)
     first = None
 
     def pruned(rows: DataFrame) -> DataFrame:
         """Members (key, f0, size, root) with popular, how many keys each shares, but for those that can't share enough with any other root of the key.
 
-        Such a one shares too few keys in all for the partner at this key that asks for fewest, the one whose size differs most.
+        Such a one shares too few keys in all for any size that a partner at this key may have.
         """
         popular = rows.groupBy("f0").agg(F.count("*").cast("int").alias("popular"))
         ends = rows.groupBy("key").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.min("root").alias("least"), F.max("root").alias("most"))
         low, high = F.greatest("low", F.ceil(F.col("size") * similarity - 1e-9)), F.least("high", F.floor(F.col("size") / similarity + 1e-9))
-        fewest = F.least(shared_least(F.col("size"), low, similarity), shared_least(F.col("size"), high, similarity))
+        fewest = fewest_shared(F.col("size"), low, high, similarity)
         both = rows.drop("popular").join(ends.where("least < most"), "key").join(popular, "f0")
         return both.where(F.col("popular") >= fewest).select("key", "f0", "size", "root", "popular")
 
@@ -329,8 +345,10 @@ def similar_roots(base: DataFrame, sets: Callable[[DataFrame], DataFrame], simil
     def beside(rows: DataFrame, kind: str) -> DataFrame:
         """Each member with one member of its key that has another root."""
         if kind == "size":
-            order = Window.partitionBy("key").orderBy("size", "f0")
-            chosen = rows.withColumn("other", F.lag(F.struct("f0", "size", "root")).over(order)).where("other.root <> root")
+            parts = rows.groupBy("key").agg((F.floor(F.count("*") / PART_MEMBERS) + 1).alias("parts"))
+            order = Window.partitionBy("key", "part").orderBy("size", "f0")
+            dealt = rows.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("f0"), F.col("parts")))
+            chosen = dealt.withColumn("other", F.lag(F.struct("f0", "size", "root")).over(order)).where("other.root <> root")
         else:
             by = F.col("popular") if kind == "popular" else F.xxhash64("f0", F.lit(kind))
             one = F.struct(by.alias("by"), "f0", "size", "root")
@@ -358,7 +376,8 @@ def similar_roots(base: DataFrame, sets: Callable[[DataFrame], DataFrame], simil
     least = shared_least(F.col("size"), F.col("size2"), similarity)
     of, left = turns(24 * (pairs or 0)), None
     for k in range(of):
-        met = rest.join(other, "key").where((F.col("f0") < F.col("g0")) & (F.col("root") != F.col("root2")) & (F.least("popular", "popular2") >= least) & turn(k, of))
+        own = rest.where(F.pmod(F.xxhash64("f0"), F.lit(of)) == k)
+        met = own.join(other, "key").where((F.col("f0") < F.col("g0")) & (F.col("root") != F.col("root2")) & (F.least("popular", "popular2") >= least))
         part = materialize(counted(met, least), "candidates")
         left = part if left is None else left.unionByName(part)
     return composed(first, linked(left))

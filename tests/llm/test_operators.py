@@ -124,8 +124,8 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_similar_documents(spark):
-    """Groups by exact similarity of five-word shingles, nearly all of which the signatures find, also in large buckets."""
+def test_similar_documents(spark, monkeypatch):
+    """Groups by exact similarity of five-word shingles, all of them."""
     from docveil.llm import simhash
 
     rnd = random.Random(9)
@@ -159,15 +159,44 @@ def test_similar_documents(spark):
         least[find(k)] = min(i, least.get(find(k), i))
     want = [(i, least[find(k)]) for k, (i, _) in enumerate(rows)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for at_most in (64, 1):
-        simhash.BLOCK, held = at_most, simhash.BLOCK
-        try:
+    for names, parts, turn in ((1 << 20, 4096, 1 << 26), (0, 1, 100)):  # names joined, members sorted in small parts, many turns
+        with monkeypatch.context() as m:
+            m.setattr(simhash, "SENT_NAMES", names)
+            m.setattr(simhash, "PART_MEMBERS", parts)
+            m.setattr(simhash, "LEAST_TURN", turn)
+            m.setattr(simhash, "TURN_BYTES", min(2, turn))
             got = [(r["doc_id"], r["component_id"]) for r in simhash.similar_documents(df).collect()]
-        finally:
-            simhash.BLOCK = held
-        assert len(got) == len(rows) and all(c <= i for i, c in got)
-        wrong = Counter(want) - Counter(got)
-        assert n > 40 and sum(wrong.values()) <= 3, wrong
+        assert n > 40 and Counter(got) == Counter(want)
+
+
+def test_no_link_is_lost_by_a_third_text(spark):
+    """A and B are linked whether C, which is no copy of either but shares their shingles, is there or not."""
+    from docveil.llm.simhash import similar_documents
+
+    same = [f"t{k}" for k in range(97)]
+    texts = [" ".join(same + [f"{x}{k}" for k in range(n)]) for x, n in (("a", 7), ("b", 16), ("c", 17))]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    assert jaccard(sets[0], sets[1]) >= 0.8 > max(jaccard(sets[0], sets[2]), jaccard(sets[1], sets[2]))
+    for n in (2, 3):
+        rows = spark.createDataFrame(list(enumerate(texts[:n])), "doc_id long, text string")
+        assert {r["doc_id"]: r["component_id"] for r in similar_documents(rows).collect()} == {0: 0, 1: 0, **({2: 2} if n == 3 else {})}
+
+
+def test_bound_of_shared_shingles(spark):
+    """For all sizes up to 300 and all ranges of partners' sizes the bound is no more than the least of the exact numbers."""
+    from pyspark.sql import Window
+
+    from docveil.llm.simhash import fewest_shared, shared_least
+
+    a, b = F.col("a"), F.col("b")
+    pairs = spark.range(1, 301).withColumnRenamed("id", "a").select("a", F.explode(F.sequence(F.ceil(a * 0.8 - 1e-9), F.floor(a / 0.8 + 1e-9))).alias("b")).withColumn("exact", shared_least(a, b, 0.8))
+    up = Window.partitionBy("a").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    above = pairs.where(b >= a).withColumn("least", F.min("exact").over(up))
+    assert above.where(fewest_shared(a, a, b, 0.8) > F.col("least")).count() == 0 and above.count() > 10000
+    down = Window.partitionBy("a").orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, 0)
+    below = pairs.where(b <= a).withColumn("least", F.min("exact").over(down))
+    assert below.where(fewest_shared(a, b, a, 0.8) > F.col("least")).count() == 0
 
 
 @pytest.mark.parametrize("most", [4, 0])
@@ -614,13 +643,13 @@ def test_long_secrets_are_candidates():
 
 
 @pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.001"), reason="no test tables")
-@pytest.mark.parametrize("name", ["similar_groups", "personal_counts", "mixing_targets", "shard_laws", "op2_quality", "op5_url_filter"])
+@pytest.mark.parametrize("name", ["similar_groups", "personal_counts", "mixing_targets", "shard_laws", "op2_quality", "op5_url_filter", "op11_ranked_search", "op12_merkle_manifest", "media_payloads"])
 def test_queries_equal_their_sql(spark, name):
     """Over whole tables; all pairs of documents in SQL for the groups of near copies."""
     from docveil.llm.queries import oracle_sql, queries
 
     data, con = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     df = queries()[name](spark, data)
     con.execute(oracle_sql()[name])
