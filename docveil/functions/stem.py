@@ -13,5 +13,5 @@ _PATTERN = rf"^(.{{{LEAST_STEM},}}?)(?:{'|'.join(ENDINGS)})$"
 
 
 def stem(word: Column) -> Column:
-    """A lower-case word without its inflection: the shortest stem of LEAST_STEM letters or more that an ending follows, else the word."""
-    return F.regexp_replace(word, _PATTERN, "$1")
+    """A lower-case word without its inflections: twice the shortest stem of LEAST_STEM letters or more that an ending follows, so that words that look inflected meet those that are."""
+    return F.regexp_replace(F.regexp_replace(word, _PATTERN, "$1"), _PATTERN, "$1")

@@ -20,12 +20,15 @@ from pyspark.sql import functions as F
 from docveil.functions import entities as E
 from docveil.functions import ids
 from docveil.functions.matches import group_spans, let, spans, starts
+from docveil.functions.stem import stem
 from docveil.functions.text import edits_within, fold_city, ocr_slack
 
 #: Fixed value: spans below it are not shown.
 SCORE_THRESHOLD = 0.4
-#: What a context word adds, the least score it gives, and how far before a span it may stand (own choice).
-CONTEXT_GAIN, CONTEXT_LEAST, CONTEXT_CHARS = 0.35, 0.4, 60
+#: What a context word adds and the least score it gives (own choice).
+CONTEXT_GAIN, CONTEXT_LEAST = 0.35, 0.4
+#: How many words before and behind a span may be its context, and within how many characters they are looked for (own choice).
+CONTEXT_BEFORE, CONTEXT_BEHIND, CONTEXT_CHARS = 5, 3, 120
 
 _B, _E = r"(?<![\wÆØÅæøå])", r"(?![\wÆØÅæøå])"
 _DAY, _MONTH = r"(?:0[1-9]|[12]\d|3[01]|6[1-9]|[78]\d|9[01])", r"(?:0[1-9]|1[0-2])"
@@ -151,13 +154,34 @@ def validated_postal(found: DataFrame, codes: DataFrame, carry: list[str] | None
     return first.select(*held, (F.col("start") + F.length("value")).cast("int").alias("end"), "value", F.lit(1.0).alias("score"))
 
 
-def with_context(text: Column, entity: Column, start: Column, score: Column) -> Column:
-    """A span's score, raised if a context word of its entity stands shortly before it."""
-    before = F.lower(F.substring(text, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS))))
-    told = F.create_map(*(F.lit(x) for key, found in CONTEXT.items() for x in (key, rf"(?<![\wæøå])(?:{'|'.join(w.replace('.', chr(92) + '.') for w in found.split())})(?![\wæøå])")))
-    pattern = F.try_element_at(told, entity)
-    near = F.coalesce(F.regexp_like(before, pattern), F.lit(False))
-    return F.when(near, F.least(F.lit(1.0), F.greatest(score + CONTEXT_GAIN, F.lit(CONTEXT_LEAST)))).otherwise(score)
+#: What surrounds a word without being part of it.
+_EDGES = ".,:;!?()[]{}<>|*#=_\"'«»“”…"
+
+
+def lemmas(words: Column) -> Column:
+    """Lower-case words without punctuation around them, and their parts at hyphens, dots and slashes, each as its stem."""
+    bare = F.filter(F.transform(words, lambda w: F.btrim(F.lower(w), F.lit(_EDGES))), lambda w: w != "")
+    return F.transform(F.flatten(F.transform(bare, lambda w: F.concat(F.array(w), F.split(w, r"[-./]")))), stem)
+
+
+def context_words(text: Column, start: Column, end: Column) -> Column:
+    """Lemmas of the words next to a span on either side. A word that CONTEXT_CHARS cut is left out, one that the span cuts is not."""
+    low = F.greatest(start - CONTEXT_CHARS, F.lit(0))
+    before, behind = F.substring(text, low + 1, start - low), F.substring(text, end + 1, F.lit(CONTEXT_CHARS))
+    whole = F.when(low > 0, F.regexp_replace(before, r"^\S*", "")).otherwise(before)
+    rest = F.when(F.length(text) > end + CONTEXT_CHARS, F.regexp_replace(behind, r"\S*$", "")).otherwise(behind)
+    near = F.filter(F.split(whole, r"(?U)\s+"), lambda w: w != "")
+    after = F.filter(F.split(rest, r"(?U)\s+"), lambda w: w != "")
+    last = F.slice(near, F.greatest(F.size(near) - CONTEXT_BEFORE, F.lit(0)) + 1, F.lit(CONTEXT_BEFORE))
+    return lemmas(F.concat(last, F.slice(after, 1, CONTEXT_BEHIND)))
+
+
+def with_context(text: Column, entity: Column, start: Column, end: Column, score: Column) -> Column:
+    """A span's score, raised if a context word of its entity, in whatever inflection, stands next to it."""
+    told = F.create_map(*(x for key, found in CONTEXT.items() for x in (F.lit(key), F.transform(F.array(*map(F.lit, found.split())), stem))))
+    wanted = F.try_element_at(told, entity)
+    near = F.when(wanted.isNotNull(), F.arrays_overlap(wanted, context_words(text, start, end)))
+    return F.when(F.coalesce(near, F.lit(False)), F.least(F.lit(1.0), F.greatest(score + CONTEXT_GAIN, F.lit(CONTEXT_LEAST)))).otherwise(score)
 
 
 def merge_duplicates(found: Column) -> Column:
@@ -209,7 +233,7 @@ def detect(pages: DataFrame, codes: DataFrame | None = None, extra: DataFrame |
     found = pattern_spans(source.select(F.struct("page_uid", "__ocr").alias("page_uid"), "text"), plain).select("page_uid.*", "text", "entity", "start", "end", "value", "score")
     found = found.where((F.col("entity") != E.CPR_LOOSE) | F.col("__ocr"))
     say = verdict(F.col("entity"), F.col("value"))
-    scored = found.withColumn("__say", say).where("coalesce(__say, true)").withColumn("score", F.when(F.col("__say"), F.lit(1.0)).otherwise(with_context(F.col("text"), F.col("entity"), F.col("start"), F.col("score"))))
+    scored = found.withColumn("__say", say).where("coalesce(__say, true)").withColumn("score", F.when(F.col("__say"), F.lit(1.0)).otherwise(with_context(F.col("text"), F.col("entity"), F.col("start"), F.col("end"), F.col("score"))))
     columns = ["page_uid", "entity", "start", "end", "value", "score"]
     if context:
         columns.append("context")

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docveil.functions import entities as E
 from docveil.functions.geometry import covered
-from docveil.functions.matches import starts
 from docveil.functions.text import collapse, normalize_value, role_alternatives, role_pattern
 from docveil.shared import materialize, running_sum
 
@@ -186,25 +186,67 @@ def name_variants(found: DataFrame) -> DataFrame:
     return owners.select("pattern", F.when(F.col("n") == 1, F.col("one")).otherwise(normalize_value(F.lit(E.PERSON), F.col("pattern"))).alias("key"))
 
 
+#: Patterns of one automaton; a larger dictionary is dealt into parts, each of which takes a pass over the texts.
+MOST_PATTERNS = 1 << 17
+_LETTER = re.compile(r"[\wæøåÆØÅ]")
+
+
+def lowered(text: str) -> str:
+    """text in lower case with as many characters as before."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def _finder(patterns: list[str], word_bounds: bool):
+    """A function from texts to the places of all patterns in them, found in one run over each text."""
+    held = []
+
+    def find(texts: pa.Array) -> pa.Array:
+        import ahocorasick
+
+        if not held:
+            automaton = ahocorasick.Automaton()
+            for k, p in enumerate(patterns):
+                automaton.add_word(p, (k, len(p)))
+            automaton.make_automaton()
+            held.append(automaton)
+        out = []
+        for each in texts:
+            text, found = each.as_py() or "", []
+            for last, (k, n) in held[0].iter(lowered(text)):
+                low, high = last + 1 - n, last + 1
+                if not word_bounds or not ((low and _LETTER.match(text[low - 1])) or (high < len(text) and _LETTER.match(text[high]))):
+                    found.append({"start": low, "end": high, "low": patterns[k], "value": text[low:high]})
+            out.append(found)
+        return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("low", pa.string()), ("value", pa.string())])))
+
+    return find
+
+
+def places_of(pages: DataFrame, variants: DataFrame, word_bounds: bool = False) -> DataFrame:
+    """(page_uid, start, end, low, value): every place of every pattern of variants(low) in pages(page_uid, text), whatever its case; overlapping ones too."""
+    found, parts = None, max(1, -(-variants.count() // MOST_PATTERNS))
+    for k in range(parts):
+        own = sorted(r[0] for r in variants.where(F.pmod(F.xxhash64("low"), F.lit(parts)) == k).select("low").collect())
+        if own or found is None:
+            find = F.arrow_udf(_finder(own, word_bounds), "array<struct<start:int,end:int,low:string,value:string>>")
+            hits = pages.where(F.lit(bool(own))).select("page_uid", F.explode(find("text")).alias("h")).select("page_uid", "h.*")
+            found = hits if found is None else found.unionByName(hits)
+    return found
+
+
 def propagate_names(pages: DataFrame, found: DataFrame, word_bounds: bool = False) -> DataFrame:
     """Further places of known names: (page_uid, entity, key, value, start, end, score).
 
     Places of a pattern are found case-insensitively and, unless word_bounds,
-    also inside longer words. The vocabulary of a text is met with the variants
-    by an equi-join on their first letters, so no text is tried against all
-    variants. Of overlapping places the longest pattern's leftmost stays; those over a known finding are dropped.
+    also inside longer words. All patterns are looked for in one run over each text; texts are not moved, places
+    are met with their keys by an equi-join. Of overlapping places the leftmost stays, the longest of those; those over a known finding are dropped.
     """
-    variants = name_variants(found).withColumn("low", F.lower("pattern")).withColumn("head", F.substring("low", 1, 3))
-    triples = F.flatten(F.array(*(F.regexp_extract_all(F.substring(F.lower("text"), k, 1 << 30), F.lit("(?s)..."), F.lit(0)) for k in (1, 2, 3))))
-    grams = pages.select("page_uid", F.explode(F.array_distinct(triples)).alias("head"))
-    candidates = grams.join(variants, "head").join(pages.select("page_uid", "text"), "page_uid").where(F.lower("text").contains(F.col("low")))
-    n = F.length("low")
-    hits = candidates.select("page_uid", "text", "key", n.alias("n"), F.explode(starts(F.lower("text"), F.col("low"))).alias("at")).withColumn("k", F.col("at") + 1)
-    if word_bounds:
-        hits = hits.where(~F.substring("text", F.col("k") - 1, F.when(F.col("k") > 1, 1).otherwise(0)).rlike(r"[\wæøåÆØÅ]") & ~F.substring("text", F.col("k") + F.col("n"), F.lit(1)).rlike(r"[\wæøåÆØÅ]"))
-    placed = hits.select("page_uid", "key", (F.col("k") - 1).cast("int").alias("start"), (F.col("k") - 1 + F.col("n")).cast("int").alias("end"), F.substring("text", F.col("k"), F.col("n")).alias("value"))
-    known = found.select("page_uid", F.col("start").alias("s2"), F.col("end").alias("e2"))
-    fresh = placed.join(known, (placed.page_uid == known.page_uid) & (F.col("start") < F.col("e2")) & (F.col("end") > F.col("s2")), "left_anti")
+    variants = name_variants(found).groupBy(F.lower("pattern").alias("low")).agg(F.min("key").alias("key"))
+    variants = materialize(variants, "variants")
+    placed = places_of(pages, variants, word_bounds).join(variants, "low")
+    known = found.select(F.col("page_uid").alias("p2"), F.col("start").alias("s2"), F.col("end").alias("e2"))
+    fresh = placed.join(known, (F.col("page_uid") == F.col("p2")) & (F.col("start") < F.col("e2")) & (F.col("end") > F.col("s2")), "left_anti")
     rows = fresh.groupBy("page_uid").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("minus"), "key", "value"))).alias("s"))
 
     def step(kept: Column, s: Column) -> Column:

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docveil.functions.geometry import overlaps
-from docveil.operators.detect import RULES, Rule, detect, search_occurrences
+from docveil.operators.detect import RULES, Rule, detect, plausible_names, search_occurrences
 from docveil.operators.lang import is_prose, looks_english, word_score
+from docveil.operators.names import case_counts, name_evidence, word_evidence
 from docveil.operators.resolve import assign_pseudonyms, findings, group_findings, propagate_names, redaction_items, render
+from docveil.operators.tagger import Model, tag_names, train
 from docveil.operators.words import clip_to_words, rects_for_spans, word_offsets, words_for_spans, words_to_text
+from docveil.shared import materialize
 
 
 def pseudonymise(pages: DataFrame, codes: DataFrame | None = None, names: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
@@ -21,6 +24,13 @@ def pseudonymise(pages: DataFrame, codes: DataFrame | None = None, names: DataFr
     return render(pages, found, labels), labels
 
 
+def find_names(pages: DataFrame, model: Model | None = None) -> DataFrame:
+    """Spans of names in pages(page_uid, text) by a model, trained on the same pages if none is given, but for those that the corpus's own use of their words speaks against."""
+    found = materialize(tag_names(pages, model or train(pages)), "names")
+    told = name_evidence(found, pages, word_evidence(case_counts(pages)))
+    return plausible_names(told, pages).select(*found.columns)
+
+
 def redact(words: DataFrame, labels: DataFrame, existing: DataFrame, decisions: DataFrame, codes: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
     """Items to redact from word boxes: text, spans, keys, rectangles, earlier decisions, and no second mark over an old one.
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from docveil.functions import entities as E
 from docveil.functions.matches import spans
-from docveil.operators import detect, langmodel, names
+from docveil.operators import detect, langmodel, names, resolve, tagger
 from docveil.operators.lang import looks_english, word_score
+from docveil.plans.anonymise import find_names
 from docveil.registry import query, table
 
 
@@ -53,7 +54,7 @@ told AS (SELECT lower(form) AS word, regexp_matches(form, '^\p{{Lu}}') AS capita
 counts AS (SELECT word, coalesce(sum(n) FILTER (NOT capital), 0)::BIGINT AS n_small, coalesce(sum(n - f) FILTER (capital), 0)::BIGINT AS n_inside, coalesce(sum(f) FILTER (capital), 0)::BIGINT AS n_first FROM told GROUP BY word)
 """
 _EVIDENCE = rf"""{_COUNTS},
-stemmed AS (SELECT *, regexp_replace(word, '^(.{{3,}}?)(?:{_ENDS})$', '\1') AS stem FROM counts),
+stemmed AS (SELECT *, regexp_replace(regexp_replace(word, '^(.{{3,}}?)(?:{_ENDS})$', '\1'), '^(.{{3,}}?)(?:{_ENDS})$', '\1') AS stem FROM counts),
 family AS (SELECT stem, sum(n_small) AS small, sum(n_inside) AS inside FROM stemmed GROUP BY stem),
 evidence AS (SELECT word, n_small + n_inside > 0 AND 2 * n_inside >= n_small + n_inside AS is_name, 2 * inside >= small + inside AS keeps, 10 * n_small <= n_small + n_inside + n_first AS small_name FROM stemmed JOIN family USING (stem))
 """
@@ -97,3 +98,85 @@ def names_by_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pages.select("page_uid", F.explode(spans(F.col("text"), _PAIRS)).alias("s")).select("page_uid", F.lit(E.PERSON).alias("entity"), "s.start", "s.end", "s.value")
     told = names.name_evidence(found, pages, names.word_evidence(names.case_counts(pages)))
     return told.select(F.col("page_uid").alias("doc_id"), F.col("start").cast("long").alias("start_at"), "value", "has_name", "keeps_capital", "is_name_lower", F.array_join("words", " ").alias("words"))
+
+
+# --- context words -----------------------------------------------------
+
+_NUMBER = "concat(20000000 + k * 7919 % 70000000, '')"
+_INFLECTED = f"""CASE k % 12 WHEN 0 THEN concat('Ring paa telefonen: ', {_NUMBER}, ' nu') WHEN 1 THEN concat('Se ', {_NUMBER}, ' (telefoner) her') WHEN 2 THEN concat('Skriv ', {_NUMBER}, ' til min fine gamle mobil') WHEN 3 THEN concat('Telefonen er gul og den er stor, ring ', {_NUMBER})
+  WHEN 4 THEN concat('Hendes kontakts: ', {_NUMBER}) WHEN 5 THEN concat('Telefonbog ', {_NUMBER}) WHEN 6 THEN concat('/TLF.:/ ', {_NUMBER}) WHEN 7 THEN concat({_NUMBER}, ' mobilens') WHEN 8 THEN concat('mobil', repeat('x', 130), ' ', {_NUMBER}) WHEN 9 THEN concat('kontakt', chr(10), chr(10), 'her ', {_NUMBER})
+  WHEN 10 THEN concat('kontakt ', repeat('y', 130), ' ', {_NUMBER}) ELSE concat('nr ', {_NUMBER}, ' slut') END"""
+
+
+@query(f"""WITH t AS (SELECT o_orderkey AS k FROM orders), x AS (SELECT k, {_INFLECTED} AS text, {_NUMBER} AS v FROM t)
+SELECT k AS page_uid, v AS value, (strpos(text, v) - 1)::BIGINT AS start_at, 0.65 AS score FROM x WHERE k % 12 IN (0, 1, 4, 6, 7, 9)""")
+def inflected_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bare numbers of eight digits, which only a word of telephones next to them makes believable: inflected, in brackets, behind them, in another line; not too far, cut off, or part of another word."""
+    pages = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k").selectExpr("k AS page_uid", f"{_INFLECTED} AS text")
+    found = detect.detect(pages, rules=tuple(r for r in detect.RULES if r.entity == E.PHONE))
+    return found.select("page_uid", "value", F.col("start").cast("long").alias("start_at"), F.round("score", 2).cast("decimal(3,2)").alias("score"))
+
+
+# --- propagation: patterns of two owners, short ones, glued words ------
+
+_MET = "CASE k % 6 WHEN 0 THEN 'Se Holm her' WHEN 1 THEN 'HOLMen' WHEN 2 THEN 'Med AB i' WHEN 3 THEN 'idaholm og perholm' WHEN 4 THEN 'A B bor her' ELSE CASE k % 12 WHEN 5 THEN 'Ida Holm' ELSE 'Per Holm' END END"
+
+
+@query("""WITH p AS (SELECT o_orderkey AS k FROM orders)
+SELECT k AS page_uid, 'holm' AS key, 'Holm' AS value, 3::BIGINT AS start_at FROM p WHERE k % 6 = 0 UNION ALL SELECT k, 'holm', 'HOLM', 0 FROM p WHERE k % 6 = 1 UNION ALL SELECT k, 'a b', 'AB', 4 FROM p WHERE k % 6 = 2
+UNION ALL SELECT k, 'ida holm', 'idaholm', 0 FROM p WHERE k % 6 = 3 UNION ALL SELECT k, 'per holm', 'perholm', 11 FROM p WHERE k % 6 = 3""")
+def propagated_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A word of two persons is a group of its own, words glued together lead to their person, a name's letters too; what is known already is not found again."""
+    pages = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k").selectExpr("k", "k AS page_uid", f"{_MET} AS text")
+    whole = F.when(F.expr("k % 6 = 4"), "A B").when(F.expr("k % 6 = 5"), F.col("text"))
+    found = pages.select("page_uid", F.lit(E.PERSON).alias("entity"), F.lower(whole).alias("key"), whole.alias("value"), F.lit(0).alias("start"), F.length(whole).alias("end")).where("value IS NOT NULL")
+    return resolve.propagate_names(pages, found).select("page_uid", "key", "value", F.col("start").cast("long").alias("start_at"))
+
+
+# --- names by a trained model ------------------------------------------
+
+_SYLLABLE = "element_at(array('Al', 'Bri', 'Cla', 'Dor', 'Eli', 'Fre', 'Gus', 'Hen', 'Ing', 'Jon', 'Kar', 'Lud', 'Mar'), 1 + cast({0} % 13 AS int))"
+_GIVEN = "concat(" + _SYLLABLE.format("(k * 7)") + ", element_at(array('a', 'ette', 'us', 'ik'), 1 + cast(k * 5 % 4 AS int)))"
+_FAMILY = "concat(" + _SYLLABLE.format("(k * 11)") + ", element_at(array('sen', 'gaard', 'holt', 'feldt'), 1 + cast(k * 3 % 4 AS int)))"
+_PLACE = "concat(" + _SYLLABLE.format("(k * 17)") + ", element_at(array('by', 'rup', 'lev', 'købing'), 1 + cast(k * 9 % 4 AS int)))"
+_FIRM = "concat(" + _SYLLABLE.format("(k * 19)") + ", element_at(array('tek', 'byg', 'data', 'transport'), 1 + cast(k * 13 % 4 AS int)))"
+_PERSON = f"concat({_GIVEN}, ' ', {_FAMILY})"
+_LINES = f"""CASE k % 9 WHEN 0 THEN concat('Derfor kom advokat ', {_PERSON}, ' med flere bilag.') WHEN 1 THEN concat('Sagen blev ført af ', {_PERSON}, ' med flere breve.') WHEN 2 THEN concat('I dag sagde vidnet ', {_PERSON}, ' det samme igen.')
+  WHEN 3 THEN concat('Han mener at vidnet ', {_GIVEN}, ' og ', {_PERSON}, ' ved det.') WHEN 4 THEN concat('Hun bor nu i 8500 ', {_PLACE}, ' med sin hund.') WHEN 5 THEN concat('De rejste til ', {_PLACE}, ' med toget.') WHEN 6 THEN concat('Huset er købt af ', {_FIRM}, ' A/S i fjor.')
+  WHEN 7 THEN concat('Regningen fra ', {_FIRM}, ' kom i går.') ELSE 'Der er ingen navne her, kun 12 bilag.' END"""
+
+
+def _tagged_sql(kind: int, entity: str, head: str, value: str) -> str:
+    return f"SELECT k, '{entity}' AS entity, length('{head}')::BIGINT AS start_at, {value} AS value FROM t WHERE k % 9 = {kind}"
+
+
+_NAMED = " UNION ALL ".join(
+    [
+        _tagged_sql(0, E.PERSON, "Derfor kom advokat ", _PERSON), _tagged_sql(1, E.PERSON, "Sagen blev ført af ", _PERSON), _tagged_sql(2, E.PERSON, "I dag sagde vidnet ", _PERSON), _tagged_sql(3, E.PERSON, "Han mener at vidnet ", _GIVEN),
+        f"SELECT k, '{E.PERSON}', length(concat('Han mener at vidnet ', {_GIVEN}, ' og ')), {_PERSON} FROM t WHERE k % 9 = 3", _tagged_sql(4, E.LOCATION, "Hun bor nu i 8500 ", _PLACE), _tagged_sql(5, E.LOCATION, "De rejste til ", _PLACE),
+        _tagged_sql(6, E.ORGANIZATION, "Huset er købt af ", _FIRM), _tagged_sql(7, E.ORGANIZATION, "Regningen fra ", _FIRM),
+    ]
+).replace("element_at(array(", "list_extract(list_value(").replace(" AS int)", " AS INT)")
+
+
+def named_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sentence for each order; titles, company forms and postal codes tell some of the names, the others stand without."""
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k").selectExpr("k AS page_uid", "k AS pos", "concat('page ', k) AS label", f"{_LINES} AS text")
+
+
+@query(f"WITH t AS (SELECT o_orderkey AS k FROM orders), n AS ({_NAMED}) SELECT k AS page_uid, entity, start_at, value FROM n")
+def tagged_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of persons, places and firms, found by a model that learns from the sentences in which rules see them."""
+    pages = named_pages(spark, sf_dir)
+    found = tagger.tag_names(pages, tagger.train(pages))
+    return found.select("page_uid", "entity", F.col("start").cast("long").alias("start_at"), "value")
+
+
+@query(f"""WITH t AS (SELECT o_orderkey AS k FROM orders), n AS ({_NAMED}), e AS (SELECT k, entity, start_at, value, 0.85 AS score FROM n),
+x AS (SELECT *, k % 9 = 8 AS has_mail FROM t) SELECT k AS page_uid, entity, start_at, value, score FROM e UNION ALL SELECT k, 'EMAIL_ADDRESS', 52, concat('post', k, '@firma.dk'), 0.9 FROM x WHERE has_mail""")
+def names_and_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names by the model, checked by the corpus's case, together with what the patterns find."""
+    mail = F.when(F.expr("k % 9 = 8"), F.concat(F.lit(" Skriv til os: "), F.lit("post"), F.col("k"), F.lit("@firma.dk"))).otherwise(F.lit(""))
+    pages = named_pages(spark, sf_dir).withColumn("k", F.col("page_uid")).withColumn("text", F.concat("text", mail)).drop("k")
+    found = detect.detect(pages, extra=find_names(pages, tagger.train(named_pages(spark, sf_dir))))
+    return found.select("page_uid", "entity", F.col("start").cast("long").alias("start_at"), "value", F.round("score", 2).cast("decimal(3,2)").alias("score"))

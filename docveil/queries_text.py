@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +10,8 @@ from docveil.functions import text
 from docveil.operators import catalog, dates, detect, export, history
 from docveil.plans.anonymise import scan_counters
 from docveil.queries import _EMAIL, TODAY
-from docveil.registry import longs, query, table
-from docveil.shared import shared_dir
+from docveil.registry import ORACLES, longs, query, table
+from docveil.shared import new_path
 from docveil.sources import documents
 from docveil.streaming import session
 
@@ -266,14 +264,30 @@ def restored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT doc_id AS page_uid, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_EMAIL}')) AS v FROM documents) GROUP BY doc_id")
 def scanned_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as a stream, offered twice: each page is scanned once."""
-    folder = f"{shared_dir(spark)}/docveil/session-{uuid.uuid4().hex}"
-    rules = tuple(r for r in detect.RULES if r.entity == E.EMAIL)
+    folder, found = new_path(spark, "session"), tuple(r for r in detect.RULES if r.entity == E.EMAIL)
     for turn in range(2):
         pages = session.arriving(spark, f"{sf_dir}/documents.parque[t]", "doc_id long, text string").withColumnRenamed("doc_id", "page_uid")
-        session.scan_stream(pages, lambda df: detect.detect(df, rules=rules), f"{folder}/found", f"{folder}/log", f"{folder}/checkpoint-{turn}", first=1000 * turn).awaitTermination()
+        session.scan_stream(pages, lambda df: detect.detect(df, rules=found), f"{folder}/found", f"{folder}/log", f"{folder}/checkpoint-{turn}", first=1000 * turn).awaitTermination()
     return spark.read.parquet(f"{folder}/found").groupBy("page_uid").agg(F.count("*").alias("n"))
 
 
+@query(ORACLES["replayed_versions"])
+def replayed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of three deliveries, after each of which it ends and goes on later from its state."""
+    folder = new_path(spark, "undo")
+    action = F.expr("CASE event_type WHEN 'error' THEN 'undo' WHEN 'signup' THEN 'redo' ELSE 'do' END")
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), action.alias("action"))
+    cuts = log.agg(F.percentile_approx("seq", [0.33, 0.66])).first()[0] or [0, 0]
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = log.where((F.lit(True) if low is None else F.col("seq") > low) & (F.lit(True) if high is None else F.col("seq") <= high))
+        part.write.mode("append").parquet(f"{folder}/in")
+        arrived = session.arriving(spark, f"{folder}/in", "session long, seq long, action string", 10000)
+        with session.rocks_state(spark):
+            stream = session.replay_stream(arrived).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        stream.awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select(F.col("session").alias("user_id"), F.col("seq").alias("event_id"), *longs("version"))
+
+
 # --- files, counters, texts --------------------------------------------
 
 

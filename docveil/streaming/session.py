@@ -1,43 +1,114 @@
-"""Scanning documents as they arrive, each once."""
+"""Scanning documents as they arrive, each once, and undo logs as they are written.
+
+What has been seen is keyed state of the stream, so a batch costs what it brings, however long the history is.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import contextlib
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextlib.contextmanager
+def rocks_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB, which large states and transformWithState need."""
+    held = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ROCKS)
+    try:
+        yield
+    finally:
+        if held is None:
+            spark.conf.unset(_STORE)
+        else:
+            spark.conf.set(_STORE, held)
 
 
 def arriving(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def unscanned_only(pages: DataFrame, key: str = "page_uid") -> DataFrame:
-    """Each page once over the whole stream; the keys seen are the state."""
-    return pages.dropDuplicates([key])
+def unscanned_only(pages: DataFrame, key: str = "page_uid", at: str | None = None, keep: str | None = None) -> DataFrame:
+    """Each page once over the whole stream; the keys seen are the state.
+
+    With at, a column of times, and keep, such as ``7 days``, a key is forgotten once the stream is so much later, and its page may come again.
+    """
+    if at is None or keep is None:
+        return pages.dropDuplicates([key])
+    return pages.withWatermark(at, keep).dropDuplicatesWithinWatermark([key])
 
 
-def scan_stream(pages: DataFrame, scan: Callable[[DataFrame], DataFrame], out: str, log: str, checkpoint: str, policy: str = "scan", key: str = "page_uid", first: int = 0) -> StreamingQuery:
+def scan_stream(
+    pages: DataFrame, scan: Callable[[DataFrame], DataFrame], out: str, log: str, checkpoint: str, policy: str = "scan", key: str = "page_uid", first: int = 0, at: str | None = None, keep: str | None = None
+) -> StreamingQuery:
     """Scan new pages of each batch and add the findings to out; what was offered is written to log.
 
     policy scan scans them; skip and never mark them as seen without scanning.
-    The batch number is part of what is written, so a batch that is run again after a failure replaces itself. A further
-    stream over the same log has a checkpoint of its own and numbers its batches from first on.
+    The batch number is part of what is written, so a batch that is run again after a failure replaces itself. What this stream has seen is
+    its state, see unscanned_only(). A further stream over the same log has a checkpoint of its own, numbers its batches from first on, and passes over
+    what the log has from batches before first.
     """
     if policy not in ("scan", "skip", "never"):
         raise ValueError(policy)
+    spark = pages.sparkSession
+    fresh, there = unscanned_only(pages, key, at, keep), spark._jvm.org.apache.hadoop.fs.Path(log)
+    if first and there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(there):
+        fresh = fresh.join(spark.read.parquet(log).where(F.col("batch") < first).select(key).distinct(), key, "left_anti")
 
     def batch(df: DataFrame, own: int) -> None:
-        spark, number = df.sparkSession, first + own
-        path = spark._jvm.org.apache.hadoop.fs.Path(log)
-        there = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
-        fresh = df.dropDuplicates([key])
-        if there:
-            seen = spark.read.parquet(log).where(F.col("batch") != number).select(key)
-            fresh = fresh.join(seen, key, "left_anti")
+        held = df.persist()
         if policy == "scan":
-            scan(fresh).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        fresh.select(key).write.mode("overwrite").parquet(f"{log}/batch={number}")
+            scan(held).write.mode("overwrite").parquet(f"{out}/batch={first + own}")
+        held.select(key).write.mode("overwrite").parquet(f"{log}/batch={first + own}")
+        held.unpersist()
+
+    with rocks_state(spark):
+        return fresh.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-    return pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+class Replayer(StatefulProcessor):
+    """The line of versions of a session, where it stands on it, and how many versions were made. most: so many versions can be undone, older ones are forgotten."""
+
+    def __init__(self, most: int | None, idle_ms: int | None):
+        self.most, self.idle_ms = most, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("line", "line array<int>, at int, made int", self.idle_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        line, at, made = self.held.get() if self.held.exists() else ([0], 1, 0)
+        line, seqs, versions = list(line), [], []
+        for r in pd.concat(rows).sort_values("seq").itertuples():
+            if r.action == "do":
+                made += 1
+                line = [*line[:at], made]
+                if self.most is not None:
+                    line = line[-self.most - 1 :]
+                at = len(line)
+            else:
+                at = max(at - 1, 1) if r.action == "undo" else min(at + 1, len(line))
+            seqs.append(r.seq)
+            versions.append(line[at - 1])
+        self.held.update((line, at, made))
+        yield pd.DataFrame({"session": key[0], "seq": seqs, "version": versions})
+
+    def close(self) -> None:
+        pass
+
+
+def replay_stream(log: DataFrame, most: int | None = None, idle_ms: int | None = None) -> DataFrame:
+    """(session, seq, version) of an arriving log (session, seq, action): what history.replay() gives, entry by entry.
+
+    The state is one row for each session, forgotten after idle_ms without an entry; entries of a batch are taken by seq, and
+    later batches have later entries. Start it within rocks_state().
+    """
+    kind = log.schema["session"].dataType.simpleString()
+    rows = log.select("session", F.col("seq").cast("long").alias("seq"), "action").groupBy("session")
+    return rows.transformWithStateInPandas(Replayer(most, idle_ms), f"session {kind}, seq long, version int", "Append", "None" if idle_ms is None else "ProcessingTime")
