@@ -12,7 +12,7 @@ from docveil.plans.anonymise import scan_counters
 from docveil.queries import _EMAIL, TODAY
 from docveil.registry import ORACLES, longs, query, table
 from docveil.shared import new_path
-from docveil.sources import documents
+from docveil.sources import documents, files
 from docveil.streaming import session
 
 
@@ -324,3 +324,18 @@ def pdf_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.pdf_markers(files).select(F.col("path").cast("long").alias("page"), "is_pdf", "encrypted", *longs("page_count"))
 
 
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN 'Brev: ' || c_custkey || '.txt' WHEN 1 THEN 'Note.txt' WHEN 2 THEN 'note.TXT' ELSE '  Sag  ' || c_custkey // 8 || '.md' END AS raw, CASE WHEN c_custkey % 7 > 0 THEN 'til ' || c_name || ' æ' END AS body FROM customer),
+n AS (SELECT k, body, trim(regexp_replace(regexp_replace(raw, '[<>:"/\\\\|?*]', '', 'g'), '\\s+', ' ', 'g')) AS name FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY k) - 1 AS i FROM n)
+SELECT CASE WHEN i = 0 THEN name ELSE regexp_replace(name, '(\\.[^.]*)$', '_' || i || '\\1') END AS name, body AS content FROM r WHERE body IS NOT NULL
+UNION ALL SELECT 'saved ' || count(body) || ', failed ' || count(*) - count(body) || ', bytes ' || sum(octet_length(encode(body)))::BIGINT, NULL FROM r""")
+def saved_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A letter to each customer as a file: forbidden characters, equal names whatever their case, rows that failed; read back, with the report."""
+    path = new_path(spark, "files")
+    raw = "CASE c_custkey % 4 WHEN 0 THEN concat('Brev: ', c_custkey, '.txt') WHEN 1 THEN 'Note.txt' WHEN 2 THEN 'note.TXT' ELSE concat('  Sag  ', c_custkey div 8, '.md') END AS name"
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey AS pos", raw, "CASE WHEN c_custkey % 7 > 0 THEN concat('til ', c_name, ' æ') END AS body")
+    told = files.write_files(rows, path, F.col("body"))
+    said = spark.range(1).select(F.lit(f"saved {told['saved']}, failed {told['failed']}, bytes {told['bytes']}").alias("name"), F.lit(None).cast("string").alias("content"))
+    return files.read_back(spark, path).select("name", F.decode("content", "UTF-8").alias("content")).unionByName(said)
