@@ -140,7 +140,10 @@ def _shape_vote(kind: int, s: str, before: str, after: str) -> int:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(start, kind, end, pattern) of spans beside the base ones; pattern holds kind, votes and features."""
+    """(start, kind, end, pattern) of all spans that meet no base one, also those that overlap each other; pattern holds kind, votes and features.
+
+    By start, longer ones first. Which of them stay is for settled() to say once they are judged: one that is rejected hides none.
+    """
     found: list[tuple[int, int, int]] = []
     if _DIGIT.search(text):
         for m in _SECRET.finditer(text):
@@ -158,17 +161,16 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
         found += [(m.start(), 0, m.end()) for m in _HIDDEN.finditer(text)]
     if any(t in text for t in _TITLES):
         found += [(m.start(), 6, m.end()) for m in _NAME.finditer(text)]
-    out, next_base, end = [], 0, 0
+    out, next_base = [], 0
     for start, kind, stop in sorted(found, key=lambda x: (x[0], -x[2], x[1])):
         while next_base < len(taken) and taken[next_base][2] <= start:
             next_base += 1
-        if start < end or any(b[0] < stop and b[2] > start for b in taken[next_base : next_base + 8]):
+        if next_base < len(taken) and taken[next_base][0] < stop:
             continue
         s, before, after = text[start:stop], text[max(0, start - 30) : start], text[stop : stop + 3]
         votes = (_format_vote(kind, s), _list_vote(kind, s), _context_vote(kind, before), _shape_vote(kind, s, before, after))
         features = (min(3, len(s) // 12), int(before[-1:].isalnum()), min(3, 4 * sum(c.isdigit() for c in s) // len(s)))
         out.append((start, kind, stop, _pack(kind, votes, features)))
-        end = stop
     return out
 
 
@@ -287,13 +289,22 @@ def _bitmap(patterns: list[int]) -> Column:
     return F.array(*(F.lit(w - (1 << 64) if w >> 63 else w).cast("long") for w in words))
 
 
+def settled(found: Column) -> Column:
+    """Of spans by start, longer ones first, those that begin behind the last one that stays."""
+
+    def step(kept: Column, s: Column) -> Column:
+        return F.when(s["start"] < F.coalesce(F.try_element_at(kept, F.lit(-1))["stop"], F.lit(0)), kept).otherwise(F.concat(kept, F.array(s)))
+
+    return F.aggregate(found, F.array().cast("array<struct<start:bigint,kind:int,stop:bigint>>"), step)
+
+
 def find_personal(docs: DataFrame, accept: float = 0.5, key: str = "doc_id") -> DataFrame:
     """(key, n_email, n_ip, n_card, n_phone, base_sha256, spans, span_list) for every row.
 
     Base spans follow fixed patterns and always stay. Beside them, candidates
     get votes of four labelers; counts of vote patterns over all documents, at
-    most some thousand rows, train the classifier, and candidates of at
-    least accept become spans. A null counts as an empty text. Positions are code
+    most some thousand rows, train the classifier, and of the candidates of at
+    least accept the leftmost, longest ones become spans. A null counts as an empty text. Positions are code
     points. Repeated rows come back as often; other columns are not read; an empty table gives an empty one.
     """
     scanned = materialize(docs.select(F.col(key), F.arrow_udf(_scanner(), _SCAN)(F.col("text").cast("string")).alias("s")).select(key, "s.*"), "spans")
@@ -301,7 +312,7 @@ def find_personal(docs: DataFrame, accept: float = 0.5, key: str = "doc_id") ->
     good = [c for c, p in train(found).items() if p >= accept]
     chosen = F.filter("more", lambda m: F.getbit(F.element_at(_bitmap(good), F.floor(m["pattern"] / 64).cast("int") + 1), m["pattern"] % 64) == 1)
     plain = F.transform(chosen, lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["stop"].alias("stop")))
-    every = F.array_sort(F.concat("base", plain))
+    every = F.array_sort(F.concat("base", settled(plain)))
     counts = [_count(k).alias(f"n_{KINDS[k]}") for k in range(4)]
     return scanned.select(key, *counts, F.sha2(_said(F.col("base")).cast("binary"), 256).alias("base_sha256"), _said(every).alias("spans"), every.alias("span_list"))
 

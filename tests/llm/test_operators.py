@@ -630,6 +630,20 @@ def test_decontamination(spark, docs, rows):
     assert D.find_leaks(table.limit(0), bench).count() == 0
 
 
+def test_rejected_candidates_hide_none(spark):
+    """An account number and a national number inside a run that looks like a secret are candidates too, and become spans where the run is rejected."""
+    from docveil.llm import personal
+
+    texts = ["Konto ID-DE89370400440532013000 ok", "ref-no-2020-555-12-3456-aa"]
+    kinds = [{(t[a:b], k) for a, k, b, _ in personal.candidates(t, [])} for t in texts]
+    assert ("DE89370400440532013000", 4) in kinds[0] and any(k == 7 for _, k in kinds[0])
+    rows = [(k, texts[0]) for k in range(3)] + [(k, f"IBAN DE89370400440532013000 nr {k}") for k in range(10, 60)] + [(k, f"see build-{k}a-{k}b7{k} file") for k in range(100, 160)]
+    found = {r["doc_id"]: r["spans"] for r in personal.find_personal(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[0] == found[1] != ""
+    one = spark.createDataFrame([([(0, 7, 9), (2, 4, 6), (9, 4, 12), (10, 5, 11)],)], "f array<struct<start:bigint,kind:int,stop:bigint>>").select(personal.settled(F.col("f")).alias("s")).first()["s"]
+    assert [tuple(x) for x in one] == [(0, 7, 9), (9, 4, 12)]
+
+
 def test_long_secrets_are_candidates():
     from docveil.llm.personal import candidates
 
