@@ -174,11 +174,11 @@ def lines_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.line_at(*_points(spark, sf_dir)).select(F.col("point_id").alias("k"), "line_id")
 
 
-@query("""WITH c AS (SELECT o_orderkey // 16 AS p, (o_orderkey % 16) // 4 AS r, o_orderkey AS k FROM orders WHERE o_orderkey < 1488), l AS (SELECT p, r, CASE WHEN r % 2 = 0 THEN string_agg(chr((97 + k % 26)::INT), '' ORDER BY k) ELSE string_agg(chr((97 + k % 26)::INT), ' ' ORDER BY k) END AS line FROM c GROUP BY p, r)
+@query("""WITH c AS (SELECT o_orderkey // 16 AS p, (o_orderkey % 16) // 4 AS r, o_orderkey AS k FROM orders), l AS (SELECT p, r, CASE WHEN r % 2 = 0 THEN string_agg(chr((97 + k % 26)::INT), '' ORDER BY k) ELSE string_agg(chr((97 + k % 26)::INT), ' ' ORDER BY k) END AS line FROM c GROUP BY p, r)
 SELECT p AS page_uid, '```' || chr(10) || string_agg(CASE WHEN r = 3 THEN chr(10) ELSE '' END || line, chr(10) ORDER BY r) || chr(10) || '```' AS text FROM l GROUP BY p""")
 def monospace_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four rows of characters, every other one spaced, the last one after a gap."""
-    chars = _keys(spark, sf_dir, 16).where("k < 1488").selectExpr("page_uid", "seq", "chr(97 + k % 26) AS c", "seq div 4 AS r").selectExpr("*", "double(seq % 4 * (1 + r % 2) * 6) AS x", "double(r * 12 + if(r = 3, 24, 0)) AS y", "6.0D AS w", "10.0D AS size")
+    chars = _keys(spark, sf_dir, 16).selectExpr("page_uid", "seq", "chr(97 + k % 26) AS c", "seq div 4 AS r").selectExpr("*", "double(seq % 4 * (1 + r % 2) * 6) AS x", "double(r * 12 + if(r = 3, 24, 0)) AS y", "6.0D AS w", "10.0D AS size")
     return words.monospace_grid(chars)
 
 

@@ -75,14 +75,15 @@ def danish_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_uid", "entity", F.col("start").cast("long").alias("start_at"), F.col("end").cast("long").alias("end_at"), "value", F.round("score", 4).alias("score"))
 
 
-@query(f"""WITH {_EXPECTED}, texts AS (SELECT k, {_TEXT} AS text FROM t),
-g AS (SELECT entity, CASE WHEN entity IN ('DK_CPR', 'DK_CPR_MULIG', 'DK_PHONE', 'DK_CVR', 'DK_ACCOUNT') THEN regexp_replace(value, '[^0-9]', '', 'g') ELSE lower(trim(value, ' .,:;')) END AS key, k, off, value FROM e),
+@query(f"""WITH {_EXPECTED.replace("x AS (", "x AS MATERIALIZED (").replace("value, score) AS (", "value, score) AS MATERIALIZED (")}, texts AS MATERIALIZED (SELECT k, {_TEXT} AS text FROM t),
+g AS MATERIALIZED (SELECT entity, CASE WHEN entity IN ('DK_CPR', 'DK_CPR_MULIG', 'DK_PHONE', 'DK_CVR', 'DK_ACCOUNT') THEN regexp_replace(value, '[^0-9]', '', 'g') ELSE lower(trim(value, ' .,:;')) END AS key, k, off, value FROM e),
 n AS (SELECT entity, key, min(k) AS f FROM g GROUP BY ALL),
 l AS (SELECT *, CASE entity WHEN 'DK_CPR' THEN 'CPR-nummer' WHEN 'DK_CPR_MULIG' THEN 'CPR-nummer' WHEN 'DK_CVR' THEN 'CVR-nummer' WHEN 'DK_PHONE' THEN 'Telefonnummer' WHEN 'DK_ACCOUNT' THEN 'Kontonummer' WHEN 'DK_ADDRESS' THEN 'Adresse'
   WHEN 'DK_POSTAL_CITY' THEN 'Postnr-by' WHEN 'DK_CASE_NO' THEN 'Sagsnummer' WHEN 'EMAIL_ADDRESS' THEN 'E-mail' ELSE 'IBAN' END AS stem FROM n),
-named AS (SELECT entity, key, stem || ' ' || row_number() OVER (PARTITION BY stem ORDER BY f) AS label FROM l)
-SELECT texts.k AS page_uid, CASE WHEN g.k IS NULL THEN text ELSE concat(substr(text, 1, off), label, substr(text, off + 1 + length(value))) END AS rendered
-FROM texts LEFT JOIN (g JOIN named USING (entity, key)) g ON g.k = texts.k""")
+named AS MATERIALIZED (SELECT entity, key, stem || ' ' || row_number() OVER (PARTITION BY stem ORDER BY f) AS label FROM l),
+put AS MATERIALIZED (SELECT g.k, g.off, g.value, named.label FROM g JOIN named ON named.key = g.key AND named.entity = g.entity)
+SELECT texts.k AS page_uid, CASE WHEN put.k IS NULL THEN text ELSE concat(substr(text, 1, off), label, substr(text, off + 1 + length(value))) END AS rendered
+FROM texts LEFT JOIN put ON put.k = texts.k""")
 def pseudonymised_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = resolve.findings(detect.detect(made_pages(spark, sf_dir), _codes(spark), ocr="ocr", context=True), made_pages(spark, sf_dir), names=False)
     return resolve.render(made_pages(spark, sf_dir), found, resolve.assign_pseudonyms(resolve.group_findings(found))).select("page_uid", "rendered")
@@ -263,11 +264,10 @@ def remembered_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT o_orderkey AS k, try_strptime(((CASE WHEN s <= 3 THEN 1900 WHEN s IN (4, 9) THEN CASE WHEN yy <= 36 THEN 2000 ELSE 1900 END WHEN yy <= 57 THEN 2000 ELSE 1800 END) + yy) || '-' || lpad(mm::VARCHAR, 2, '0') || '-' || lpad((CASE WHEN dd > 31 THEN dd - 60 ELSE dd END)::VARCHAR, 2, '0'), '%Y-%m-%d')::DATE AS born,
-luhn AS card FROM (SELECT o_orderkey, o_orderkey * 7 % 95 AS dd, o_orderkey % 14 AS mm, o_orderkey * 3 % 100 AS yy, o_orderkey % 10 AS s,
-  list_sum(list_transform(range(1, 10), lambda j: CASE WHEN (9 - j) % 2 = 0 THEN substr((100000000 + o_orderkey * 7919)::VARCHAR, j, 1)::INT ELSE 2 * substr((100000000 + o_orderkey * 7919)::VARCHAR, j, 1)::INT - CASE WHEN substr((100000000 + o_orderkey * 7919)::VARCHAR, j, 1)::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0 AS luhn FROM orders)
-WHERE length((100000000 + o_orderkey * 7919)::VARCHAR) = 9""")
+list_sum(list_transform(range(1, length(c) + 1), lambda j: CASE WHEN (length(c) - j) % 2 = 0 THEN substr(c, j, 1)::INT ELSE 2 * substr(c, j, 1)::INT - CASE WHEN substr(c, j, 1)::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0 AS card
+FROM (SELECT o_orderkey, o_orderkey * 7 % 95 AS dd, o_orderkey % 14 AS mm, o_orderkey * 3 % 100 AS yy, o_orderkey % 10 AS s, (100000000 + o_orderkey * 7919)::VARCHAR AS c FROM orders)""")
 def checked_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Birth dates of numbers with impossible days and months too, and card checks, of numbers made from the orders."""
-    t = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", "concat(lpad(o_orderkey * 7 % 95, 2, '0'), lpad(o_orderkey % 14, 2, '0'), lpad(o_orderkey * 3 % 100, 2, '0'), o_orderkey % 10, '123') AS digits", "string(100000000 + o_orderkey * 7919) AS card").where("length(card) = 9")
+    t = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", "concat(lpad(o_orderkey * 7 % 95, 2, '0'), lpad(o_orderkey % 14, 2, '0'), lpad(o_orderkey * 3 % 100, 2, '0'), o_orderkey % 10, '123') AS digits", "string(100000000 + o_orderkey * 7919) AS card")
     return t.select("k", ids.cpr_birth_date(F.col("digits")).alias("born"), ids.luhn(F.col("card")).alias("card"))
 

@@ -12,7 +12,7 @@ from docveil.plans.anonymise import scan_counters
 from docveil.queries import _EMAIL, TODAY
 from docveil.registry import ORACLES, longs, query, table
 from docveil.shared import new_path
-from docveil.sources import documents, files
+from docveil.sources import catalogues, documents, files
 from docveil.streaming import session
 
 
@@ -339,3 +339,26 @@ def saved_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = files.write_files(rows, path, F.col("body"))
     said = spark.range(1).select(F.lit(f"saved {told['saved']}, failed {told['failed']}, bytes {told['bytes']}").alias("name"), F.lit(None).cast("string").alias("content"))
     return files.read_back(spark, path).select("name", F.decode("content", "UTF-8").alias("content")).unionByName(said)
+
+
+@query("""SELECT l AS lang, CASE WHEN p_partkey % 4 = 0 THEN p_type END AS context, m AS msgid, CASE WHEN p_partkey % 6 = 1 THEN m || 's' END AS plural, CASE WHEN p_partkey % 7 > 0 THEN l || ' ' || m || p_partkey ELSE '' END AS value, p_partkey % 8 = 0 AS fuzzy
+FROM (SELECT *, p_partkey || p_name || CASE p_partkey % 3 WHEN 0 THEN chr(10) WHEN 1 THEN ' "q" ' ELSE '' END || 'a' || chr(92) || 'n' || chr(9) || 'b' || CASE WHEN p_partkey % 5 = 0 THEN chr(10) ELSE '' END AS m FROM part), (VALUES ('da'), ('en')) AS t(l)""")
+def catalogue_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two catalogues of the parts written as lines and read again: escapes, strings over several lines, contexts, plurals, fuzzy and empty ones, with lines out of use between them."""
+    name = F.concat("p_partkey", "p_name", F.expr("CASE p_partkey % 3 WHEN 0 THEN chr(10) WHEN 1 THEN ' \"q\" ' ELSE '' END"), F.lit("a\\n\tb"), F.expr("if(p_partkey % 5 = 0, chr(10), '')"))
+    parts = table(spark, sf_dir, "part").withColumn("msgid", name).withColumn("lang", F.explode(F.array(F.lit("da"), F.lit("en"))))
+    key = F.col("p_partkey")
+    entries = parts.select(
+        "lang", F.when(key % 4 == 0, F.col("p_type")).alias("context"), "msgid", F.when(key % 6 == 1, F.concat("msgid", F.lit("s"))).alias("plural"), F.when(key % 7 > 0, F.concat("lang", F.lit(" "), "msgid", key)).otherwise(F.lit("")).alias("value"), (key % 8 == 0).alias("fuzzy")
+    )
+    lines = catalogues.catalogue_lines(entries)
+    lost = lines.where("seq % 50 = 49 AND text = ''").select("lang", F.col("seq") + 0.5, F.explode(F.array(F.lit("#~ msgid \"x\""), F.lit("#~ msgstr \"y\""))).alias("text"))
+    return catalogues.read_catalogues(lines.select("lang", F.col("seq").cast("double").alias("seq"), "text").union(lost))
+
+
+@query("""SELECT DISTINCT CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN p_name || chr(10) || p_type WHEN 2 THEN 'it''s ' || p_brand ELSE '%d ' || p_type END AS msgid FROM part WHERE p_partkey % 5 < 4""")
+def source_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of code made from the parts: both quotes, literals over lines, arguments behind; comments, formatted strings and other calls are none."""
+    made = """CASE p_partkey % 5 WHEN 0 THEN concat('x = _("', p_name, '")') WHEN 1 THEN concat('f(N_("', p_name, chr(92), 'n"', chr(10), '     "', p_type, '"), 3)') WHEN 2 THEN concat('y = _(', chr(39), 'it', chr(92), chr(39), 's ', p_brand, chr(39), ', a)')
+      WHEN 3 THEN concat('_( "%d "', chr(10), chr(39), p_type, chr(39), ' )') ELSE concat('# _("no', p_partkey, '")', chr(10), 'a._("no', p_partkey, '"); my_("no")', chr(10), '_(f"no', p_partkey, '")') END AS text"""
+    return catalogues.source_messages(table(spark, sf_dir, "part").selectExpr("p_partkey AS path", made))
