@@ -9,11 +9,13 @@ words lift a score, are this library's own.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -275,33 +277,56 @@ def folded(text: str) -> tuple[str, list[int], list[int]]:
     return "".join(out), low, high
 
 
-def search_occurrences(pages: DataFrame, query: str) -> DataFrame:
-    """Every place of query in the texts, overlapping ones too, in folded form on both sides: (page_uid, start, end).
+_BLANKS = re.compile(r"\s+")
+_UNSEEN = regex.compile(r"[\p{M}" + "".join(sorted(INVISIBLE)) + "]+")
+
+
+def bare(text: str) -> str:
+    """text without case, marks, invisible characters and runs of blanks, everything taken apart. What one folded() string has of another, this has too; it costs some whole-string calls."""
+    low = unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", text.casefold()).casefold())
+    return _BLANKS.sub(" ", low if low.isascii() else _UNSEEN.sub("", low))
+
+
+def may_hold(text: str, needle: str) -> bool:
+    """Whether the needle, in folded form, can stand in the folded text; false is sure."""
+    return bare(needle) in bare(text)
 
-    Where folding is just lower-casing, as in plain texts without runs of blanks, built-in functions do it; only other texts go through an Arrow UDF.
-    """
-    needle = folded(query)[0].strip()
-    n = len(needle)
-    if not n:
-        return pages.select("page_uid", F.lit(0).alias("start"), F.lit(0).alias("end")).where("false")
 
-    @F.arrow_udf("array<struct<start:int,end:int>>")
+def _places(needle: str):
+    n, wanted = len(needle), bare(needle)
+
     def places(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts:
-            hay, low, high = folded(t.as_py() or "")
-            found, k = [], hay.find(needle)
-            while k >= 0:
-                found.append({"start": low[k], "end": high[k + n - 1]})
-                k = hay.find(needle, k + 1)
+            text, found = t.as_py() or "", []
+            if wanted in bare(text):
+                hay, low, high = folded(text)
+                k = hay.find(needle)
+                while k >= 0:
+                    found.append({"start": low[k], "end": high[k + n - 1]})
+                    k = hay.find(needle, k + 1)
             out.append(found)
         return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
 
+    return places
+
+
+def search_occurrences(pages: DataFrame, query: str) -> DataFrame:
+    """Every place of query in the texts, overlapping ones too, in folded form on both sides: (page_uid, start, end).
+
+    Where folding is just lower-casing, as in plain texts without runs of blanks, built-in functions do it; other texts go through an Arrow UDF, which
+    folds a text as a whole first and follows its characters only if the query may be in it.
+    """
+    needle = folded(query)[0].strip()
+    n = len(needle)
+    if not n:
+        return pages.select("page_uid", F.lit(0).alias("start"), F.lit(0).alias("end")).where("false")
     plain = ~F.col("text").rlike(r"[^\x00-\x7F]|[\x1c-\x1f]|\s\s")
     low = F.lower(F.translate("text", "\t\n\r\x0b\x0c", "     "))
     own = F.transform(F.when(low.contains(needle), starts(low, F.lit(needle))), lambda s: F.struct(s.alias("start"), (s + n).alias("end")))
     tagged = pages.select("page_uid", "text", plain.alias("plain"))
-    found = tagged.select("page_uid", F.when(F.col("plain"), own).otherwise(places(F.when(~F.col("plain"), F.col("text")))).alias("found"))
+    folds = F.arrow_udf(_places(needle), "array<struct<start:int,end:int>>")
+    found = tagged.select("page_uid", F.when(F.col("plain"), own).otherwise(folds(F.when(~F.col("plain"), F.col("text")))).alias("found"))
     return found.select("page_uid", F.explode("found").alias("f")).select("page_uid", "f.start", "f.end")
 
 

@@ -17,9 +17,9 @@ from docveil.shared import materialize
 
 def pseudonymise(pages: DataFrame, codes: DataFrame | None = None, names: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
     """(texts, pseudonyms) of pages (page_uid, pos, label, text): spans, keys, groups, numbers, and the texts with labels put in."""
-    found = findings(detect(pages, codes, names, rules, context=True), pages, names is not None)
+    found = materialize(findings(detect(pages, codes, names, rules, context=True), pages, names is not None), "findings")
     if names is not None:
-        found = found.unionByName(findings(propagate_names(pages, found), pages))
+        found = materialize(found.unionByName(findings(propagate_names(pages, found), pages)), "findings")
     labels = assign_pseudonyms(group_findings(found))
     return render(pages, found, labels), labels
 

@@ -18,6 +18,7 @@ from docveil.functions.matches import spans
 from docveil.operators import dates, detect, export, history, lang, model, resolve, words
 from docveil.plans.anonymise import scan_counters
 from docveil.registry import ORACLES, QUERIES, query, table
+from docveil.shared import materialize
 
 TODAY = datetime.date(2026, 1, 1)
 OWN_RULES = tuple(r for r in detect.RULES if r.entity in (E.EMAIL, E.CARD))
@@ -107,7 +108,7 @@ done AS (SELECT doc_id, string_agg(gap || coalesce(label, value, ''), '' ORDER B
 SELECT doc_id AS page_uid, length(r) AS n_chars, md5(r) AS digest FROM done""")
 def pseudonymised_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _pages(spark, sf_dir)
-    found = _found(spark, sf_dir)
+    found = materialize(_found(spark, sf_dir), "findings")
     return resolve.render(pages, found, resolve.assign_pseudonyms(resolve.group_findings(found))).select("page_uid", F.length("rendered").cast("long").alias("n_chars"), F.md5("rendered").alias("digest"))
 
 

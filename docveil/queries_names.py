@@ -10,7 +10,7 @@ from docveil.functions.matches import spans
 from docveil.operators import detect, langmodel, names, resolve, tagger
 from docveil.operators.lang import looks_english, word_score
 from docveil.plans.anonymise import find_names
-from docveil.registry import query, table
+from docveil.registry import QUERIES, query, table
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,3 +180,14 @@ def names_and_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = named_pages(spark, sf_dir).withColumn("k", F.col("page_uid")).withColumn("text", F.concat("text", mail)).drop("k")
     found = detect.detect(pages, extra=find_names(pages, tagger.train(named_pages(spark, sf_dir))))
     return found.select("page_uid", "entity", F.col("start").cast("long").alias("start_at"), "value", F.round("score", 2).cast("decimal(3,2)").alias("score"))
+
+
+def document_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole rule set over the texts of all documents: every third counts as scanned, postal towns are those of the customers' codes. SQL has no look-around; a test holds it against plain Python."""
+    codes = table(spark, sf_dir, "customer").select((1000 + F.col("c_custkey") * 7 % 9000).cast("int").alias("code"), F.concat(F.lit("By"), F.col("c_custkey") % 40).alias("city"))
+    pages = _pages(spark, sf_dir).withColumn("ocr", F.col("page_uid") % 3 == 0)
+    found = detect.detect(pages, codes, ocr="ocr")
+    return found.select("page_uid", "entity", F.col("start").cast("long").alias("start_at"), F.col("end").cast("long").alias("end_at"), "value", F.round("score", 4).alias("score"))
+
+
+QUERIES["document_spans"] = document_spans

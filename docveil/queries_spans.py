@@ -14,6 +14,7 @@ from docveil.functions.text import context_for
 from docveil.operators import detect, resolve
 from docveil.plans.anonymise import pseudonymise
 from docveil.registry import query, table
+from docveil.shared import materialize
 
 # Expressions that Spark and DuckDB read alike.
 _D = "concat(lpad(concat(dd, ''), 2, '0'), lpad(concat(mm, ''), 2, '0'), lpad(concat(yy, ''), 2, '0'))"
@@ -85,7 +86,7 @@ put AS MATERIALIZED (SELECT g.k, g.off, g.value, named.label FROM g JOIN named O
 SELECT texts.k AS page_uid, CASE WHEN put.k IS NULL THEN text ELSE concat(substr(text, 1, off), label, substr(text, off + 1 + length(value))) END AS rendered
 FROM texts LEFT JOIN put ON put.k = texts.k""")
 def pseudonymised_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = resolve.findings(detect.detect(made_pages(spark, sf_dir), _codes(spark), ocr="ocr", context=True), made_pages(spark, sf_dir), names=False)
+    found = materialize(resolve.findings(detect.detect(made_pages(spark, sf_dir), _codes(spark), ocr="ocr", context=True), made_pages(spark, sf_dir), names=False), "findings")
     return resolve.render(made_pages(spark, sf_dir), found, resolve.assign_pseudonyms(resolve.group_findings(found))).select("page_uid", "rendered")
 
 

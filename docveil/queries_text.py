@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docveil.functions import entities as E
 from docveil.functions import text
-from docveil.operators import catalog, dates, detect, export, history
+from docveil.operators import catalog, dates, detect, export, history, markdown
 from docveil.plans.anonymise import scan_counters
 from docveil.queries import _EMAIL, TODAY
 from docveil.registry import ORACLES, longs, query, table
@@ -362,3 +362,17 @@ def source_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = """CASE p_partkey % 5 WHEN 0 THEN concat('x = _("', p_name, '")') WHEN 1 THEN concat('f(N_("', p_name, chr(92), 'n"', chr(10), '     "', p_type, '"), 3)') WHEN 2 THEN concat('y = _(', chr(39), 'it', chr(92), chr(39), 's ', p_brand, chr(39), ', a)')
       WHEN 3 THEN concat('_( "%d "', chr(10), chr(39), p_type, chr(39), ' )') ELSE concat('# _("no', p_partkey, '")', chr(10), 'a._("no', p_partkey, '"); my_("no")', chr(10), '_(f"no', p_partkey, '")') END AS text"""
     return catalogues.source_messages(table(spark, sf_dir, "part").selectExpr("p_partkey AS path", made))
+
+
+_MARKED = """concat('## ', p_name, ' & <b>', chr(10), 'First *', p_brand, '* and **', p_type, '** with `a*b*<c>` ', chr(92), '*x', chr(92), '*  ', chr(10), 'next [l', p_partkey, '](http://h/?a=1&b=2 "t")', chr(10), chr(10), '- one', chr(10), '- two', chr(10), '    1. in ', p_size, chr(10), '    2. out', chr(10), chr(10),
+'> **', p_name, '**', chr(10), chr(10), '| a | b', p_partkey, ' |', chr(10), '|:--|--:|', chr(10), '| ', p_brand, ' | x', chr(92), '|y |', chr(10), chr(10), '```', chr(10), p_name, ' <tag>  | ', chr(10), '* no list', chr(10), '```', chr(10), '* * *', chr(10), p_partkey, '. first', chr(10), chr(10), p_partkey, '. second', chr(10), chr(10), 'snake_case_', p_partkey, ' 2 * 3 * 4')"""
+
+
+@query("""SELECT p_partkey, replace('<h2>' || p_name || ' &amp; &lt;b&gt;</h2>~<p>First <em>' || p_brand || '</em> and <strong>' || p_type || '</strong> with <code>a*b*&lt;c&gt;</code> *x*<br />~next <a href="http://h/?a=1&amp;b=2" title="t">l' || p_partkey || '</a></p>~<ul>~<li>one</li>~<li>two~<ol>~<li>in ' || p_size || '</li>~<li>out</li>~</ol></li>~</ul>~' ||
+'<blockquote class="missing">~<p><strong>' || p_name || '</strong></p>~</blockquote>~<table>~<thead>~<tr>~<th style="text-align: left;">a</th>~<th style="text-align: right;">b' || p_partkey || '</th>~</tr>~</thead>~<tbody>~<tr>~<td style="text-align: left;">' || p_brand || '</td>~<td style="text-align: right;">x|y</td>~</tr>~</tbody>~</table>~' ||
+'<pre>' || p_name || ' &lt;tag&gt;  | ~* no list~</pre>~<hr />~<ol' || CASE WHEN p_partkey = 1 THEN '' ELSE ' start="' || p_partkey || '"' END || '>~<li>~<p>first</p>~</li>~<li>~<p>second</p>~</li>~</ol>~<p>snake_case_' || p_partkey || ' 2 * 3 * 4</p>', '~', chr(10)) AS body FROM part""")
+def xhtml_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters of generated Markdown as the inside of their XHTML pages."""
+    made = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{_MARKED} AS md").withColumn("html", markdown.markdown_xhtml(F.col("md")))
+    page = export.xhtml_chapter(F.lit("t"), F.col("html"), F.lit(None).cast("string"), F.lit(False), F.lit(None).cast("string"))
+    return made.select("p_partkey", F.regexp_extract(page, r"(?s)<body>(.*)</body>", 1).alias("body"))
