@@ -98,19 +98,35 @@ def is_frame(rows: Column) -> Column:
     return (F.array_max(F.transform(rows, lambda r: F.size(r))) >= 2) & F.exists(rows, lambda r: (F.size(own(r)) == 1) & (lines(F.element_at(own(r), 1)) >= FRAME_LINES))
 
 
-def table_headers(words: DataFrame, tables: DataFrame, band: float = 2.0) -> DataFrame:
-    """(page_uid, table_id, header array<string>): words that cross a table's top edge with their middle above it, by column.
+#: Heights of a page that words and edges of tables are dealt by.
+STRIP = 64.0
+
 
-    tables: (page_uid, table_id, box, cells array<struct<x0, x1>>).
+def swallowed_words(words: DataFrame, tables: DataFrame, band: float = 2.0) -> DataFrame:
+    """(page_uid, table_id, cells, x0, x1, text): words that cross a table's top edge with their middle above it, in the lowest line of these.
+
+    words: (page_uid, x0, y0, x1, y1, text); tables: (page_uid, table_id, box, cells array<struct<x0, x1>>). Words and edges meet by page and strip of STRIP, so a page's words
+    are not held against all of its tables.
     """
+    strips = F.sequence(F.floor(F.col("y0") / STRIP), F.floor(F.greatest("y0", "y1") / STRIP))
+    dealt = words.where("y1 >= y0").withColumn("__strip", F.explode(strips))
+    edges = tables.select("page_uid", "table_id", "box", "cells", F.floor(F.col("box.y0") / STRIP).alias("__strip"))
     inside = (F.col("y1") > F.col("box.y0")) & ((F.col("y0") + F.col("y1")) / 2 < F.col("box.y0")) & (F.col("x1") > F.col("box.x0")) & (F.col("x0") < F.col("box.x1"))
-    crossing = words.join(tables, "page_uid").where(inside)
+    crossing = dealt.join(edges, ["page_uid", "__strip"]).where(inside)
     lowest = F.max("y1").over(Window.partitionBy("page_uid", "table_id"))
-    kept = crossing.withColumn("low", lowest).where(F.abs(F.col("y1") - F.col("low")) <= band)
+    return crossing.withColumn("low", lowest).where(F.abs(F.col("y1") - F.col("low")) <= band).select("page_uid", "table_id", "cells", "x0", "x1", "text")
+
+
+def table_headers(words: DataFrame, tables: DataFrame, band: float = 2.0) -> DataFrame:
+    """(page_uid, table_id, header array<string>): the words that a table's top edge swallowed, by column.
+
+    A word belongs to the first cell that its middle lies in, and to none where there is no cell; a table without any has no row.
+    """
     mid = (F.col("x0") + F.col("x1")) / 2
-    hit = kept.select("page_uid", "table_id", "x0", "text", F.col("cells"), mid.alias("mid"))
-    grouped = hit.groupBy("page_uid", "table_id").agg(F.first("cells").alias("cells"), F.array_sort(F.collect_list(F.struct("x0", "text", "mid"))).alias("w"))
-    names = F.transform("cells", lambda c: F.array_join(F.transform(F.filter("w", lambda x: (x["mid"] >= c["x0"]) & (x["mid"] < c["x1"])), lambda x: x["text"]), " "))
+    within = F.transform("cells", lambda c: c.isNotNull() & (mid >= c["x0"]) & (mid < c["x1"]))
+    placed = swallowed_words(words, tables, band).withColumn("column", F.array_position(within, True))
+    grouped = placed.where("column > 0").groupBy("page_uid", "table_id").agg(F.first("cells").alias("cells"), F.array_sort(F.collect_list(F.struct("x0", "text", "column"))).alias("w"))
+    names = F.transform("cells", lambda c, k: F.array_join(F.transform(F.filter("w", lambda x: x["column"] == k + 1), lambda x: x["text"]), " "))
     return grouped.select("page_uid", "table_id", names.alias("header")).where(F.exists("header", lambda h: h != ""))
 
 

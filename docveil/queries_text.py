@@ -376,3 +376,19 @@ def xhtml_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{_MARKED} AS md").withColumn("html", markdown.markdown_xhtml(F.col("md")))
     page = export.xhtml_chapter(F.lit("t"), F.col("html"), F.lit(None).cast("string"), F.lit(False), F.lit(None).cast("string"))
     return made.select("p_partkey", F.regexp_extract(page, r"(?s)<body>(.*)</body>", 1).alias("body"))
+
+
+@query("""SELECT s_suppkey AS k, '|' || CASE WHEN s_suppkey % 3 = 0 THEN 'Lav||' WHEN s_suppkey % 5 = 0 THEN 'Nr' || s_suppkey || '||Belob' ELSE 'Nr' || s_suppkey || '|Navn og|Belob' END || '|' || chr(10) || '|---|---|---|' || chr(10) || '|1000||x|' || chr(10) || '|a|b|c|' AS text FROM supplier WHERE s_suppkey % 7 > 0
+UNION ALL SELECT s_suppkey, '|1000|Col2|x|' || chr(10) || '|---|---|---|' || chr(10) || '|a|b|c|' FROM supplier WHERE s_suppkey % 7 = 0""")
+def headers_from_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column names out of word boxes that a table's edge cuts: words above, inside and beside the table are none, one cut deeper stands alone, a column may have no cell; the row in their place comes below."""
+    keys = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS page_uid", "double(40 + s_suppkey * 13 % 700) AS edge")
+    box = lambda name, x0, y0, x1, y1: f"named_struct('text', {name}, 'x0', double({x0}), 'y0', edge - {y0}, 'x1', double({x1}), 'y1', edge + {y1})"
+    usual = [box("'Nr' || page_uid", 20, 8, 40, 0.4), box("'og'", 155, 8, 165, 1.4), box("'Navn'", 120, 8, 150, 0.4), box("'Belob'", 220, 8, 250, 0.4), box("'Over'", 120, 30, 150, -20), box("'Inde'", 120, 1, 150, 9), box("'Side'", 400, 8, 420, 0.4)]
+    boxes = f"array({', '.join(usual)}, if(page_uid % 3 = 0, {box(chr(39) + 'Lav' + chr(39), 30, 30, 35, 5)}, NULL))"
+    placed = keys.selectExpr("page_uid", f"explode({boxes}) AS w").where("w IS NOT NULL AND page_uid % 7 > 0").select("page_uid", "w.*")
+    cells = "array(named_struct('x0', 10.0D, 'x1', 110.0D), if(page_uid % 5 = 0, NULL, named_struct('x0', 110.0D, 'x1', 210.0D)), named_struct('x0', 210.0D, 'x1', 310.0D)) AS cells"
+    tables = keys.selectExpr("page_uid", "0 AS table_id", "struct(10.0D AS x0, edge AS y0, 310.0D AS x1, edge + 90 AS y1) AS box", cells)
+    headers = export.table_headers(placed, tables).withColumn("names", F.array(F.lit("1000"), F.lit(None), F.lit("x")))
+    texts = keys.select("page_uid", F.lit("|1000|Col2|x|\n|---|---|---|\n|a|b|c|").alias("text"))
+    return export.restore_headers(texts, headers).select(F.col("page_uid").alias("k"), "text")
