@@ -111,7 +111,7 @@ def _named(found: Column, rule: Rule) -> Column:
 
 def pattern_spans(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Raw matches of all rules: one pass over the texts, no shuffle."""
-    each = []
+    each = [F.array().cast("array<struct<entity:string,start:int,end:int,value:string,score:double>>")]
     for r in rules:
         text = F.when(F.col("text").contains(r.mark), F.col("text")) if r.mark else F.col("text")
         found = spans(text, r.pattern) if r.group == 0 else group_spans(text, r.pattern, r.group)

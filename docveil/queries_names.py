@@ -191,3 +191,59 @@ def document_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["document_spans"] = document_spans
+
+
+# --- towns, roles, edits, documents ------------------------------------
+
+_CITY = "concat(element_at(array('Al', 'Bro', 'Dal', 'Eng', 'Fug', 'Gro', 'Hav', 'Ish', 'Kir', 'Lun', 'Mar', 'Nor', 'Ods'), 1 + cast({0} % 13 AS int)), element_at(array('købing', 'strup', 'holm', 'bjerg'), 1 + cast({0} % 4 AS int)))"
+_TOWN_TEXT = """CASE k % 6 WHEN 0 THEN concat('bor i ', code, ' ', city, ' herhen') WHEN 1 THEN concat('bor i ', code, ' ', substr(city, 1, 1), substr(city, 3), ' herhen') WHEN 2 THEN concat('bor i ', other, ' ', city, ', nu') WHEN 3 THEN concat('bor i ', code, ' Xqzwby herhen')
+  WHEN 4 THEN concat('bor i ', code, ' ', city, ' Nord') ELSE concat('bor i ', code, ' ', lower(city), ' herhen') END"""
+
+
+@query(f"""WITH t AS (SELECT o_orderkey AS k, 1000 + o_custkey % 9000 AS code, 1000 + (o_custkey + 1) % 9000 AS other, {_CITY.format("o_custkey").replace("element_at(array(", "list_extract(list_value(").replace(" AS int)", " AS INT)")} AS city FROM orders)
+SELECT k AS page_uid, 6::BIGINT AS start_at, CASE k % 6 WHEN 1 THEN concat(code, ' ', substr(city, 1, 1), substr(city, 3)) WHEN 2 THEN concat(other, ' ', city) ELSE concat(code, ' ', city) END AS value FROM t WHERE k % 6 IN (0, 1, 2, 4)""")
+def towns_of_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postal codes of a table made from the customers, of which some have several towns: a town as written, with a letter lost, under another code, unknown, followed by another word, written small."""
+    codes = table(spark, sf_dir, "customer").selectExpr("cast(1000 + c_custkey % 9000 AS int) AS code", f"{_CITY.format('c_custkey')} AS city")
+    made = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", "1000 + o_custkey % 9000 AS code", "1000 + (o_custkey + 1) % 9000 AS other", f"{_CITY.format('o_custkey')} AS city")
+    found = detect.detect(made.selectExpr("k AS page_uid", f"{_TOWN_TEXT} AS text"), codes, rules=tuple(r for r in detect.RULES if r.entity == E.POSTAL))
+    return found.select("page_uid", F.col("start").cast("long").alias("start_at"), "value")
+
+
+_WHO = "concat('Jens Holm', chr(97 + cast(p AS int)))"
+_ROLED = f"""CASE r WHEN 0 THEN concat('Her kom advokat ', {_WHO}, ' i dag') WHEN 1 THEN concat('Saa sagde vidnet ', {_WHO}, ' nej') WHEN 2 THEN concat('Brev til Dr. ', {_WHO}, ' her') ELSE concat('Da kom ', {_WHO}, ' igen') END"""
+
+
+@query("""WITH t AS (SELECT o_orderkey AS k, o_orderkey % 8 AS p, o_orderkey // 8 % 4 AS r FROM orders), s AS (SELECT *, CASE WHEN p = 0 THEN 0 WHEN p < 4 THEN r ELSE 3 END AS role FROM t)
+SELECT 'jens holm' || chr((97 + p)::INT) AS key, count(*) AS n, 'Jens Holm' || chr((97 + p)::INT) AS display, CASE WHEN p = 0 THEN 'advokat' WHEN p >= 4 THEN '' WHEN count(DISTINCT CASE WHEN role < 2 THEN role END) = 2 THEN 'blandet' ELSE max(CASE role WHEN 0 THEN 'advokat' WHEN 1 THEN 'vidnet' ELSE '' END) END AS role_hint FROM s GROUP BY p""")
+def role_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persons by name, of whom one has a single role, some contradicting ones and some none; a title is no part of the name."""
+    keys = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", "o_orderkey % 8 AS p", "o_orderkey div 8 % 4 AS r").withColumn("r", F.expr("CASE WHEN p = 0 THEN 0 WHEN p < 4 THEN r ELSE 3 END"))
+    pages = keys.selectExpr("k AS page_uid", "k AS pos", "'p' AS label", f"{_ROLED} AS text", f"{_WHO} AS who", "r")
+    start = (F.instr("text", "Jens") - 1).cast("int")
+    titled = F.when(F.col("r") == 2, F.concat(F.lit("Dr. "), F.col("who"))).otherwise(F.col("who"))
+    spans_ = pages.select("page_uid", F.lit(E.PERSON).alias("entity"), (start - F.when(F.col("r") == 2, 4).otherwise(0)).cast("int").alias("start"), (start + F.length("who")).cast("int").alias("end"), titled.alias("value"), F.lit(0.85).alias("score"))
+    groups = resolve.group_findings(resolve.findings(spans_, pages.select("page_uid", "pos", "label", "text")))
+    return groups.select("key", "n", F.regexp_replace("display", "^Dr\\. ", "").alias("display"), "role_hint")
+
+
+_EDITS = "l_orderkey AS k, l_partkey % 40 AS s, l_partkey % 40 + 2 + l_suppkey % 9 AS e, concat('<', l_linenumber, '>') AS label"
+_BASE = "concat('abcdefghijklmnopqrstuvwxyz', l_orderkey, '-ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+
+
+@query(f"""WITH x AS (SELECT {_EDITS}, {_BASE} AS text FROM lineitem),
+g AS (SELECT k, any_value(text) AS text, list(struct_pack(s := s, e := e, label := label, at := 0::BIGINT, out := '') ORDER BY s, -e, label) AS l FROM x GROUP BY k),
+f AS (SELECT k, text, list_reduce(list_prepend(struct_pack(s := 0::BIGINT, e := 0::BIGINT, label := '', at := 0::BIGINT, out := ''), l), lambda a, y: CASE WHEN y.s < a.at THEN a ELSE struct_pack(s := 0::BIGINT, e := 0::BIGINT, label := '', at := y.e, out := a.out || substr(text, a.at + 1, y.s - a.at) || y.label) END) AS r FROM g)
+SELECT k, r.out || substr(text, r.at + 1) AS text FROM f""")
+def spliced_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits that overlap, of which one that begins inside another is passed over."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr(*_EDITS.split(", ", 3), f"{_BASE} AS text")
+    edits = rows.groupBy("k", "text").agg(F.collect_list(F.struct(F.col("s").cast("int").alias("start"), F.col("e").cast("int").alias("end"), "label")).alias("edits"))
+    return edits.select("k", resolve.splice(F.col("text"), F.col("edits")).alias("text"))
+
+
+@query(r"""SELECT conv_id AS doc, md5(trim(string_agg(chr(10) || chr(10) || '===== ' || role || ' ' || turn || ' =====' || chr(10) || chr(10) || trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)), '' ORDER BY turn, role, text), ' ' || chr(9) || chr(10) || chr(13)) || chr(10)) AS digest FROM conversations GROUP BY conv_id""")
+def rendered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents whose turns are pages, with a mark before each."""
+    pages = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.struct("turn", "role", "text").alias("pos"), F.concat_ws(" ", "role", "turn").alias("label"), F.coalesce("text", F.lit("")).alias("rendered"))
+    return resolve.render_document(pages).select("doc", F.md5("text").alias("digest"))
