@@ -159,12 +159,18 @@ def overview(pseudonyms: DataFrame) -> DataFrame:
 OVERVIEW_WARNING = "Oversigt over pseudonymier. Du må ikke uploade disse til AI."
 
 
-def overview_text(rows: DataFrame, markdown: bool = True) -> DataFrame:
-    """One text of an overview's rows with the warning first; plain text has padded columns. An overview is read by people, so it is one text."""
+def overview_lines(rows: DataFrame, markdown: bool = True) -> DataFrame:
+    """(seq, line) of an overview's rows by label, with the warning first; plain text has padded columns. Lines are numbered by ranges, so no task gets them all."""
     line = F.format_string("| %s | %s | %s | %d |", "label", "original", "type", "n") if markdown else F.concat(F.rpad("label", 24, " "), F.rpad("original", 40, " "), F.rpad("type", 24, " "), F.col("n").cast("string"))
-    head = "| Pseudonym | Original | Type | Antal |\n|---|---|---|---|\n" if markdown else ""
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("label", line.alias("line")))), lambda x: x["line"]), "\n")
-    return rows.groupBy().agg(F.concat(F.lit(OVERVIEW_WARNING + "\n\n" + head), body, F.lit("\n")).alias("text"))
+    head = [OVERVIEW_WARNING, "", *(["| Pseudonym | Original | Type | Antal |", "|---|---|---|---|"] if markdown else [])]
+    placed = running_sum(rows.select("label", line.alias("line")), [F.col("label"), F.col("line")], F.lit(1), "seq").select((F.col("seq") + len(head)).cast("long").alias("seq"), "line")
+    first = rows.sparkSession.range(1).select(F.posexplode(F.array(*map(F.lit, head))).alias("seq", "line"))
+    return first.select(F.col("seq").cast("long").alias("seq"), "line").unionByName(placed)
+
+
+def write_overview(lines: DataFrame, path: str) -> None:
+    """An overview's lines as text below path: files that follow each other by name, each in order."""
+    lines.repartitionByRange("seq").sortWithinPartitions("seq").select(F.col("line").alias("value")).write.mode("overwrite").text(path)
 
 
 # --- propagation of names ----------------------------------------------

@@ -14,7 +14,7 @@ from docveil.functions.text import context_for
 from docveil.operators import detect, resolve
 from docveil.plans.anonymise import pseudonymise
 from docveil.registry import query, table
-from docveil.shared import materialize
+from docveil.shared import materialize, new_path
 
 # Expressions that Spark and DuckDB read alike.
 _D = "concat(lpad(concat(dd, ''), 2, '0'), lpad(concat(mm, ''), 2, '0'), lpad(concat(yy, ''), 2, '0'))"
@@ -227,10 +227,21 @@ def filtered_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_EXPECTED}, g AS (SELECT entity, value, count(*) AS n, min(k) AS f FROM e WHERE entity IN ('DK_ADDRESS', 'DK_POSTAL_CITY', 'DK_CASE_NO') GROUP BY ALL),
 l AS (SELECT *, CASE entity WHEN 'DK_ADDRESS' THEN 'Adresse' WHEN 'DK_POSTAL_CITY' THEN 'Postnr-by' ELSE 'Sagsnummer' END AS stem FROM g), r AS (SELECT stem || ' ' || row_number() OVER (PARTITION BY stem ORDER BY f) AS label, value, stem, n FROM l)
-SELECT 'Oversigt over pseudonymier. Du må ikke uploade disse til AI.' || chr(10) || chr(10) || '| Pseudonym | Original | Type | Antal |' || chr(10) || '|---|---|---|---|' || chr(10) || string_agg('| ' || label || ' | ' || value || ' | ' || stem || ' | ' || n || ' |', chr(10) ORDER BY encode(label)) || chr(10) AS text FROM r""")
+SELECT k AS seq, line FROM (VALUES (0::BIGINT, 'Oversigt over pseudonymier. Du må ikke uploade disse til AI.'), (1, ''), (2, '| Pseudonym | Original | Type | Antal |'), (3, '|---|---|---|---|')) AS h(k, line)
+UNION ALL SELECT row_number() OVER (ORDER BY encode(label)) + 3, '| ' || label || ' | ' || value || ' | ' || stem || ' | ' || n || ' |' FROM r""")
 def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, labels = pseudonymise(made_pages(spark, sf_dir), _codes(spark), rules=tuple(r for r in detect.RULES if r.entity in (E.ADDRESS, E.POSTAL, E.CASE_NO)))
-    return resolve.overview_text(resolve.overview(labels))
+    return resolve.overview_lines(resolve.overview(labels))
+
+
+@query(f"""WITH {_EXPECTED}, g AS (SELECT value, count(*) AS n, min(k) AS f FROM e WHERE entity = 'DK_CASE_NO' GROUP BY ALL), r AS (SELECT 'Sagsnummer ' || row_number() OVER (ORDER BY f) AS label, value, n FROM g),
+l AS (SELECT 'Oversigt over pseudonymier. Du må ikke uploade disse til AI.' AS line UNION ALL SELECT '' UNION ALL SELECT rpad(label, 24, ' ') || rpad(value, 40, ' ') || rpad('Sagsnummer', 24, ' ') || n FROM r) SELECT line, count(*) AS n FROM l GROUP BY line""")
+def overview_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain overview written as text and read again."""
+    _, labels = pseudonymise(made_pages(spark, sf_dir), rules=tuple(r for r in detect.RULES if r.entity == E.CASE_NO))
+    path = new_path(spark, "overview")
+    resolve.write_overview(resolve.overview_lines(resolve.overview(labels), markdown=False), path)
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
 
 
 _RECT = "struct(double({0}) AS x0, double({1}) AS y0, double({2}) AS x1, double({3}) AS y1)"
