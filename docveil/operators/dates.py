@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docveil.functions.matches import let
+from docveil.shared import materialize
 
 # Month names of eight languages.
 MONTH_WORDS = (
@@ -42,7 +43,7 @@ class DateRule:
 
     @property
     def regex(self) -> str:
-        return "(?iu)" + self.pattern
+        return "(?iu)" + self.pattern if self.named or self.key == "manual" else self.pattern
 
     @property
     def has_day(self) -> bool:
@@ -129,7 +130,10 @@ def parse_rules(names: DataFrame, rules: tuple[DateRule, ...] | list[DateRule],
 
 def rule_hits(names: DataFrame, today: datetime.date, rules: tuple[DateRule, ...] = RULES) -> DataFrame:
     """(rule, prio, has_day, hits, all_on_20): one aggregate over the names for all rules."""
-    parsed = parse_rules(names.select("name"), rules, today)
+    return _hits(parse_rules(names.select("name"), rules, today), rules)
+
+
+def _hits(parsed: DataFrame, rules: tuple[DateRule, ...]) -> DataFrame:
     found = lambda k: F.col("dates")[k]
     aggs = [a for k, r in enumerate(rules) for a in (F.count(found(k)).alias(f"h_{r.key}"), F.bool_and(F.dayofmonth(found(k)) == 20).alias(f"t_{r.key}"))]
     one = parsed.agg(*aggs)
@@ -158,14 +162,16 @@ def choose_chain(hits: list[tuple[str, int, bool, int, bool]], rules: tuple[Date
 
 
 def date_names(names: DataFrame, today: datetime.date, rules: tuple[DateRule, ...] = RULES) -> DataFrame:
-    """names with rule and date by the chain that fits them all best; the hit counts are the only thing the driver gets."""
-    chain = choose_chain([tuple(r) for r in rule_hits(names, today, rules).collect()], rules)
-    if not chain:
-        return names.withColumn("rule", F.lit(None).cast("string")).withColumn("date", F.lit(None).cast("date"))
-    keys = F.array(*(F.lit(r.key) for r in chain))
-    tried = F.filter(F.arrays_zip(keys.alias("rule"), F.col("dates").alias("date")), lambda t: t["date"].isNotNull())
-    parsed = parse_rules(names, chain, today).withColumn("__best", F.try_element_at(tried, F.lit(1)))
-    return parsed.withColumn("rule", F.col("__best.rule")).withColumn("date", F.col("__best.date")).drop("__best", "dates")
+    """names with rule and date by the chain that fits them all best; the hit counts are the only thing the driver gets.
+
+    Names are parsed once: the dates of all rules are written with them, and the chain picks among these.
+    """
+    parsed = materialize(parse_rules(names, rules, today), "dates")
+    chain = choose_chain([tuple(r) for r in _hits(parsed, rules).collect()], rules)
+    at = {r.key: k for k, r in enumerate(rules)}
+    tried = [F.struct(F.lit(r.key).alias("rule"), F.col("dates")[at[r.key]].alias("date")) for r in chain]
+    best = F.try_element_at(F.filter(F.array(*tried), lambda t: t["date"].isNotNull()), F.lit(1)) if chain else F.lit(None).cast("struct<rule:string,date:date>")
+    return parsed.withColumn("__best", best).withColumn("rule", F.col("__best.rule")).withColumn("date", F.col("__best.date")).drop("__best", "dates")
 
 
 class MarkError(ValueError):
