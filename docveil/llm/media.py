@@ -134,20 +134,21 @@ class _Out:
 
 
 class ArchiveWriter(DataSourceArrowWriter):
-    """Writes (member, media). Names of archives are new in each attempt of a task; commit() lists those of the attempts that count, abort() deletes what is there."""
+    """Writes (member, media) into a folder of this write. Names of archives are new in each attempt of a task; commit() lists those of the attempts that count, abort() deletes the folder."""
 
     def __init__(self, options: dict):
         self.store, self.path = fs.FileSystem.from_uri(options["path"])
+        self.own = uuid.uuid4().hex
         self.most = int(options.get("archivebytes", ARCHIVE_BYTES))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        self.store.create_dir(self.path, recursive=True)
+        self.store.create_dir(f"{self.path}/{self.own}", recursive=True)
         done, count, out, held = [], 0, None, None
         try:
             for batch in iterator:
                 for member, media in zip(batch.column("member"), batch.column("media"), strict=True):
                     if held is None:
-                        name = f"{uuid.uuid4().hex}.zip"
+                        name = f"{self.own}/{uuid.uuid4().hex}.zip"
                         out = _Out(self.store.open_output_stream(f"{self.path}/{name}"))
                         held = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED)
                     held.writestr(zipfile.ZipInfo(member.as_py()), media.as_py())
@@ -180,10 +181,8 @@ class ArchiveWriter(DataSourceArrowWriter):
             out.write(before + "".join(lines).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
-        for m in messages:
-            for name, _ in m.archives if m is not None else ():
-                with suppress(OSError):
-                    self.store.delete_file(f"{self.path}/{name}")
+        with suppress(OSError):
+            self.store.delete_dir(f"{self.path}/{self.own}")
 
 
 class Members:
@@ -257,7 +256,9 @@ class ArchiveReader(DataSourceReader):
             listed = [line.split("\t") for line in f.read().decode().splitlines()]
         return [ByteRange(name, low, min(low + self.split, int(n))) for name, n in listed for low in range(0, int(n), self.split)]
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # there is no archive
+            return
         store, path = fs.FileSystem.from_uri(self.path)
         held, size = [], 0
         for member, offset, media, error in Members(lambda: store.open_input_file(f"{path}/{partition.archive}"), partition.low, partition.high, self.retries):
