@@ -9,9 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docveil.functions.entities import CARD, NUMERIC, PERSON
-
-__all__ = ["CARD"]
+from docveil.functions.entities import NUMERIC, PERSON
 
 
 def fold(value: Column) -> Column:
@@ -82,7 +80,7 @@ def looks_like_words(value: Column) -> Column:
     return ~value.rlike(r"[|\[\]{}<>\\_~^*#=+]") & ((F.size(tokens) == 0) | F.exists(tokens, lambda t: t.rlike("(?i)[aeiouyæøå]")))
 
 
-# --- page text ---------------------------------------------------------
+# --- page text: patterns of marks are fixed values ---------------------
 
 
 def clean_markdown(text: Column) -> Column:

@@ -2,8 +2,8 @@
 
 Pages have page_uid and text. Spans are (page_uid, entity, start, end, value,
 score), half-open positions in code points. Names of persons, places and
-organisations need a language model, which is not part of this library: pass
-such spans as ``extra``. E-mail, account and card patterns, and how context
+organisations come from a model: see ``plans.anonymise.find_names`` and pass
+its spans, or those of another model, as ``extra``. E-mail, account and card patterns, and how context
 words lift a score, are this library's own.
 """
 
@@ -346,6 +346,7 @@ retslægerådet arbejdsretten januar februar marts april maj juni juli august se
 torsdag fredag lørdag søndag cpr cvr tlf telefon mobil mail e-mail journalnr sagsnr adresse postnr att bilag side dato reg.nr kontonr
 hr fru frk hr. fru. frk. mr mrs ms miss dr sir madam mr. mrs. ms. dr.""".split()
 )
+# Institutions, and what stands before the seat of a court.
 INSTITUTIONS = r"^(?:Retten|Byretten|Landsretten|Østre|Vestre|Højesteret|Sø-\s*og\s*Handelsretten|Statsforvaltningen|Familieretshuset|Politiet|Anklagemyndigheden)(?![\wæøå])"
 
 

@@ -203,7 +203,7 @@ def message_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").selectExpr("p_partkey", f"concat({_MESSAGES}, if(p_partkey % 8 = 3, ' ', concat('#', p_partkey))) AS msgid", f"if(p_partkey % 8 = 6, '', concat({_VALUES}, if(p_partkey % 8 = 3, '', concat('#', p_partkey)))) AS value", "p_partkey % 8 = 7 AND p_partkey % 3 = 0 AS fuzzy")
     parts = parts.withColumn("msgid", F.expr("CASE WHEN p_partkey % 8 = 3 THEN concat(p_partkey, msgid) WHEN p_partkey % 8 = 2 THEN msgid WHEN p_partkey % 8 = 1 THEN concat(p_partkey, substr(msgid, 1, instr(msgid, '…'))) ELSE msgid END")).withColumn("value", F.expr("CASE WHEN p_partkey % 8 = 3 THEN concat(p_partkey, value) WHEN p_partkey % 8 = 1 THEN concat(p_partkey, value) ELSE value END"))
     lost = F.expr("p_partkey % 8 = 5 AND p_partkey % 11 = 0")
-    entries = parts.where(~lost | F.lit(True)).select(F.lit("da").alias("lang"), "msgid", F.col("msgid").alias("value"), F.lit(False).alias("fuzzy")).unionByName(parts.where(~lost).select(F.lit("en").alias("lang"), "msgid", "value", "fuzzy"))
+    entries = parts.select(F.lit("da").alias("lang"), "msgid", F.col("msgid").alias("value"), F.lit(False).alias("fuzzy")).unionByName(parts.where(~lost).select(F.lit("en").alias("lang"), "msgid", "value", "fuzzy"))
     used = parts.where(lost).select(F.concat("msgid", F.lit("?")).alias("msgid"))
     found = catalog.check_all(entries, used)
     named = parts.select("p_partkey", "msgid").unionByName(parts.where(lost).select("p_partkey", F.concat("msgid", F.lit("?")).alias("msgid")))
