@@ -256,6 +256,10 @@ def detect(pages: DataFrame, codes: DataFrame | None = None, extra: DataFrame |
 INVISIBLE = frozenset("\u00ad\u200b\u200c\u200d\ufeff")
 
 
+#: Runs of characters that fold to one lower-case character each, with single blanks inside.
+_SIMPLE = re.compile(r"(?:[!-~À-ÖØ-Þà-öø-ÿ]| (?=[!-~À-ÖØ-Þà-öø-ÿ]))+")
+
+
 def folded(text: str) -> tuple[str, list[int], list[int]]:
     """text in the form that a search compares, with the start and end in text of what each of its characters stands for.
 
@@ -263,6 +267,16 @@ def folded(text: str) -> tuple[str, list[int], list[int]]:
     """
     out, low, high, at = [], [], [], 0
     while at < len(text):
+        if run := _SIMPLE.match(text, at):
+            first, end = at, run.end()
+            end -= end < len(text) and unicodedata.combining(text[end]) > 0  # a mark belongs to the last one
+            first += text[at] == " " and bool(out) and out[-1] == " "
+            out.extend(text[first:end].lower())
+            low.extend(range(first, end))
+            high.extend(range(first + 1, end + 1))
+            if end > at:
+                at = end
+                continue
         end = at + 1
         while end < len(text) and unicodedata.combining(text[end]):
             end += 1

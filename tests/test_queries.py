@@ -10,7 +10,7 @@ import pytest
 from docveil.queries import ORACLES, QUERIES  # the whole registry
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "documents pages labels orders events lineitem part supplier customer nation region".split()
+TABLES = "documents pages labels orders events lineitem part supplier customer nation region conversations".split()
 
 
 @pytest.fixture(scope="module")

@@ -83,6 +83,32 @@ def test_markdown(text, want):
     assert to_xhtml(text) == want
 
 
+def test_folding_by_runs():
+    """Runs are folded like their characters one by one."""
+    rnd = random.Random(7)
+    letters = [*"aAzZ09-~! ", " ", "  ", "é", "É", "ß", "÷", "×", "\u0301", "\u0327", "\u00ad", "\t", "\u00a0", "ﬁ", "İ", "ÿ", "Þ"]
+
+    def one_by_one(text):
+        out, low, high, at = [], [], [], 0
+        while at < len(text):
+            end = at + 1
+            while end < len(text) and unicodedata.combining(text[end]):
+                end += 1
+            for c in unicodedata.normalize("NFKC", text[at:end]):
+                if c in detect.INVISIBLE or (c.isspace() and out and out[-1] == " "):
+                    continue
+                for f in " " if c.isspace() else c.casefold():
+                    out.append(f)
+                    low.append(at)
+                    high.append(end)
+            at = end
+        return "".join(out), low, high
+
+    for _ in range(30000):
+        text = "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 14)))
+        assert detect.folded(text) == one_by_one(text), text
+
+
 def test_search_prefilter_is_sure():
     rnd = random.Random(1)
     letters = [*"aAfiFI nN ", "ﬁ", "İ", "ß", "ẞ", "\u00ad", "\u200b", "\u0301", "é", " ", "Å", "ͅ", "Σ", "ς", "K", "ᄀ", "ᅡ", "가", "ᾳ", "\u09c7", "\u09be", "½", "ŉ", "ǰ", "´"]
