@@ -264,13 +264,26 @@ def _to_middle() -> Column:
     return F.abs((F.col("y0") + F.col("y1")) / 2 - F.col("y"))
 
 
+def _best_line(points: DataFrame, lines: DataFrame, hit: Column | None, rank: Column) -> DataFrame:
+    """(page_uid, point_id, line_id): of the lines of a point's page that it hits the one of the least rank, the first of equals.
+
+    What a line is to a point depends on their places alone, so each place of a page's points meets each box of its lines once, and the boxes' first lines stand for them.
+    """
+    places, boxes = ["page_uid", "x", "y"], ["page_uid", "x0", "y0", "x1", "y1"]
+    first = lines.groupBy(*boxes).agg(F.min("line_id").alias("line_id"))
+    met = points.select(*places).distinct().join(first, "page_uid")
+    best = (met if hit is None else met.where(hit)).groupBy(*places).agg(F.min(F.struct(rank.alias("rank"), "line_id")).alias("best")).toDF(*(f"__{c}" for c in places), "best")
+    own = (F.col("page_uid") == F.col("__page_uid")) & F.col("x").eqNullSafe(F.col("__x")) & F.col("y").eqNullSafe(F.col("__y"))
+    return points.join(best, own).groupBy("page_uid", "point_id").agg(F.min("best")["line_id"].alias("line_id"))
+
+
 def nearest_line(points: DataFrame, lines: DataFrame) -> DataFrame:
     """(page_uid, point_id, line_id): the line whose middle is the nearest in height, with a quarter of the distance beside it; the first of equals."""
     aside = F.greatest(F.col("x0") - F.col("x"), F.col("x") - F.col("x1"), F.lit(0.0))
-    return points.join(lines, "page_uid").groupBy("page_uid", "point_id").agg(F.min_by("line_id", F.struct(_to_middle() + 0.25 * aside, F.col("line_id"))).alias("line_id"))
+    return _best_line(points, lines, None, _to_middle() + 0.25 * aside)
 
 
 def line_at(points: DataFrame, lines: DataFrame, pad: float = 1.5) -> DataFrame:
     """(page_uid, point_id, line_id): the line whose padded box holds the point, of several the one with the nearest middle; no row if none does."""
-    hit = points.join(lines, "page_uid").where(F.col("x").between(F.col("x0") - pad, F.col("x1") + pad) & F.col("y").between(F.col("y0") - pad, F.col("y1") + pad))
-    return hit.groupBy("page_uid", "point_id").agg(F.min_by("line_id", F.struct(_to_middle(), F.col("line_id"))).alias("line_id"))
+    hit = F.col("x").between(F.col("x0") - pad, F.col("x1") + pad) & F.col("y").between(F.col("y0") - pad, F.col("y1") + pad)
+    return _best_line(points, lines, hit, _to_middle())

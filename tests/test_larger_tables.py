@@ -12,3 +12,21 @@ def test_a_number_beside_a_card_is_no_part_of_it(spark):
     pages = spark.createDataFrame(list(enumerate(texts)), "page_uid int, text string")
     found = detect.detect(pages, rules=tuple(r for r in detect.RULES if r.entity == E.CARD)).collect()
     assert sorted((r["page_uid"], r["value"]) for r in found) == [(0, card), (1, card), (2, card), (2, "4366089147969128"), (3, "4495589438270767"), (4, "4111 1111 1111 1111"), (5, "3782-822463-10005"), (7, card)]
+
+
+def test_lines_and_points_that_share_places_meet_once(spark):
+    """30 boxes stand for 3,000 lines and 20 places for 2,000 points; equal to all pairs, unplaced points too."""
+    from docveil.operators import words
+
+    points = spark.range(2000).selectExpr("id AS point_id", "id % 2 AS page_uid", "if(id % 20 = 3, NULL, double(id % 20 * 7)) AS x", "double(id % 20 * 5) AS y")
+    lines = spark.range(3000).selectExpr("2999 - id AS line_id", "id % 2 AS page_uid", "double(id % 30 * 3) AS x0", "double(id % 30 * 4) AS y0").withColumns({"x1": F.col("x0") + 80, "y1": F.col("y0") + 12})
+    pairs = points.join(lines, "page_uid")
+    dy, aside = F.abs((F.col("y0") + F.col("y1")) / 2 - F.col("y")), F.greatest(F.col("x0") - F.col("x"), F.col("x") - F.col("x1"), F.lit(0.0))
+    inside = pairs.where("x BETWEEN x0 - 1.5 AND x1 + 1.5 AND y BETWEEN y0 - 1.5 AND y1 + 1.5")
+    want = [p.groupBy("page_uid", "point_id").agg(F.min_by("line_id", F.struct(by, "line_id"))) for p, by in ((pairs, dy + 0.25 * aside), (inside, dy))]
+    got = [words.nearest_line(points, lines), words.line_at(points, lines)]
+    for a, b in zip(got, want, strict=True):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    plan = got[0]._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("Join Inner, (page_uid") :]
+    assert join.count("Aggregate") >= 2, "places and boxes are told apart before they meet"
