@@ -30,3 +30,11 @@ def test_lines_and_points_that_share_places_meet_once(spark):
     plan = got[0]._jdf.queryExecution().optimizedPlan().toString()
     join = plan[plan.index("Join Inner, (page_uid") :]
     assert join.count("Aggregate") >= 2, "places and boxes are told apart before they meet"
+
+
+def test_a_town_that_is_given_often_counts_once(spark):
+    """Codes given a thousand times make no more rows of a candidate than codes given once."""
+    values = spark.createDataFrame([("8500 Grenaa",), ("8500 Grena",), ("8000 Grenaa",), ("8500 Xyzby",)], "value string")
+    codes = spark.range(2000).selectExpr("int(if(id % 2 = 0, 8500, 8340)) AS code", "if(id % 2 = 0, 'Grenaa', 'Malling') AS city")
+    got = sorted((r["value"], r["accepted"]) for r in detect.postal_match(values, codes).collect())
+    assert got == [("8000 Grenaa", True), ("8500 Grena", True), ("8500 Grenaa", True), ("8500 Xyzby", False)]
