@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from docveil.functions.matches import spans
 from docveil.functions.stem import stem
 from docveil.operators.lang import is_prose, word_score
+from docveil.shared import by_exchange
 
 TOKEN = r"\p{L}[\p{L}\p{N}'’-]*"
 #: A token at the beginning of a text, line, cell or sentence: its capital tells nothing.
@@ -65,11 +66,11 @@ def touching_tokens(found: DataFrame, pages: DataFrame) -> DataFrame:
     """
     own = found.select("page_uid", "start", "end").distinct()
     ends = own.select("*", F.explode(F.sequence(F.floor(F.col("start") / STRETCH), F.floor((F.greatest("end", F.col("start") + 1) - 1) / STRETCH))).alias("stretch"))
-    texts = pages.join(own.select("page_uid").distinct(), "page_uid", "left_semi")
+    texts = pages.join(by_exchange(own.select("page_uid").distinct()), "page_uid", "left_semi")
     tokens = texts.select("page_uid", F.explode(spans(F.col("text"), TOKEN)).alias("t")).where(F.col("t.value").rlike(r"^\p{Lu}"))
     parts = F.sequence(F.floor(F.col("t.start") / STRETCH), F.floor((F.col("t.end") - 1) / STRETCH))
     dealt = tokens.select("page_uid", F.col("t.start").alias("token_start"), F.col("t.end").alias("token_end"), F.col("t.value").alias("token"), F.explode(parts).alias("stretch"))
-    met = ends.join(dealt, ["page_uid", "stretch"]).where((F.col("token_start") < F.col("end")) & (F.col("token_end") > F.col("start")))
+    met = ends.join(by_exchange(dealt), ["page_uid", "stretch"]).where((F.col("token_start") < F.col("end")) & (F.col("token_end") > F.col("start")))
     return met.select("page_uid", "start", "end", "token_start", "token").distinct()
 
 
@@ -88,8 +89,8 @@ def name_evidence(found: DataFrame, pages: DataFrame, evidence: DataFrame) -> Da
         F.transform(F.array_sort(F.collect_list(F.struct("token_start", "token"))), lambda t: t["token"]).alias("words"),
     )
     plain = pages.select("page_uid", (~is_prose(word_score(F.col("text")))).alias("__table"))
-    asked = grouped.join(plain, "page_uid").groupBy("page_uid").agg(F.bool_or(F.col("__small") & F.col("__table")).alias("__asked"))
-    rows = found.join(grouped, ["page_uid", "start", "end"], "left").join(asked, "page_uid", "left")
+    asked = grouped.join(by_exchange(plain), "page_uid").groupBy("page_uid").agg(F.bool_or(F.col("__small") & F.col("__table")).alias("__asked"))
+    rows = found.join(by_exchange(grouped), ["page_uid", "start", "end"], "left").join(by_exchange(asked), "page_uid", "left")
     flags = {c: F.coalesce(c, F.lit(False)) for c in ("has_name", "keeps_capital")}
     small = F.when(F.coalesce("__asked", F.lit(False)), F.coalesce("__small", F.lit(False)))
     return rows.withColumns({**flags, "is_name_lower": small, "words": F.coalesce("words", F.array().cast("array<string>"))}).drop("__small", "__asked").select(*found.columns, "has_name", "keeps_capital", "is_name_lower", "words")

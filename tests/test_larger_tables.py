@@ -38,3 +38,15 @@ def test_a_town_that_is_given_often_counts_once(spark):
     codes = spark.range(2000).selectExpr("int(if(id % 2 = 0, 8500, 8340)) AS code", "if(id % 2 = 0, 'Grenaa', 'Malling') AS city")
     got = sorted((r["value"], r["accepted"]) for r in detect.postal_match(values, codes).collect())
     assert got == [("8000 Grenaa", True), ("8500 Grena", True), ("8500 Grenaa", True), ("8500 Xyzby", False)]
+
+
+def test_what_has_a_row_for_each_page_is_not_sent_whole(spark):
+    """Small as these tables look, no join by page sends one to the driver."""
+    from docveil.operators import names, resolve
+
+    pages = spark.createDataFrame([(1, 1, "p 1", "Her kom Ida Holm i dag"), (2, 2, "p 2", "ingen")], "page_uid long, pos long, label string, text string")
+    found = spark.createDataFrame([(1, E.PERSON, 8, 16, "Ida Holm", 0.85)], "page_uid long, entity string, start int, end int, value string, score double")
+    told = names.name_evidence(found, pages, names.word_evidence(names.case_counts(pages)))
+    for df in (detect.plausible_names(told, pages), resolve.findings(found.withColumn("key", F.lower("value")), pages)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.splitlines() if "BroadcastHashJoin [page_uid" in x] and "SortMergeJoin [page_uid" in plan
