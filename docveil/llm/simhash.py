@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docveil.llm.components import connected_components
 from docveil.llm.words import lower_words, shingle_hashes, slices
-from docveil.shared import materialize, release
+from docveil.shared import by_exchange, materialize, release
 
 #: Keys of more members than the first are compared as arrays, of more than the second by finer keys.
 BLOCK, WIDE_BLOCK = 64, 2048
@@ -97,9 +97,12 @@ def variants(rows: DataFrame, bits: Column, size: int, segments: int, held: list
 
 
 def members_of(every: DataFrame, by: list[str]) -> DataFrame:
-    """Variants that another fingerprint has too, from the other side of a wildcard, with how many (n) share the key."""
+    """Variants that another fingerprint has too, from the other side of a wildcard, with how many (n) share the key.
+
+    Spark takes the variants for as many rows as they were made from, and would send their keys to the driver.
+    """
     useful = every.groupBy(*by, "exact").agg(F.count("*").alias("n"), F.sum("side").alias("ones")).where("n > 1 AND (exact OR (ones > 0 AND ones < n))")
-    return materialize(every.join(useful.select(*by, "n"), by), "members")
+    return materialize(every.join(by_exchange(useful.select(*by, "n")), by), "members")
 
 
 def forest(near: np.ndarray) -> list[tuple[int, int]]:
@@ -130,7 +133,7 @@ def compared(members: DataFrame, by: list[str], max_bits: int) -> DataFrame:
     few = members.where(F.col("n") <= BLOCK)
     other = few.select(*by, F.col("side").alias("other"), F.col("f0").alias("g0"))
     distance = F.bit_count(F.col("f0").bitwiseXOR(F.col("g0")))
-    pairs = few.join(other, by).where(((F.col("exact") & (F.col("f0") < F.col("g0"))) | (~F.col("exact") & (F.col("side") < F.col("other")))) & (distance <= max_bits)).select("f0", "g0")
+    pairs = few.join(by_exchange(other), by).where(((F.col("exact") & (F.col("f0") < F.col("g0"))) | (~F.col("exact") & (F.col("side") < F.col("other")))) & (distance <= max_bits)).select("f0", "g0")
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         prints, part = pdf["f0"].to_numpy(np.int64).view(np.uint64), pdf["part"].to_numpy()
@@ -407,9 +410,9 @@ def similar_documents(docs: DataFrame, shingle_words: int = 5, similarity: float
 def _grouped(base: DataFrame, carry: list[str] | None, roots_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     prints = materialize(base.groupBy(F.col("f0").alias("node")).agg(F.min("doc_id").alias("least")), "distinct")
     roots = materialize(roots_of(prints.select(F.col("node").alias("f0"))), "roots")
-    linked = materialize(prints.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"), "linked")
+    linked = materialize(prints.join(by_exchange(roots), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"), "linked")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = materialize(linked.join(least, "root").select("node", "component_id"), "of")
+    of = materialize(linked.join(by_exchange(least), "root").select("node", "component_id"), "of")
     release(prints, roots, linked)
     named = F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint")
-    return base.join(of, F.col("f0") == F.col("node")).select("doc_id", *(carry or []), named, "component_id", "f0")
+    return base.join(by_exchange(of), F.col("f0") == F.col("node")).select("doc_id", *(carry or []), named, "component_id", "f0")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from docveil.functions import entities as E
 from docveil.operators import detect
+from docveil.shared import materialize
 
 
 def test_a_number_beside_a_card_is_no_part_of_it(spark):
@@ -50,3 +51,22 @@ def test_what_has_a_row_for_each_page_is_not_sent_whole(spark):
     for df in (detect.plausible_names(told, pages), resolve.findings(found.withColumn("key", F.lower("value")), pages)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not [x for x in plan.splitlines() if "BroadcastHashJoin [page_uid" in x] and "SortMergeJoin [page_uid" in plan
+
+
+def test_op1_sends_no_variants(spark, monkeypatch):
+    """Variants of fingerprints, links and groups grow with the corpus and are joined by exchanges, whatever Spark takes their sizes for."""
+    from docveil.llm import components, simhash
+
+    plans = []
+
+    def seen(df, name="step"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, name)
+
+    monkeypatch.setattr(simhash, "materialize", seen)
+    monkeypatch.setattr(components, "materialize", seen)
+    docs = spark.range(60).selectExpr("id AS doc_id", "concat('w', id div 3, ' a b c d e f g h i j k l m n o p q r s t u v w x', if(id % 3 = 2, ' y', '')) AS text")
+    out = simhash.near_duplicates(docs)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert out.count() == 60 and len(plans) > 6
+    assert not [p for p in plans if "BroadcastExchange" in p]
