@@ -55,6 +55,12 @@ def fingerprints(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return ((2 * bit_counts(hashes, bounds) > np.diff(bounds)[:, None]) * weights).sum(1, dtype=np.uint64)
 
 
+def prints_of(each: list[np.ndarray]) -> np.ndarray:
+    """The fingerprints of texts, given the hashes of each one's shingles, as signed numbers."""
+    bounds = np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int64)
+    return fingerprints(np.concatenate(each) if each else np.empty(0, np.uint64), bounds).view(np.int64)
+
+
 def simhash(docs: DataFrame, shingle_words: int = 3, carry: list[str] | None = None) -> DataFrame:
     """(doc_id, carried columns, f0): fingerprints of whole texts.
 
@@ -66,9 +72,7 @@ def simhash(docs: DataFrame, shingle_words: int = 3, carry: list[str] | None = N
         for batch in batches:
             for part in slices(batch):
                 each = [shingle_hashes(lower_words(t), shingle_words) for t in part.column("text").to_pylist()]
-                bounds = np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int64)
-                prints = fingerprints(np.concatenate(each) if each else np.empty(0, np.uint64), bounds).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in held), pa.array(prints)], [*held, "f0"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in held), pa.array(prints_of(each))], [*held, "f0"])
 
     schema = ", ".join(["doc_id long", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in held[1:]), "f0 long"])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *held[1:], F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
@@ -236,7 +240,7 @@ def prefix_length(size: int, similarity: float) -> int:
 
 
 def rare_prefixes(docs: DataFrame, shingle_words: int, similarity: float, carry: list[str]) -> DataFrame:
-    """(doc_id, carried columns, f0, size, prefix): hash and size of each text's set of shingles, and its rarest ones."""
+    """(doc_id, carried columns, f0, size, print, prefix): hash and size of each text's set of shingles, its fingerprint and its rarest shingles."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, shingle_words))
     held = ["doc_id", *carry]
 
@@ -244,16 +248,17 @@ def rare_prefixes(docs: DataFrame, shingle_words: int, similarity: float, carry:
         known, times = sent.value
         for batch in batches:
             for part in slices(batch):
-                sets = [np.unique(shingle_hashes(lower_words(t) or [b""], shingle_words)) for t in part.column("text").to_pylist()]
+                each = [shingle_hashes(lower_words(t), shingle_words) for t in part.column("text").to_pylist()]
+                sets = [np.unique(x if len(x) else shingle_hashes([b""], shingle_words)) for x in each]
                 sizes, prefixes = [len(x) for x in sets], []
                 for x in sets:
                     at = np.minimum(np.searchsorted(known, x), max(0, len(known) - 1))
                     often = np.where(known[at] == x, times[at], 0) if len(known) else np.zeros(len(x), np.int64)
                     prefixes.append(x[np.lexsort((x, often))[: prefix_length(len(x), similarity)]].view(np.int64))
                 names = np.array([xxhash.xxh64_intdigest(x.tobytes(), 0) for x in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in held), pa.array(names), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], [*held, "f0", "size", "prefix"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in held), pa.array(names), pa.array(sizes, pa.int32()), pa.array(prints_of(each)), pa.array(prefixes, pa.list_(pa.int64()))], [*held, "f0", "size", "print", "prefix"])
 
-    schema = ", ".join(["doc_id long", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry), "f0 long", "size int", "prefix array<long>"])
+    schema = ", ".join(["doc_id long", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry), "f0 long", "size int", "print long", "prefix array<long>"])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
@@ -281,32 +286,42 @@ def fewest_shared(size: Column, low: Column, high: Column, similarity: float) ->
     return F.least(shared_least(size, low, similarity), above)
 
 
-def composed(first: DataFrame | None, second: DataFrame) -> DataFrame:
+def composed(first: DataFrame, second: DataFrame) -> DataFrame:
     """(node, root) of links of two kinds, where second has the components of the first ones' roots and of nodes without any."""
-    if first is None:
-        return second
     second = second.toDF("__node", "__root")
     moved = first.join(second, F.col("root") == F.col("__node"), "left").select("node", F.coalesce("__root", "root").alias("root"))
     alone = second.join(first, F.col("__node") == F.col("node"), "left_anti")
     return moved.unionByName(alone.toDF("node", "root"))
 
 
+def signature_pairs(base: DataFrame, max_bits: int = 3) -> DataFrame:
+    """(f0, g0, size, size2): sets whose fingerprints are equal or linked by deletion-variant signatures, as links() has them.
+
+    One set stands for each fingerprint; each other one of it makes a pair with that.
+    """
+    one = F.struct("f0", "size")
+    rows = materialize(base.select("f0", "size", "print").dropDuplicates(["f0"]), "signed")
+    first = materialize(rows.groupBy("print").agg(F.min(one).alias("one")), "first")
+    equal = rows.join(by_exchange(first), "print").select(one.alias("a"), F.col("one").alias("b"))
+    near = links(first.select(F.col("print").alias("f0")), max_bits).distinct()
+    a, b = first.select(F.col("print").alias("f0"), F.col("one").alias("a")), first.select(F.col("print").alias("g0"), F.col("one").alias("b"))
+    both = near.join(by_exchange(a), "f0").join(by_exchange(b), "g0").select("a", "b")
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    pairs = equal.unionByName(both).where("a.f0 <> b.f0").select(low.alias("a"), high.alias("b")).distinct()
+    return pairs.select("a.f0", F.col("b.f0").alias("g0"), "a.size", F.col("b.size").alias("size2"))
+
+
 def similar_roots(base: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """(node, root): components of the graph of all pairs of sets of at least the similarity; no pair is lost.
 
-    base comes from rare_prefixes(); sets is a function from (f0) to (f0, shingles). Pairs that share
-    enough prefix shingles are verified exactly. While the pairs at the shingles are many more than their members, each member is first compared with one
+    base comes from rare_prefixes(); sets is a function from (f0) to (f0, shingles). What op1's signatures
+    link is verified and joined first. Signatures alone lose pairs of the similarity, so an exact way for the rest
+    follows: pairs of different groups that share enough prefix shingles are verified too. While the pairs at the shingles are many more than their members, each member is first compared with one
     other: with the hub of its shingle, the text that shares most shingles (an original has all that its copies keep), the neighbour by size, or one by chance.
     What these links connect is not compared again, so that large groups of near copies stay cheap; all pairs that
     are left come last, in turns that bound the disk.
     """
     room = max(LEAST_TURN, TURN_BYTES * int(base.agg(F.sum("size")).first()[0] or 0))
-    spread = materialize(base.select("f0", "size", F.explode("prefix").alias("key")).dropDuplicates(["key", "f0"]), "spread")
-    shared = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    members = materialize(spread.join(shared, "key"), "members")
-    release(spread)
-    first = None
-
     def pruned(rows: DataFrame) -> DataFrame:
         """Members (key, f0, size, root) with popular, how many keys each shares, but for those that can't share enough with any other root of the key.
 
@@ -319,9 +334,6 @@ def similar_roots(base: DataFrame, sets: Callable[[DataFrame], DataFrame], simil
         both = rows.drop("popular").join(ends.where("least < most"), "key").join(popular, "f0")
         return both.where(F.col("popular") >= fewest).select("key", "f0", "size", "root", "popular")
 
-    rest = materialize(pruned(members.withColumn("root", F.col("f0"))), "unlinked")
-    release(members)
-
     def turns(rows: float) -> int:
         return max(1, -(-int(rows) // room))
 
@@ -345,6 +357,9 @@ def similar_roots(base: DataFrame, sets: Callable[[DataFrame], DataFrame], simil
         release(held)
         return connected_components(out.toDF("u", "v"))
 
+    def rooted(rows: DataFrame) -> DataFrame:
+        return rows.join(by_exchange(first.withColumnRenamed("node", "f0")), "f0", "left").withColumn("root", F.coalesce("root", "f0"))
+
     def beside(rows: DataFrame, kind: str) -> DataFrame:
         """Each member with one member of its key that has another root."""
         if kind == "size":
@@ -363,6 +378,14 @@ def similar_roots(base: DataFrame, sets: Callable[[DataFrame], DataFrame], simil
         ends = [(n, F.col(n), F.col(f"other.{n}")) for n in ("f0", "size", "root")]
         return chosen.select(*(either(a, b).alias(n) for n, a, b in ends), *(either(b, a).alias({"f0": "g0"}.get(n, f"{n}2")) for n, a, b in ends))
 
+    signed = signature_pairs(base).where(F.least("size", "size2") >= F.greatest("size", "size2") * similarity - 1e-9)
+    first = materialize(linked(materialize(signed.withColumns({"root": F.col("f0"), "root2": F.col("g0")}), "signature_pairs")), "near_roots")
+    spread = materialize(base.select("f0", "size", F.explode("prefix").alias("key")).dropDuplicates(["key", "f0"]), "spread")
+    shared = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    members = materialize(spread.join(shared, "key"), "members")
+    release(spread)
+    rest = materialize(pruned(rooted(members)), "unlinked")
+    release(members)
     last, pairs = None, 0
     for kind in (*KINDS_OF_HUBS, None):
         before, rest = rest, materialize(pruned(rest), "unlinked")
@@ -374,7 +397,7 @@ def similar_roots(base: DataFrame, sets: Callable[[DataFrame], DataFrame], simil
         last = pairs
         found = linked(materialize(counted(beside(rest, kind), shared_least(F.col("size"), F.col("size2"), similarity) / 2), "neighbours"))
         first = materialize(composed(first, found), "near_roots")
-        rest = rest.drop("root").join(first.withColumnRenamed("node", "f0"), "f0", "left").withColumn("root", F.coalesce("root", "f0"))
+        rest = rooted(rest.drop("root"))
     other = rest.select("key", F.col("f0").alias("g0"), F.col("size").alias("size2"), F.col("root").alias("root2"), F.col("popular").alias("popular2"))
     least = shared_least(F.col("size"), F.col("size2"), similarity)
     of, left = turns(24 * (pairs or 0)), None
@@ -389,7 +412,7 @@ def similar_roots(base: DataFrame, sets: Callable[[DataFrame], DataFrame], simil
 def similar_documents(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, carry: list[str] | None = None) -> DataFrame:
     """Like near_duplicates(), with links between all texts whose sets of word shingles have the similarity (of Jaccard).
 
-    Candidates come from prefixes of rare shingles, by which no pair is lost, and are verified
+    Candidates come from the signatures of near_duplicates() first, then from prefixes of rare shingles, by which no pair is lost, and are verified
     exactly; texts of one set are linked as they are, and the fingerprint is a hash of the set. Sets are
     made only of texts that have a candidate.
     """

@@ -103,3 +103,29 @@ def test_stages_take_anything(spark, tmp_path):
         docs = out
     # The null and the empty text fail the rules; of the text that occurs three times the one with an id stays.
     assert counts[:3] == [6, 4, 4] and counts[4] == counts[3]
+
+
+def test_near_dedup_takes_the_signatures(spark, tmp_path, monkeypatch):
+    """Near-dedup joins what op1's deletion-variant signatures link, if it has the similarity; its groups are those of brute force."""
+    from pyspark.sql import functions as F
+
+    from docveil.llm import simhash
+
+    rnd = random.Random(5)
+    prose = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(n))
+    rows = [(k, prose(200), "en", "s", 1) for k in range(20)]
+    rows += [(20 + k, rows[k][1] + " " + prose(1), "en", "s", 1) for k in range(20)] + [(40 + k, rows[k][1].upper(), "en", "s", 1) for k in range(5)]
+    docs, taken = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), []
+    real, prints = simhash.signature_pairs, {}
+
+    def seen(base, *more):
+        prints.update({r["f0"]: r["print"] & (2**64 - 1) for r in base.select("f0", "print").distinct().collect()})
+        taken.extend(real(base, *more).collect())
+        return real(base, *more)
+
+    monkeypatch.setattr(simhash, "signature_pairs", seen)
+    assert sorted(tuple(r) for r in pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()) == one_of_each_group([(k, t.lower() if k > 39 else t, *more) for k, t, *more in rows])
+    near = {(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 3}
+    assert {(r["f0"], r["g0"]) for r in taken} == near and len(near) > 3
+    op1 = simhash.simhash(docs, pipeline.SHINGLE_WORDS).select(F.col("f0")).distinct().collect()
+    assert {r[0] & (2**64 - 1) for r in op1} == set(prints.values())
