@@ -1,7 +1,8 @@
 """Catalogues of translations as lines of text, and the messages that source code asks for.
 
 A record is a run of lines: comments, then keywords with quoted strings, of which each may go on over
-further lines. What a line belongs to follows from the lines before it, by windows over each catalogue.
+further lines. What a line belongs to follows from the lines before it, by windows over ranges of each catalogue
+and what the ranges before hand on, so no task holds a catalogue.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docveil.shared import materialize, running_sum
+
 _KEYWORD = r"^\s*(msgctxt|msgid_plural|msgid|msgstr(?:\[[0-9]+\])?)\s*\""
 _QUOTED = r"^[^\"]*\"((?:[^\"\\]|\\.)*)\"\s*$"
 #: A call for a message with string literals behind each other; what is formatted is none.
@@ -36,18 +39,22 @@ def read_catalogues(lines: DataFrame) -> DataFrame:
     A record begins with its id, or the context before that, whether or not an empty line stands there. The header,
     which has no id, and records that are out of use are passed over; of several forms of a translation the first is taken.
     """
-    w = Window.partitionBy("lang").orderBy("seq")
-    keyword = F.nullif(F.regexp_extract("text", _KEYWORD, 1), F.lit(""))
-    live = lines.where(~F.coalesce(F.col("text").startswith("#~"), F.lit(True)))
-    told = live.withColumn("own", keyword).withColumn("spoken", keyword.isNotNull()).withColumn("last", F.last("own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    spark = lines.sparkSession
+    live = lines.where(~F.coalesce(F.col("text").startswith("#~"), F.lit(True))).withColumn("own", F.nullif(F.regexp_extract("text", _KEYWORD, 1), F.lit("")))
+    dealt = materialize(live.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "lang", "seq").withColumn("__range", F.spark_partition_id()), "catalogue")
+    # The keyword that a range begins under: one row for each range and catalogue.
+    ends = dealt.groupBy("lang", "__range").agg(F.max(F.when(F.col("own").isNotNull(), F.struct("seq", "own")))["own"].alias("end"))
+    carried = ends.select(F.col("lang").alias("__lang"), F.col("__range").alias("__at"), F.last("end", ignorenulls=True).over(Window.partitionBy("lang").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    w = Window.partitionBy("__range", "lang").orderBy("seq")
+    spoken = lambda upto: F.coalesce(F.last("own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, upto)), F.col("carried"))
+    told = dealt.join(F.broadcast(carried), F.col("lang").eqNullSafe(F.col("__lang")) & (F.col("__range") == F.col("__at"))).withColumns({"last": spoken(0), "before": spoken(-1)})
     goes_on = F.col("own").isNull() & F.col("text").rlike(r"^\s*\"")
     kind = F.when(F.col("own").isNotNull() | goes_on, F.col("last")).otherwise(F.lit(""))
-    after_context = F.coalesce(F.lag("own").over(Window.partitionBy("lang", "spoken").orderBy("seq")) == "msgctxt", F.lit(False))
+    after_context = F.coalesce(F.col("before") == "msgctxt", F.lit(False))
     opens = F.when(F.coalesce(F.col("own").isin("msgid", "msgctxt"), F.lit(False)) & ~after_context, 1).otherwise(0)
-    numbered = told.withColumns({"kind": kind, "opens": opens})
+    numbered = running_sum(told.select("lang", "seq", "text", kind.alias("kind"), opens.alias("opens")), [F.col("lang"), F.col("seq")], F.col("opens"), "opened", reset="lang")
     # Comments stand before what opens a record, so they count as of the next one.
-    before = F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    record = before + F.when(F.col("text").startswith("#"), 1).otherwise(0)
+    record = F.col("opened") + F.col("opens") + F.when(F.col("text").startswith("#"), 1).otherwise(0)
     parts = numbered.withColumn("record", record).withColumn("part", F.when(F.col("kind") != "", unescaped(F.regexp_extract("text", _QUOTED, 1))))
     joined = parts.groupBy("lang", "record", "kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "part"))), lambda p: p["part"]), "").alias("whole"), F.bool_or(F.col("text").rlike(r"^#,.*\bfuzzy\b")).alias("fuzzy"))
     of = lambda *kinds: F.max(F.when(F.col("kind").isin(*kinds), F.col("whole")))
@@ -74,7 +81,8 @@ def catalogue_lines(entries: DataFrame) -> DataFrame:
     rows = entries.select("lang", F.struct(F.lit(1).alias("k"), F.col("msgid"), F.coalesce("context", F.lit("")).alias("context")).alias("at"), body.alias("lines"))
     heads = entries.select("lang").distinct().select("lang", F.struct(F.lit(0).alias("k"), F.lit("").alias("msgid"), F.lit("").alias("context")).alias("at"), head.alias("lines"))
     each = rows.unionByName(heads).select("lang", "at", F.posexplode("lines").alias("k", "text"))
-    return each.select("lang", (F.row_number().over(Window.partitionBy("lang").orderBy("at", "k")) - 1).alias("seq"), "text")
+    order = [F.col(c) for c in ("lang", "at.k", "at.msgid", "at.context", "k")]
+    return running_sum(each, order, F.lit(1), "seq", reset="lang").select("lang", F.col("seq").cast("int").alias("seq"), "text")
 
 
 def source_messages(files: DataFrame) -> DataFrame:

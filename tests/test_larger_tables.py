@@ -70,3 +70,24 @@ def test_op1_sends_no_variants(spark, monkeypatch):
     plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert out.count() == 60 and len(plans) > 6
     assert not [p for p in plans if "BroadcastExchange" in p]
+
+
+def test_a_catalogue_is_read_by_ranges(spark):
+    """No window holds a whole catalogue; records that a range's end cuts come back whole, as do comments before them."""
+    import re
+
+    from docveil.sources import catalogues
+
+    rows = [(lang, "ctx" if k % 4 == 0 else None, f"m{k:03}\nsecond\nthird", f"p{k}" if k % 3 == 0 else None, f"{lang} {k}\nnext" if k % 5 else "", k % 7 == 0) for lang in ("da", "en") for k in range(60)]
+    entries = spark.createDataFrame(rows, "lang string, context string, msgid string, plural string, value string, fuzzy boolean")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        lines = catalogues.catalogue_lines(entries)
+        back = catalogues.read_catalogues(lines)
+        key = lambda r: (r[0], r[2])
+        assert sorted((tuple(r) for r in back.collect()), key=key) == sorted(rows, key=key)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for df in (lines, back):
+        assert not re.search(r"windowspecdefinition\(lang#\d+, (seq|at)#", df._jdf.queryExecution().analyzed().toString())
