@@ -11,7 +11,7 @@ from docveil.operators import catalog, dates, detect, export, history, markdown
 from docveil.plans.anonymise import scan_counters
 from docveil.queries import _EMAIL, TODAY
 from docveil.registry import ORACLES, longs, query, table
-from docveil.shared import new_path
+from docveil.shared import dealt_evenly, new_path
 from docveil.sources import catalogues, documents, files
 from docveil.streaming import session
 
@@ -373,7 +373,7 @@ _MARKED = """concat('## ', p_name, ' & <b>', chr(10), 'First *', p_brand, '* and
 '<pre>' || p_name || ' &lt;tag&gt;  | ~* no list~</pre>~<hr />~<ol' || CASE WHEN p_partkey = 1 THEN '' ELSE ' start="' || p_partkey || '"' END || '>~<li>~<p>first</p>~</li>~<li>~<p>second</p>~</li>~</ol>~<p>snake_case_' || p_partkey || ' 2 * 3 * 4</p>', '~', chr(10)) AS body FROM part""")
 def xhtml_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters of generated Markdown as the inside of their XHTML pages."""
-    made = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{_MARKED} AS md").withColumn("html", markdown.markdown_xhtml(F.col("md")))
+    made = dealt_evenly(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")).selectExpr("p_partkey", f"{_MARKED} AS md").withColumn("html", markdown.markdown_xhtml(F.col("md")))
     page = export.xhtml_chapter(F.lit("t"), F.col("html"), F.lit(None).cast("string"), F.lit(False), F.lit(None).cast("string"))
     return made.select("p_partkey", F.regexp_extract(page, r"(?s)<body>(.*)</body>", 1).alias("body"))
 

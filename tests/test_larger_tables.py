@@ -91,3 +91,12 @@ def test_a_catalogue_is_read_by_ranges(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     for df in (lines, back):
         assert not re.search(r"windowspecdefinition\(lang#\d+, (seq|at)#", df._jdf.queryExecution().analyzed().toString())
+
+
+def test_xhtml_bodies_are_dealt_over_all_tasks(spark):
+    """A small file of many rows is read by one task, but not worked on by it."""
+    from docveil.queries_text import xhtml_bodies
+
+    df = xhtml_bodies(spark, "/root/testdata/sf0.001")
+    assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
+    assert df.count() == df.select("p_partkey").distinct().count() > 0
