@@ -100,3 +100,31 @@ def test_xhtml_bodies_are_dealt_over_all_tasks(spark):
     df = xhtml_bodies(spark, "/root/testdata/sf0.001")
     assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
     assert df.count() == df.select("p_partkey").distinct().count() > 0
+
+
+def test_spans_are_found_once_and_in_compiled_steps(spark):
+    """Keys of findings come from written spans, not from a second search; what makes spans stands before their explosion, where Spark compiles it."""
+    from docveil.operators import resolve
+
+    texts = ["Ring tlf 20 30 40 50 nu", "Mobil: 20304050", "telefonbog 20304050", "ingen tal", None, "CVR-nr. 25313763", "25313764"]
+    pages = spark.createDataFrame([(k, k, f"p {k}", t) for k, t in enumerate(texts)], "page_uid long, pos long, label string, text string")
+    rules = tuple(r for r in detect.RULES if r.entity in (E.PHONE, E.CVR))
+    spans = detect.detect(pages, rules=rules, context=True)
+    found = resolve.findings(spans, pages, names=False)
+    assert "RLIKE" not in found._jdf.queryExecution().optimizedPlan().toString()
+    made = [x for x in spans._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate explode" in x]
+    assert made and all("Generate explode(__values#" in x for x in made)
+    assert sorted((r["page_uid"], r["entity"], r["key"], round(r["score"], 2)) for r in found.collect()) == [(0, E.PHONE, "20304050", 0.85), (1, E.PHONE, "20304050", 0.65), (5, E.CVR, "25313763", 1.0)]
+
+
+def test_context_is_looked_for_only_where_a_stem_stands(spark):
+    """The quick look at the text around a span gives up no context word."""
+    words = [*" ".join(detect.CONTEXT.values()).split(), "Telefonerne", "(TLF.)", "konto-nr", "bor/by", "mobilens,", "kontaxt", "xbank", "p-nr.", "c/o"]
+    rows = [(f"{a}{w} 12345678 {b}", e) for w in words for e in (*detect.CONTEXT, E.EMAIL) for a, b in (("", ""), ("se ", "her"))]
+    rows += [(f"her 12345678 {w} nu", e) for w in words for e in detect.CONTEXT] + [(f"{w} {'x ' * n}12345678", E.PHONE) for w in words for n in (4, 5, 57, 60, 61)]
+    df = spark.createDataFrame(rows, "text string, entity string").withColumn("start", F.instr("text", "12345678") - 1).withColumn("end", F.col("start") + 8)
+    told = F.create_map(*(F.lit(x) for key, found in detect.CONTEXT.items() for x in (key, sorted({detect.plain_stem(w) for w in found.split()}))))
+    want = F.coalesce(F.arrays_overlap(F.try_element_at(told, F.col("entity")), detect.context_words(F.col("text"), F.col("start"), F.col("end"))), F.lit(False))
+    got = detect.with_context(F.col("text"), F.col("entity"), F.col("start"), F.col("end"), F.lit(0.3)) > 0.3
+    told_apart = df.select(want.alias("want"), got.alias("got")).groupBy("want", "got").count().collect()
+    assert {(r["want"], r["got"]) for r in told_apart} == {(True, True), (False, False)}
