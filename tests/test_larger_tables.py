@@ -128,3 +128,15 @@ def test_context_is_looked_for_only_where_a_stem_stands(spark):
     got = detect.with_context(F.col("text"), F.col("entity"), F.col("start"), F.col("end"), F.lit(0.3)) > 0.3
     told_apart = df.select(want.alias("want"), got.alias("got")).groupBy("want", "got").count().collect()
     assert {(r["want"], r["got"]) for r in told_apart} == {(True, True), (False, False)}
+
+
+def test_a_further_stream_joins_what_was_seen_by_an_exchange(spark, monkeypatch):
+    """The keys of the log, a row a page, are not sent whole."""
+    from docveil.queries_text import scanned_stream
+    from docveil.streaming import session
+
+    streams, scan = [], session.scan_stream
+    monkeypatch.setattr(session, "scan_stream", lambda *a, **k: streams.append(scan(*a, **k)) or streams[-1])
+    assert scanned_stream(spark, "/root/testdata/sf0.001").count() > 0
+    plan = streams[1]._jsq.streamingQuery().lastExecution().executedPlan().toString() if hasattr(streams[1]._jsq, "streamingQuery") else streams[1]._jsq.lastExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
