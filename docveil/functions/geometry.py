@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A4 in points, the margin around a placed image, a span's padding, the gap of columns and lines.
@@ -31,6 +31,19 @@ def covered(rects: Column, existing: Column, tolerance: float = 1.0) -> Column:
     return F.forall(rects, lambda r: F.exists(existing, lambda e: (F.abs(r["x0"] - e["x0"]) <= tolerance) & (F.abs(r["y0"] - e["y0"]) <= tolerance) & (F.abs(r["x1"] - e["x1"]) <= tolerance) & (F.abs(r["y1"] - e["y1"]) <= tolerance)))
 
 
+def same_places(rects: DataFrame, existing: DataFrame, tolerance: float = 1.0) -> DataFrame:
+    """(page_uid, r) of rects that equal some d of existing (page_uid, d) up to the tolerance on each side.
+
+    Corners of equal rectangles lie in one cell of twice the tolerance or in neighbouring ones, so the join is on equal cells; sides are compared behind it.
+    """
+    cell = lambda r, side: F.floor(F.col(r)[side] / (2 * tolerance))
+    around = lambda side: F.explode(F.sequence(cell("r", side) - 1, cell("r", side) + 1))
+    near = rects.withColumn("__cx", around("x0")).withColumn("__cy", around("y0"))
+    placed = existing.select("page_uid", "d", cell("d", "x0").alias("__cx"), cell("d", "y0").alias("__cy"))
+    same = [F.abs(F.col("r")[side] - F.col("d")[side]) <= tolerance for side in ("x0", "y0", "x1", "y1")]
+    return near.join(placed.hint("merge"), ["page_uid", "__cx", "__cy"]).where(same[0] & same[1] & same[2] & same[3]).select("page_uid", "r").distinct()
+
+
 def upper_median(values: Column) -> Column:
     """The element in the middle of the sorted array; of two, the greater."""
     return F.element_at(F.sort_array(values), (F.size(values) / 2).cast("int") + 1)
