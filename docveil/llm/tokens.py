@@ -17,8 +17,8 @@ from docveil.llm.words import slices
 MARK = "▁"
 #: By so much an unknown character scores below the lowest piece.
 UNKNOWN_PENALTY = 10.0
-#: Characters of the words whose counts a task remembers before it starts anew, and pairs of pieces likewise.
-REMEMBERED, PAIRS = 1 << 23, 1 << 20
+#: Characters of the words whose counts a worker remembers before it starts anew, and pairs of pieces likewise.
+REMEMBERED, PAIRS = 1 << 25, 1 << 20
 
 #: A vocabulary file's path; a parameter of the query.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -75,6 +75,21 @@ def merged(word: str, rank: dict[str, float]) -> list[str]:
     return [p for p in parts if p]
 
 
+class _Counts(dict):
+    """Counts of words, by what follows their first mark; each is worked out when it is first asked for."""
+
+    def __init__(self, counter: Counter):
+        self.counter, self.held = counter, 0
+
+    def __missing__(self, word: str) -> int:
+        if self.held > REMEMBERED:
+            self.clear()
+            self.held = 0
+        n = self[word] = self.counter.pieces_of(MARK + word)
+        self.held += len(word) + 64
+        return n
+
+
 class Counter:
     """Counts the pieces of a word's segmentation; only scores and counts are carried along, never the pieces.
 
@@ -88,17 +103,18 @@ class Counter:
     def __init__(self, vocabulary: Vocabulary):
         self.rank, self.merges, self.bytes = dict(vocabulary.pieces), vocabulary.merges, vocabulary.bytes
         self.automaton = ahocorasick.Automaton()
-        for piece, score in self.rank.items():
-            # A piece that merging never makes is none.
-            if not self.merges or merged(piece, self.rank) == [piece]:
-                self.automaton.add_word(piece, (piece, float(score)))
+        # A piece that merging never makes is none.
+        self.pieces = [p for p in self.rank if not self.merges or merged(p, self.rank) == [p]]
+        for k, piece in enumerate(self.pieces):
+            self.automaton.add_word(piece, (k, len(piece)) if self.merges else (piece, float(self.rank[piece])))
         self.empty = not len(self.automaton)
         if not self.empty:
             self.automaton.make_automaton()
         self.unknown = min(self.rank.values(), default=0.0) - UNKNOWN_PENALTY
-        self.seen: dict[str, int] = {}
-        self.held = 0
-        self.apart: dict[tuple[str, str], bool] = {}
+        self.seen = _Counts(self)
+        #: For each piece, by number, which pieces stay apart from it behind it.
+        self.apart: list[dict[int, bool] | None] = [None] * len(self.pieces)
+        self.pairs = 0
 
     def _matches(self, word: str) -> list[list[tuple[str, float]]]:
         ends: list[list[tuple[str, float]]] = [[] for _ in word]
@@ -127,35 +143,46 @@ class Counter:
             best[e], count[e], unknown[e] = top, n, odd
         return count[size]
 
-    def _stay_apart(self, left: str, right: str) -> bool:
-        if len(self.apart) > PAIRS:
-            self.apart.clear()
-        known = self.apart[left, right] = merged(left + right, self.rank) == [left, right]
+    def _stay_apart(self, left: int, right: int) -> bool:
+        if self.pairs > PAIRS:
+            for row in self.apart:
+                if row is not None:
+                    row.clear()
+            self.pairs = 0
+        one, two = self.pieces[left], self.pieces[right]
+        known = self.apart[left][right] = merged(one + two, self.rank) == [one, two]
+        self.pairs += 1
         return known
 
     def _by_merges(self, word: str) -> int:
         size, apart = len(word), self.apart
-        last: list[str | None] = [None] * (size + 1)  # None: the start, or an unknown character
+        last = [-1] * (size + 1)  # -1: the start, or an unknown character
+        rows: list[dict[int, bool] | None] = [None] * (size + 1)
         count, done = [0] * (size + 1), 0
 
         def skip(to: int) -> None:
             for e in range(done + 1, to + 1):
-                count[e] = count[e - 1] + self._unknown_size(word[e - 1], e > 1 and last[e - 1] is None)
+                count[e] = count[e - 1] + self._unknown_size(word[e - 1], e > 1 and last[e - 1] < 0)
 
-        for end, (piece, _) in () if self.empty else self.automaton.iter(word):
+        for end, (piece, long) in () if self.empty else self.automaton.iter(word):
             if end < done:
                 continue
             if end > done:
                 skip(end)
                 done = end
-            at = end + 1 - len(piece)
-            left = last[at]
-            fits = left is None or apart.get((left, piece))
-            if fits is None:
-                fits = self._stay_apart(left, piece)
-            if fits:
-                done = end + 1
-                last[done], count[done] = piece, count[at] + 1
+            at = end + 1 - long
+            row = rows[at]
+            if row is not None:
+                fits = row.get(piece)
+                if fits is None:
+                    fits = self._stay_apart(last[at], piece)
+                if not fits:
+                    continue
+            done = end + 1
+            row = apart[piece]
+            if row is None:
+                row = apart[piece] = {}
+            last[done], rows[done], count[done] = piece, row, count[at] + 1
         skip(size)
         return count[size]
 
@@ -166,17 +193,21 @@ class Counter:
         """Pieces of a whole text: spaces become marks, one is put in front, words begin at marks."""
         if not text:
             return 0
-        total, seen = 0, self.seen
-        for word in split_marks(text, runs=self.merges):
-            n = seen.get(word)
-            if n is None:
-                if self.held > REMEMBERED:
-                    seen.clear()
-                    self.held = 0
-                n = seen[word] = self.pieces_of(word)
-                self.held += len(word) + 64
-            total += n
-        return total
+        seen, lead = self.seen, text[:1]
+        if lead != " " and lead != MARK and "" not in (plain := text.replace(MARK, " ").split(" ")):
+            return sum(map(seen.__getitem__, plain))
+        return sum(seen[word[1:]] for word in split_marks(text, runs=self.merges))
+
+
+#: The vocabulary that a worker's tasks were last given, and its counter.
+_HELD: list[tuple[Vocabulary, Counter]] = []
+
+
+def counter_of(vocabulary: Vocabulary) -> Counter:
+    """The vocabulary's counter: one task of a worker after the other takes it over with what it remembers."""
+    if not _HELD or _HELD[0][0] is not vocabulary:
+        _HELD[:] = [(vocabulary, Counter(vocabulary))]
+    return _HELD[0][1]
 
 
 def split_marks(text: str, runs: bool) -> Iterator[str]:
@@ -204,14 +235,14 @@ def count_tokens(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id") -
     """(key, n_tokens, n_chars) for every row; null and empty texts have no tokens.
 
     The vocabulary comes from a file of fixed size and is sent to the workers
-    once. A word's count depends on the word alone, so each is worked out once while a task remembers it; what it
+    once. A word's count depends on the word alone, so each is worked out once while a worker remembers it; what it
     remembers is bounded by characters, and a text without any space is one word, which takes memory in proportion to its length. Repeated rows come back as often;
     other columns are not read; an empty table gives an empty one.
     """
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(sent.value)
+        counter = counter_of(sent.value)
         for batch in batches:
             for part in slices(batch):
                 texts = part.column("text").to_pylist()

@@ -586,6 +586,26 @@ def test_tokens(spark, docs, rows):
     assert count_tokens(docs.limit(0), whole).count() == 0
 
 
+def test_words_are_counted_once(spark):
+    """A worker remembers the words of a large task, and its next task takes them over; marks in any place give what the library gives."""
+    import sentencepiece
+
+    from docveil.llm.tokens import PIECES, Counter, counter_of, load_pieces
+
+    made, whole, model = [], load_pieces(), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+
+    class Watched(Counter):
+        def pieces_of(self, word):
+            made.append(word)
+            return super().pieces_of(word)
+
+    counter, text = Watched(whole), " ".join(f"{k:x}" for k in range(130000))
+    assert counter.tokens(text) == counter.tokens(text) == len(model.encode(text)) and len(made) == len(set(made)) == 130000
+    odd = ["a b", " a b", "a b ", "a  b", "▁a b", "a▁b", "a ▁ b", "▁", " ", "  ", "a▁", "é x\u2009y z", "\na b\n"]
+    assert [counter.tokens(t) for t in odd] == [len(model.encode(t)) for t in odd]
+    assert counter_of(whole) is counter_of(whole) is not counter_of(load_pieces())
+
+
 def test_decontamination(spark, docs, rows):
     from docveil.llm import decontaminate as D
 
