@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docveil.functions import geometry as G
+from docveil.functions.matches import let
 
 # Least visible characters of a native text layer, and of a monospaced page.
 LEAST_NATIVE = 20
@@ -20,15 +21,13 @@ def column_gap(a: Column, b: Column) -> Column:
     """Is the gap between two words wider than some of their characters? It is measured along the longer gap's axis."""
     dx = F.greatest(b["x0"] - a["x1"], a["x0"] - b["x1"])
     dy = F.greatest(b["y0"] - a["y1"], a["y0"] - b["y1"])
-    across = dx >= dy
-    gap = F.when(across, dx).otherwise(dy)
 
-    def width(w: Column) -> Column:
-        size = F.when(across, w["x1"] - w["x0"]).otherwise(w["y1"] - w["y0"])
-        return size / F.greatest(F.lit(1), F.length(w["text"]))
+    def wide(gap: Column, low: str, high: str) -> Column:
+        width = lambda w: (w[high] - w[low]) / F.greatest(F.lit(1), F.length(w["text"]))
+        char = (width(a) + width(b)) / 2
+        return (gap > G.COLUMN_GAP_CHARS * char) & (char > 0)
 
-    char = (width(a) + width(b)) / 2
-    return (gap > 0) & (char > 0) & (gap > G.COLUMN_GAP_CHARS * char)
+    return F.when(dx >= dy, wide(dx, "x0", "x1")).otherwise(wide(dy, "y0", "y1"))
 
 
 def _column_gap() -> Column:
@@ -59,17 +58,23 @@ def word_offsets(words: DataFrame) -> DataFrame:
     return placed.withColumn("start", (F.col("end") - F.length("text")).cast("int")).drop(*(c for c in placed.columns if c.startswith("p_")))
 
 
-def words_to_text(words: DataFrame) -> DataFrame:
-    """(page_uid, text): the texts that word_offsets() places, from one array of a page's words, without a window."""
-    names = ["seq", "x0", "y0", "x1", "y1", "text", "block", "line"]
-    listed = words.where(F.coalesce(F.col("text"), F.lit("")) != "").groupBy("page_uid").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("w"))
+def listed_text(listed: Column) -> Column:
+    """The text of one page, whose words with their boxes are listed in reading order; those without text are passed over."""
 
     def part(before: Column, own: Column) -> Column:
         sep = F.when(before.isNull(), "").when(own["block"] != before["block"], "\n\n").when((own["line"] != before["line"]) | column_gap(before, own), "\n").otherwise(" ")
         return F.concat(sep, own["text"])
 
-    shifted = F.concat(F.array(F.lit(None).cast(words.select(F.struct(*names).alias("s")).schema["s"].dataType)), F.slice("w", F.lit(1), F.size("w") - 1))
-    return listed.select("page_uid", F.array_join(F.zip_with(shifted, F.col("w"), part), "").alias("text"))
+    said = F.filter(listed, lambda w: w["text"] != "")
+    # One behind the other: the word before each, of which the first has none.
+    return let(said, lambda w: F.array_join(F.zip_with(F.concat(F.slice(w, F.lit(1), F.lit(0)), F.array(F.lit(None)), F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0)))), w, part), ""))
+
+
+def words_to_text(words: DataFrame) -> DataFrame:
+    """(page_uid, text): the texts that word_offsets() places, from one array of a page's words, without a window."""
+    names = ["seq", "x0", "y0", "x1", "y1", "text", "block", "line"]
+    listed = words.where(F.coalesce(F.col("text"), F.lit("")) != "").groupBy("page_uid").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("w"))
+    return listed.select("page_uid", listed_text(F.col("w")).alias("text"))
 
 
 def words_for_spans(offsets: DataFrame, spans: DataFrame) -> DataFrame:

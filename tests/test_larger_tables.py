@@ -158,3 +158,19 @@ def test_marks_meet_findings_by_place(spark):
     kept = sorted(r["k"] for r in want.collect())
     assert 0 < len(kept) < 800 and sorted(r["k"] for r in got.collect()) == kept
     assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_of_listed_words(spark):
+    """Equal to what word_offsets() places, over columns both ways, words of no width, blocks and empty words; the query moves no words."""
+    from docveil.operators import words
+    from docveil.queries import words_to_text
+
+    df = spark.range(1200).selectExpr(
+        "id % 40 AS page_uid", "id AS seq", "double(id * 37 % 90) AS x0", "double(id * 13 % 50) AS y0", "double(id * 37 % 90 + id % 5 * 4) AS x1", "double(id * 13 % 50 + id % 3 * 9) AS y1",
+        "CASE id % 11 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE substr('abcdefg', 1, int(id % 6 + 1)) END AS text", "int(id div 400) AS block", "int(id div 130) AS line",
+    )
+    placed = words.word_offsets(df).groupBy("page_uid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.concat("sep", "text").alias("t")))), lambda w: w["t"]), "").alias("text"))
+    want = {r[0]: r[1] for r in placed.collect()}
+    listed = df.groupBy("page_uid").agg(F.array_sort(F.collect_list(F.struct(*df.columns[1:]))).alias("w")).select("page_uid", words.listed_text(F.col("w")))
+    assert {c for t in want.values() for c in t} >= {"\n", " "} and {r[0]: r[1] for r in listed.collect()} == {r[0]: r[1] for r in words.words_to_text(df).collect()} == want
+    assert "Exchange" not in words_to_text(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
