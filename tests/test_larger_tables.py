@@ -1,5 +1,6 @@
 """What reviews on larger tables and odd inputs have shown."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from docveil.functions import entities as E
@@ -174,3 +175,26 @@ def test_texts_of_listed_words(spark):
     listed = df.groupBy("page_uid").agg(F.array_sort(F.collect_list(F.struct(*df.columns[1:]))).alias("w")).select("page_uid", words.listed_text(F.col("w")))
     assert {c for t in want.values() for c in t} >= {"\n", " "} and {r[0]: r[1] for r in listed.collect()} == {r[0]: r[1] for r in words.words_to_text(df).collect()} == want
     assert "Exchange" not in words_to_text(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_are_placed_and_read_by_tasks(spark, tmp_path):
+    """New names pass over those that are there, none is lost; the driver lists no files to read them; a task that is run again finds what it has moved."""
+    from docveil.sources import files
+
+    path = f"file://{tmp_path}/a"
+    rows = lambda *names: spark.createDataFrame([(k, n, f"{n} {len(names)}") for k, n in enumerate(names)], "pos long, name string, body string")
+    assert files.write_files(rows("a.txt"), path, F.col("body"))["saved"] == 1
+    assert files.write_files(rows("a.txt", "a_1.txt", "B c.txt"), path, F.col("body"))["saved"] == 3
+    got = files.read_back(spark, path)
+    assert sorted(bytes(r["content"]) for r in got.collect()) == [b"B c.txt 3", b"a.txt 1", b"a.txt 3", b"a_1.txt 3"]
+    assert len({r["name"].lower() for r in got.collect()}) == 4 == sum(p.suffix == ".txt" for p in (tmp_path / "a").iterdir())
+    assert "binaryFile" not in got._jdf.queryExecution().executedPlan().toString()
+    (tmp_path / "b" / "try").mkdir(parents=True)
+    (tmp_path / "b" / "try" / "x").write_text("1")
+    (tmp_path / "b" / "y").write_text("2")  # moved before
+    (tmp_path / "b" / "try.names").write_text("x\ny\n")
+    files._place(spark, f"file://{tmp_path}/b", [f"{tmp_path}/b/try"])
+    assert {r["name"]: bytes(r["content"]) for r in files.read_back(spark, f"file://{tmp_path}/b").collect()} == {"x": b"1", "y": b"2"}
+    (tmp_path / "b" / "try.names").write_text("z\n")
+    with pytest.raises(Exception, match="z"):
+        files._place(spark, f"file://{tmp_path}/b", [f"{tmp_path}/b/try"])
