@@ -10,6 +10,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ BUCKETS = 1 << 18
 PARTS, ROUNDS, MOST_TEXTS = 8, 6, 1 << 14
 #: Sentences that are decoded together, and that are learnt from together: the fewer, the less a round goes too far.
 BATCH, LEARNT = 64, 4
+#: Characters of the texts whose sentences are decoded together; sentences and words that a task remembers, and the most words of such a sentence.
+TOGETHER, KNOWN, LONGEST = 1 << 16, 1 << 15, 64
 #: By so much a right tag must be ahead of a wrong one before a sentence counts as learnt.
 MARGIN = 4.0
 #: Score of a name that the model finds (own choice).
@@ -76,16 +79,24 @@ def _shape(word: str) -> str:
 OWN = 6
 
 
+def _bucket(name: str) -> int:
+    return zlib.crc32(name.encode()) % BUCKETS
+
+
+@lru_cache(KNOWN)
+def _own(word: str, shape: str, first: bool) -> list[int]:
+    return [_bucket(x) for x in (f"w{word}", f"f{first}|{shape}", f"b{word[:3]}", *(f"e{word[-n:]}|{shape}" for n in (2, 3, 4)))]
+
+
 def features(s: Sentence) -> np.ndarray:
     """Buckets of the features of each token: its letters, its ends, and its neighbours."""
-    low, shape, n = [w.lower() for w in s.words], [_shape(w) for w in s.words], len(s.words)
-    at = lambda a, k: a[k] if 0 <= k < n else "^" if k < 0 else "$"
+    low, shape = ["^", "^", *(w.lower() for w in s.words), "$", "$"], ["^", *(_shape(w) for w in s.words), "$"]
     rows = []
-    for k in range(n):
-        around = f"{at(low, k - 1)}|{shape[k]}", f"{shape[k]}|{at(low, k + 1)}", f"{at(shape, k - 1)}|{shape[k]}|{at(shape, k + 1)}"
-        own = (f"w{low[k]}", f"f{k == 0}|{shape[k]}", f"b{low[k][:3]}", *(f"e{low[k][-n:]}|{shape[k]}" for n in (2, 3, 4)))
-        named = (*own, f"l{around[0]}", f"r{around[1]}", f"c{around[2]}", f"L{at(low, k - 2)}|{around[0]}", f"R{around[1]}|{at(low, k + 2)}")
-        rows.append([zlib.crc32(x.encode()) % BUCKETS for x in named])
+    for k in range(len(s.words)):
+        before, own, after = shape[k : k + 3]
+        left, right = f"{low[k + 1]}|{own}", f"{own}|{low[k + 3]}"
+        around = _bucket(f"l{left}"), _bucket(f"r{right}"), _bucket(f"c{before}|{own}|{after}"), _bucket(f"L{low[k]}|{left}"), _bucket(f"R{right}|{low[k + 4]}")
+        rows.append([*_own(low[k + 2], own, k == 0), *around])
     return np.array(rows, np.int32)
 
 
@@ -245,21 +256,43 @@ def train(pages: DataFrame, parts: int = PARTS, rounds: int = ROUNDS, most: int
     return Model(sums.table / rounds, sums.steps / rounds)
 
 
+def _together(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts, null ones empty, so many at a time that what is made of them stays small."""
+    held, size = [], 0
+    for x in texts:
+        held.append(x.as_py() or "")
+        size += len(held[-1]) + 1
+        if size > TOGETHER:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _tagger(sent):
     kind = pa.struct([("entity", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())])
 
+    known: dict[tuple[str, ...], list[int]] = {}
+
     def tag(texts: pa.Array) -> pa.Array:
         model, out = Model(*sent.value), []
-        for each in texts:
-            text, names = each.as_py() or "", []
-            held = list(sentences(text))
-            for s, tags in zip(held, model.decode([features(s) for s in held]), strict=True):
-                for k, t in enumerate(tags.tolist()):
-                    if t and t % 2:
-                        names.append([KINDS[t // 2], s.starts[k], s.ends[k]])
-                    elif t:
-                        names[-1][2] = s.ends[k]
-            out.append([{"entity": e, "start": a, "end": b, "value": text[a:b]} for e, a, b in names])
+        for whole in _together(texts):
+            held = [[(s, tuple(s.words)) for s in sentences(text)] for text in whole]
+            if len(known) > KNOWN:
+                known.clear()
+            # Tags depend on a sentence's words alone, so each is decoded once while it is remembered.
+            new = {words: s for found in held for s, words in found if words not in known}
+            now = dict(zip(new, (tags.tolist() for tags in model.decode([features(s) for s in new.values()])), strict=True))
+            known.update((words, tags) for words, tags in now.items() if len(words) <= LONGEST)
+            for text, found in zip(whole, held, strict=True):
+                names = []
+                for s, words in found:
+                    for k, t in enumerate(known[words] if words in known else now[words]):
+                        if t and t % 2:
+                            names.append([KINDS[t // 2], s.starts[k], s.ends[k]])
+                        elif t:
+                            names[-1][2] = s.ends[k]
+                out.append([{"entity": e, "start": a, "end": b, "value": text[a:b]} for e, a, b in names])
         return pa.array(out, pa.list_(kind))
 
     return tag

@@ -11,6 +11,7 @@ from docveil.operators import detect, langmodel, names, resolve, tagger
 from docveil.operators.lang import looks_english, word_score
 from docveil.plans.anonymise import find_names
 from docveil.registry import QUERIES, query, table
+from docveil.shared import dealt_evenly
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +162,7 @@ _NAMED = " UNION ALL ".join(
 
 def named_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sentence for each order; titles, company forms and postal codes tell some of the names, the others stand without."""
-    return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k").selectExpr("k AS page_uid", "k AS pos", "concat('page ', k) AS label", f"{_LINES} AS text")
+    return dealt_evenly(table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k")).selectExpr("k AS page_uid", "k AS pos", "concat('page ', k) AS label", f"{_LINES} AS text")
 
 
 @query(f"WITH t AS (SELECT o_orderkey AS k FROM orders), n AS ({_NAMED}) SELECT k AS page_uid, entity, start_at, value FROM n")

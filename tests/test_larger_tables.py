@@ -198,3 +198,34 @@ def test_files_are_placed_and_read_by_tasks(spark, tmp_path):
     (tmp_path / "b" / "try.names").write_text("z\n")
     with pytest.raises(Exception, match="z"):
         files._place(spark, f"file://{tmp_path}/b", [f"{tmp_path}/b/try"])
+
+
+def test_sentences_are_decoded_together_and_once(spark, monkeypatch):
+    """The tags are those of each sentence decoded alone, whatever is remembered; equal sentences are decoded once."""
+    import numpy as np
+    import pyarrow as pa
+
+    from docveil.operators import tagger
+
+    rnd = np.random.default_rng(3)
+    sent = type("Sent", (), {"value": (rnd.normal(size=(tagger.BUCKETS, tagger.TAGS)), rnd.normal(size=(tagger.TAGS + 1, tagger.TAGS)))})
+    words = "Anna Holm bor i 8500 Aarhus , og A/S Byg 12 er her . Nu".split()
+    texts = [" ".join(rnd.choice(words, rnd.integers(0, 90))) for _ in range(300)] * 2 + [None, "", "Anna\n\nHolm"]
+    want, model = [], tagger.Model(*sent.value)
+    for text in texts:
+        names = []
+        for s in tagger.sentences(text or ""):
+            for k, t in enumerate(model.decode([tagger.features(s)])[0].tolist()):
+                if t and t % 2:
+                    names.append((tagger.KINDS[t // 2], s.starts[k], s.ends[k]))
+                elif t:
+                    names[-1] = (*names[-1][:2], s.ends[k])
+        want.append([{"entity": e, "start": a, "end": b, "value": text[a:b]} for e, a, b in names])
+    decoded, decode = [], tagger.Model.decode
+    monkeypatch.setattr(tagger.Model, "decode", lambda own, found, wanted=None: decoded.extend(found) or decode(own, found, wanted))
+    assert tagger._tagger(sent)(pa.array(texts)).to_pylist() == want
+    kinds = {tuple(s.words) for t in texts for s in tagger.sentences(t or "")}
+    assert sum(len(x) <= tagger.LONGEST for x in decoded) == sum(len(x) <= tagger.LONGEST for x in kinds) < 600
+    for name, most in (("KNOWN", 3), ("LONGEST", 5), ("TOGETHER", 40)):
+        monkeypatch.setattr(tagger, name, most)
+        assert tagger._tagger(sent)(pa.array(texts)).to_pylist() == want
