@@ -229,3 +229,43 @@ def test_sentences_are_decoded_together_and_once(spark, monkeypatch):
     for name, most in (("KNOWN", 3), ("LONGEST", 5), ("TOGETHER", 40)):
         monkeypatch.setattr(tagger, name, most)
         assert tagger._tagger(sent)(pa.array(texts)).to_pylist() == want
+
+
+def test_rows_are_replayed_in_place():
+    """As frames are; a state is asked for once, and a long line is not copied for each entry."""
+    import random
+    import time
+
+    import pandas as pd
+
+    from docveil.streaming.session import Replayer, RowReplayer
+
+    class Held:
+        value, asked = None, 0
+
+        def exists(self):
+            self.asked += 1
+            return self.value is not None
+
+        def get(self):
+            self.asked += 1
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    rnd = random.Random(2)
+    for most in (None, 1, 7):
+        one, two = Replayer(most, None), RowReplayer(most, None)
+        one.held, two.held = Held(), Held()
+        for turn in range(3):
+            part = [(turn * 500 + k, rnd.choice(["do", "do", "undo", "redo"])) for k in range(500)]
+            rnd.shuffle(part)
+            frame = next(one.handleInputRows(("s",), iter([pd.DataFrame(part[:200], columns=["seq", "action"]), pd.DataFrame(part[200:], columns=["seq", "action"])]), None))
+            rows = list(two.handleInputRows(("s",), iter([{"session": "s", "seq": q, "action": a} for q, a in part]), None))
+            assert [tuple(r) for r in rows] == list(frame.itertuples(index=False, name=None)) and [r["seq"] for r in rows] == sorted(q for q, _ in part)
+        assert one.held.asked == two.held.asked == 3
+    long, began = RowReplayer(None, None), time.process_time()
+    long.held = Held()
+    assert [r["version"] for r in long.handleInputRows((1,), ({"seq": k, "action": "do"} for k in range(60000)), None)][-1] == 60000
+    assert time.process_time() - began < 5
