@@ -380,10 +380,10 @@ def similar_roots(base: DataFrame, sets: Callable[[DataFrame], DataFrame], simil
 
     signed = signature_pairs(base).where(F.least("size", "size2") >= F.greatest("size", "size2") * similarity - 1e-9)
     first = materialize(linked(materialize(signed.withColumns({"root": F.col("f0"), "root2": F.col("g0")}), "signature_pairs")), "near_roots")
-    spread = materialize(base.select("f0", "size", F.explode("prefix").alias("key")).dropDuplicates(["key", "f0"]), "spread")
+    # Texts of one set go before their prefixes are dealt, and one exchange by key serves for both the count and the members.
+    spread = base.select("f0", "size", "prefix").dropDuplicates(["f0"]).select("f0", "size", F.explode("prefix").alias("key")).repartition("key")
     shared = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    members = materialize(spread.join(shared, "key"), "members")
-    release(spread)
+    members = materialize(spread.join(by_exchange(shared), "key"), "members")
     rest = materialize(pruned(rooted(members)), "unlinked")
     release(members)
     last, pairs = None, 0

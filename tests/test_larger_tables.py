@@ -269,3 +269,17 @@ def test_rows_are_replayed_in_place():
     long.held = Held()
     assert [r["version"] for r in long.handleInputRows((1,), ({"seq": k, "action": "do"} for k in range(60000)), None)][-1] == 60000
     assert time.process_time() - began < 5
+
+
+def test_prefixes_are_dealt_once(spark, monkeypatch):
+    """Texts of one set have one set of prefixes, and these go through one exchange to the members, by key; no table of all of them is written."""
+    from docveil.llm import simhash
+
+    plans, write = [], simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, name="step": plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or write(df, name))
+    rows = [(k, " ".join(f"w{k % 40 * 50 + n}" for n in range(40)) + (" more" if k % 3 == 0 else "")) for k in range(200)]
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r["doc_id"], r["component_id"]) for r in got.collect()} == {(k, k % 40) for k, _ in rows}
+    dealt = [p for name, p in plans if name == "members" and "RepartitionByExpression [key" in p]
+    assert len(dealt) == 1 and "spread" not in {name for name, _ in plans}
+    assert all("Aggregate [f0" in line or "Aggregate [key" in line for line in dealt[0].splitlines() if "Aggregate" in line)
